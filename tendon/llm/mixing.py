@@ -54,11 +54,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: in
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(one) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     shared = F.sum("w").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("level", left / shared)
+    rows = rows.withColumn("level", left / shared).withColumn("rising", F.row_number().over(rising))
     # full sources come first; the level at the first one that is not full holds for it and all after it
-    final = F.min(F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("level"))).over(one)
-    target = F.when(F.col("cap") <= F.coalesce(final * F.col("w"), F.col("cap")), F.col("cap")).otherwise(final * F.col("w"))
-    return rows.select("source", "has_source", "source_size", target.alias("target"))
+    not_full = F.when(F.col("cap") > F.col("level") * F.col("w"), F.col("rising"))
+    final = F.min_by("level", not_full).over(one)
+    target = F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("w"), F.col("cap")))
+    return rows.withColumn("final", final).select("source", "has_source", "source_size", target.alias("target"))
 
 
 def quotas(shards: DataFrame, seats: str, votes: str, within: list[str]) -> DataFrame:

@@ -45,4 +45,35 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op7_quality_rules": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+        p AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+        g AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM p),
+        rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
+        m AS (
+            SELECT w.r, doc_id, len(words)::BIGINT AS n_words,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
+                   length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_bangs,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+                   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN rep ON rep.r = w.r
+        ),
+        f AS (
+            SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines FROM m
+        ),
+        b AS (
+            SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+                + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_upper > 50 * word_chars)::INT
+                + 16 * (100 * n_bangs > 30 * n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
+                + 64 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
+                + 128 * (n_words > 1000000)::INT)::BIGINT AS rule_bits
+            FROM f
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               rule_bits & 3 <> 0 AS base_failed, rule_bits & 127 = 0 AS kept, rule_bits
+        FROM b
+    """,
 }

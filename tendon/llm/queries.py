@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.llm import exact_dedup, mixing, quality_rules, simhash
+from tendon.llm import exact_dedup, kneser_ney, mixing, quality_rules, simhash
+from tendon.llm.shared import id_crc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(_documents(spark, sf_dir), id_crc() % 10 == 0)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), keep="max")
 
@@ -39,6 +44,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.llm import exact_dedup, kneser_ney, mixing, quality_rules, simhash
+from tendon.llm import bpe, exact_dedup, kneser_ney, mixing, quality_rules, simhash
 from tendon.llm.shared import id_crc
 
 
@@ -28,6 +28,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decoded(bpe.encoded(_documents(spark, sf_dir)))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(_documents(spark, sf_dir))
     base, full = quality_rules.policy_mask("base"), quality_rules.policy_mask("web")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.llm import bpe, exact_dedup, kneser_ney, mixing, quality_rules, simhash
+from tendon.llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality_rules, simhash
 from tendon.llm.shared import id_crc
 
 
@@ -48,6 +48,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {

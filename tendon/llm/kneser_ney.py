@@ -27,7 +27,13 @@ from tendon.llm.words import chunks, mix, words_of
 
 #: The hash of the token that ends a text; words' hashes are spread over all numbers and miss it but by chance.
 END = np.uint64(0xE0D0C0B0A0908070)
-STATS = "kind string, shard long, keys binary, counts binary, stats array<long>"
+STATS = "shard long, parts array<binary>, stats array<long>"
+KINDS = ("total", "one", "two", "more", "before")
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "parts", "stats"])
 
 
 def unmix(x: np.ndarray) -> np.ndarray:
@@ -132,7 +138,8 @@ def fitted(docs: DataFrame, partitions: int | None = None) -> Model:
     vocabulary, n_words = Mapped(f"{at}/words", sizes), sum(sizes)
     if n_words >= 2**32 - 2:
         raise ValueError("pairs of word numbers need 64 bits: at most 2**32 - 2 distinct words")
-    span = -(-(n_words + 1) // (1 << bits))  # numbers per shard of contexts
+    ranges = 1 << max(1, bits - 2)
+    span = -(-(n_words + 1) // ranges)  # numbers per shard of contexts
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keys() -> Iterator[np.ndarray]:
@@ -152,15 +159,19 @@ def fitted(docs: DataFrame, partitions: int | None = None) -> Model:
             write_column(f"{at}/pairs", "count", shard, counts.astype(np.min_scalar_type(int(counts.max()))))
             pair = unmix(keys)
             left, right = pair // np.uint64(n_words + 1), pair % np.uint64(n_words + 1)
-            kinds = [("total", left, counts), ("one", left[counts == 1], None), ("two", left[counts == 2], None), ("more", left[counts > 2], None), ("before", right, None)]
-            out = [("pairs", shard, b"", b"", [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])]
-            for kind, number, n in kinds:
-                one, total = summed([(number, np.ones(len(number), np.int64) if n is None else n)])
-                cut = np.append(np.searchsorted(one, np.arange(1 << bits, dtype=np.uint64) * np.uint64(span)), len(one))
-                for i in np.flatnonzero(np.diff(cut)):
+            found = [(left, counts), (left[counts == 1], None), (left[counts == 2], None), (left[counts > 2], None), (right, None)]
+            found = [summed([(number, np.ones(len(number), np.int64) if n is None else n)]) for number, n in found]
+            bounds = np.arange(ranges, dtype=np.uint64) * np.uint64(span)
+            cuts = [np.append(np.searchsorted(one, bounds), len(one)) for one, _ in found]
+            out = [(-1, [], [shard, len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])]
+            for i in range(ranges):
+                parts = []
+                for (one, n), cut in zip(found, cuts):
                     part = slice(cut[i], cut[i + 1])
-                    out.append((kind, int(i), one[part].astype(np.uint32).tobytes(), total[part].astype(np.uint64).tobytes(), []))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["kind", "shard", "keys", "counts", "stats"])
+                    parts += [one[part].astype(np.uint32).tobytes(), n[part].astype(np.uint64).tobytes()]
+                if any(parts):
+                    out.append((i, parts, []))
+            yield _rows(out)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -170,34 +181,36 @@ def fitted(docs: DataFrame, partitions: int | None = None) -> Model:
             for kind, values in held.items():
                 write_column(f"{at}/contexts", kind, now, values.astype(np.min_scalar_type(int(values.max(initial=0)))))
             n = held["before"]
-            return "contexts", now, b"", b"", [int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 2).sum())]
+            return now, [], [int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n > 2).sum())]
 
         out = []
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == "pairs":
+                if r["shard"] < 0:
                     out.append(tuple(r.values()))
                     continue
                 if now != r["shard"]:
                     if now is not None:
                         out.append(done())
                     now = r["shard"]
-                    held = {k: np.zeros(span, np.uint64) for k in ("total", "one", "two", "more", "before")}
-                held[r["kind"]][np.frombuffer(r["keys"], np.uint32).astype(np.int64) - now * span] += np.frombuffer(r["counts"], np.uint64)
+                    held = {k: np.zeros(span, np.uint64) for k in KINDS}
+                for k, kind in enumerate(KINDS):
+                    number = np.frombuffer(r["parts"][2 * k], np.uint32).astype(np.int64)
+                    held[kind][number - now * span] += np.frombuffer(r["parts"][2 * k + 1], np.uint64)
         if now is not None:
             out.append(done())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["kind", "shard", "keys", "counts", "stats"])
+            yield _rows(out)
 
     pairs = dealt(rows.mapInArrow(gather, SENT), partitions).mapInArrow(write, STATS)
-    stats = dealt(pairs, partitions).mapInArrow(contexts, STATS).select("kind", "shard", "stats").collect()
-    pair_sizes, there = [0] * (1 << bits), [0] * (1 << bits)
+    stats = dealt(pairs, partitions).mapInArrow(contexts, STATS).select("shard", "stats").collect()
+    pair_sizes, there = [0] * (1 << bits), [0] * ranges
     high, low, n_pairs, n_more = np.zeros(4, np.int64), np.zeros(4, np.int64), 0, 0
     for r in stats:
         s = r["stats"]
-        if r["kind"] == "pairs":
-            pair_sizes[r["shard"]] = s[0]
-            high += s[1:5]
+        if r["shard"] < 0:
+            pair_sizes[s[0]] = s[1]
+            high += s[2:6]
         else:
             there[r["shard"]] = 1
             n_pairs += s[0]
@@ -206,7 +219,7 @@ def fitted(docs: DataFrame, partitions: int | None = None) -> Model:
     low_d = discounts(low.tolist())
     back = (low_d[0] * low[0] + low_d[1] * low[1] + low_d[2] * n_more) / n_pairs if n_pairs else 1.0
     held = Mapped(f"{at}/contexts", [span * x for x in there])
-    held.before = np.arange((1 << bits) + 1, dtype=np.int64) * span
+    held.before = np.arange(ranges + 1, dtype=np.int64) * span
     return Model(vocabulary, Mapped(f"{at}/pairs", pair_sizes), held, n_words, n_tokens, discounts(high.tolist()), low_d, n_pairs, float(back))
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendon.llm.words import SAME, chunks, mix, words_of
+from tendon.llm.words import SAME, Words, chunks, mix, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
 
@@ -55,47 +55,51 @@ def policy_mask(name: str = "web", version: int | None = None) -> int:
     return sum(bits[rule] for rule in chosen)
 
 
+def measure(w: Words) -> dict[str, np.ndarray]:
+    """The measurements of each text."""
+    n = len(w.first) - 1
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts] += 1
+    np.add.at(inside, w.ends, -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    key = w.hashes(SAME)
+    repeat = np.zeros(len(key), bool)
+    if len(key) > 2:
+        doc = w.text_ids()
+        at = np.flatnonzero(doc[:-2] == doc[2:])
+        window = mix(mix(mix(key[at] ^ doc[at].astype(np.uint64)) + key[at + 1]) + key[at + 2])
+        order = np.argsort(window)
+        same = np.diff(window[order]) == 0
+        again = np.zeros(len(at), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        hit = at[again]
+        for k in range(3):
+            repeat[hit + k] = True
+    covered = np.zeros(len(key) + 1, np.int64)
+    np.cumsum(repeat, out=covered[1:])
+    lines, dups = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    raw = w.data.tobytes()
+    for i in range(n):
+        full = [x for x in raw[w.offsets[i] : w.offsets[i + 1]].split(b"\n") if x and not x.isspace()]
+        lines[i] = len(full)
+        dups[i] = len(full) - len(set(full))
+    return {
+        "n_words": w.counts,
+        "word_chars": w.sums(inside & ((w.data & 0xC0) != 0x80)),
+        "n_symbols": w.sums(_SYMBOL[w.data]),
+        "n_dup_lines": dups,
+        "n_repeat_words": covered[w.first[1:]] - covered[w.first[:-1]],
+        "n_lines": lines,
+        "n_upper": w.sums((w.data >= 65) & (w.data <= 90)),
+        "n_bangs": w.sums(w.data == 33),
+    }
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "__text"):
-            w = words_of(part.column("__text"))
-            n = len(part)
-            inside = np.zeros(len(w.data) + 1, np.int8)
-            inside[w.starts] += 1
-            np.add.at(inside, w.ends, -1)
-            inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-            key = w.hashes(SAME)
-            repeat = np.zeros(len(key), bool)
-            if len(key) > 2:
-                doc = w.text_ids()
-                at = np.flatnonzero(doc[:-2] == doc[2:])
-                window = mix(mix(mix(key[at] ^ doc[at].astype(np.uint64)) + key[at + 1]) + key[at + 2])
-                order = np.argsort(window)
-                same = np.diff(window[order]) == 0
-                again = np.zeros(len(at), bool)
-                again[order[1:]] |= same
-                again[order[:-1]] |= same
-                hit = at[again]
-                for k in range(3):
-                    repeat[hit + k] = True
-            covered = np.zeros(len(key) + 1, np.int64)
-            np.cumsum(repeat, out=covered[1:])
-            lines, dups = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, text in enumerate(part.column("__text").cast(pa.large_binary()).to_pylist()):
-                if text:
-                    full = [x for x in text.split(b"\n") if x and not x.isspace()]
-                    lines[i] = len(full)
-                    dups[i] = len(full) - len(set(full))
-            values = {
-                "n_words": w.counts,
-                "word_chars": w.sums(inside & ((w.data & 0xC0) != 0x80)),
-                "n_symbols": w.sums(_SYMBOL[w.data]),
-                "n_dup_lines": dups,
-                "n_repeat_words": covered[w.first[1:]] - covered[w.first[:-1]],
-                "n_lines": lines,
-                "n_upper": w.sums((w.data >= 65) & (w.data <= 90)),
-                "n_bangs": w.sums(w.data == 33),
-            }
+            values = measure(words_of(part.column("__text")))
             rest = [c for c in part.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in rest), *(pa.array(values[m], pa.int64()) for m in MEASURES)], [*rest, *MEASURES]

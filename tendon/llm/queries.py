@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.llm import bpe, exact_dedup, html_text, kneser_ney, mixing, quality_rules, simhash
+from tendon.llm import bpe, exact_dedup, factorisation_machine, html_text, kneser_ney, mixing, pii, quality_rules, simhash
 from tendon.llm.shared import id_crc
 
 
@@ -33,6 +33,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(_documents(spark, sf_dir))
+    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(_documents(spark, sf_dir))
     base, full = quality_rules.policy_mask("base"), quality_rules.policy_mask("web")
@@ -53,14 +59,24 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _documents(spark, sf_dir), factorisation_machine.held_out()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rows = factorisation_machine.scored(docs, factorisation_machine.fitted(docs, labels, ~held_out))
+    good = F.when(F.col("score") >= factorisation_machine.THRESHOLD, 1).otherwise(0)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", good.cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_html_extraction": op9_html_extraction,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {

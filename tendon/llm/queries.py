@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.llm import bpe, exact_dedup, factorisation_machine, html_text, kneser_ney, mixing, pii, quality_rules, simhash
+from tendon.llm import bpe, exact_dedup, factorisation_machine, html_text, kneser_ney, mixing, pii, quality_rules, simhash, token_counts
 from tendon.llm.shared import id_crc
 
 
@@ -19,6 +19,18 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(_documents(spark, sf_dir), id_crc() % 10 == 0)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after edits that Spark draws from its text, and what was encoded for them."""
+    before = token_counts.derived_edits(token_counts.trees(_documents(spark, sf_dir)))
+    packed = before.withColumn("row", F.struct("doc_id", F.length("text").alias("n_chars"), F.col("tokens")[1].alias("n_tokens"), F.size("edits").alias("n_edits")))
+    after = token_counts.edited(packed.drop("doc_id"), id_col="row")
+    return after.select(
+        "row.doc_id", F.col("row.n_chars").cast("long").alias("n_chars"), F.col("row.n_tokens").cast("long").alias("n_tokens"),
+        F.col("row.n_edits").cast("long").alias("n_edits"), F.length("text").cast("long").alias("n_chars_after"),
+        F.col("tokens")[1].cast("long").alias("n_tokens_after"), F.col("encoded").alias("n_chars_encoded"), F.sha2("text", 256).alias("text_sha256_after"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), keep="max")
 
@@ -69,6 +81,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_token_counts": op2_token_counts,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,

@@ -12,10 +12,14 @@ shards are ordered, and both are smaller than the input by the size of a shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.llm.shared import looked_up, saved, text_of
+from tendon.llm.words import words_of
 
 BLOCK = 64
 SHARD_TOKENS = 200_000
@@ -91,6 +95,48 @@ def _number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), *parts)), 1, 12), 16, 10).cast("long")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, at, n in zip(batch.column("__text").to_pylist(), batch.column("__from").to_pylist(), batch.column("__length").to_pylist()):
+            if not n:
+                out.append(None)
+                continue
+            w = words_of(pa.array([text]))
+            size, parts = len(w.starts), []
+            while n > 0:
+                end = min(at + n, size)
+                parts.append(w.data[w.starts[at] : w.ends[end - 1]].tobytes().decode())
+                n, at = n - (end - at), 0
+            out.append("\n".join(parts))
+        rest = [c for c in batch.schema.names if c not in ("__from", "__length")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.string())], [*rest, "__slice"])
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = PASSES) -> DataFrame:
+    """The mix itself: each document once per whole pass over its source, and the words of the chosen blocks.
+
+    Columns are those of ``docs``; ``n_chars`` is that of the text in the row. A run of words keeps the white space
+    between them. Documents of which nothing is taken are left out. Rows that are equal in id, source and text are
+    taken alike.
+    """
+    names = docs.columns
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source")]
+    key = F.concat_ws("|", *parts, F.md5(text_of()))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
+    keyed = docs.select(row, key.alias("__key"), text_of().alias("__text"))
+    chosen = taken(docs.select(key.alias("doc_id"), "source", "text"), weights, passes)
+    chosen = chosen.where("taken > 0").dropDuplicates(["doc_id"])
+    chosen = chosen.select(F.col("doc_id").alias("__key"), "whole", F.col("run_from").alias("__from"), F.col("run_length").alias("__length"))
+    rows = keyed.join(chosen, "__key").drop("__key")
+    fields = ", ".join(f"`{c}` {t}" for c, t in rows.drop("__from", "__length").dtypes)
+    rows = rows.mapInArrow(_slices, f"{fields}, __slice string")
+    texts = F.concat(F.array_repeat(F.col("__text"), F.col("whole").cast("int")), F.when(F.col("__slice").isNotNull(), F.array("__slice")).otherwise(F.array().cast("array<string>")))
+    rows = rows.select("__row", F.explode(texts).alias("__text"))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return rows.select(*(new.get(c, F.col("__row").getField(c)).alias(c) for c in names))
+
+
 def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = PASSES) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, whole, run_from, run_length, source, has_source)`` per input row.
 

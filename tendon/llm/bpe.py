@@ -31,6 +31,8 @@ from tendon.llm.words import chunks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 GATHER = 400_000
+#: Bytes of texts that are encoded together.
+BLOCK = 1 << 21
 _CUT = regex.compile(public_tokenizers.PATTERN)
 #: A space next to white space or to an end of the text: there, spaces alone don't bound pre-tokens.
 _LOOSE = regex.compile(r"\A | \s|\s | \Z")
@@ -184,10 +186,16 @@ def _ids_of(words: list[str], table: Mapped, ranks: str) -> tuple[np.ndarray, np
     return (np.concatenate(flat) if flat else np.empty(0, np.uint32)), starts, sizes
 
 
-def _encode(table: Mapped, ranks: str):
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte strings that end at these bytes of the data."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _encode(table: Mapped, ranks: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text"):
+            for part in chunks(batch, "__text", BLOCK):
                 pieces, words, codes, counts = _Codes(), _Codes(), [], []
                 for text in part.column("__text").to_pylist():
                     own = pieces_of(text) if text else []
@@ -208,23 +216,29 @@ def _encode(table: Mapped, ranks: str):
                 total = np.concatenate([[0], np.cumsum(n)])
                 ends = total[np.cumsum(counts)]
                 n_tokens = np.diff(np.concatenate([[0], ends]))
-                offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
-                packed = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
                 rest = [c for c in part.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(n_tokens), packed], [*rest, "n_tokens", "ids"])
+                columns = [*(part.column(c) for c in rest), pa.array(n_tokens), _binary(ids, 4 * ends)]
+                if decode:
+                    data, starts, sizes = token_bytes(ranks)
+                    at = np.concatenate([[0], np.cumsum(sizes[ids])])
+                    columns.append(_binary(data[ragged(starts[ids], sizes[ids])], at[ends]))
+                yield pa.RecordBatch.from_arrays(columns, [*rest, "n_tokens", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encoded(docs: DataFrame, table: Mapped | None = None, ranks: str = RANKS, id_col: str = "doc_id") -> DataFrame:
+def encoded(docs: DataFrame, table: Mapped | None = None, ranks: str = RANKS, id_col: str = "doc_id", decode: bool = False) -> DataFrame:
     """``(id, n_tokens, ids)`` of every row's whole text; ``ids`` is little-endian unsigned 32-bit integers.
 
+    With ``decode``, also ``decoded``, the bytes of the ids, joined from the token table where the ids are made.
+
     A null or empty text has no ids. Null and repeated ids are rows like any other; other columns are ignored; an
     empty table gives an empty result. ``table`` must come from texts that include these.
     """
     table = dictionary(docs, ranks) if table is None else table
     rows = docs.select(F.col(id_col), F.col("text").alias("__text"))
-    return rows.mapInArrow(_encode(table, ranks), f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary")
+    fields = f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary" + ", decoded binary" * decode
+    return rows.mapInArrow(_encode(table, ranks, decode), fields)
 
 
 def _decode(ranks: str):

@@ -41,7 +41,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.decoded(bpe.encoded(_documents(spark, sf_dir)))
+    rows = bpe.encoded(_documents(spark, sf_dir), decode=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -111,12 +111,12 @@ def words_of(column: pa.Array) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text"):
-    """Slices of a batch whose texts hold about CHUNK bytes, or one longer text."""
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK):
+    """Slices of a batch whose texts hold about ``most`` bytes, or one longer text."""
     sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.cumsum(sizes), 0
     while at < len(sizes):
         before = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, before + CHUNK, "right")))
+        end = max(at + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(at, end - at)
         at = end

@@ -22,6 +22,8 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, docs_of, prose):
         assert got[i]["n_tokens"] == len(ids), (i, text)
         assert bytes(got[i]["ids"]) == b"".join(x.to_bytes(4, "little") for x in ids), (i, text)
         assert bytes(got[i]["decoded"]) == (text or "").encode()
+    at_once = {r["doc_id"]: r for r in bpe.encoded(docs, decode=True).collect()}
+    assert at_once == got
 
 
 def test_shared_hashes_stay_exact(spark, docs_of, monkeypatch):

@@ -7,6 +7,7 @@ are made of triangle waves, so that every engine gets the same numbers, and defe
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Action keys and the state key that observes each.
 STATE_KEY_FOR_ACTION = {
@@ -98,10 +99,10 @@ def _cartesian_velocity() -> str:
     return f"CASE (e * 5 + 2) % 7 {cases} ELSE {_arr(lin + ang)} END"
 
 
-def steps_sql() -> str:
-    """``steps(episode_id, grp, key, t, vals)``."""
+def _step_parts() -> list[tuple[str, str, str, str]]:
+    """Group, key, values and condition of each array that an episode may have."""
     grip = lambda t: f"CASE WHEN ({t}) % 20 >= 10 THEN 0.04e0 ELSE 0e0 END"
-    parts = [
+    return [
         ("state", "joint_position", _arr([_joint("t", d) for d in range(7)]), "true"),
         ("state", "gripper_position", _arr([grip("t")]), "e % 11 <> 5"),
         ("state", "cartesian_position", _arr([_place("t", i) for i in range(3)] + _quat("t")), "true"),
@@ -113,13 +114,18 @@ def steps_sql() -> str:
         ("action", "gripper_velocity", _arr([f"{grip('t + 1')} * CASE WHEN e % 6 = 1 THEN 5e0 ELSE 1e0 END + CASE WHEN e % 3 = 0 THEN 1e-3 ELSE 0e0 END"]), "true"),
         ("action", "gripper_binary", _arr(["CASE WHEN (t + 1) % 20 >= 10 THEN 1e0 ELSE 0e0 END * CASE WHEN e % 9 = 4 THEN 2e0 ELSE 1e0 END"]), "e % 8 <> 3"),
     ]
-    every = " UNION ALL ".join(
-        f"SELECT e AS episode_id, '{grp}' AS grp, '{key}' AS key, t, {vals} AS vals FROM b WHERE {where}" for grp, key, vals, where in parts
-    )
-    return (
-        "SELECT * FROM (WITH b0 AS (SELECT user_id AS e, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t FROM {events}),"
-        " b AS (SELECT e, t, count(*) OVER (PARTITION BY e) AS n, 10e0 * (1 + e % 3) AS hz FROM b0) " + every + ") AS x"
-    )
+
+
+_BASE = (
+    "WITH b0 AS (SELECT user_id AS e, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t FROM {events}),"
+    " b AS (SELECT e, t, count(*) OVER (PARTITION BY e) AS n, 10e0 * (1 + e % 3) AS hz FROM b0)"
+)
+
+
+def steps_sql() -> str:
+    """``steps(episode_id, grp, key, t, vals)``."""
+    every = " UNION ALL ".join(f"SELECT e AS episode_id, '{grp}' AS grp, '{key}' AS key, t, {vals} AS vals FROM b WHERE {where}" for grp, key, vals, where in _step_parts())
+    return f"SELECT * FROM ({_BASE} {every}) AS x"
 
 
 def episodes_sql() -> str:
@@ -163,7 +169,11 @@ def _table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, steps_sql())
+    """The steps from one scan and one window: each event gives all arrays of its step."""
+    base = spark.sql(f"{_BASE} SELECT * FROM b", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    rows = [f"IF({where}, named_struct('grp', '{grp}', 'key', '{key}', 'vals', {for_engine(vals, 'array')}), NULL)" for grp, key, vals, where in _step_parts()]
+    each = F.explode(F.filter(F.array(*map(F.expr, rows)), lambda x: x.isNotNull())).alias("x")
+    return base.select(F.col("e").alias("episode_id"), "t", each).select("episode_id", "x.grp", "x.key", "t", "x.vals")
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:

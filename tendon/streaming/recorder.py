@@ -35,7 +35,7 @@ def running_counts(steps: DataFrame) -> DataFrame:
     )
 
 
-def _close(cap: int):
+def _close(cap: int, idle_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             width, n, nan, size = state.get
@@ -62,17 +62,23 @@ def _close(cap: int):
             state.remove()
         else:
             state.update((width, n, nan, size))
-            state.setTimeoutDuration(600_000)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         if out:
             yield pd.DataFrame(out, columns=["episode_id", "key", "n_steps", "nan_steps", "n_bytes", "problem"])
 
     return run
 
 
-def episode_log(steps: DataFrame, cap: int = 100 * 1024 * 1024) -> DataFrame:
-    """A stream of ``CLOSED`` rows: one when an episode's key closes (a step with ``closes``, or ten idle minutes), and
-    one at the step that changes the shape or crosses the cap of bytes. State is four numbers per open key."""
-    return steps.groupBy("episode_id", "key").applyInPandasWithState(_close(cap), CLOSED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def episode_log(steps: DataFrame, cap: int = 100 * 1024 * 1024, idle_ms: int | None = 600_000) -> DataFrame:
+    """A stream of ``CLOSED`` rows: one when an episode's key closes (a step with ``closes``, or ``idle_ms`` without
+    steps), and one at the step that changes the shape or crosses the cap of bytes.
+
+    State is four numbers per open key. Without ``idle_ms`` keys that never close stay, and a run over what is
+    available ends; with it Spark goes on to look for idle keys.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return steps.groupBy("episode_id", "key").applyInPandasWithState(_close(cap, idle_ms), CLOSED, STATE, "append", timeout)
 
 
 def upsert_listing(batch: DataFrame, at: str) -> None:

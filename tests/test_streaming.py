@@ -6,11 +6,10 @@ SCHEMA = "episode_id long, key string, vals array<double>, closes boolean"
 
 
 def test_episode_log_closes_and_flags(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "true")
     at, check = tempfile.mkdtemp(prefix="spark-in-"), tempfile.mkdtemp(prefix="spark-check-")
     rows = [(1, "k", [1.0, float("nan")], False), (1, "k", [1.0, 2.0], True), (2, "k", [1.0], False), (2, "k", [1.0, 2.0], False), (2, "k", [0.0] * 20, True)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(at)
-    log = recorder.episode_log(spark.readStream.schema(SCHEMA).parquet(at), cap=100)
+    log = recorder.episode_log(spark.readStream.schema(SCHEMA).parquet(at), cap=100, idle_ms=None)
     query = log.writeStream.format("memory").queryName("episode_log").outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).start()
     try:
         assert query.awaitTermination(100)

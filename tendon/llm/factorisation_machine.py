@@ -137,6 +137,15 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return number, value, np.concatenate([[0], np.cumsum(sizes)])
 
 
+_NOTHING = np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64)
+
+
+def _packed(bias: float, line: np.ndarray, low: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.concatenate([[bias, *[0.0] * RANK], np.concatenate([line[:, None], low], axis=1).ravel()]).astype(np.float32).reshape(-1, RANK + 1))
+    return out.getvalue()
+
+
 def _fitted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, labels = [], []
@@ -145,10 +154,7 @@ def _fitted(path: str):
                 parts.append(features(words_of(part.column("text"))))
                 labels.append(part.column("label").to_numpy(zero_copy_only=False))
         label = np.concatenate(labels).astype(float) if labels else np.empty(0)
-        bias, line, low = fit(*(_joined(parts) if parts else (np.empty(0, np.int64), np.empty(0), np.zeros(1, np.int64))), label)
-        out = io.BytesIO()
-        np.save(out, np.concatenate([[bias, *[0.0] * RANK], np.concatenate([line[:, None], low], axis=1).ravel()]).astype(np.float32).reshape(-1, RANK + 1))
-        put_file(path, out.getvalue())
+        put_file(path, _packed(*fit(*(_joined(parts) if parts else _NOTHING), label)))
         yield pa.RecordBatch.from_arrays([pa.array([len(label)])], ["n"])
 
     return run
@@ -165,7 +171,8 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAM
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = rows.dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions("doc_id").select("text", "label")
     path = f"{new_folder(docs.sparkSession, 'machine')}/model.npy"
-    rows.mapInArrow(_fitted(path), "n long").collect()
+    if not rows.mapInArrow(_fitted(path), "n long").collect():  # no labels, no task
+        put_file(path, _packed(*fit(*_NOTHING, np.empty(0))))
     return path
 
 

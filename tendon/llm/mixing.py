@@ -32,13 +32,14 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more: str) -> DataFrame:
     """``(doc_id, source, size)``: source is marked by ``has_source`` so that null and empty names stay apart."""
     return docs.select(
         "doc_id",
         F.coalesce("source", F.lit("")).alias("source"),
         F.col("source").isNotNull().alias("has_source"),
         n_words(text_of()).alias("size"),
+        *more,
     )
 
 
@@ -125,9 +126,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = P
     key = F.concat_ws("|", *parts, F.md5(text_of()))
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
     keyed = docs.select(row, key.alias("__key"), text_of().alias("__text"))
-    chosen = taken(docs.select(key.alias("doc_id"), "source", "text"), weights, passes)
-    chosen = chosen.where("taken > 0").dropDuplicates(["doc_id"])
-    chosen = chosen.select(F.col("doc_id").alias("__key"), "whole", F.col("run_from").alias("__from"), F.col("run_length").alias("__length"))
+    chosen = taken(docs.select("doc_id", "source", "text", key.alias("__key")), weights, passes, ("__key",))
+    chosen = chosen.where("taken > 0").dropDuplicates(["__key"])
+    chosen = chosen.select("__key", "whole", F.col("run_from").alias("__from"), F.col("run_length").alias("__length"))
     rows = keyed.join(chosen, "__key").drop("__key")
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.drop("__from", "__length").dtypes)
     rows = rows.mapInArrow(_slices, f"{fields}, __slice string")
@@ -137,8 +138,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = P
     return rows.select(*(new.get(c, F.col("__row").getField(c)).alias(c) for c in names))
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = PASSES) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, whole, run_from, run_length, source, has_source)`` per input row.
+def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = PASSES, more: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken, whole, run_from, run_length, source, has_source)`` per input row, and ``more`` columns.
 
     ``taken`` counts words with repeats: ``whole`` passes over the document and, of one more pass, the words that
     the chosen blocks hold: ``run_length`` words from ``run_from`` on, going round past the end. No document is
@@ -146,7 +147,7 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = P
     last, and a null or repeated id is a row like any other; rows with equal ids and sizes may swap their places in
     a shard, but not the sum. Without words all targets are 0.
     """
-    rows = saved(sized(docs), "mix-sizes")
+    rows = saved(sized(docs, *more), "mix-sizes")
     per = rows.groupBy("source", "has_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     per = targets(per.select("source", "has_source", "source_size"), weights, passes).join(per.drop("source_size"), ["source", "has_source"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -177,5 +178,5 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), passes: int = P
     return laid.select(
         "doc_id", "size", "source_size", "target",
         (F.col("whole") * F.col("size") + F.col("run_length")).alias("taken"),
-        "whole", run_from.alias("run_from"), "run_length", "source", "has_source",
+        "whole", run_from.alias("run_from"), "run_length", "source", "has_source", *more,
     )

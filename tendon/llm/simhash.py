@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.llm.components import rooted
-from tendon.llm.shared import looked_up, saved
+from tendon.llm.shared import BROADCAST_ROWS, looked_up, saved
 
 SHINGLE = 3
 RADIUS = 3
@@ -330,10 +330,17 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
-    dropped = components(docs, radius).where(F.col("doc_id") != F.col("component_id"))
-    dropped = dropped.select(F.col("doc_id").alias("__id")).distinct()
+    found = components(docs, radius)
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    dropped, again = _slim(saved(dropped, "simhash-dropped")), _slim(saved(again.select("__id"), "simhash-again"))
     rows = docs.select(row, F.col("doc_id").alias("__id")).join(dropped, "__id", "left_anti")
-    alone = rows.where("__id is null").select("__row")
     order = Window.partitionBy("__id").orderBy(F.to_json("__row"))
-    rows = rows.where("__id is not null").withColumn("__first", F.row_number().over(order)).where("__first = 1")
-    return rows.select("__row").unionByName(alone).select(*(F.col("__row").getField(c).alias(c) for c in names))
+    first = rows.join(again, "__id", "left_semi").withColumn("__first", F.row_number().over(order)).where("__first = 1")
+    kept = rows.join(again, "__id", "left_anti").select("__row").unionByName(first.select("__row"))
+    return kept.select(*(F.col("__row").getField(c).alias(c) for c in names))
+
+
+def _slim(ids: DataFrame) -> DataFrame:
+    """Ids to look rows up by: broadcast after they were counted and are few, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

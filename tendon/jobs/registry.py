@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tendon.jobs import dataset_queries, motion_queries, pose_queries, stream_queries, validation_queries, video_queries
+from tendon.jobs import curation_queries, dataset_queries, motion_queries, pose_queries, stream_queries, validation_queries, video_queries
 
-_PARTS = (motion_queries, pose_queries, validation_queries, dataset_queries, video_queries, stream_queries)
+_PARTS = (motion_queries, pose_queries, validation_queries, dataset_queries, video_queries, stream_queries, curation_queries)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

@@ -65,3 +65,13 @@ def test_sampling_is_the_same_each_time(spark):
     one, two = (reporting.sampled(rows, 5, seed=3).collect() for _ in range(2))
     assert one == two and len(one) == 5 and one == sorted(one)
     assert reporting.sampled(rows, 0).count() == 20
+
+
+def test_angles_are_unwrapped_like_a_numeric_library(spark):
+    from tendon.operators import curation
+
+    rng = np.random.default_rng(4)
+    angles = (np.cumsum(rng.normal(0, 2.0, 200)) + np.pi) % (2 * np.pi) - np.pi
+    rows = spark.createDataFrame([(1, i, float(a)) for i, a in enumerate(angles)], "e long, t long, v double")
+    got = [r["unwrapped"] for r in curation.unwrapped(rows, ["e"], "t", "v").orderBy("t").collect()]
+    assert np.allclose(got, np.unwrap(angles))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,8 @@ from tendon.llm.words import chunks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 GATHER = 400_000
+#: Pieces of texts whose ids a task remembers from block to block; it starts anew beyond.
+REMEMBERED = 300_000
 #: Bytes of texts that are encoded together.
 BLOCK = 1 << 21
 _CUT = regex.compile(public_tokenizers.PATTERN)
@@ -192,29 +195,45 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
+class _Ids:
+    """Ids of pieces seen so far: piece k has ``size[k]`` of the flat ids from ``start[k]`` on."""
+
+    def __init__(self):
+        self.codes, self.flat = _Codes(), np.empty(0, np.uint32)
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def fill(self, table: Mapped, ranks: str) -> None:
+        """Look up the pre-tokens of the pieces that came since the last call."""
+        words = _Codes()
+        inner = [[words[w] for w in pre_tokens(p)] for p in islice(self.codes, len(self.start), None)]
+        flat, start, size = _ids_of(list(words), table, ranks)
+        many = np.fromiter(map(len, inner), np.int64, len(inner))
+        word = np.fromiter(chain.from_iterable(inner), np.int64, int(many.sum()))
+        ends = np.concatenate([[0], np.cumsum(size[word])])
+        piece_ends = np.cumsum(many)
+        first, last = ends[piece_ends - many], ends[piece_ends]
+        self.start = np.concatenate([self.start, first + len(self.flat)])
+        self.size = np.concatenate([self.size, last - first])
+        self.flat = np.concatenate([self.flat, flat[ragged(start[word], size[word])]])
+
+
 def _encode(table: Mapped, ranks: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Ids()
         for batch in batches:
             for part in chunks(batch, "__text", BLOCK):
-                pieces, words, codes, counts = _Codes(), _Codes(), [], []
+                if len(known.codes) > REMEMBERED:
+                    known = _Ids()
+                codes, counts = [], []
                 for text in part.column("__text").to_pylist():
                     own = pieces_of(text) if text else []
-                    codes.append(np.fromiter(map(pieces.__getitem__, own), np.int64, len(own)))
+                    codes.append(np.fromiter(map(known.codes.__getitem__, own), np.int64, len(own)))
                     counts.append(len(own))
-                inner = [[words[w] for w in pre_tokens(p)] for p in pieces]
-                flat, start, size = _ids_of(list(words), table, ranks)
-                # pieces as ranges over words, then texts as ranges over pieces
-                many = np.fromiter(map(len, inner), np.int64, len(inner))
-                word = np.fromiter((w for x in inner for w in x), np.int64, int(many.sum()))
-                ids = flat[ragged(start[word], size[word])]
-                word_end = np.concatenate([[0], np.cumsum(size[word])])
-                piece_end = np.cumsum(many)
-                first, last = word_end[piece_end - many], word_end[piece_end]
+                known.fill(table, ranks)
                 code = np.concatenate(codes) if codes else np.empty(0, np.int64)
-                n = (last - first)[code]
-                ids = ids[ragged(first[code], n)].astype("<u4")
-                total = np.concatenate([[0], np.cumsum(n)])
-                ends = total[np.cumsum(counts)]
+                n = known.size[code]
+                ids = known.flat[ragged(known.start[code], n)].astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
                 n_tokens = np.diff(np.concatenate([[0], ends]))
                 rest = [c for c in part.schema.names if c != "__text"]
                 columns = [*(part.column(c) for c in rest), pa.array(n_tokens), _binary(ids, 4 * ends)]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tendon.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 from tendon.llm.shared import saved
 
+#: Near copies: Jaccard similarity of the sets of five words, searched among fingerprints within so many bits.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
@@ -21,7 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, RADIUS, SHINGLE, SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ linked. Search works on distinct fingerprints:
 4. fingerprints meet in the buckets they probe. A bucket yields a spanning forest of its links and not the pairs, and
    large buckets are dealt out as pairs of blocks;
 5. links are joined to components.
+
+With a ``similarity``, fingerprints within a wider radius only say which texts are compared: fingerprints are searched
+in mapped arrays (``neighbours``), and texts are linked where the Jaccard similarity of their sets of shingles is at
+least that (``similar``). Chance neighbours are left out by eight minima of the hashes, one of which must be equal:
+two texts of similarity J have none with a chance of (1 - J) ** 8.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.llm.components import rooted
-from tendon.llm.shared import BROADCAST_ROWS, looked_up, saved
+from tendon.llm.shared import BROADCAST_ROWS, looked_up, mapped_path, new_folder, saved, text_of
+from tendon.llm.sorted_arrays import write_column
 
 SHINGLE = 3
 RADIUS = 3
@@ -33,22 +39,26 @@ PARTS = 4
 WIDTH = 64 // PARTS
 #: Fingerprints of one bucket that meet at a time.
 BLOCK = 4_096
+#: Texts whose sets of shingles meet at a time.
+SETS = 1_024
+#: Mapped fingerprints are kept in files by the leading bits of a partition's values.
+SHELVES = 16
 _LONG = 65_536
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text in UTF-8; 0 without words."""
     words = text.lower().split()
     if not words:
         return 0
     flat = b" ".join(words)
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     if n < 1:
         return xxhash.xxh64_intdigest(flat, 42)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1)[:n].tolist()
-    ends = ends[SHINGLE - 1 :].tolist()
+    ends = ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for i in range(0, n, _LONG):
@@ -58,6 +68,22 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, 16 bits of the least with each value of the three leading bits, packed; 0 without any."""
+    bounds = np.arange(8, dtype=np.uint64) << np.uint64(61)
+    at = np.searchsorted(hashes, bounds)
+    there = np.append(at[1:], len(hashes)) > at
+    return np.where(there, hashes[np.minimum(at, len(hashes) - 1)] & np.uint64(0xFFFF), 0).astype(np.uint16).view(np.int64)
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("__text").cast(pa.large_binary())
@@ -72,6 +98,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return kept.mapInArrow(_prints, f"`{id_col}` {dict(kept.dtypes)[id_col]}, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, hash, fp, low, high)`` of every row's whole text: its hash, fingerprint and packed minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column("__text").cast(pa.large_binary())]
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
+            packed = np.array([minima(shingles(t, shingle)) for t in texts], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *map(pa.array, (fps, packed[:, 0], packed[:, 1]))], ["doc_id", "hash", "fp", "low", "high"])
+
+    kept = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), F.col("text").alias("__text"))
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, hash long, fp long, low long, high long")
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros((64, 64)), 0
     for batch in batches:
@@ -301,36 +341,229 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Data
     return rows.mapInArrow(_links(radius), "a long, b long")
 
 
-def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the smallest node of each component of the links ``a[i] - b[i]`` to its others."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[i], root[j]
+        open_ = x != y
+        if not open_.any():
+            break
+        i, j, x, y = i[open_], j[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
+
+
+NODE = ("fp", "low", "high", "hash")
+
+
+def _shelf_of(groups: list[list[int]], shift: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = part_values(batch.column("fp").to_numpy().view(np.uint64), groups)
+            shelf = (at >> shift) + SHELVES * np.arange(len(groups))
+            nodes = [pa.array(np.repeat(batch.column(n).to_numpy(), len(groups))) for n in NODE]
+            yield pa.RecordBatch.from_arrays([pa.array(shelf.ravel()), pa.array(at.ravel()), *nodes], ["shelf", "value", *NODE])
+
+    return run
+
+
+def _shelve(folder: str):
+    """Write nodes in order of their values, one file per shelf of a partition; yields the shelves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.stack([b.column(k).to_numpy() for k in range(2 + len(NODE))], axis=1) for b in batches if b.num_rows]
+        if not rows:
+            return
+        every = np.concatenate(rows)
+        every = every[np.lexsort((every[:, -1], every[:, 1], every[:, 0]))]
+        names, first = np.unique(every[:, 0], return_index=True)
+        for name, part in zip(names, np.split(every[:, 2:], first[1:])):
+            write_column(folder, "nodes", int(name), np.ascontiguousarray(part))
+        yield pa.RecordBatch.from_arrays([pa.array(names)], ["shelf"])
+
+    return run
+
+
+def _near(groups: list[list[int]], shared, folder: str, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls = shared.value
+        width = balls.shape[2].bit_length() - 1
+        per = balls.shape[2] // SHELVES
+        sizes = balls[:, 0].astype(np.int64)
+        within = sizes.reshape(len(groups), SHELVES, per)
+        starts = (np.cumsum(within, axis=2) - within).reshape(len(groups), -1)  # in the value's shelf
+        masks = [np.concatenate(_masks(width, radius)[: t + 1]) for t in range(radius + 1)]
+        held: dict[int, np.ndarray] = {}
+
+        def fetched(g: int, value: np.ndarray, whose: np.ndarray, own: np.ndarray, out: list) -> None:
+            """Links of the nodes ``own[whose]`` to the nodes with these values in partition g."""
+            n = sizes[g][value]
+            some = n > 0
+            value, whose, n = value[some], whose[some], n[some]
+            for k in np.unique(value // per):
+                mine = value // per == k
+                if (key := g * SHELVES + int(k)) not in held:
+                    held[key] = np.load(mapped_path(f"{folder}/nodes-{key:06d}.npy"), mmap_mode="r")
+                m = n[mine]
+                at = np.repeat(starts[g][value[mine]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                a = np.repeat(whose[mine], m)
+                hit = np.flatnonzero(np.bitwise_count((own[a, 0] ^ held[key][:, 0][at]).view(np.uint64)) <= radius)
+                a, b = own[a[hit]], np.asarray(held[key][at[hit]])
+                alike = (a[:, 3] != b[:, 3]) & (np.ascontiguousarray(a[:, 1:3]).view(np.uint16) == np.ascontiguousarray(b[:, 1:3]).view(np.uint16)).any(axis=1)
+                if alike.any():
+                    out.append((a[alike, 3], b[alike, 3]))
+
+        for batch in batches:
+            found = []
+            every = np.stack([batch.column(n).to_numpy() for n in NODE], axis=1)
+            for lo in range(0, len(every), 128):
+                own, out = every[lo : lo + 128], []
+                values = part_values(np.ascontiguousarray(own[:, 0]).view(np.uint64), groups)
+                taus = allot(values, balls, radius)
+                for g in range(len(groups)):
+                    for t in np.unique(taus[:, g]):
+                        if t >= 0:
+                            hit = np.flatnonzero(taus[:, g] == t)
+                            probes = values[hit, g][:, None] ^ masks[t]
+                            fetched(g, probes.ravel(), np.repeat(hit, len(masks[t])), own, out)
+                if out:
+                    found.append(spanning(*(np.concatenate([o[k] for o in out]) for k in range(2))))
+            if found:
+                a, b = spanning(*(np.concatenate([o[k] for o in found]) for k in range(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def neighbours(nodes: DataFrame, radius: int, parts: int = PARTS) -> DataFrame:
+    """``(a, b)``: links between the hashes of distinct texts ``(hash, fp, low, high)`` that connect whatever is
+    within ``radius`` and has a minimum in common.
+
+    Probes are looked up in mapped arrays of all nodes and not shuffled. A batch yields a spanning forest of its links.
+    """
+    spark = nodes.sparkSession
+    nodes = nodes.select(*NODE)
+    groups = bit_groups(nodes, parts)
+    width = 64 // parts
+    shift = width - (SHELVES.bit_length() - 1)
+    counts = np.zeros((parts, 1 << width), np.int64)
+    found = nodes.select("fp").mapInArrow(_values(groups), "part long, value long").groupBy("part", "value").count().toPandas()
+    counts[found["part"].to_numpy(np.int64), found["value"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
+    folder = new_folder(spark, "simhash-shelves")
+    columns = ", ".join(f"{n} long" for n in ("shelf", "value", *NODE))
+    rows = nodes.mapInArrow(_shelf_of(groups, shift), columns).repartition(parts * SHELVES, "shelf")
+    rows.mapInArrow(_shelve(folder), "shelf long").count()
+    shared = spark.sparkContext.broadcast(ball_counts(counts, radius))
+    spread = nodes.repartition(max(48, int(spark.conf.get("spark.sql.shuffle.partitions"))), "hash")
+    return spread.mapInArrow(_near(groups, shared, folder, radius), "a long, b long")
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("__text").cast(pa.large_binary())
+            found = [shingles(t.as_py() or b"", shingle).tobytes() for t in texts]
+            rest = [c for c in batch.schema.names if c != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.binary())], [*rest, "set"])
+
+    return run
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the sets whose Jaccard similarity is at least ``similarity``."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(words), np.int64)
+    left, out = np.arange(len(sets)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            # sets of other sizes can't be similar enough
+            fits = left[(sizes[left] >= similarity * sizes[x] - 1e-9) & (similarity * sizes[left] <= sizes[x] + 1e-9)]
+            if not len(fits):
+                continue
+            mine = flat[starts[x] : starts[x] + sizes[x]]
+            mark[mine] = 1
+            n = sizes[fits]
+            cut = np.cumsum(n) - n
+            both = np.add.reduceat(mark[flat[np.repeat(starts[fits] - cut, n) + np.arange(n.sum())]], cut)
+            mark[mine] = 0
+            hit = fits[both >= similarity * (sizes[x] + n - both) - 1e-9]
+            out += [(x, int(y)) for y in hit]
+            front += hit.tolist()
+            left = np.setdiff1d(left, hit, assume_unique=True)
+    return out
+
+
+def similar(docs: DataFrame, prints: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links between the hashes of distinct texts that connect those of at least the wanted similarity,
+    as far as ``neighbours``, or chains of them, lead from one to the other."""
+    nodes = saved(prints.select(*NODE).dropDuplicates(["hash"]), "simhash-nodes")
+    loose = saved(rooted(neighbours(nodes, radius)), "simhash-loose")
+    ends = loose.select(F.col("root").alias("hash")).distinct().withColumn("root", F.col("hash"))
+    in_group = saved(loose.select(F.col("node").alias("hash"), "root").unionByName(ends), "simhash-grouped")
+    sizes = in_group.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / SETS).cast("long"))
+    wanted = saved(in_group.join(sizes, "root").select("hash", "root", "blocks"), "simhash-wanted")
+    rows = docs.select(F.xxhash64(text_of()).alias("hash"), F.col("text").alias("__text")).join(_slim(wanted), "hash")
+    sets = rows.mapInArrow(_sets(shingle), "hash long, root long, blocks long, set binary").groupBy("hash", "root", "blocks").agg(F.first("set").alias("set"))
+    own = F.pmod(F.xxhash64("hash"), F.col("blocks"))
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hash", "set")
+
+    def forest_of(table: pa.Table) -> pa.Table:
+        hashes = table.column("hash").to_numpy()
+        edges = set_forest([np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], similarity)
+        a, b = (np.array([hashes[e[k]] for e in edges], np.int64) for k in range(2))
+        return pa.table({"a": a, "b": b})
+
+    return dealt.groupBy("root", "low", "high").applyInArrow(forest_of, "a long, b long")
+
+
+def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per input row; the component's id is the smallest id reachable.
 
-    Texts are read whole. Texts without words, null ones included, have fingerprint 0 and are linked like others.
-    A null id never becomes a component's id unless the component has no other; repeated ids and texts are rows like
-    any other. An empty table gives an empty result; other columns are ignored.
+    Texts are linked within ``radius`` bits; with ``similarity``, where their sets of shingles have that Jaccard
+    similarity, and the radius only bounds the search. Texts are read whole. Texts without words, null ones included,
+    have fingerprint 0 and are linked like others. A null id never becomes a component's id unless the component has
+    no other; repeated ids and texts are rows like any other. An empty table gives an empty result; other columns are
+    ignored.
     """
-    prints = saved(fingerprints(docs), "simhash-prints")
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    roots = saved(rooted(links(distinct, radius)), "simhash-roots")
-    ends = roots.select(F.col("root").alias("fp")).distinct().withColumn("root", F.col("fp"))
-    member = roots.select(F.col("node").alias("fp"), "root").unionByName(ends.select("fp", "root"))
-    named = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("another width of shingles needs a similarity")
+    prints = saved(fingerprints(docs) if similarity is None else sketches(docs, shingle), "simhash-prints")
+    key = "fp" if similarity is None else "hash"
+    distinct = saved(prints.groupBy(key).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    found = links(distinct, radius) if similarity is None else similar(docs, prints, radius, shingle, similarity)
+    roots = saved(rooted(found), "simhash-roots")
+    ends = roots.select(F.col("root").alias(key)).distinct().withColumn("root", F.col(key))
+    member = roots.select(F.col("node").alias(key), "root").unionByName(ends.select(key, "root"))
+    named = distinct.join(member, key, "left").withColumn("root", F.coalesce("root", key))
     named = saved(named, "simhash-named")
     per = saved(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size")), "simhash-components")
-    table = looked_up(named, per, ["root"], "size", distinct.count()).where("n > 1 or size > 1").select("fp", "n", "component_id", "first")
+    table = looked_up(named, per, ["root"], "size", distinct.count()).where("n > 1 or size > 1").select(key, "n", "component_id", "first")
     table = saved(table, "simhash-table")
-    found = looked_up(prints, table, ["fp"], "n", prints.count())
+    found = looked_up(prints, table, [key], "n", prints.count())
     mine = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "fp", mine.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component, the one with its id; all columns kept.
 
     Of several rows with that id, the first by its contents stays; rows without an id stay as they are.
     """
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
-    found = components(docs, radius)
+    found = components(docs, radius, shingle, similarity)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     dropped, again = _slim(saved(dropped, "simhash-dropped")), _slim(saved(again.select("__id"), "simhash-again"))

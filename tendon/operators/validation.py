@@ -39,9 +39,9 @@ def metadata(episodes: DataFrame) -> DataFrame:
 
 def values(steps: DataFrame, episodes: DataFrame) -> DataFrame:
     """Rules on arrays: lengths, widths, numbers, unit quaternions, gripper values; one aggregation by episode and key."""
-    q = F.slice("vals", 4, 4)
     bad = F.exists("vals", lambda v: ~finite(v))
-    off = (c("key") == "cartesian_position") & (F.size("vals") % 7 == 0) & (F.abs(norm(q) - 1) > 1e-2)
+    arms = F.sequence(F.lit(4), F.greatest(F.size("vals"), F.lit(4)), F.lit(7))  # where each arm's quaternion begins
+    off = (c("key") == "cartesian_position") & (F.size("vals") % 7 == 0) & F.exists(arms, lambda at: F.abs(norm(F.slice("vals", at, 4)) - 1) > 1e-2)
     per = steps.groupBy("episode_id", "grp", "key").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("vals")).alias("width"), F.min(F.when(bad, c("t"))).alias("first_bad"), F.count_if(off).alias("n_off"),
         F.count_if((c("key") == "gripper_binary") & F.exists("vals", lambda v: ~v.isin(0.0, 1.0))).alias("n_grip"),

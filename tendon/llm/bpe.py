@@ -1,13 +1,14 @@
 """Byte-level BPE over a corpus by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens; each distinct pre-token of the corpus is sent once per task to the shard of its hash,
-encoded there once, and kept with its ids in sorted hash arrays (a dictionary that grows with the corpus, in shards).
-Then each block of texts is cut again, its pre-tokens become positions into the block's distinct ones, these are
-looked up together in the mapped dictionary, and ids are laid out by position. Positions and texts are never
-shuffled. Every pre-token looked up is in the dictionary, so a hash that two of them share is seen when the shard is
-written; such pre-tokens are marked and encoded on the spot, which keeps results exact.
-
-Decoding joins the ids with the table of token bytes.
+1. Texts are cut into pre-tokens, block by block. A block keeps its distinct words, and for every text the places of
+   its pre-tokens among them, in order; both are saved once, so that a lost executor can't change a block.
+2. The blocks' words go to the shards of their hashes. A shard encodes each distinct word of the corpus once, and
+   sends the ids back to every block that has the word.
+3. Ids join the texts of their block, and each text's ids are laid out by position. Decoding joins the ids with the
+   table of token bytes.
+
+A word goes through a shuffle once per block and not once per occurrence, so frequent words are no hot keys; positions
+travel as numbers of a byte or two. Words are told apart by their bytes; hashes only choose shards.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,36 +24,49 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendon.llm.shared import new_folder
-from tendon.llm.sorted_arrays import Mapped, dealt, shard_bits, write_column
+from tendon.llm.shared import saved
+from tendon.llm.sorted_arrays import shard_bits
 from tendon.llm.words import chunks
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-GATHER = 400_000
-#: Pieces of texts whose ids a task remembers from block to block; it starts anew beyond.
-REMEMBERED = 300_000
-#: Bytes of texts that are encoded together.
-BLOCK = 1 << 21
+#: Bytes of texts that make up a block, or one longer text.
+BLOCK = 6 << 20
+#: Ids that are laid out before their rows are handed on.
+HANDED = 1 << 19
+#: Shards per shuffle partition; a task holds the words of one shard at a time.
+SHARDS = 2
 _CUT = regex.compile(public_tokenizers.PATTERN)
 #: A space next to white space or to an end of the text: there, spaces alone don't bound pre-tokens.
 _LOOSE = regex.compile(r"\A | \s|\s | \Z")
+#: In the order of rows of a block, texts come after all shards of words.
+_TEXT = 1 << 40
+
+
+def _ranks(ranks: str) -> dict[bytes, int]:
+    with open(ranks, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
 @lru_cache(maxsize=4)
 def encoding(ranks: str) -> tiktoken.Encoding:
-    with open(ranks, "rb") as lines:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(ranks), special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def merges(ranks: str) -> tiktoken.Encoding:
+    """Encodes whatever it is given as one piece."""
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=_ranks(ranks), special_tokens={})
 
 
 @lru_cache(maxsize=4)
 def token_bytes(ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all tokens one after another, where each token's begin, and how many it has."""
-    with open(ranks, "rb") as lines:
-        table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    table = {i: raw for raw, i in _ranks(ranks).items()}
     sizes = np.zeros(max(table) + 1, np.int64)
     sizes[list(table)] = [len(x) for x in table.values()]
     return np.frombuffer(b"".join(table[i] for i in sorted(table)), np.uint8), np.cumsum(sizes) - sizes, sizes
@@ -91,173 +105,182 @@ class _Codes(dict):
         return len(self) - 1
 
 
-WORDS = "shard long, h long, word binary"
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 as planes of bytes, compressed; planes of zeros cost nothing."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _distinct(bits: int):
+def _numbers(planes: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(planes), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _list_planes(starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> list[bytes]:
+    pack = zstandard.ZstdCompressor(1)
+    numbers = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [pack.compress(numbers[a:b].T.tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _cut(bits: int):
+    """Rows of words, ``(block, shard, sizes, words)``, and rows of texts, ``(block, id, places)``."""
+
+    def block_of(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        pieces, codes, counts = _Codes(), [], []
+        for text in part.column("__text").to_pylist():
+            own = pieces_of(text) if text else []
+            codes.append(np.fromiter(map(pieces.__getitem__, own), np.int64, len(own)))
+            counts.append(len(own))
+        words = _Codes()
+        inner = [[words[w] for w in pre_tokens(p)] for p in pieces]
+        many = np.fromiter(map(len, inner), np.int64, len(inner))
+        flat = np.fromiter(chain.from_iterable(inner), np.int64, int(many.sum()))
+        raw = [w.encode() for w in words]
+        del inner, pieces, words
+        shard = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) >> np.uint64(64 - bits)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(raw), np.int64)
+        place[order] = np.arange(len(raw))
+        names, first = np.unique(shard[order], return_index=True)
+        runs = np.split(order, first[1:]) if len(raw) else []
+        sizes = [_planes(np.fromiter((len(raw[i]) for i in run), np.int64, len(run))) for run in runs]
+        data = [zstandard.compress(b"".join([raw[i] for i in run]), 1) for run in runs]
+        del raw
+        n = len(runs)
+        ids = part.column("__id")
+        none = pa.nulls(n, ids.type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block] * n, pa.int64()), pa.array(names.astype(np.int64)), pa.array(sizes, pa.binary()), pa.array(data, pa.binary()), none, pa.nulls(n, pa.binary())],
+            ["block", "shard", "sizes", "words", "__id", "places"],
+        )
+        start, flat = np.cumsum(many) - many, place[flat]
+        for lo in range(0, len(codes), 512):
+            code = np.concatenate(codes[lo : lo + 512])
+            ends = np.concatenate([[0], np.cumsum(many[code])])[np.cumsum(counts[lo : lo + 512])]
+            starts = np.concatenate([[0], ends[:-1]])
+            places = _list_planes(starts, ends, flat[ragged(start[code], many[code])])
+            k = len(places)
+            empty = pa.nulls(k, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * k, pa.int64()), pa.array([_TEXT] * k, pa.int64()), empty, empty, ids.slice(lo, k), pa.array(places, pa.binary())],
+                ["block", "shard", "sizes", "words", "__id", "places"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(pieces: set[str]) -> Iterator[pa.RecordBatch]:
-            words = set()
-            for piece in pieces:
-                words.update(pre_tokens(piece))
-            raw = [w.encode() for w in words]
-            for at in range(0, len(raw), 50_000):
-                part = raw[at : at + 50_000]
-                h = np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part))
-                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(part, pa.binary())], ["shard", "h", "word"])
-
-        held: set[str] = set()
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(pieces_of(text))
-                if len(held) > GATHER:
-                    yield from send(held)
-                    held = set()
-        yield from send(held)
+            for part in chunks(batch, "__text", BLOCK):
+                more = part.column("__text").nbytes
+                if held and size + more > BLOCK:
+                    yield from block_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
+                    block, held, size = block + 1, [], 0
+                held.append(part)
+                size += more
+        if held:
+            yield from block_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
 
     return run
 
 
-def _encoded_shards(folder: str, ranks: str):
+class _Ids(dict):
+    """Ids of the words of a shard, each encoded once."""
+
+    def __init__(self, ranks: str):
+        self.encode = merges(ranks).encode_ordinary
+
+    def __missing__(self, raw: bytes) -> list[int]:
+        ids = self[raw] = self.encode(raw.decode())
+        return ids
+
+
+def _encode_words(ranks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
-
-        def done() -> tuple[int, int]:
-            piece = encoding(ranks)._encode_single_piece
-            keys = np.fromiter(held, np.uint64, len(held))
-            keys.sort()
-            ids = [piece(held[k]) if held[k] is not None else [] for k in keys.tolist()]
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            sizes[[i for i, k in enumerate(keys.tolist()) if held[k] is None]] = -1
-            write_column(folder, "key", now, keys)
-            write_column(folder, "size", now, sizes)
-            write_column(folder, "start", now, np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0))
-            write_column(folder, "ids", now, np.fromiter((x for i in ids for x in i), np.uint32))
-            return now, len(keys)
-
-        out = []
+        now, known = None, None
         for batch in batches:
-            for shard, h, word in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64).tolist(), batch.column(2).to_pylist()):
+            counts, flat = [], []
+            for shard, sizes, words in zip(batch.column("shard").to_pylist(), batch.column("sizes").to_pylist(), batch.column("words").to_pylist()):
                 if shard != now:
-                    if now is not None:
-                        out.append(done())
-                    now, held = shard, {}
-                if held.setdefault(h, word) != word:
-                    held[h] = None
-        if now is not None:
-            out.append(done())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["shard", "n"])
+                    now, known = shard, _Ids(ranks)
+                ends = np.cumsum(_numbers(sizes)).tolist()
+                data = zstandard.decompress(words)
+                ids = [known[data[a:b]] for a, b in zip([0, *ends], ends)]
+                counts.append(_planes(np.fromiter(map(len, ids), np.int64, len(ids))))
+                flat.append(_planes(np.fromiter(chain.from_iterable(ids), np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("shard"), pa.array(counts, pa.binary()), pa.array(flat, pa.binary())], ["block", "shard", "sizes", "ids"]
+            )
 
     return run
 
 
-def dictionary(docs: DataFrame, ranks: str = RANKS, partitions: int | None = None) -> Mapped:
-    """The ids of every distinct pre-token of the texts, each encoded once."""
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = shard_bits(partitions)
-    at = new_folder(spark, "bpe")
-    words = docs.where("text is not null").select("text").mapInArrow(_distinct(bits), WORDS)
-    done = dealt(words, partitions).mapInArrow(_encoded_shards(at, ranks), "shard long, n long").collect()
-    sizes = [0] * (1 << bits)
-    for r in done:
-        sizes[r["shard"]] = r["n"]
-    return Mapped(at, sizes)
-
-
-def _ids_of(words: list[str], table: Mapped, ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of distinct words: all ids, where each word's begin, and how many it has."""
-    raw = [w.encode() for w in words]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
-    order = np.argsort(h)
-    place = table.positions(h[order])
-    if len(place) and place.min() < 0:
-        raise KeyError("a pre-token is not in the dictionary; it was made from other texts")
-    flat, starts, sizes, base = [], np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64), 0
-    for i, lo, hi in table._cuts(place, table.before[:-1]):
-        own, mine = place[lo:hi] - table.before[i], order[lo:hi]
-        n = np.asarray(table.shard("size", i)[own], np.int64)
-        ids = table.shard("ids", i)[ragged(table.shard("start", i)[own], np.maximum(n, 0))]
-        for k in np.flatnonzero(n < 0):  # hashes that several words share
-            at = int(np.maximum(n[:k], 0).sum())
-            again = encoding(ranks)._encode_single_piece(raw[mine[k]])
-            ids, n[k] = np.concatenate([ids[:at], np.array(again, ids.dtype), ids[at:]]), len(again)
-        flat.append(ids)
-        starts[mine], sizes[mine] = base + np.cumsum(n) - n, n
-        base += len(ids)
-    return (np.concatenate(flat) if flat else np.empty(0, np.uint32)), starts, sizes
-
-
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Byte strings that end at these bytes of the data."""
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-class _Ids:
-    """Ids of pieces seen so far: piece k has ``size[k]`` of the flat ids from ``start[k]`` on."""
-
-    def __init__(self):
-        self.codes, self.flat = _Codes(), np.empty(0, np.uint32)
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+def _laid_out(ranks: str, decode: bool):
+    """Rows of a block, ids of its words before its texts, to the ids of its texts."""
 
-    def fill(self, table: Mapped, ranks: str) -> None:
-        """Look up the pre-tokens of the pieces that came since the last call."""
-        words = _Codes()
-        inner = [[words[w] for w in pre_tokens(p)] for p in islice(self.codes, len(self.start), None)]
-        flat, start, size = _ids_of(list(words), table, ranks)
-        many = np.fromiter(map(len, inner), np.int64, len(inner))
-        word = np.fromiter(chain.from_iterable(inner), np.int64, int(many.sum()))
-        ends = np.concatenate([[0], np.cumsum(size[word])])
-        piece_ends = np.cumsum(many)
-        first, last = ends[piece_ends - many], ends[piece_ends]
-        self.start = np.concatenate([self.start, first + len(self.flat)])
-        self.size = np.concatenate([self.size, last - first])
-        self.flat = np.concatenate([self.flat, flat[ragged(start[word], size[word])]])
-
-
-def _encode(table: Mapped, ranks: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids()
+        block, parts = None, []
+        size = start = flat = None
         for batch in batches:
-            for part in chunks(batch, "__text", BLOCK):
-                if len(known.codes) > REMEMBERED:
-                    known = _Ids()
-                codes, counts = [], []
-                for text in part.column("__text").to_pylist():
-                    own = pieces_of(text) if text else []
-                    codes.append(np.fromiter(map(known.codes.__getitem__, own), np.int64, len(own)))
-                    counts.append(len(own))
-                known.fill(table, ranks)
-                code = np.concatenate(codes) if codes else np.empty(0, np.int64)
-                n = known.size[code]
-                ids = known.flat[ragged(known.start[code], n)].astype("<u4")
-                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
-                n_tokens = np.diff(np.concatenate([[0], ends]))
-                rest = [c for c in part.schema.names if c != "__text"]
-                columns = [*(part.column(c) for c in rest), pa.array(n_tokens), _binary(ids, 4 * ends)]
-                if decode:
-                    data, starts, sizes = token_bytes(ranks)
-                    at = np.concatenate([[0], np.cumsum(sizes[ids])])
-                    columns.append(_binary(data[ragged(starts[ids], sizes[ids])], at[ends]))
-                yield pa.RecordBatch.from_arrays(columns, [*rest, "n_tokens", "ids", "decoded"][: len(columns)])
+            of, shard = batch.column("block").to_numpy(), batch.column("shard").to_numpy()
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | ((shard[1:] == _TEXT) != (shard[:-1] == _TEXT))) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+                if lo == hi:
+                    continue
+                if of[lo] != block:
+                    block, parts, flat = of[lo], [], None
+                if shard[lo] != _TEXT:
+                    parts += [(_numbers(s), _numbers(i)) for s, i in zip(batch.column("sizes")[lo:hi].to_pylist(), batch.column("ids")[lo:hi].to_pylist())]
+                    continue
+                if flat is None:
+                    size = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)])
+                    flat = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)]).astype("<u4")
+                    start, parts = np.cumsum(size) - size, []
+                ids, ends, first, n = [], [], lo, 0
+                for at in range(lo, hi):
+                    word = _numbers(batch.column("places")[at].as_py())
+                    ids.append(flat[ragged(start[word], size[word])])
+                    n += len(ids[-1])
+                    ends.append(n)
+                    if n > HANDED or at + 1 == hi:
+                        yield out_of(batch.column("__id").slice(first, at + 1 - first), np.concatenate(ids), np.array(ends))
+                        ids, ends, first, n = [], [], at + 1, 0
+
+    def out_of(own: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        columns = [own, pa.array(np.diff(np.concatenate([[0], ends]))), _binary(ids, 4 * ends)]
+        if decode:
+            data, starts, sizes = token_bytes(ranks)
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])
+            columns.append(_binary(data[ragged(starts[ids], sizes[ids])], at[ends]))
+        return pa.RecordBatch.from_arrays(columns, ["__id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encoded(docs: DataFrame, table: Mapped | None = None, ranks: str = RANKS, id_col: str = "doc_id", decode: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", decode: bool = False) -> DataFrame:
     """``(id, n_tokens, ids)`` of every row's whole text; ``ids`` is little-endian unsigned 32-bit integers.
 
-    With ``decode``, also ``decoded``, the bytes of the ids, joined from the token table where the ids are made.
+    With ``decode``, also ``decoded``, the bytes of the ids, joined from the token table where the ids are laid out.
 
     A null or empty text has no ids. Null and repeated ids are rows like any other; other columns are ignored; an
-    empty table gives an empty result. ``table`` must come from texts that include these.
+    empty table gives an empty result.
     """
-    table = dictionary(docs, ranks) if table is None else table
-    rows = docs.select(F.col(id_col), F.col("text").alias("__text"))
-    fields = f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary" + ", decoded binary" * decode
-    return rows.mapInArrow(_encode(table, ranks, decode), fields)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col("text").alias("__text"))
+    kind = rows.schema["__id"].dataType.simpleString()
+    fields = f"block long, shard long, sizes binary, words binary, __id {kind}, places binary"
+    cut = saved(rows.mapInArrow(_cut(shard_bits(SHARDS * partitions)), fields), "bpe-blocks")
+    words = cut.where(F.col("shard") < _TEXT).select("block", "shard", "sizes", "words")
+    words = words.repartition(partitions, "shard").sortWithinPartitions("shard")
+    ids = words.mapInArrow(_encode_words(ranks), "block long, shard long, sizes binary, ids binary")
+    texts = cut.where(F.col("shard") == _TEXT).select("block", "shard", "__id", "places")
+    every = ids.unionByName(texts, allowMissingColumns=True)
+    every = every.repartition(partitions, "block").sortWithinPartitions("block", "shard")
+    out = every.mapInArrow(_laid_out(ranks, decode), f"__id {kind}, n_tokens long, ids binary" + ", decoded binary" * decode)
+    return out.withColumnRenamed("__id", id_col)
 
 
 def _decode(ranks: str):

@@ -1,7 +1,9 @@
-import hashlib
 import random
+from types import SimpleNamespace
 
-import pytest
+import public_tokenizers
+import pyarrow as pa
+import regex
 
 from tendon.llm import bpe
 
@@ -26,35 +28,46 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark, docs_of, prose):
     assert at_once == got
 
 
-def test_shared_hashes_stay_exact(spark, docs_of, monkeypatch):
-    import numpy as np
+def merged(word, ranks):
+    """The plain merge loop: of all neighbours, the pair with the lowest rank becomes one, the leftmost of equal ones first."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 40:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
 
-    rows = [(1, b"ab"), (1, b"cd"), (2, b"the")]
-    import pyarrow as pa
 
-    from tendon.llm.shared import new_folder
-    from tendon.llm.sorted_arrays import Mapped
-
-    at = new_folder(spark, "bpe-test")
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3), pa.array(np.array([h for h, _ in rows])), pa.array([w for _, w in rows], pa.binary())], ["shard", "h", "word"])
-    list(bpe._encoded_shards(at, bpe.RANKS)(iter([batch])))
-    monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", lambda w: {b"ab": 1, b"cd": 1, b"the": 2}[w])
-    flat, start, size = bpe._ids_of(["the", "cd"], Mapped(at, [2, 0]), bpe.RANKS)
-    piece = bpe.encoding(bpe.RANKS)._encode_single_piece
-    assert [flat[s : s + n].tolist() for s, n in zip(start, size)] == [piece(b"the"), piece(b"cd")]
+def test_ids_equal_plain_merges(spark, docs_of, prose):
+    ranks = bpe._ranks(bpe.RANKS)
+    texts = [t for t in ODD if not t or len(t) < 1000] + [prose(n, n) for n in (1, 30, 300)] + ["zqx" * 40]
+    got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encoded(docs_of(texts)).collect()}
+    for i, text in enumerate(texts):
+        want = [x for w in regex.findall(public_tokenizers.PATTERN, text or "") for x in merged(w.encode(), ranks)]
+        assert got[i] == b"".join(x.to_bytes(4, "little") for x in want), text
+
+
+def test_blocks_of_any_size_and_hashes_that_words_share(spark, docs_of, prose, monkeypatch):
+    texts = ODD + [prose(40, i) for i in range(60)] + [prose(3_000, 1)] + [None] * 5
+    want = {r["doc_id"]: r for r in bpe.encoded(docs_of(texts), decode=True).collect()}
+    for name, value in (("BLOCK", 1), ("BLOCK", 3_000), ("HANDED", 5), ("SHARDS", 64)):
+        with monkeypatch.context() as m:
+            m.setattr(bpe, name, value)
+            assert {r["doc_id"]: r for r in bpe.encoded(docs_of(texts), decode=True).collect()} == want, name
+    monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", lambda w: 7)  # all words in one shard, by one hash
+    monkeypatch.setattr(bpe.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["__id", "__text"])
+    cut = list(bpe._cut(4)(iter([table])))
+    ids = list(bpe._encode_words(bpe.RANKS)(b.select(["block", "shard", "sizes", "words"]) for b in cut if b.column("words").null_count == 0))
+    rows = [(b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary())) for b in ids]
+    rows += [(b.column(0), b.column(1), b.column(2), b.column(2), b.column(4), b.column(5)) for b in cut if b.column("words").null_count]
+    every = [pa.RecordBatch.from_arrays(list(r), ["block", "shard", "sizes", "ids", "__id", "places"]) for r in rows]
+    got = {r["__id"]: r["ids"] for b in bpe._laid_out(bpe.RANKS, False)(iter(every)) for r in b.to_pylist()}
+    assert got == {i: bytes(r["ids"]) for i, r in want.items()}
 
 
 def test_empty_and_repeated(spark, docs_of):
     assert bpe.encoded(docs_of([])).collect() == []
     rows = bpe.encoded(docs_of(["x y", "x y", None], [None, 3, 3])).collect()
     assert sorted(r["n_tokens"] for r in rows) == [0, 2, 2]
-
-
-def test_foreign_text_is_refused(spark, docs_of):
-    table = bpe.dictionary(docs_of(["one two"]))
-    with pytest.raises(Exception, match="not in the dictionary"):
-        bpe.encoded(docs_of(["three"]), table).collect()
-
-
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -341,24 +341,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Data
     return rows.mapInArrow(_links(radius), "a long, b long")
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the smallest node of each component of the links ``a[i] - b[i]`` to its others."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        x, y = root[i], root[j]
-        open_ = x != y
-        if not open_.any():
-            break
-        i, j, x, y = i[open_], j[open_], x[open_], y[open_]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-    other = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[root[other]], nodes[other]
-
-
 NODE = ("fp", "low", "high", "hash")
 
 
@@ -390,6 +372,28 @@ def _shelve(folder: str):
     return run
 
 
+def _share_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of nodes have one of the eight minima in common."""
+    return (np.ascontiguousarray(a[:, 1:3]).view(np.uint16) == np.ascontiguousarray(b[:, 1:3]).view(np.uint16)).any(axis=1)
+
+
+def leaders(nodes: np.ndarray, radius: int) -> np.ndarray:
+    """Of nodes by rising hash, the hashes of those that no leader before them is linked to.
+
+    A node that is linked to smaller ones needs links to their leaders alone: what is linked to a leader finds that link
+    itself. So a group of near copies yields a few links per node, whatever its size.
+    """
+    out = []
+    while len(nodes):
+        out.append(nodes[0, 3])
+        near = np.bitwise_count((nodes[:, 0] ^ nodes[0, 0]).view(np.uint64)) <= radius
+        near &= _share_minimum(nodes, np.broadcast_to(nodes[0], nodes.shape))
+        near[0] = True
+        near |= nodes[:, 3] == nodes[0, 3]
+        nodes = nodes[~near]
+    return np.array(out, np.int64)
+
+
 def _near(groups: list[list[int]], shared, folder: str, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = shared.value
@@ -402,7 +406,7 @@ def _near(groups: list[list[int]], shared, folder: str, radius: int):
         held: dict[int, np.ndarray] = {}
 
         def fetched(g: int, value: np.ndarray, whose: np.ndarray, own: np.ndarray, out: list) -> None:
-            """Links of the nodes ``own[whose]`` to the nodes with these values in partition g."""
+            """Places of nodes of ``own``, and the nodes with a smaller hash and these values in partition g that they are linked to."""
             n = sizes[g][value]
             some = n > 0
             value, whose, n = value[some], whose[some], n[some]
@@ -414,14 +418,14 @@ def _near(groups: list[list[int]], shared, folder: str, radius: int):
                 at = np.repeat(starts[g][value[mine]] - np.cumsum(m) + m, m) + np.arange(m.sum())
                 a = np.repeat(whose[mine], m)
                 hit = np.flatnonzero(np.bitwise_count((own[a, 0] ^ held[key][:, 0][at]).view(np.uint64)) <= radius)
-                a, b = own[a[hit]], np.asarray(held[key][at[hit]])
-                alike = (a[:, 3] != b[:, 3]) & (np.ascontiguousarray(a[:, 1:3]).view(np.uint16) == np.ascontiguousarray(b[:, 1:3]).view(np.uint16)).any(axis=1)
-                if alike.any():
-                    out.append((a[alike, 3], b[alike, 3]))
+                a, b = a[hit], np.asarray(held[key][at[hit]])
+                hit = np.flatnonzero((b[:, 3] < own[a, 3]) & _share_minimum(own[a], b))
+                if len(hit):
+                    out.append((a[hit], b[hit]))
 
         for batch in batches:
-            found = []
             every = np.stack([batch.column(n).to_numpy() for n in NODE], axis=1)
+            links = []
             for lo in range(0, len(every), 128):
                 own, out = every[lo : lo + 128], []
                 values = part_values(np.ascontiguousarray(own[:, 0]).view(np.uint64), groups)
@@ -433,10 +437,14 @@ def _near(groups: list[list[int]], shared, folder: str, radius: int):
                             probes = values[hit, g][:, None] ^ masks[t]
                             fetched(g, probes.ravel(), np.repeat(hit, len(masks[t])), own, out)
                 if out:
-                    found.append(spanning(*(np.concatenate([o[k] for o in out]) for k in range(2))))
-            if found:
-                a, b = spanning(*(np.concatenate([o[k] for o in found]) for k in range(2)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a, b = (np.concatenate([o[k] for o in out]) for k in range(2))
+                    order = np.lexsort((b[:, 3], a))
+                    a, b = a[order], b[order]
+                    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+                        links.append((own[a[part[0]], 3], leaders(b[part], radius)))
+            if links:
+                a = np.repeat(np.array([x for x, _ in links], np.int64), [len(y) for _, y in links])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([y for _, y in links]))], ["a", "b"])
 
     return run
 
@@ -445,7 +453,8 @@ def neighbours(nodes: DataFrame, radius: int, parts: int = PARTS) -> DataFrame:
     """``(a, b)``: links between the hashes of distinct texts ``(hash, fp, low, high)`` that connect whatever is
     within ``radius`` and has a minimum in common.
 
-    Probes are looked up in mapped arrays of all nodes and not shuffled. A batch yields a spanning forest of its links.
+    Probes are looked up in mapped arrays of all nodes and not shuffled. A node yields links to the leaders of the
+    smaller nodes it is linked to.
     """
     spark = nodes.sparkSession
     nodes = nodes.select(*NODE)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendon.llm.words import SAME, Words, chunks, mix, words_of
+from tendon.llm.words import Words, chunks, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
 
@@ -62,12 +62,15 @@ def measure(w: Words) -> dict[str, np.ndarray]:
     inside[w.starts] += 1
     np.add.at(inside, w.ends, -1)
     inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    key = w.hashes(SAME)
+    key = w.codes()
     repeat = np.zeros(len(key), bool)
     if len(key) > 2:
         doc = w.text_ids()
         at = np.flatnonzero(doc[:-2] == doc[2:])
-        window = mix(mix(mix(key[at] ^ doc[at].astype(np.uint64)) + key[at + 1]) + key[at + 2])
+        top = int(key.max()) + 1
+        window = doc[at]
+        for k in range(3):  # numbers of the windows, exact: each step numbers pairs of numbers anew
+            window = np.unique(window * top + key[at + k], return_inverse=True)[1]
         order = np.argsort(window)
         same = np.diff(window[order]) == 0
         again = np.zeros(len(at), bool)

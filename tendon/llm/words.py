@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -18,24 +19,12 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: Bytes hashed at a time, and code bytes of texts handled at a time.
-BLOCK = 1 << 19
+#: Bytes of texts handled at a time.
 CHUNK = 1 << 22
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_BASE = (int(_rng.integers(1, 2**60)) * 8 + 3) % 2**64
-_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK + 1), np.uint64(base))
-        have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
-    return have
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,21 +60,48 @@ class Words:
         return np.diff(total[self.offsets])
 
     def hashes(self, table: np.ndarray = LOWER) -> np.ndarray:
-        """64-bit hashes of the words, after ``table`` is applied to each byte."""
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            s = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, s + BLOCK, "right")))
-            part = _BYTE[table[self.data[s : self.ends[j - 1]]]]
-            n = len(part)
-            part *= _powers(_BASE, n + 1)[:n]
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(part, out=total[1:])
-            a, b = self.starts[i:j] - s, self.ends[i:j] - s
-            out[i:j] = (total[b] - total[a]) * _powers(_INVERSE, n + 1)[a]
-            i = j
-        return mix(out)
+        """64-bit hashes of the words, after ``table`` is applied to each byte.
+
+        Eight bytes at a time go through a bijection; words of up to eight bytes and one length never share a hash.
+        """
+        sizes = self.ends - self.starts
+        padded = np.concatenate([table[self.data], np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        out = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(sizes <= LONG)
+        done = 0
+        while len(at):
+            part = eight[self.starts[at] + done] & _KEEP[np.minimum(sizes[at] - done, 8)]
+            out[at] = mix(out[at] ^ mix(part + np.uint64(done)))
+            done += 8
+            at = at[sizes[at] > done]
+        for i in np.flatnonzero(sizes > LONG):
+            out[i] = xxhash.xxh64_intdigest(padded[self.starts[i] : self.ends[i]].tobytes())
+        return out
+
+    def codes(self, table: np.ndarray = SAME) -> np.ndarray:
+        """Numbers of the words, equal for equal words alone: words that share a hash are compared by their bytes."""
+        key = self.hashes(table)
+        order = np.argsort(key, kind="stable")
+        same = np.diff(key[order]) == 0
+        code = np.empty(len(key), np.int64)
+        code[order] = np.concatenate([[0], np.cumsum(~same)]) if len(key) else []
+        one, two = order[:-1][same], order[1:][same]
+        sizes = self.ends - self.starts
+        unlike = sizes[one] != sizes[two]
+        for lo in range(0, len(one), 1 << 16):
+            a, b = one[lo : lo + (1 << 16)], two[lo : lo + (1 << 16)]
+            n = np.minimum(sizes[a], sizes[b])
+            ends = np.cumsum(n)
+            step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            left, right = np.repeat(self.starts[a], n) + step, np.repeat(self.starts[b], n) + step
+            unlike[lo : lo + len(a)] |= np.add.reduceat(table[self.data[left]] != table[self.data[right]], ends - n) > 0
+        if unlike.any():  # tell the words with these hashes apart one by one
+            known: dict[bytes, int] = {}
+            low = len(key)
+            for i in np.flatnonzero(np.isin(key, key[one[unlike]])):
+                code[i] = known.setdefault(table[self.data[self.starts[i] : self.ends[i]]].tobytes(), low + len(known))
+        return code
 
 
 def words_of(column: pa.Array) -> Words:

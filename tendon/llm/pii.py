@@ -3,28 +3,40 @@
 1. Base patterns give spans that are always kept where their checks hold.
 2. High-recall generators propose more spans, which may overlap: numbers and telephone numbers inside longer runs
    that a base pattern swallowed whole, spelt-out addresses, bounded dotted quads.
-3. Every span is described by small numbers (format and context). Counts of base matches by these numbers, over all
-   documents, are a table whose size is bounded by the product of their ranges; boosted trees are fitted on it, with
-   the outcome of the base checks as labels, and become one SQL expression.
-4. Per kind, the threshold is the lowest score at which the held-out fold has the wanted precision. Proposed spans
-   above it that touch no base span are added.
+3. Every span is described by small numbers (format and context). Counts of all spans by these numbers, over all
+   documents, are a table whose size is bounded by the product of their ranges. Boosted trees are fitted on it and
+   become one SQL expression. Nobody labelled spans; the weak label is a check that the features don't contain: the
+   check digit of a card (a number of another kind passes one time in ten), the range of the parts of an IP address,
+   the ending of an address, the structure of a telephone number. So the trees learn in which formats and contexts
+   spans are what they look like.
+4. Per kind, the threshold is the lowest score at which the held-out fold has the wanted share of sound spans. A
+   proposed span is added if its check holds, its score is above the threshold and it touches no base span.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendon.llm.shared import id_crc, saved, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 20
+ROUNDS = 40
 RATE = 0.3
-PRECISION = 0.98
-#: Words before a span that hint at personal data.
-CUES = r"(?i)(e-?mail|mail|contact|call|phone|tel|fax|mobile|whatsapp|card|visa|account|pay|ip|host|server|address)[^A-Za-z]*$"
+DEPTH = 3
+PRECISION = 0.9
+#: Spans whose lengths are summed together, so that places take no second look at all spans before.
+RUN = 128
+#: Words before a span that hint at each kind.
+CUES = {
+    "email": "e-?mail|mail|contact|write|reach",
+    "ip": "ip|host|server|address|node|ping",
+    "card": "card|visa|amex|mastercard|account|pay|paid|payment|charge|billing",
+    "phone": "call|phone|tel|telephone|fax|mobile|cell|whatsapp|ring",
+}
 
 # name -> (kind, generator is a base pattern, cheap test of the text, pattern). Possessive parts and the bounds before
 # them keep the leftmost matches of the plain patterns but need no second look at a run of characters.
@@ -33,21 +45,30 @@ GENERATORS: dict[str, tuple[str, bool, str, str]] = {
     "ip": ("ip", True, r"text rlike '[0-9]\\.[0-9]'", r"[0-9]++(?:\.[0-9]++){3}"),
     "card": ("card", True, "text rlike '[0-9](?:[ -]?[0-9]){15}'", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"),
     "phone": ("phone", True, "contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "spelt": ("email", False, r"text rlike '(?i)[\\[(] ?at ?[\\])]'", r"(?i)[a-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63})+"),
+    "spelt": ("email", False, r"text rlike '(?i)[\\[(] ?at ?[\\])]'", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}+)++"),
     "quad": ("ip", False, r"text rlike '[0-9]\\.[0-9]'", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])"),
     "number": ("card", False, "text rlike '[0-9](?:[ -]?[0-9]){12}'", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
     "call": ("phone", False, "contains(text, '+')", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
 }
 
+_LAST_WORD = r"(?i)([a-z-]+)[^a-z0-9]*$"
+
+
+def _cue_words() -> str:
+    kinds = " ".join(f"when x.cue rlike '^(?:{words})s?$' then '{kind}'" for kind, words in CUES.items())
+    return f"case {kinds} end"
+
+
 #: Features of a span: name -> (numbers of values, expression over the span x). Values are 0 up to that number.
 FEATURES: dict[str, tuple[int, str]] = {
     "kind_no": (4, "array_position(array('email', 'ip', 'card', 'phone'), x.kind) - 1"),
-    "sound": (2, "int(x.sound)"),
-    "digits": (6, "case when x.n_digits = 0 then 0 when x.n_digits < 8 then 1 when x.n_digits < 13 then 2 when x.n_digits < 16 then 3 when x.n_digits < 20 then 4 else 5 end"),
+    "digits": (5, "case when x.kind in ('email', 'phone') then 0 when x.n_digits < 8 then 1 when x.n_digits < 16 then 2 when x.n_digits < 17 then 3 else 4 end"),
     "breaks": (4, r"least(3, length(regexp_replace(x.found, '[^ ()-]', '')))"),
-    "left": (3, r"case when x.before = '' or x.before rlike '\\s$' then 0 when x.before rlike '[\\p{L}\\p{N}]$' then 2 else 1 end"),
-    "right": (3, r"case when x.after = '' or x.after rlike '^\\s' then 0 when x.after rlike '^[\\p{L}\\p{N}]' then 2 else 1 end"),
-    "cue": (2, f"int(x.before rlike '{CUES}')".replace("\\", "\\\\")),
+    "left": (4, r"case when x.before = '' or x.before rlike '\\n$' then 0 when x.before rlike '[0-9]\\s$' then 3 when x.before rlike '[\\p{L}\\p{N}]$' then 2 else 1 end"),
+    "right": (4, r"case when x.after = '' or x.after rlike '^\\n' then 0 when x.after rlike '^\\s[0-9]' then 3 when x.after rlike '^[\\p{L}\\p{N}]' then 2 else 1 end"),
+    "cue": (3, f"case coalesce({_cue_words()}, '') when x.kind then 2 when '' then 0 else 1 end"),
+    "lead": (3, "case when x.kind <> 'card' then 0 when left(x.d, 1) in ('3', '4', '5', '6') then 1 else 2 end"),
+    "source": (2, "int(x.base)"),
 }
 
 _LUHN = """aggregate(sequence(1, length(d)), 0, (a, i) -> a + case when i % 2 = 1 then int(substr(d, -i, 1))
@@ -65,6 +86,15 @@ def _sound(kind: str) -> str:
     return "true"
 
 
+def _likely(kind: str) -> str:
+    """The weak label of a found text: its check, and what else the features of its kind don't tell."""
+    if kind == "email":
+        return "found rlike '(?i)[.\\\\]) ][a-z]{2,12}$'"
+    if kind == "phone":
+        return f"{_sound(kind)} and found rlike {_quoted('^' + GENERATORS['call'][3] + '$')}"
+    return _sound(kind)
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -81,23 +111,31 @@ def candidates(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"p_{name}", F.expr(f"if(size(m_{name}) > 0, split(text, {q}, -1), array())"))
     every = []
     for name, (kind, base, _, _) in GENERATORS.items():
-        m, p = f"m_{name}", f"p_{name}"
-        start = f"aggregate(slice({p}, 1, i + 1), 0L, (a, y) -> a + length(y)) + aggregate(slice({m}, 1, i), 0L, (a, y) -> a + length(y))"
+        m, p, n, r = (f"{x}_{name}" for x in "mpnr")
+        rows = rows.withColumn(n, F.expr(f"transform({m}, (y, i) -> bigint(length(y) + length(get({p}, i))))"))
+        rows = rows.withColumn(r, F.expr(f"if(size({m}) > 0, transform(sequence(0, (size({m}) - 1) div {RUN}), b -> aggregate(slice({n}, int(b * {RUN} + 1), {RUN}), 0L, (a, y) -> a + y)), array())"))
+        start = (
+            f"aggregate(slice({r}, 1, int(i div {RUN})), 0L, (a, y) -> a + y) + aggregate(slice({n}, int(i div {RUN}) * {RUN} + 1, i % {RUN}), 0L, (a, y) -> a + y)"
+            f" + length(get({p}, i))"
+        )
         every.append(
             f"transform({m}, (found, i) -> named_struct('kind', '{kind}', 'base', {str(base).lower()}, 'start', {start}, 'found', found,"
-            f" 'before', right(get({p}, i), 24), 'after', left(get({p}, i + 1), 1), 'd', regexp_replace(found, '[^0-9]', '')))"
+            f" 'before', right(concat(coalesce(get({m}, i - 1), ''), get({p}, i)), 24), 'after', left(concat(get({p}, i + 1), coalesce(get({m}, i + 1), '')), 2),"
+            f" 'd', regexp_replace(found, '[^0-9]', '')))"
         )
     rows = rows.select("doc_id", F.expr(f"concat({', '.join(every)})").alias("spans"))
-    checks = " ".join(f"when x.kind = '{k}' then {_sound(k).replace('found', 'x.found').replace('(d)', '(x.d)').replace('(d,', '(x.d,')}" for k in KINDS)
+    own = lambda check: check.replace("found", "x.found").replace("(d)", "(x.d)").replace("(d,", "(x.d,")
+    checks, labels = (" ".join(f"when x.kind = '{k}' then {own(of(k))}" for k in KINDS) for of in (_sound, _likely))
+    cue = f"lower(regexp_extract(x.before, {_quoted(_LAST_WORD)}, 1))"
     rows = rows.withColumn("spans", F.expr(
         "transform(spans, x -> named_struct('kind', x.kind, 'base', x.base, 'start', x.start, 'end', x.start + length(x.found),"
-        f" 'found', x.found, 'before', x.before, 'after', x.after, 'n_digits', length(x.d), 'sound', case {checks} end))"
+        f" 'found', x.found, 'before', x.before, 'after', x.after, 'd', x.d, 'n_digits', length(x.d), 'cue', {cue}, 'sound', case {checks} end, 'likely', case {labels} end))"
     ))
     parts = ", ".join(f"'{f}', int({e})" for f, (_, e) in FEATURES.items())
     # a base span of a card has 16 digits or more
     keep = "x.base and x.sound and (x.kind <> 'card' or x.n_digits >= 16)"
     return rows.select("doc_id", F.expr(
-        f"transform(spans, x -> named_struct('kind', x.kind, 'base', {keep}, 'tried', x.base, 'start', x.start, 'end', x.end, {parts}))"
+        f"transform(spans, x -> named_struct('kind', x.kind, 'base', {keep}, 'tried', x.base, 'sound', x.sound, 'likely', x.likely, 'start', x.start, 'end', x.end, {parts}))"
     ).alias("spans"))
 
 
@@ -105,47 +143,39 @@ Cell = tuple[tuple[int, ...], float, float]  # features, weight of label 1, weig
 
 
 def boosted(cells: list[Cell], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list[tuple]]:
-    """Start value and trees of depth two of logistic boosting over weighted cells.
+    """Start value and trees of depth DEPTH of logistic boosting over weighted cells.
 
     A tree is ``(feature, at, low, high)``: below ``at`` or not, where low and high are values or such tuples.
     """
-    ones, zeros = sum(c[1] for c in cells), sum(c[2] for c in cells)
-    start = math.log((ones + 0.5) / (zeros + 0.5))
-    score = [start] * len(cells)
+    x = np.array([c[0] for c in cells], np.int64).reshape(len(cells), len(FEATURES))
+    one, zero = (np.array([c[k] for c in cells], float) for k in (1, 2))
+    start = math.log((one.sum() + 0.5) / (zero.sum() + 0.5))
+    score = np.full(len(cells), start)
     splits = [(f, at) for f, (n, _) in enumerate(FEATURES.values()) for at in range(1, n)]
     trees = []
-
-    def best(rows: list[int], g: list[float], h: list[float]) -> tuple[float, int, int] | None:
-        total_g, total_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
-        top = None
-        for f, at in splits:
-            low_g = low_h = 0.0
-            for i in rows:
-                if cells[i][0][f] < at:
-                    low_g += g[i]
-                    low_h += h[i]
-            if low_h < 1e-9 or total_h - low_h < 1e-9:
-                continue
-            gain = low_g**2 / (low_h + 1) + (total_g - low_g) ** 2 / (total_h - low_h + 1) - total_g**2 / (total_h + 1)
-            if gain > 1e-9 and (top is None or gain > top[0]):
-                top = gain, f, at
-        return top
-
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g = [c[1] * (1 - q) - c[2] * q for c, q in zip(cells, p)]
-        h = [(c[1] + c[2]) * q * (1 - q) for c, q in zip(cells, p)]
-
-        def grow(rows: list[int], depth: int):
-            found = best(rows, g, h) if depth else None  # noqa: B023
-            if found is None:
-                return rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)  # noqa: B023
-            _, f, at = found
-            return f, at, grow([i for i in rows if cells[i][0][f] < at], depth - 1), grow([i for i in rows if cells[i][0][f] >= at], depth - 1)
-
-        tree = grow(list(range(len(cells))), 2)
+        p = 1 / (1 + np.exp(-score))
+        g, h = one * (1 - p) - zero * p, (one + zero) * p * (1 - p)
+
+        def grow(rows: np.ndarray, depth: int):
+            total_g, total_h = g[rows].sum(), h[rows].sum()  # noqa: B023
+            top = None
+            for f, at in splits if depth else []:
+                low = rows & (x[:, f] < at)
+                low_g, low_h = g[low].sum(), h[low].sum()  # noqa: B023
+                if low_h < 1e-9 or total_h - low_h < 1e-9:
+                    continue
+                gain = low_g**2 / (low_h + 1) + (total_g - low_g) ** 2 / (total_h - low_h + 1) - total_g**2 / (total_h + 1)
+                if gain > 1e-6 and (top is None or gain > top[0]):
+                    top = gain, f, at
+            if top is None:
+                return float(rate * total_g / (total_h + 1))
+            _, f, at = top
+            return f, at, grow(rows & (x[:, f] < at), depth - 1), grow(rows & (x[:, f] >= at), depth - 1)
+
+        tree = grow(np.ones(len(cells), bool), DEPTH)
         trees.append(tree)
-        score = [s + value(tree, c[0]) for s, c in zip(score, cells)]
+        score = score + np.array([value(tree, c[0]) for c in cells])
     return start, trees
 
 
@@ -168,7 +198,10 @@ def expression(start: float, trees: list) -> str:
 
 
 def thresholds(cells: list[Cell], start: float, trees: list, precision: float = PRECISION) -> dict[str, float]:
-    """Per kind, the lowest score from which on the cells have the wanted precision; infinite without any."""
+    """Per kind, the score from which on the cells have the wanted precision; infinite without any.
+
+    It lies halfway between the last score that is let in and the first that isn't.
+    """
     out = {}
     for no, kind in enumerate(KINDS):
         own = sorted(((start + sum(value(t, c[0]) for t in trees), c[1], c[2]) for c in cells if c[0][0] == no), reverse=True)
@@ -178,26 +211,26 @@ def thresholds(cells: list[Cell], start: float, trees: list, precision: float =
             ones, zeros = ones + one, zeros + zero
             last = i + 1 == len(own) or own[i + 1][0] != score
             if last and ones and ones / (ones + zeros) >= precision:
-                out[kind] = score
+                out[kind] = score if i + 1 == len(own) else (score + own[i + 1][0]) / 2
     return out
 
 
-def model(rows: DataFrame) -> tuple[str, dict[str, float]]:
-    """The score expression and the thresholds, from the base matches of ``candidates`` whose kind can fail its check.
+def model(rows: DataFrame) -> tuple[float, list, dict[str, float]]:
+    """The trees and the thresholds, from all spans of ``candidates``.
 
-    One in five ids calibrates, the others fit. At most 4 * 2 * 6 * 4 * 3 * 3 * 2 cells by fold and label are
-    collected, whatever the number of documents.
+    One in five ids calibrates, the others fit. What is collected is bounded by the product of the features' ranges,
+    whatever the number of documents.
     """
     names = list(FEATURES)
-    one = rows.select((id_crc() % 5 == 0).alias("calibrates"), F.explode("spans").alias("x")).where("x.tried")
+    one = rows.select((id_crc() % 5 == 0).alias("calibrates"), F.explode("spans").alias("x"))
     counts = one.groupBy("calibrates", *(F.col(f"x.{n}").alias(n) for n in names)).agg(
-        F.sum(F.col("x.base").cast("double")).alias("ones"), F.count(F.lit(1)).alias("n")
+        F.sum(F.col("x.likely").cast("double")).alias("ones"), F.count(F.lit(1)).alias("n")
     )
     cells: dict[bool, list[Cell]] = {True: [], False: []}
     for r in sorted(counts.collect(), key=tuple):
         cells[r["calibrates"]].append((tuple(r[n] for n in names), r["ones"], r["n"] - r["ones"]))
     start, trees = boosted(cells[False])
-    return expression(start, trees), thresholds(cells[True], start, trees)
+    return start, trees, thresholds(cells[True], start, trees)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -207,11 +240,12 @@ def found(docs: DataFrame) -> DataFrame:
     repeated ids are rows like any other; other columns are ignored; an empty table gives an empty result.
     """
     rows = saved(candidates(docs), "pii-candidates")
-    score, limits = model(rows)
+    start, trees, limits = model(rows)
+    score = expression(start, trees)
     limit = " ".join(f"when x.kind = '{k}' then {'double(\"Infinity\")' if math.isinf(v) else f'{v - 1e-9!r}D'}" for k, v in limits.items())
     rows = rows.withColumn("base", F.expr("filter(spans, x -> x.base)"))
     rows = rows.withColumn("more", F.expr(
-        f"filter(spans, x -> not x.tried and not exists(base, b -> b.start < x.end and x.start < b.end) and ({score}) >= case {limit} end)"
+        f"filter(spans, x -> not x.tried and x.sound and ({score}) >= case {limit} end and not exists(base, b -> b.start < x.end and x.start < b.end))"
     ))
     slim = "x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end)"
     in_order = lambda a: "concat(" + ", ".join(f"array_sort(transform(filter({a}, x -> x.kind = '{k}'), {slim}))" for k in KINDS) + ")"

@@ -77,3 +77,83 @@ def test_redaction_nulls_and_empty_table(spark, docs_of):
     assert sorted((r["text"] or "") for r in out) == ["", "clean", "clean", "é mail [EMAIL] now [IP]"]
     assert list(out[0].asDict()) == docs_of([]).columns
     assert pii.found(docs_of([])).collect() == []
+
+
+def test_one_text_stops_no_generator(spark, docs_of):
+    texts = ["me [at] host" + " [dot] ab" * 60_000, "a[at]" * 30_000, "[at] [dot]" * 30_000, "+1 (1) " * 20_000, "1234 " * 40_000, "1-" * 50_000, "+" * 100_000, "1.1." * 50_000, "a@b.cc " * 20_000]
+    got = {r["doc_id"]: r for r in pii.found(docs_of(texts)).collect()}
+    assert len(got) == len(texts)
+    assert [tuple(x) for x in got[8]["base"]] == [("email", 7 * i, 7 * i + 6) for i in range(20_000)]
+
+
+def number(rng, n, good=True):
+    d = "".join(rng.choice("0123456789") for _ in range(n - 1))
+    return next(d + x for x in "0123456789" if luhn(d + x) == good)
+
+
+def test_context_and_format_decide_and_not_the_check_alone(spark, docs_of):
+    """Planted cards of 15 digits are found, orders of 15 digits are left alone also where they pass the check by chance."""
+    rng = random.Random(9)
+    planted = [f"please charge card {number(rng, 15)} today" for _ in range(300)]
+    orders = [f"your order {number(rng, 15, rng.random() < 0.1)} left" for _ in range(600)]
+    by_chance = {i for i, t in enumerate(orders) if luhn(re.sub("[^0-9]", "", t))}
+    docs = docs_of(planted + orders)
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.found(docs).collect()}
+    assert sum(bool(got[i]) for i in range(300)) == 300 and by_chance
+    assert not any(got[300 + i] for i in range(600))
+    assert not any(brute(t) for t in planted)  # the base patterns have none of them
+    start, trees, limits = pii.model(pii.candidates(docs))
+
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if isinstance(tree, tuple) else set()
+
+    assert "sound" not in pii.FEATURES
+    assert list(pii.FEATURES).index("cue") in set().union(*map(used, trees))
+
+
+def plain_boosted(cells):
+    """Logistic boosting of trees in plain loops."""
+    import math
+
+    names = list(pii.FEATURES.values())
+    start = math.log((sum(c[1] for c in cells) + 0.5) / (sum(c[2] for c in cells) + 0.5))
+    score = [start] * len(cells)
+
+    def tree(rows, g, h, depth):
+        total = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best = None
+        for f, (n, _) in enumerate(names if depth else []):
+            for at in range(1, n):
+                low = [i for i in rows if cells[i][0][f] < at]
+                a, b = sum(g[i] for i in low), sum(h[i] for i in low)
+                if b < 1e-9 or total[1] - b < 1e-9:
+                    continue
+                gain = a * a / (b + 1) + (total[0] - a) ** 2 / (total[1] - b + 1) - total[0] ** 2 / (total[1] + 1)
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-9):
+                    best = gain, f, at
+        if best is None:
+            return lambda x: pii.RATE * total[0] / (total[1] + 1)
+        _, f, at = best
+        lo = tree([i for i in rows if cells[i][0][f] < at], g, h, depth - 1)
+        hi = tree([i for i in rows if cells[i][0][f] >= at], g, h, depth - 1)
+        return lambda x: lo(x) if x[f] < at else hi(x)
+
+    for _ in range(pii.ROUNDS):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        g = [c[1] * (1 - q) - c[2] * q for c, q in zip(cells, p)]
+        h = [(c[1] + c[2]) * q * (1 - q) for c, q in zip(cells, p)]
+        t = tree(list(range(len(cells))), g, h, pii.DEPTH)
+        score = [s + t(c[0]) for s, c in zip(score, cells)]
+    return score
+
+
+def test_trees_equal_plain_boosting_and_their_sql(spark):
+    rng = random.Random(2)
+    seen = {tuple(rng.randrange(n) for n, _ in pii.FEATURES.values()) for _ in range(60)}
+    cells = [(x, float(rng.randint(0, 9)), float(rng.randint(0, 9))) for x in sorted(seen)]
+    start, trees = pii.boosted(cells)
+    scores = [start + sum(pii.value(t, c[0]) for t in trees) for c in cells]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(scores, plain_boosted(cells)))
+    rows = spark.createDataFrame([(i, tuple(c[0])) for i, c in enumerate(cells)], "i long, x struct<" + ", ".join(f"{f}: int" for f in pii.FEATURES) + ">")
+    got = {r["i"]: r["s"] for r in rows.selectExpr("i", f"{pii.expression(start, trees)} as s").collect()}
+    assert all(abs(got[i] - s) < 1e-9 for i, s in enumerate(scores))

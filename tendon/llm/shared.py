@@ -82,22 +82,27 @@ def mapped_path(uri: str) -> str:
     return path
 
 
-def looked_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int) -> DataFrame:
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, wide: bool = False) -> DataFrame:
     """Left join of ``left`` with ``right``, which is saved and has one row per key.
 
     ``weight`` is a column of ``right``: how many rows of ``left`` have the key; ``rows`` is the number of rows of
-    ``left``. A small ``right`` is broadcast after its rows were counted. Otherwise the keys that hold one row in
-    HOT_PARTS or more (at most HOT_PARTS keys) are broadcast, and the rest, where no key is large, are shuffled.
-    Keys must not be null.
+    ``left``. A small ``right`` is broadcast after its rows were counted. Otherwise a key that holds one row in
+    HOT_PARTS or more (at most HOT_PARTS keys) is copied, and the rows of ``left`` that have it are dealt among the
+    copies; only these keys and the numbers of their copies are broadcast, and no task gets a large key. So it is at
+    any size with ``wide``, for rows of ``right`` that have no bound in bytes. Keys must not be null.
     """
-    if right.count() <= BROADCAST_ROWS:
+    if not wide and right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, "left")
     hot_from = max(2, -(-rows // HOT_PARTS))
-    hot = right.where(F.col(weight) >= hot_from)
-    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    found = marked.where(F.col("__hot")).drop("__hot")
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return found.unionByName(rest.join(right.where(F.col(weight) < hot_from), keys, "left"))
+    copies = F.ceil(F.col(weight) / F.lit(hot_from)).cast("int")
+    hot = right.where(F.col(weight) >= hot_from).select(*keys, copies.alias("__copies"))
+    dealt = left.join(F.broadcast(hot), keys, "left")
+    # by the row's contents and not by chance, so that a task that runs again deals its rows alike
+    contents = F.xxhash64(*(F.col(f"`{c}`") for c, t in left.dtypes if "map<" not in t))
+    dealt = dealt.withColumn("__copy", F.coalesce(F.pmod(contents, F.col("__copies")).cast("int"), F.lit(0))).drop("__copies")
+    spread = F.when(F.col(weight) >= hot_from, copies).otherwise(1)
+    copied = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), spread - 1)))
+    return dealt.join(copied, [*keys, "__copy"], "left").drop("__copy")
 
 
 def text_of(column: str = "text") -> Column:

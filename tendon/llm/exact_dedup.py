@@ -8,7 +8,7 @@ large groups apart, so one group may hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tendon.llm.shared import BROADCAST_ROWS, looked_up, saved, text_of
@@ -53,7 +53,9 @@ def groups(docs: DataFrame, keep: str = "max") -> DataFrame:
 def deduplicated(docs: DataFrame, keep: str = "max") -> DataFrame:
     """``docs`` with one row of each class of equal texts, all columns kept.
 
-    Works as ``groups``; where several rows share the kept id and the text, one of them stays.
+    Works as ``groups``; where several rows share the kept id and the text, the first by its contents stays. A null
+    text equals an empty one; a class without ids keeps one row. An empty table stays empty; columns may have any
+    names.
     """
     names = docs.columns
     best = F.max if keep == "max" else F.min
@@ -65,12 +67,12 @@ def deduplicated(docs: DataFrame, keep: str = "max") -> DataFrame:
     rows = prints.count()
     marked = looked_up(hashed, shared, ["__h"], "__n", rows)
     several = marked.where("__n is not null")
-    classes = several.groupBy("__h", "__text").agg(best("__id").alias("__keep"))
-    classes = classes.select("__h", F.sha2("__text", 256).alias("__sha"), "__keep", F.lit(1).alias("__one"))
+    classes = several.groupBy("__h", "__text").agg(best("__id").alias("__keep"), F.count(F.lit(1)).alias("__weight"))
+    classes = classes.select("__h", F.sha2("__text", 256).alias("__sha"), "__keep", "__weight")
     classes = saved(classes, "exact-classes")
-    members = several.withColumn("__sha", F.sha2("__text", 256))
-    kept = looked_up(members, classes, ["__h", "__sha"], "__one", rows).where(F.col("__id").eqNullSafe(F.col("__keep")))
-    order = Window.partitionBy("__h", "__sha").orderBy(F.to_json("__row"))
-    first = kept.withColumn("__first", F.row_number().over(order)).where("__first = 1")
+    members = several.select("__row", "__id", "__h").withColumn("__sha", F.sha2(text_of("__row.text"), 256))
+    kept = looked_up(members, classes, ["__h", "__sha"], "__weight", rows).where(F.col("__id").eqNullSafe(F.col("__keep")))
+    # partial results of a class are one row each, so copies collapse before the shuffle
+    first = kept.groupBy("__h", "__sha").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     out = marked.where("__n is null").select("__row").unionByName(first.select("__row"))
     return out.select(*(F.col("__row").getField(c).alias(c) for c in names))

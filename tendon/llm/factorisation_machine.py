@@ -164,12 +164,13 @@ def fitted(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAM
     """Fit on at most ``sample`` labelled documents for which ``usable`` holds; the path of the model.
 
     ``labels`` has ``(doc_id, label)``; null labels are left out, and a document with several has the largest. The
-    labelled documents drawn are those with the smallest hashes of their ids.
+    labelled documents drawn are those with the smallest hashes of their ids; of several texts with one id, the first
+    by code point counts.
     """
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     drawn = one.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions("doc_id").select("text", "label")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).repartition(1).sortWithinPartitions("doc_id").select("text", "label")
     path = f"{new_folder(docs.sparkSession, 'machine')}/model.npy"
     if not rows.mapInArrow(_fitted(path), "n long").collect():  # no labels, no task
         put_file(path, _packed(*fit(*_NOTHING, np.empty(0))))

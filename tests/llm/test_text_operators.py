@@ -147,3 +147,138 @@ def test_machine_equals_pairwise_sums_and_learns(spark, docs_of, prose):
     assert len(rows) == 302 and all(0 <= r["score"] <= 1 for r in rows)
     none = spark.createDataFrame([], "doc_id long, label int")
     assert len(fm.scored(docs, fm.fitted(docs, none, ~fm.held_out())).collect()) == 302
+
+
+#: Two words of 1,024 letters that a polynomial hash modulo a power of two can't tell apart.
+THUE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_confuses_stay_apart(spark, docs_of, monkeypatch):
+    import pyarrow as pa
+
+    from tendon.llm import kneser_ney
+
+    texts = [f"x {THUE} y z x {MORSE} y", f"{THUE} {THUE}", "a" * 700 + " " + "a" * 701]
+    rows = {r["doc_id"]: r for r in quality_rules.ledger(docs_of(texts)).collect()}
+    assert [rows[i]["n_repeat_words"] for i in range(3)] == [brute_measures(t)[4] for t in texts] == [0, 0, 0]
+    w = words_of(pa.array(texts))
+    assert len(set(w.hashes().tolist())) == 7 and len(set(w.codes().tolist())) == 7
+    number, _, first = fm.features(words_of(pa.array([THUE, MORSE])))
+    assert set(number[: first[1]].tolist()) != set(number[first[1] :].tolist())
+    from pyspark.sql import functions as F
+
+    scores = kneser_ney.held_out_scores(docs_of([f"{THUE} b", f"{MORSE} c"], [None, None]), F.lit(False)).collect()
+    assert [r["n_known"] for r in scores] == [3, 3]
+    # whatever the hashes, words with other bytes have other numbers
+    monkeypatch.setattr(type(w), "hashes", lambda self, table=None: np.array([len(self.starts) % 2] * len(self.starts), np.uint64))
+    odd = words_of(pa.array(["a b a ab B", "b ba", "é e é"]))
+    names = [odd.data[s:e].tobytes() for s, e in zip(odd.starts, odd.ends)]
+    codes = odd.codes().tolist()
+    assert len(set(zip(names, codes))) == len(set(names)) == len(set(codes))
+
+
+def test_rows_that_repeat_take_their_own_runs(spark, docs_of, prose, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 700)
+    texts = [prose(150, i % 3) for i in range(30)] + [None] * 40 + [""] * 40 + [prose(90, 9)] * 4
+    ids = [i % 5 for i in range(30)] + [None] * 80 + [None, None, 7, 7]
+    docs = docs_of(texts, ids, [["a", "b", None][i % 3] for i in range(len(texts))])
+    one = Counter(tuple(r) for r in mixing.taken(docs).collect())
+    assert one == Counter(tuple(r) for r in mixing.taken(docs.repartition(5)).collect()) and sum(one.values()) == len(texts)
+    assert all(r[4] <= 3 * r[1] for r in one)
+    want = Counter()
+    for r, n in one.items():
+        want[r[0], r[8] if r[9] else None] += r[4] * n
+    for _ in range(2):
+        got = Counter()
+        for r in mixing.mixed(docs.repartition(3)).collect():
+            got[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+        assert got == +want
+
+
+def test_sources_take_blocks_by_highest_quotients(spark):
+    rng = random.Random(4)
+    for n, seats in ((1, 7), (5, 0), (40, 333), (40, 3)):
+        votes = {i: rng.choice([0.0, 1.5, rng.uniform(0, 900)]) for i in range(n)}
+        votes[0] = 10.0
+        rows = spark.createDataFrame(list(votes.items()), "name long, votes double")
+        got = {r["name"]: r["quota"] for r in mixing.seated(rows, seats, "votes", "name").collect()}
+        want = dict.fromkeys(votes, 0)
+        for _ in range(seats):
+            want[max((i for i in votes if votes[i]), key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+        assert got == want, (n, seats)
+
+
+def test_many_sources_are_numbered_and_levelled(spark):
+    rng = random.Random(5)
+    names = sorted({rng.choice("aBzé_") + str(rng.randint(0, 9_999)) for _ in range(300)}) + [None]
+    sizes = [rng.choice([0, 1, rng.randint(0, 10_000), 10**6]) for _ in names]
+    rows = spark.createDataFrame([(n or "", n is not None, s) for n, s in zip(names, sizes)], "source string, has_source boolean, source_size long").repartition(7)
+    got = {r["source"] if r["has_source"] else None: r["target"] for r in mixing.targets(rows).collect()}
+    want = water(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    assert all(got[n] == pytest.approx(x) for n, x in zip(names, want)) and len(got) == len(names)
+
+
+def test_template_texts_go_inside_the_article_and_copies_stay(spark):
+    def page(i, same="Read our other stories for free."):
+        body = "".join(f"<p>Paragraph {k} of story {i} says {i * k}.</p>" for k in range(1, 4))
+        return f"<html><body><div class=top>Our site</div><article><h1>Story {i}</h1>{body}<p>{same}</p></article><div class=low>All rights</div></body></html>"
+
+    text = lambda i, end="": "\n".join([f"Story {i}", *(f"Paragraph {k} of story {i} says {i * k}." for k in range(1, 4)), *([end] if end else [])])
+    rows = [(i, "https://one.example/a", page(i)) for i in range(40)]
+    rows += [(100 + i, "https://two.example/a", page(7)) for i in range(9)]  # copies of one page
+    rows += [(200, "https://lone.example/", page(3)), (None, None, page(5)), (200, "https://lone.example/", page(3))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", html_text.F.lit("clash"))
+    got = [(r["page_id"], r["text"]) for r in html_text.main_texts(frame).collect()]
+    assert len(got) == len(rows)
+    end = "Read our other stories for free."
+    want = {i: text(i) for i in range(40)} | {100 + i: text(7, end) for i in range(9)} | {200: text(3, end), None: text(5, end)}
+    assert dict(got) == want
+    assert all(html_text.extracted(page(i), None) == text(i, end) for i in range(3))  # without a wrapper the repeat stays
+
+
+def test_alignment_is_simple_tree_matching():
+    rng = random.Random(3)
+
+    def tree(depth):
+        names = rng.sample("abcdef", rng.randint(0, 4)) if depth else []
+        return html_text.Shape("r" if depth == 3 else "", [], {}), [(n, tree(depth - 1)) for n in names]
+
+    def built(spec, label):
+        node = html_text.Shape(label, [], {})
+        node.kids = [built(s, n) for n, s in spec[1]]
+        return node
+
+    def brute(a, b):
+        """The recursion of simple tree matching over all pairs of children."""
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+        for i, x in enumerate(a.kids, 1):
+            for j, y in enumerate(b.kids, 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute(x, y))
+        return best[-1][-1] + 1
+
+    for _ in range(300):
+        a, b = built(tree(3), "r"), built(tree(3), "r")
+        n, pairs = html_text.matched(a, b)
+        assert n == brute(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+
+
+def test_no_page_stops_a_task(spark):
+    import time
+
+    deep = 100_000
+    pages = ["<div>" * deep + "x", "<b>" * deep + "y", "<" + "a" * 1_000_000, "<a href=\"" * deep, "<!--" * deep, "<li>" * deep + "z",
+             "<div>" * deep + "t" + "</span>" * deep + "</div>" * deep, "<p><b>" * deep + "w", "".join(f"<div class=c{i}>t{i}</div>" for i in range(5_000))]
+    began = time.time()
+    rows = spark.createDataFrame([(i, "https://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(rows).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 6, 7)] == ["x", "y", "", "", "", "t", "w"] and got[8].count("\n") == 4_999
+    assert time.time() - began < 120
+
+
+def test_references_and_spaces(spark):
+    page = "<article><p>A​B &<b>amp;</b> &#233;&nbsp;x y<!-- c -->z</p><div class=share><p>Market share grew</p></div><div class=share><a href=x>Share this</a></div></article>"
+    rows = spark.createDataFrame([(1, "https://h.example/", page)], "page_id long, url string, html string")
+    assert html_text.main_texts(rows).first()["text"] == "A​B &amp; é x yz\nMarket share grew"

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 
 
+def once(x: Column) -> Column:
+    """``x`` computed once per row: a plain column may be put into the lambdas that use it and be computed per entry."""
+    return F.explode(F.array(x))
+
+
 def safe_div(a: Column, b: Column, otherwise: float = float("inf")) -> Column:
     """a / b where b is above zero."""
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(otherwise))

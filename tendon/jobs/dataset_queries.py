@@ -12,7 +12,7 @@ from tendon.sources import episodes as src
 ANNOTATIONS = """SELECT d.doc_id AS episode_id, concat('a', CAST(k AS VARCHAR(3))) AS annotator, CASE WHEN lang = 'de' THEN 'tool' WHEN lang = 'fr' THEN '' ELSE 'human' END AS source,
     CASE WHEN (d.doc_id + k) % 13 = 1 THEN 'yes' WHEN (d.doc_id + k) % 13 = 2 THEN 'NaN' WHEN (d.doc_id + k) % 17 = 3 THEN NULL WHEN quality IS NULL THEN '0.5' ELSE CAST(quality AS VARCHAR(3)) END AS success,
     CASE WHEN (d.doc_id + k) % 3 = 0 THEN 'failure_taxonomy_v2' ELSE 'failure_taxonomy_v1' END AS schema,
-    CASE WHEN (d.doc_id + k) % 4 = 0 THEN NULL WHEN (d.doc_id + k) % 4 = 1 THEN ' ' ELSE CASE WHEN d.doc_id % 5 = 0 THEN 'Dropped it' ELSE substr(text, 1, 40) END END AS episode_description,
+    CASE WHEN (d.doc_id + k) % 4 = 0 THEN NULL WHEN (d.doc_id + k) % 4 = 1 THEN ' ' ELSE CASE WHEN d.doc_id % 5 = 0 THEN 'Dropped it' ELSE text END END AS episode_description,
     CASE WHEN (d.doc_id + k) % 5 = 1 THEN 'dropped it' END AS failure_description,
     CASE (d.doc_id + k) % 9 WHEN 0 THEN '{"outcome": "failure", "failure_category": ["grasp", " "], "severity": "medium"}' WHEN 1 THEN '{"failure_category": ["Grasp failure (at contact)", "odd one"], "severity": "Low severity - no damage"}'
       WHEN 2 THEN '{"success_category": "Clean success"}' WHEN 3 THEN '{"success_category": "Success with side-effects", "side_effect_category": ["Collision failure"], "severity": "Catastrophic damage"}'
@@ -43,6 +43,43 @@ def migration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.migrated(_rows(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def migrated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.migrated(_rows(spark, sf_dir))
+
+
+def migration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.migration_report(_rows(spark, sf_dir))
+
+
+def written_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upcast annotations as they would be written; the outcomes of some are blank or unheard of."""
+    outcome = F.when(F.col("episode_id") % 7 == 0, " Success ").when(F.col("episode_id") % 7 == 1, "unheard").otherwise(F.col("outcome"))
+    return ann.built(ann.upcast(_rows(spark, sf_dir)).withColumn("outcome", outcome))
+
+
+def annotation_write_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shift = F.when(F.col("episode_id") % 11 == 3, 1.5).when(F.col("episode_id") % 11 == 4, -0.25).otherwise(0.0)
+    rows = ann.upcast(_rows(spark, sf_dir)).withColumn("success", F.col("success").try_cast("double") + shift)
+    return ann.write_checked(rows.withColumn("outcome", F.when(F.col("episode_id") % 5 != 0, F.get_json_object("taxonomy", "$.outcome"))))
+
+
+def strict_annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.strict_violations(_rows(spark, sf_dir))
+
+
+def legacy_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second annotator's own annotations, and flat ones of the first annotator where there are none."""
+    rows = _rows(spark, sf_dir)
+    flat = F.when(F.col("episode_id") % 4 == 1, F.lit("{broken")).when(F.col("episode_id") % 4 == 2, F.to_json(F.struct(
+        F.col("success"), F.col("episode_description").alias("failure_description"), F.array(F.lit("Grasp failure (at contact)")).alias("failure_category"), F.lit("Low severity").alias("severity"))))
+    found = ann.with_legacy(rows, rows.where("annotator = 'a0'").select("episode_id", flat.alias("flat")), "a1")
+    return found.withColumn("categories", F.array_join("categories", ","))
+
+
+def recent_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.recent_annotations(ann.upcast(_rows(spark, sf_dir)).where("annotator = 'a0'"), src.episodes(spark, sf_dir))
+
+
 def success_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.consensus(_rows(spark, sf_dir))
 
@@ -118,8 +155,13 @@ _A = "WITH an AS (" + ANNOTATIONS.replace("DOCUMENTS", "documents").replace("LAB
 _FILES = "WITH f0 AS (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, length(html)::BIGINT AS size FROM pages), f AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name, size FROM f0)"
 _ROLL = "WITH r AS (SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE WHEN event_id % 10 <> 0 THEN least(4, floor(abs(value) / 10))::INT END AS reward FROM events), p AS (SELECT episode_id, coalesce(sum(reward), 0)::BIGINT AS total, max(reward) AS highest, arg_max_null(reward, t) AS last FROM r GROUP BY ALL)"
 
+_CATS = "'reaching', 'grasp', 'manipulation', 'sequencing_semantic', 'collision', 'hardware', 'not_attempted', 'other'"
+_STATUS = """CASE WHEN up.schema = 'failure_taxonomy_v2' OR coalesce(o IN ('success', 'success_suboptimal', 'success_side_effect', 'failure'), false) THEN 'already v2' WHEN up.success IS NULL AND up.taxonomy IS NULL THEN 'not an annotation' ELSE 'migrated' END"""
+_TAXONOMY = "json_object('outcome', coalesce(outcome, ''), 'failure_category', cats, 'severity', coalesce(severity, ''))::VARCHAR"
+
 QUERIES = {f.__name__: f for f in (
-    annotation_upcast, annotation_ticks, unmapped_labels, migration_status, success_consensus, copied_descriptions, other_annotators, instruction_diversity, recent_instructions,
+    annotation_upcast, annotation_ticks, unmapped_labels, migration_status, migrated_annotations, migration_report, written_annotations, annotation_write_checks,
+    strict_annotation_violations, legacy_annotations, recent_annotations, success_consensus, copied_descriptions, other_annotators, instruction_diversity, recent_instructions,
     directory_counts, file_inventory, split_plan, unique_names, rollout_evaluation, success_curve, training_steps, absolute_actions,
 )}
 ORACLE_SQL = {
@@ -132,7 +174,36 @@ ORACLE_SQL = {
         ELSE 'migrated' END AS status, count(*) AS n FROM up GROUP BY 1""",
     "success_consensus": _A + """, g AS (SELECT episode_id, count(success) AS n, count(*) FILTER (success IS NOT NULL AND NOT coalesce(v IN (0, 1), false)) AS bad, min(v) AS lo, max(v) AS hi FROM j GROUP BY ALL)
         SELECT episode_id, CASE WHEN n = 0 THEN 'none' WHEN bad > 0 THEN 'invalid' WHEN lo <> hi THEN 'conflict' WHEN lo = 1 THEN '1' ELSE '0' END AS verdict FROM g""",
-    "copied_descriptions": _A + ", g AS (SELECT lower(trim(description)) AS d, count(*) AS k FROM up WHERE trim(description) <> '' GROUP BY 1) SELECT sum(k)::BIGINT AS n, max(k) AS top, round(max(k) / sum(k), 6) AS share FROM g",
+    "copied_descriptions": _A + """, g AS (SELECT lower(trim(description)) AS d, count(*) AS k FROM up WHERE trim(description) <> '' GROUP BY 1), x AS (SELECT *, sum(k) OVER () AS n FROM g ORDER BY k DESC, d LIMIT 1)
+        SELECT n::BIGINT AS n, k AS top, round(k / n, 6) AS share, d AS description, CASE WHEN n >= 5 AND k / n > 0.8e0 THEN 'copied' ELSE '' END AS warning FROM x""",
+    "migrated_annotations": _A + f""", m AS (SELECT up.*, {_STATUS} AS status, an.episode_description AS ed FROM up JOIN an USING (episode_id, annotator))
+        SELECT episode_id, annotator, status, CASE WHEN status = 'migrated' THEN 'failure_taxonomy_v2' ELSE schema END AS schema, CASE WHEN status = 'migrated' THEN 'failure_taxonomy_v2' END AS taxonomy_schema,
+          CASE WHEN status = 'migrated' THEN coalesce(description, '') ELSE ed END AS episode_description, CASE WHEN status = 'migrated' THEN {_TAXONOMY} ELSE taxonomy END AS taxonomy FROM m""",
+    "migration_report": _A + f""", m AS (SELECT episode_id, annotator, {_STATUS} AS status FROM up),
+      x AS (SELECT episode_id, array_to_string(list_sort(list(annotator) FILTER (status = 'migrated')), ',') AS migrated, array_to_string(list_sort(list(concat(annotator, ':', status)) FILTER (status <> 'migrated')), ',') AS skipped FROM m GROUP BY ALL),
+      o AS (SELECT DISTINCT episode_id, concat(annotator, ':', value) AS v FROM (SELECT episode_id, annotator, unnest(cats) AS value FROM up) WHERE value NOT IN ({_CATS})
+        UNION SELECT episode_id, concat(annotator, ':', severity) FROM up WHERE severity NOT IN ('low', 'medium', 'catastrophic')), p AS (SELECT episode_id, array_to_string(list_sort(list(v)), ',') AS unmapped FROM o GROUP BY ALL)
+      SELECT episode_id, coalesce(migrated, '') AS migrated, coalesce(skipped, '') AS skipped, coalesce(unmapped, '') AS unmapped FROM x LEFT JOIN p USING (episode_id)""",
+    "written_annotations": _A + f""", w AS (SELECT * REPLACE (lower(trim(coalesce(CASE episode_id % 7 WHEN 0 THEN ' Success ' WHEN 1 THEN 'unheard' ELSE outcome END, ''))) AS outcome) FROM up)
+      SELECT episode_id, annotator, 'failure_taxonomy_v2' AS schema, CASE WHEN source <> '' THEN source ELSE 'human' END AS source, coalesce(description, '') AS episode_description,
+        CASE WHEN outcome = 'failure' THEN 0e0 WHEN outcome IN ('success', 'success_suboptimal', 'success_side_effect') THEN 1e0 END AS success, {_TAXONOMY} AS taxonomy FROM w""",
+    "annotation_write_checks": _A + """, w AS (SELECT episode_id, annotator, try_cast(success AS DOUBLE) + CASE episode_id % 11 WHEN 3 THEN 1.5e0 WHEN 4 THEN -0.25e0 ELSE 0e0 END AS s, CASE WHEN episode_id % 5 <> 0 THEN o END AS o FROM up),
+      x AS (SELECT *, coalesce(nullif(o, ''), CASE WHEN s IS NULL THEN NULL WHEN NOT isnan(s) AND s >= 0.5e0 THEN 'success' ELSE 'failure' END) AS outcome FROM w)
+      SELECT episode_id, annotator, s AS success, outcome, CASE WHEN s IS NULL OR isnan(s) OR s < 0 OR s > 1 THEN 'success_range' WHEN outcome NOT IN ('success', 'success_suboptimal', 'success_side_effect', 'failure') THEN 'outcome'
+        WHEN (outcome = 'failure') <> (s < 0.5e0) THEN 'disagrees' END AS rejected FROM x""",
+    "strict_annotation_violations": _A + f""", x AS (SELECT up.*, v, an.taxonomy AS tx, coalesce(o, '') AS oo FROM up JOIN j USING (episode_id, annotator) JOIN an USING (episode_id, annotator)),
+      r AS (SELECT episode_id, annotator, CASE WHEN success IS NULL THEN 'success_missing' WHEN v IS NULL THEN 'success_not_numeric' WHEN isnan(v) THEN 'success_nan' WHEN isinf(v) THEN 'success_infinite' WHEN v < 0 OR v > 1 THEN 'success_range'
+        WHEN trim(coalesce(tx, '')) = '' THEN NULL WHEN NOT json_valid(tx) THEN 'taxonomy_not_json' WHEN json_type(tx) <> 'OBJECT' THEN 'taxonomy_not_object'
+        WHEN oo <> '' AND oo NOT IN ('success', 'success_suboptimal', 'success_side_effect', 'failure') THEN 'outcome_unknown' WHEN oo <> '' AND (oo = 'failure') <> (v < 0.5e0) THEN 'outcome_disagrees'
+        WHEN len(list_filter(cats, lambda c: trim(c) NOT IN ({_CATS}))) > 0 THEN 'category_unknown' WHEN trim(severity) <> '' AND trim(severity) NOT IN ('low', 'medium', 'catastrophic') THEN 'severity_unknown' END AS rule FROM x)
+      SELECT * FROM r WHERE rule IS NOT NULL""",
+    "legacy_annotations": _A + """, g AS (SELECT episode_id, outcome, description, array_to_string(cats, ',') AS categories, severity, false AS is_legacy FROM up WHERE annotator = 'a1')
+      SELECT * FROM g UNION ALL SELECT episode_id, CASE WHEN v IS NULL THEN NULL WHEN NOT isnan(v) AND v >= 0.5e0 THEN 'success' ELSE 'failure' END, CASE WHEN trim(episode_description) <> '' THEN episode_description END, 'grasp', 'low', true
+      FROM j WHERE annotator = 'a0' AND episode_id % 4 = 2 AND episode_id NOT IN (SELECT episode_id FROM g)""",
+    "recent_annotations": _A + f""", eps AS ({src.for_engine(src.episodes_sql(), 'list_value').replace('{events}', 'events')}),
+      n AS (SELECT mtime, rel_path, outcome, array_to_string(cats, ',') AS categories, severity, description,
+        row_number() OVER (PARTITION BY list_sort(cats), trim(coalesce(severity, '')), trim(coalesce(description, '')) ORDER BY mtime DESC, rel_path DESC) AS k FROM up JOIN eps USING (episode_id) WHERE annotator = 'a0' AND outcome <> 'success')
+      SELECT CAST(row_number() OVER (ORDER BY mtime DESC, rel_path DESC) AS INT) AS rank, rel_path, outcome, categories, severity, description FROM n WHERE k = 1 ORDER BY mtime DESC, rel_path DESC LIMIT 15""",
     "other_annotators": _A + """ SELECT episode_id, annotator, EXISTS (SELECT 1 FROM an b WHERE b.episode_id = a.episode_id AND b.annotator <> a.annotator AND trim(coalesce(b.source, '')) IN ('', 'human')) AS others FROM an a""",
     "instruction_diversity": src.as_cte("episodes") + """, g AS (SELECT lab_id AS "group", count(*) AS n, count(DISTINCT nullif(lower(trim(language_instruction)), '')) AS "distinct" FROM episodes GROUP BY 1)
         SELECT *, CASE WHEN n >= 5 AND "distinct" <= 1 THEN 'one instruction' WHEN n >= 10 AND "distinct" < 0.1e0 * n THEN 'few instructions' ELSE '' END AS warning FROM g""",

@@ -66,7 +66,7 @@ def upcast(rows: DataFrame) -> DataFrame:
     raw = F.when(F.size(own) > 0, own).otherwise(value_list(c("t.side_effect_category")))
     return t.select(
         "episode_id", "annotator", "source", outcome.alias("outcome"), F.coalesce(filled(c("episode_description")), filled(c("failure_description"))).alias("description"),
-        F.transform(raw, category_slug).alias("categories"), severity_slug(filled(c("t.severity"))).alias("severity"), "success", "schema", "taxonomy",
+        F.transform(raw, category_slug).alias("categories"), severity_slug(filled(c("t.severity"))).alias("severity"), "success", "schema", "taxonomy", "episode_description",
     )
 
 
@@ -87,13 +87,106 @@ def unmapped(up: DataFrame) -> DataFrame:
 
 
 def migrated(rows: DataFrame) -> DataFrame:
-    """``(episode_id, annotator, status, taxonomy)``: the new form as JSON, or why a row stays as it is. Idempotent."""
+    """``(episode_id, annotator, status, schema, taxonomy_schema, episode_description, taxonomy)``: the rows rewritten to
+    the new form, or why a row stays as it is. Idempotent: the new form is "already v2"."""
     up = upcast(rows).withColumn("named", F.lower(F.trim(F.get_json_object("taxonomy", "$.outcome"))))
     done = (c("schema") == SCHEMA_V2) | F.coalesce(c("named").isin(*OUTCOME_SUCCESS), F.lit(False))
     nothing = c("success").isNull() & c("taxonomy").isNull()
     status = F.when(done, "already v2").when(nothing, "not an annotation").otherwise("migrated")
-    made = F.to_json(F.struct("outcome", F.when(F.size("categories") > 0, c("categories")).alias("failure_category"), "severity"))
-    return up.select("episode_id", "annotator", status.alias("status"), F.when(status == "migrated", made).otherwise(c("taxonomy")).alias("taxonomy"))
+    new = lambda made, old: F.when(status == "migrated", made).otherwise(old)
+    return up.select(
+        "episode_id", "annotator", status.alias("status"), new(F.lit(SCHEMA_V2), c("schema")).alias("schema"), new(F.lit(SCHEMA_V2), F.lit(None).cast("string")).alias("taxonomy_schema"),
+        new(F.coalesce("description", F.lit("")), c("episode_description")).alias("episode_description"), new(taxonomy_json(), c("taxonomy")).alias("taxonomy"),
+    )
+
+
+def migration_report(rows: DataFrame) -> DataFrame:
+    """``(episode_id, migrated, skipped, unmapped)``: annotators migrated, annotators and why they weren't, labels without a slug."""
+    each = migrated(rows)
+    odd = unmapped(upcast(rows)).groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "annotator", "value"))), ",").alias("unmapped"))
+    named = lambda cond, *parts: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.concat_ws(":", *parts)))), ",")
+    done = c("status") == "migrated"
+    per = each.groupBy("episode_id").agg(named(done, "annotator").alias("migrated"), named(~done, "annotator", "status").alias("skipped"))
+    return per.join(odd, "episode_id", "left").withColumn("unmapped", F.coalesce("unmapped", F.lit("")))
+
+
+def taxonomy_json() -> Column:
+    """The taxonomy of an upcast row in its new form."""
+    return F.to_json(F.struct(F.coalesce("outcome", F.lit("")).alias("outcome"), c("categories").alias("failure_category"), F.coalesce("severity", F.lit("")).alias("severity")))
+
+
+def outcome_success(outcome: Column) -> Column:
+    """What an outcome says as a number; null if it isn't known."""
+    return _lookup(F.lower(F.trim(outcome)), OUTCOME_SUCCESS)
+
+
+def built(rows: DataFrame) -> DataFrame:
+    """The attributes that are written for an annotation ``(episode_id, annotator, outcome, source, description, categories,
+    severity)``: ``success`` only if the outcome is known, blank sources as human."""
+    outcome = F.lower(F.trim(F.coalesce("outcome", F.lit(""))))
+    return rows.withColumn("outcome", outcome).withColumn("categories", F.transform(value_list(c("categories")), category_slug)).withColumn("severity", severity_slug(c("severity"))).select(
+        "episode_id", "annotator", F.lit(SCHEMA_V2).alias("schema"), F.coalesce(F.when(c("source") != "", c("source")), F.lit("human")).alias("source"),
+        F.coalesce("description", F.lit("")).alias("episode_description"), outcome_success(c("outcome")).alias("success"), taxonomy_json().alias("taxonomy"),
+    )
+
+
+def write_checked(rows: DataFrame) -> DataFrame:
+    """``(episode_id, annotator, success, outcome, rejected)`` of annotations ``(success double, outcome)`` that are to be written.
+
+    A missing outcome is taken from the number; the number stays exact. ``rejected`` says why a row may not be written.
+    """
+    ok = (c("success") >= 0) & (c("success") <= 1)
+    outcome = F.coalesce(F.when(F.trim("outcome") != "", F.lower(F.trim("outcome"))), success_outcome(c("success")))
+    rejected = (
+        F.when(~F.coalesce(ok, F.lit(False)), "success_range").when(~F.coalesce(outcome.isin(*OUTCOME_SUCCESS), F.lit(False)), "outcome")
+        .when((outcome == "failure") != (c("success") < 0.5), "disagrees")
+    )
+    return rows.select("episode_id", "annotator", "success", outcome.alias("outcome"), rejected.alias("rejected"))
+
+
+def strict_violations(rows: DataFrame) -> DataFrame:
+    """``(episode_id, annotator, rule)``: the first rule of a strict reading that each annotation breaks."""
+    v = c("success").try_cast("double")
+    text = F.trim(F.coalesce("taxonomy", F.lit("")))
+    keys = F.json_object_keys("taxonomy")
+    named = F.lower(F.trim(F.coalesce(F.get_json_object("taxonomy", "$.outcome"), F.lit(""))))
+    valid = F.try_parse_json("taxonomy").isNotNull()
+    rule = (
+        F.when(c("success").isNull(), "success_missing").when(v.isNull(), "success_not_numeric").when(F.isnan(v), "success_nan").when(F.abs(v) == float("inf"), "success_infinite")
+        .when((v < 0) | (v > 1), "success_range").when(text == "", None).when(~valid, "taxonomy_not_json").when(keys.isNull(), "taxonomy_not_object")
+        .when((named != "") & ~named.isin(*OUTCOME_SUCCESS), "outcome_unknown").when((named != "") & ((named == "failure") != (v < 0.5)), "outcome_disagrees")
+        .when(F.exists("categories", lambda x: ~F.trim(x).isin(*CATEGORIES)), "category_unknown").when((F.trim("severity") != "") & ~F.trim("severity").isin(*SEVERITIES), "severity_unknown")
+    )
+    return upcast(rows).select("episode_id", "annotator", rule.alias("rule")).where("rule is not null")
+
+
+def with_legacy(rows: DataFrame, legacy: DataFrame, annotator: str) -> DataFrame:
+    """``(episode_id, outcome, description, categories, severity, is_legacy)``: an annotator's own annotation, or what the
+    older flat JSON ``(episode_id, flat)`` says; what has neither is left out."""
+    own = upcast(rows.where(c("annotator") == annotator)).withColumn("is_legacy", F.lit(False))
+    flat = F.from_json("flat", "success string, failure_description string, failure_category array<string>, severity string, success_category string")
+    old = legacy.where(F.size(F.json_object_keys("flat")) > 0).withColumn("x", flat)
+    made = F.to_json(F.struct("x.failure_category", "x.severity", "x.success_category"))
+    old = old.select(
+        "episode_id", F.lit(annotator).alias("annotator"), F.lit(None).cast("string").alias("source"), "x.success", F.lit(None).cast("string").alias("schema"),
+        F.lit(None).cast("string").alias("episode_description"), "x.failure_description", made.alias("taxonomy"),
+    ).join(own.select("episode_id"), "episode_id", "left_anti")
+    every = own.unionByName(upcast(old).withColumn("is_legacy", F.lit(True)))
+    return every.select("episode_id", "outcome", "description", "categories", "severity", "is_legacy")
+
+
+def recent_annotations(up: DataFrame, episodes: DataFrame, limit: int = 15) -> DataFrame:
+    """``(rank, rel_path, outcome, categories, severity, description)``: one annotator's newest distinct annotations that
+    are no clean success, one to a hundred of them."""
+    limit = min(max(limit, 1), 100)
+    rows = up.where("outcome is not null and outcome <> 'success'").join(episodes.select("episode_id", "rel_path", "mtime"), "episode_id")
+    plain = lambda x: F.trim(F.coalesce(x, F.lit("")))
+    key = F.to_json(F.struct(F.array_sort("categories").alias("c"), plain(c("severity")).alias("s"), plain(c("description")).alias("d")))
+    entry = F.struct("mtime", "rel_path", "outcome", F.array_join("categories", ",").alias("categories"), "severity", "description")
+    newest = rows.groupBy(F.md5(key).alias("k")).agg(F.max(entry).alias("x")).select("x.*")
+    by = c("mtime").desc(), c("rel_path").desc()
+    top = newest.orderBy(*by).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*by)).alias("rank"), "rel_path", "outcome", "categories", "severity", "description")
 
 
 def consensus(rows: DataFrame) -> DataFrame:
@@ -112,11 +205,18 @@ def instruction_diversity(episodes: DataFrame, by: str = "lab_id") -> DataFrame:
     return per.withColumn("warning", warn)
 
 
-def copied_descriptions(up: DataFrame) -> DataFrame:
-    """``(n, top, share)`` of the most common description, ignoring case; one row."""
+def copied_descriptions(up: DataFrame, least: int = 5, most: float = 0.8) -> DataFrame:
+    """``(n, top, share, description, warning)`` of the most common description, ignoring case; one row.
+
+    Of equally common ones the first by code point. There is a warning from ``least`` descriptions on if its share is above ``most``.
+    """
     d = F.lower(F.trim("description"))
-    counts = up.where(d != "").groupBy(F.xxhash64(d).alias("h")).agg(F.count(F.lit(1)).alias("k"))
-    return counts.agg(F.sum("k").alias("n"), F.max("k").alias("top")).select("n", "top", F.round(c("top") / c("n"), 6).alias("share"))
+    counts = up.where(d != "").groupBy(F.md5(d).alias("h")).agg(F.count(F.lit(1)).alias("k"), F.min(d).alias("description"))
+    total = counts.agg(F.sum("k").alias("n"))
+    top = counts.orderBy(c("k").desc(), "description").limit(1)
+    share = c("k") / c("n")
+    warning = F.when((c("n") >= least) & (share > most), "copied").otherwise("")
+    return top.join(F.broadcast(total)).select("n", c("k").alias("top"), F.round(share, 6).alias("share"), "description", warning.alias("warning"))
 
 
 def other_annotators(rows: DataFrame) -> DataFrame:

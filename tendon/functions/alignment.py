@@ -13,38 +13,47 @@ def state_key(key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def wide(steps: DataFrame) -> DataFrame:
-    """``(episode_id, t, actions, states, next_states, last_actions)``: maps by key, one row per step.
+def located(steps: DataFrame, actions: tuple[str, ...] | None = None) -> DataFrame:
+    """Actions of these keys (all for none) and their states, dealt by episode; everything later keeps this partitioning."""
+    wanted = F.col("grp").isin("action", "state")
+    if actions is not None:
+        states = sorted({STATE_KEY_FOR_ACTION[k] for k in actions})
+        wanted = ((F.col("grp") == "action") & F.col("key").isin(*actions)) | ((F.col("grp") == "state") & F.col("key").isin(*states))
+    return steps.where(wanted).repartition("episode_id")
 
-    Everything later groups or windows by the episode and keeps this partitioning.
+
+def wide(steps: DataFrame, actions: tuple[str, ...] | None = None) -> DataFrame:
+    """``(episode_id, t, actions, states)`` and what lies one or two steps on or one back: maps by key, one row per step.
+
+    Of several arrays under one key at one step, the largest counts.
     """
-    both = steps.where("grp in ('action', 'state')").repartition("episode_id")
-    pick = lambda g: F.map_from_entries(F.collect_list(F.when(F.col("grp") == g, F.struct("key", "vals"))))
-    rows = both.groupBy("episode_id", "t").agg(pick("action").alias("actions"), pick("state").alias("states"))
+    pick = lambda g: F.sort_array(F.collect_list(F.when(F.col("grp") == g, F.struct("key", "vals"))))
+    rows = located(steps, actions).groupBy("episode_id", "t").agg(pick("action").alias("actions"), pick("state").alias("states"))
+    last = lambda x: F.map_from_entries(F.filter(x, lambda y, i: (i == F.size(x) - 1) | (F.get(x, i + 1)["key"] != y["key"])))
+    rows = rows.select("episode_id", "t", *(last(x).alias(x) for x in ("actions", "states")))
     w = Window.partitionBy("episode_id").orderBy("t")
-    return rows.select("episode_id", "t", "actions", "states", F.lead("states").over(w).alias("next_states"), F.lag("actions").over(w).alias("last_actions"))
+    ahead = [F.lead(x, k).over(w).alias(f"{x}_{k}") for x in ("states", "actions") for k in (1, 2)]
+    return rows.select("episode_id", "t", "actions", "states", *ahead, F.lag("actions").over(w).alias("last_actions"))
 
 
-def aligned(steps: DataFrame) -> DataFrame:
-    """``(episode_id, key, t, a, a_prev, s, s_next)``: each action with the one before, and the state then and next.
+def aligned(steps: DataFrame, actions: tuple[str, ...] | None = None) -> DataFrame:
+    """``(episode_id, key, t, a, a_prev, s, s_next, s_next2, more, more2)``: each action with the one before, and the state
+    then and at the next two steps; ``more`` says whether the action itself goes on so far.
 
     States are null where the mapped key has none at that step, so counting pairs stops at the shorter of the two.
     """
-    rows = wide(steps).select("episode_id", "t", "states", "next_states", "last_actions", F.explode("actions").alias("key", "a"))
+    rows = wide(steps, actions).withColumn("x", F.explode(F.map_entries("actions")))
     of = lambda m, k: F.element_at(F.col(m), k)
-    k = state_key(F.col("key"))
+    own = F.col("x.key")
+    k = state_key(own)
     return rows.select(
-        "episode_id", "key", "t", "a", of("last_actions", F.col("key")).alias("a_prev"), of("states", k).alias("s"), of("next_states", k).alias("s_next")
+        "episode_id", own.alias("key"), "t", F.col("x.value").alias("a"), of("last_actions", own).alias("a_prev"), of("states", k).alias("s"), of("states_1", k).alias("s_next"),
+        of("states_2", k).alias("s_next2"), of("actions_1", own).isNotNull().alias("more"), of("actions_2", own).isNotNull().alias("more2"),
     )
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    """``aligned`` by dimension: ``(episode_id, key, t, d, dim, a, a_prev, s, s_next)``."""
-    at = lambda x: F.expr(f"get({x}, d)")
-    out = rows.select("*", F.posexplode("a").alias("d", "a_d"))
-    return out.select(
-        "episode_id", "key", "t", "d", F.size("a").alias("dim"), F.size("s").alias("s_dim"), F.col("a_d").alias("a"),
-        at("a_prev").alias("a_prev"), at("s").alias("s"), at("s_next").alias("s_next"),
-        F.exists(F.arrays_zip("a", "a_prev"), lambda x: F.abs(x["a"] - x["a_prev"]) > 1e-9).alias("changed"),
-        F.forall(F.arrays_zip("a", "s"), lambda x: F.abs(x["a"] - x["s"]) <= 1e-6).alias("copied"),
-    )
+def rated(rows: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Adds ``hz``, the control rate of the episode; null where it is missing, not finite or not above zero."""
+    rate = F.col("control_freq")
+    good = ~F.isnan(rate) & (rate > 0) & (rate < float("inf"))
+    return rows.join(episodes.select("episode_id", F.when(good, rate).alias("hz")), "episode_id", "left")

@@ -1,146 +1,298 @@
-"""Checks of actions against states, all from two aggregations over aligned cells.
+"""Checks of actions against states.
 
 ``cell_metrics`` has one row per episode, key and dimension; ``key_metrics`` one per episode and key. Every check is a
-projection of these, so one exchange on the episode serves all of them.
+projection of these, so one exchange on the episode serves all of them. A query names the keys it needs, and others
+are left out before anything is aligned. Thresholds come from a configuration (``config.with_overrides``).
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendon.functions.alignment import aligned, cells
-from tendon.functions.columns import finite, pearson, rms, safe_div
+from tendon.functions.alignment import aligned, located, rated, state_key
+from tendon.functions.columns import finite, max_abs, rms
+from tendon.operators.config import DEFAULTS, Config
 
 c = F.col
 INF = float("inf")
+ARM_KEYS = ("joint_position", "joint_velocity", "cartesian_position", "cartesian_velocity")
+GENERAL_KEYS = (*ARM_KEYS, "gripper_position", "gripper_binary")
+COPY_KEYS = ("joint_position", "cartesian_position")
+MATCH = 1e-6
 
 
-def cell_metrics(steps: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Sums, extremes, medians, jumps, sign flips and correlations of each dimension of each action key."""
-    rows = cells(aligned(steps)).join(F.broadcast(episodes.select("episode_id", F.expr("10D * (1 + episode_id % 3)").alias("hz"))), "episode_id")
-    w = Window.partitionBy("episode_id", "key", "d").orderBy("t")
-    jump = F.abs(c("a") - c("a_prev"))
-    move = c("s_next") - c("s")
-    rows = rows.withColumn("jump", jump).withColumn("move", move).withColumn("move_next", F.lead("move").over(w))
-    rows = rows.withColumn("rms_d", F.sqrt(F.avg(c("a") * c("a")).over(Window.partitionBy("episode_id", "key", "d"))))
-    rows = rows.withColumn("large", F.when(F.abs(c("a")) > 0.1 * c("rms_d"), c("a")))
-    seen = Window.partitionBy("episode_id", "key", "d").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("last_large", F.last("large", True).over(seen))
-    per = c("a") / c("hz")
-    over = c("jump") > 20.0 / c("hz")
+def named(rows: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """Adds ``pairs``, the state's column for each column of the action, and ``grips``, which columns are grippers.
+
+    Joints are paired by name where the names of both fit, else by place; ``profiles`` are parsed. Grippers are told
+    by name, if the names fit the action.
+    """
+    from tendon.operators.profiles import joint_pairs
+    from tendon.sources.recordings import names_or_none
+
+    none = F.array().cast("array<string>")
+    if profiles is None:
+        rows = rows.withColumn("an", none).withColumn("sn", none)
+    else:
+        names = profiles.select("episode_id", names_or_none(c("p.action_joint_names")).alias("an"), names_or_none(c("p.robot_state_joint_names")).alias("sn"))
+        rows = rows.join(names, "episode_id", "left")
+        joints = c("key").isin("joint_position", "joint_velocity")
+        rows = rows.withColumn("an", F.when(joints, F.coalesce("an", none)).otherwise(none)).withColumn("sn", F.when(joints, F.coalesce("sn", none)).otherwise(none))
+    grips = F.when(F.size("an") == F.size("a"), F.transform("an", lambda n: F.lower(n).contains("gripper")))
+    return rows.withColumn("pairs", joint_pairs(c("an"), c("sn"), F.size("a"), F.size("s"))).withColumn("grips", grips)
+
+
+def cells(steps: DataFrame, episodes: DataFrame, profiles: DataFrame | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """``aligned`` by dimension with the rate; ``out`` marks columns that are grippers."""
+    rows = named(rated(aligned(steps, keys), episodes), profiles)
+    differs = lambda x, y, tol: F.exists(F.zip_with(x, y, lambda a, b: F.abs(a - b) > tol), lambda v: v)
+    rows = rows.withColumn("changed", differs("a", "a_prev", 1e-9)).withColumn("copied", (F.size("a") == F.size("s")) & (max_abs(F.zip_with("a", "s", lambda a, b: a - b)) <= MATCH))
+    rows = rows.withColumn("s_max", max_abs(c("s"))).select("*", F.posexplode("a").alias("d", "v"))
+    at = lambda x: F.expr(f"get({x}, get(pairs, d))")
+    return rows.select(
+        "episode_id", "key", "t", "d", "hz", F.size("a").alias("dim"), F.size("s").alias("s_dim"), F.size("an").alias("an"), F.size("sn").alias("sn"), F.coalesce(F.expr("get(grips, d)"), F.lit(False)).alias("out"),
+        c("v").alias("a"), F.expr("get(a_prev, d)").alias("a_prev"), at("s").alias("s"), F.when(c("more"), at("s_next")).alias("s_next"), F.when(c("more2"), at("s_next2")).alias("s_next2"),
+        "changed", "copied", "s_max",
+    )
+
+
+def _lag(x: Column, y: Column, k: int) -> list[Column]:
+    both = x.isNotNull() & y.isNotNull()
+    one = lambda v: F.sum(F.when(both, v))
+    terms = {"n": F.count_if(both), "x": one(x), "y": one(y), "xx": one(x * x), "yy": one(y * y), "xy": one(x * y), "dd": one((x - y) * (x - y))}
+    return [v.alias(f"{n}{k}") for n, v in terms.items()]
+
+
+def cell_metrics(
+    steps: DataFrame, episodes: DataFrame, profiles: DataFrame | None = None, keys: tuple[str, ...] | None = None, config: Config = DEFAULTS, medians: bool = False, flips: bool = False
+) -> DataFrame:
+    """Sums, extremes and jumps of each dimension of each action key; medians and sign flips on request."""
+    rows = cells(steps, episodes, profiles, keys)
+    if flips:  # a column's own scale comes first
+        big = lambda x: F.abs(x) > 0.1 * c("scale")
+        rows = rows.withColumn("scale", F.sqrt(F.avg(c("a") * c("a")).over(Window.partitionBy("episode_id", "key", "d"))))
+        rows = rows.withColumn("large", big(c("a")) & big(c("a_prev"))).withColumn("flip", c("large") & (F.signum("a") != F.signum("a_prev")))
+    jump, limit = F.abs(c("a") - c("a_prev")), config["joint_position"]["step_jump"]["max_joint_speed_rad_s"] / c("hz")
+    over = jump > limit
+    move, per = c("s_next") - c("s"), c("a") / c("hz")
+    paired, nxt = c("s").isNotNull(), c("s_next").isNotNull()
+    first = c("d") == 0
+    more = [F.percentile(F.abs(c("a") - c("s_next")), F.lit(0.5)).alias("median")] if medians else []
+    more += [F.count_if("large").alias("pairs"), F.count_if("flip").alias("flips")] if flips else []
     return rows.groupBy("episode_id", "key", "d").agg(
-        F.first("dim").alias("dim"), F.max("s_dim").alias("s_dim"), F.first("hz").alias("hz"), F.count("a").alias("n"), F.count("s").alias("n_state"),
-        F.count("s_next").alias("n_next"), F.count_if(~finite(c("a"))).alias("n_bad"),
-        F.max(F.abs("a")).alias("top"), F.min("a").alias("low"), F.max("a").alias("high"), F.max(F.abs("s")).alias("s_top"), F.min("s").alias("s_low"), F.max("s").alias("s_high"),
-        F.sum(c("a") * c("a")).alias("aa"), F.sum(c("s") * c("s")).alias("ss"), F.sum(F.when(c("s_next").isNotNull(), c("a") * c("a"))).alias("aa_next"),
-        F.sum(F.pow(c("a") - c("s_next"), 2)).alias("to_next"), F.sum(F.pow(c("a") - c("move"), 2)).alias("to_move"), F.sum(c("s_next") * c("s_next")).alias("nn"),
-        F.percentile(F.abs(c("a") - c("s_next")), F.lit(0.5)).alias("median"), F.min_by("a", "t").alias("first"),
-        F.count_if(over).alias("n_jumps"), F.min(F.when(over, c("t"))).alias("first_jump"), F.max("jump").alias("top_jump"),
-        F.count_if(c("large") * c("last_large") < 0).alias("flips"), F.count_if(c("large").isNotNull() & c("last_large").isNotNull()).alias("pairs"),
-        F.count_if(c("changed") & (c("d") == 0)).alias("changes"), F.count_if(c("copied") & (c("d") == 0)).alias("copies"),
-        pearson(per, c("move")).alias("r0"), pearson(F.when(c("move_next").isNotNull(), per), c("move_next")).alias("r1"),
-        F.sum(per * per).alias("pp"), F.sum(c("move") * c("move")).alias("mm"), (F.max("s") - F.min("s")).alias("span"),
+        F.max("dim").alias("dim"), F.max("s_dim").alias("s_dim"), F.max("hz").alias("hz"), F.max("an").alias("an"), F.max("sn").alias("sn"), F.max("out").alias("out"),
+        F.count(F.lit(1)).alias("n"), F.count_if(paired).alias("n_state"), F.count_if(nxt).alias("n_next"), F.count_if(~finite(c("a"))).alias("n_bad"), F.count_if(~finite(c("s_max"))).alias("n_bad_state"),
+        F.max(F.abs("a")).alias("top"), F.min("a").alias("low"), F.max("a").alias("high"), F.max("s_max").alias("s_top"), F.min("s").alias("s_low"), F.max("s").alias("s_high"),
+        F.sum(F.when(paired, c("a") * c("a"))).alias("aa"), F.sum(c("s") * c("s")).alias("ss"), F.sum(F.when(nxt, c("a") * c("a"))).alias("aa_next"),
+        F.sum(F.pow(c("a") - c("s_next"), 2)).alias("to_next"), F.sum(F.pow(c("a") - move, 2)).alias("to_move"), F.sum(c("s_next") * c("s_next")).alias("nn"), F.min_by("a", "t").alias("first"),
+        F.count_if(over).alias("n_jumps"), F.min(F.when(over, c("t") - 1)).alias("first_jump"), F.max(jump).alias("top_jump"),
+        F.count_if(c("changed") & first).alias("changes"), F.count_if(c("copied") & first).alias("copies"), *_lag(per, move, 0), *_lag(per, c("s_next2") - c("s_next"), 1), *more,
     )
 
 
+_SUMS = ("n_bad", "aa", "ss", "aa_next", "to_next", "to_move", "nn", "n_jumps", *(f"{x}{k}" for k in (0, 1) for x in ("n", "x", "y", "xx", "yy", "xy", "dd")), "pairs", "flips")
+
+
 def key_metrics(cell: DataFrame) -> DataFrame:
-    """The cells' metrics of all dimensions together."""
-    s, m = (lambda x: F.sum(x).alias(x)), (lambda x: F.max(x).alias(x))
+    """The cells' metrics of all dimensions together; grippers among joints count for what isn't finite, widths and changes alone."""
+    own = lambda x: F.when(~c("out"), c(x))
+    have = set(cell.columns)
     return cell.groupBy("episode_id", "key").agg(
-        m("dim"), m("s_dim"), m("hz"), F.max("n").alias("n"), F.max("n_state").alias("n_state"), F.max("n_next").alias("n_next"), s("n_bad"), m("top"), F.min("low").alias("low"),
-        m("high"), m("s_top"), F.min("s_low").alias("s_low"), m("s_high"), s("aa"), s("ss"), s("aa_next"), s("to_next"), s("to_move"), s("nn"), m("median"), s("n_jumps"),
-        F.min("first_jump").alias("first_jump"), m("top_jump"), s("flips"), s("pairs"), s("changes"), s("copies"), F.max("span").alias("span"), F.min("first").alias("first"),
-        F.sum("n").alias("n_values"), F.sum("n_next").alias("n_next_values"), F.sum("n_state").alias("n_state_values"),
-        F.avg("r0").alias("r0"), F.avg("r1").alias("r1"), s("pp"), s("mm"),
+        *(F.max(x).alias(x) for x in ("dim", "s_dim", "hz", "an", "sn", "n", "n_state", "n_next", "n_bad_state", "s_top", "changes", "copies")), F.max(c("s_high") - c("s_low")).alias("state_range"),
+        *((F.sum(x) if x == "n_bad" else F.sum(own(x))).alias(x) for x in _SUMS if x in have), *(F.max(own(x)).alias(x) for x in ("top", "high", "top_jump", "s_high", *(["median"] if "median" in have else []))),
+        *(F.min(own(x)).alias(x) for x in ("low", "s_low", "first_jump")), F.max(own("s_high") - own("s_low")).alias("span"), F.max(F.when(c("d") == 0, c("first"))).alias("first"),
+        F.count_if("out").alias("grippers"), F.count_if(~c("out")).alias("columns"), F.sum(own("n_next")).alias("next_values"), F.sum(own("n_state")).alias("state_values"),
+    )
+
+
+def state_lengths(steps: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """``(episode_id, lengths)``: a map from each state key to its number of steps and its lowest and highest value."""
+    per = located(steps, keys).where("grp = 'state'").groupBy("episode_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.array_min("vals")).alias("low"), F.max(F.array_max("vals")).alias("high"), F.count_if(F.exists("vals", lambda v: ~finite(v))).alias("bad")
     )
+    return per.groupBy("episode_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("n", "low", "high", "bad")))).alias("lengths"))
 
 
-def findings_of(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
-    """``(episode_id, check_name, key, metric)`` of the rules that hold, from one pass over ``rows``."""
-    entry = [F.when(cond, F.struct(F.lit(name).alias("check_name"), F.round(metric.cast("double"), 6).alias("metric"))) for name, cond, metric in rules]
-    found = F.explode(F.filter(F.array(*entry), lambda x: x.isNotNull())).alias("x")
-    return rows.select("episode_id", "key", found).select("episode_id", "x.check_name", "key", "x.metric")
+def with_states(keys: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Adds ``state``, the length and range of the whole state that observes the key; null without one."""
+    return keys.join(lengths, "episode_id", "left").withColumn("state", F.element_at("lengths", state_key(c("key")))).drop("lengths")
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return safe_div(rms(a, F.lit(1)), rms(b, F.lit(1)))
+FINDING = "metric double, other double, n bigint, at bigint, note string"
+Rule = tuple[str, Column, dict[str, Column]]
 
 
-def general(keys: DataFrame) -> DataFrame:
-    """Findings of the checks that hold for any action key."""
-    ok, arm = c("n_bad") == 0, c("key").isin("joint_position", "joint_velocity", "cartesian_position", "cartesian_velocity")
-    paired = ok & (c("dim") == c("s_dim"))
-    scale = F.greatest(c("s_high") - c("s_low"), F.abs("s_low"), F.abs("s_high"))
-    slack = F.greatest(0.25 * scale, F.lit(0.05))
-    grip = ok & (c("key") == "gripper_position")
-    both = rms(c("aa"), c("n_values")) / F.when(c("ss") > 0, rms(c("ss"), c("n_state_values")))
+def findings_of(rows: DataFrame, rules: list[Rule], category: str | None = None, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, check_name, key, metric, other, n, at, note)`` of the rules that hold, from one pass over ``rows``.
+
+    A rule is a name, a condition and what is told about it. Rules that the configuration of the category turns off are left out.
+    """
+    if category is not None:
+        rules = [r for r in rules if config[category][r[0]]["enabled"]]
+    kinds = [x.split() for x in FINDING.split(", ")]
+
+    def entry(name: str, told: dict[str, Column]) -> Column:
+        values = [told[f].cast(t) if f in told else F.lit(None).cast(t) for f, t in kinds]
+        values = [F.round(v, 6) if t == "double" else v for v, (_, t) in zip(values, kinds)]
+        return F.struct(F.lit(name).alias("check_name"), *(v.alias(f) for v, (f, _) in zip(values, kinds)))
+
+    none = F.array().cast(f"array<struct<check_name:string,{','.join(f'{f}:{t}' for f, t in kinds)}>>")
+    every = F.array(*(F.when(cond, entry(name, told)) for name, cond, told in rules)) if rules else none
+    found = rows.select("episode_id", "key", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("found"))
+    return found.select("episode_id", "found.check_name", "key", *(c(f"found.{f}") for f, _ in kinds))
+
+
+def metrics_of(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """``(episode_id, check_name, key, metric)`` of rules that tell one number."""
+    return findings_of(rows, [(name, cond, {"metric": metric}) for name, cond, metric in rules]).select("episode_id", "check_name", "key", "metric")
+
+
+def ratio_of(a: Column, b: Column, none: float = INF) -> Column:
+    return F.when(b > 0, F.sqrt(a / F.when(b > 0, b))).otherwise(F.lit(none))
+
+
+def delta_rule(threshold: float, values: Column) -> tuple[Column, dict[str, Column]]:
+    """Actions that fit the change to the next state better than the next state itself; over steps that have one."""
+    ratio = ratio_of(c("to_move"), c("to_next"))
+    return (c("n_next") >= 1) & (c("aa_next") > 0) & (ratio < threshold), {"metric": ratio, "other": rms(c("aa_next"), values)}
+
+
+def general(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of the checks that hold for any action key; ``keys`` come with their states (``with_states``)."""
+    own = config["general"]
+    ok, arm = c("n_bad") == 0, c("key").isin(*ARM_KEYS)
+    sound = ok & (c("n_bad_state") == 0)
+    copies, span = c("copies") / F.when(c("n_state") > 0, c("n_state")), c("state_range")
+    slack = own["gripper_range"]["atol"]
+    lo, hi = c("state.low"), c("state.high")
+    scale = F.greatest(hi - lo, F.abs(lo), F.abs(hi))
+    outside = F.greatest(lo - c("low"), c("high") - hi, F.lit(0.0))
+    margin = F.greatest(own["gripper_command_range"]["max_fraction"] * scale, F.lit(own["gripper_command_range"]["min_margin"]))
+    grip = sound & (c("key") == "gripper_position") & (c("dim") == c("s_dim")) & (c("n_state") >= 2)
+    both = ratio_of(c("aa"), c("ss"))
+    residual = ratio_of(c("to_next"), c("aa_next"))
+    is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], c("next_values"))
     return findings_of(keys, [
-        ("constant_action", ok & arm & (c("n") > 1) & (c("changes") == 0), c("first")),
-        ("length_mismatch", (c("n_state") > 0) & (c("n") != c("n_all_states")), c("n") - c("n_all_states")),
-        ("action_copies_state", paired & c("key").isin("joint_position", "cartesian_position") & (c("span") > 1e-6) & (c("copies") >= 0.9 * c("n_state")), c("copies") / c("n_state")),
-        ("gripper_range", ok & (c("key") == "gripper_binary") & ((c("low") < -0.05) | (c("high") > 1.05)), c("high")),
-        ("gripper_command_range", grip & ((c("low") < c("s_low") - slack) | (c("high") > c("s_high") + slack)), c("high")),
-        ("scale_consistency", grip & ((both > 5) | (both < 0.2)), both),
-        ("tracking_residual", paired & arm & (c("aa_next") > 0) & (_ratio(c("to_next"), c("aa_next")) > 0.5), _ratio(c("to_next"), c("aa_next"))),
-        ("delta_detection", paired & arm & (c("aa") > 0) & (c("to_next") > 0) & (_ratio(c("to_move"), c("to_next")) < 0.3), _ratio(c("to_move"), c("to_next"))),
-    ])
-
-
-def joint_position(keys: DataFrame) -> DataFrame:
-    ok = (c("key") == "joint_position") & (c("n_bad") == 0)
-    radians = c("top") <= 6.5
+        ("constant_action", ok & arm & (c("n") >= 2) & (c("changes") == 0), {"metric": c("first"), "other": span, "n": c("n"), "note": state_key(c("key"))}),
+        ("length_mismatch", c("state").isNotNull() & (c("n") != c("state.n")), {"metric": c("n") - c("state.n"), "n": c("n"), "note": state_key(c("key"))}),
+        ("action_copies_state", sound & c("key").isin(*COPY_KEYS) & (c("dim") == c("s_dim")) & (span > own["action_copies_state"]["atol"]) & (copies >= own["action_copies_state"]["min_fraction"]), {"metric": copies, "n": c("n_state")}),
+        ("gripper_range", ok & (c("key") == "gripper_binary") & ((c("low") < -slack) | (c("high") > 1 + slack)), {"metric": c("low"), "other": c("high")}),
+        ("gripper_command_range", ok & (c("key") == "gripper_position") & (c("state.bad") == 0) & (outside > margin), {"metric": outside, "other": margin}),
+        ("scale_consistency", grip & ((both > own["scale_consistency"]["max_ratio"]) | (both < own["scale_consistency"]["min_ratio"])), {"metric": both}),
+        ("tracking_residual", grip & (c("aa_next") > 0) & (residual > own["tracking_residual"]["max_normalized_rms"]), {"metric": residual}),
+        ("delta_detection", grip & is_delta, told),
+    ], "general", config)
+
+
+def joint_position(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of joint positions; widths are compared with the names if there are any."""
+    own = config["joint_position"]
+    mine = c("key") == "joint_position"
+    ok = mine & (c("n_bad") == 0)
+    some = ok & (c("columns") > 0)
+    limit = own["radians"]["max_abs_rad"]
+    state_ok = (c("n_bad_state") == 0) & c("s_top").isNotNull()
+    radians = (c("top") <= limit) if own["radians"]["enabled"] else F.lit(True)
+    unit = lambda x: F.when(x <= limit, "").when(x <= 100.5, "degrees_or_normalized_100").when(x <= 400, "degrees").otherwise("unknown")
+    wrong = F.concat_ws(",", F.when((c("an") > 0) & (c("an") != c("dim")), "action"), F.when((c("sn") > 0) & (c("s_dim") > 0) & (c("sn") != c("s_dim")), "state"),
+                        F.when((c("an") == 0) & (c("sn") == 0) & (c("s_dim") > 0) & (c("s_dim") != c("dim")), "action_vs_state"))
+    tracked = some & (c("n_bad_state") == 0) & (c("n_next") >= 1)
+    is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], c("next_values"))
     return findings_of(keys, [
-        ("dof", (c("key") == "joint_position") & (c("dim") != c("s_dim")), c("dim")),
-        ("normalized_range", ok & (F.abs(c("top") - 1) <= 1e-6), c("top")),
-        ("radians", ok & ((c("top") > 6.5) | (c("s_top") > 6.5)), F.greatest("top", "s_top")),
-        ("step_jump", ok & radians & (c("n_jumps") > 0), c("first_jump")),
-        ("delta_detection", ok & (c("aa") > 0) & (c("to_next") > 0) & (_ratio(c("to_move"), c("to_next")) < 0.3), _ratio(c("to_move"), c("to_next"))),
-        ("tracking", ok & radians & (c("median") > 0.2), c("median")),
-    ])
+        ("dof", ok & (wrong != ""), {"metric": c("dim"), "other": c("s_dim"), "n": c("an"), "note": wrong}),
+        ("gripper_in_joints", ok & (c("an") == c("dim")) & (c("grippers") > 0), {"n": c("grippers")}),
+        ("normalized_range", some & (F.abs(c("top") - 1) <= MATCH), {"metric": c("top")}),
+        ("radians", some & ((c("top") > limit) | (state_ok & (c("s_top") > limit))), {"metric": c("top"), "other": F.when(state_ok, c("s_top")), "note": F.concat_ws("/", unit(c("top")), F.when(state_ok, unit(c("s_top"))))}),
+        ("step_jump", some & radians & (c("n") >= 2) & (c("n_jumps") > 0), {"metric": c("top_jump"), "other": c("hz"), "n": c("n_jumps"), "at": c("first_jump")}),
+        ("delta_detection", tracked & is_delta, told),
+        ("tracking", tracked & radians & (c("median") > own["tracking"]["max_median_error_rad"]), {"metric": c("median")}),
+    ], "joint_position", config)
+
+
+def jumping_joints(cell: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, d, n, first_step, top)`` of joints that move too far in a step, where the joints are in radians."""
+    own = config["joint_position"]
+    rows = cell.where("key = 'joint_position' and not out")
+    whole = Window.partitionBy("episode_id")
+    rows = rows.withColumn("bad", F.sum("n_bad").over(whole)).withColumn("all_top", F.max("top").over(whole))
+    rows = rows.where((c("bad") == 0) & (c("all_top") <= own["radians"]["max_abs_rad"]) & (c("n_jumps") > 0))
+    return rows.select("episode_id", c("d").cast("long").alias("d"), c("n_jumps").alias("n"), c("first_jump").alias("first_step"), F.round("top_jump", 6).alias("top"))
 
 
 def worst_joints(cell: DataFrame, most: int = 3) -> DataFrame:
     """``(episode_id, rank, d, median)``: the joints that follow worst; of equal ones the higher joint first."""
     w = Window.partitionBy("episode_id").orderBy(c("median").desc(), c("d").desc())
-    rows = cell.where("key = 'joint_position' and n_bad = 0 and n_next > 0").withColumn("rank", F.row_number().over(w)).where(c("rank") <= most)
+    rows = cell.where("key = 'joint_position' and n_bad = 0 and n_next > 0 and not out").withColumn("rank", F.row_number().over(w)).where(c("rank") <= most)
     return rows.select("episode_id", "rank", c("d").cast("long").alias("d"), F.round("median", 6).alias("median"))
 
 
-def joint_velocity(keys: DataFrame) -> DataFrame:
-    """Findings of joint velocities; the lag with the higher correlation counts, no lag at a tie."""
-    ok = (c("key") == "joint_velocity") & (c("n_bad") == 0)
-    r = F.greatest(F.coalesce("r0", F.lit(-2.0)), F.coalesce("r1", F.lit(-2.0)))
-    ratio = F.sqrt(safe_div(c("pp"), c("mm"), INF))
-    moved = c("span") >= 0.2
-    return findings_of(keys, [
-        ("speed_limit", ok & (c("top") > 3.14), c("top")),
-        ("normalized_range", ok & (F.abs(c("top") - 1) <= 1e-6), c("top")),
-        ("smoothness", ok & (c("pairs") > 0) & (c("flips") > 0.3 * c("pairs")), c("flips") / F.when(c("pairs") > 0, c("pairs"))),
-        ("looks_like_position", ok & (c("nn") > 0) & (_ratio(c("to_next"), c("nn")) < 0.2), _ratio(c("to_next"), c("nn"))),
-        ("tracking_ratio", ok & moved & ((ratio > 8) | (ratio < 0.25)), ratio),
-        ("tracking_correlation", ok & moved & ~(r >= 0.3), F.when(r > -2, r)),
-    ])
+def correlation(k: int) -> Column:
+    """Correlation from the pooled sums of a lag; null of fewer than two pairs or where a side is constant."""
+    n = c(f"n{k}")
+    vx, vy = n * c(f"xx{k}") - c(f"x{k}") * c(f"x{k}"), n * c(f"yy{k}") - c(f"y{k}") * c(f"y{k}")
+    moves = (vx > 1e-12 * n * c(f"xx{k}")) & (vy > 1e-12 * n * c(f"yy{k}"))
+    return F.when((n >= 2) & moves, (n * c(f"xy{k}") - c(f"x{k}") * c(f"y{k}")) / F.sqrt(F.when(moves, vx) * F.when(moves, vy)))
+
 
+def integration(rows: DataFrame, columns: Column, own: dict[str, object]) -> DataFrame:
+    """Adds ``lag``, ``r``, ``ratio``, ``exact``, ``reasons`` and ``suspected``: how commanded motion per step fits the state's motion.
 
-def command_rate(steps: DataFrame, episodes: DataFrame) -> DataFrame:
-    """``(episode_id, key, period, share, effective_hz)`` of keys whose commands are mostly held for several steps.
+    ``rows`` have pooled sums of no lag and of one step over so many ``columns``; the lag with the higher correlation
+    counts, no lag at a tie.
+    """
+    rows = rows.withColumn("r_0", correlation(0)).withColumn("r_1", correlation(1))
+    usable = lambda k: c(f"n{k}") >= 2 * columns
+    later = usable(1) & (~F.coalesce(usable(0), F.lit(False)) | (F.coalesce("r_1", F.lit(-2.0)) > F.coalesce("r_0", F.lit(-2.0))))
+    pick = lambda x: F.when(c("lag") == 1, c(f"{x}1")).otherwise(c(f"{x}0"))
+    rows = rows.withColumn("lag", F.when(later, 1).otherwise(0)).withColumn("r", F.when(c("lag") == 1, c("r_1")).otherwise(c("r_0")))
+    rows = rows.withColumn("ratio", ratio_of(pick("xx"), pick("yy"))).withColumn("exact", (pick("yy") > 0) & (pick("dd") <= MATCH**2 * pick("yy")))
+    known = c("ratio") < INF
+    reasons = F.concat_ws(",", F.when(c("exact"), "copies_state_motion"), F.when(known & (c("ratio") > own["max_ratio"]), "too_large"), F.when(known & (c("ratio") < own["min_ratio"]), "too_small"),
+                          F.when(~c("exact") & ~F.coalesce(c("r") >= own["min_correlation"], F.lit(False)), "doesnt_match_state_motion"))
+    guess = F.when(known & (c("ratio") > 0), F.when(F.abs(F.ln(c("ratio") / math.degrees(1.0))) < math.log(2), "deg_per_s").when(F.abs(F.ln(c("ratio") * c("hz"))) < math.log(2), "per_step_delta"))
+    return rows.withColumn("reasons", reasons).withColumn("suspected", guess).withColumn("usable", F.coalesce(usable(0) | usable(1), F.lit(False)))
+
+
+def joint_velocity(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of joint velocities; what needs a rate is left out without one."""
+    own = config["joint_velocity"]
+    ok = (c("key") == "joint_velocity") & (c("n_bad") == 0)
+    state = ok & (c("n_bad_state") == 0) & (c("n_state") >= 3)
+    rate, match = c("flips") / F.when(c("pairs") > 0, c("pairs")), ratio_of(c("to_next"), c("nn"))
+    rows = integration(keys, c("columns"), own["tracking"])
+    return findings_of(rows, [
+        ("dof", ok & (c("an") > 0) & (c("an") != c("dim")), {"metric": c("dim"), "n": c("an")}),
+        ("speed_limit", ok & (c("top") > own["speed_limit"]["max_joint_speed_rad_s"]), {"metric": c("top")}),
+        ("normalized_range", ok & (F.abs(c("top") - 1) <= MATCH), {"metric": c("top")}),
+        ("smoothness", ok & (rate > own["smoothness"]["max_sign_flip_rate"]), {"metric": rate, "n": c("flips")}),
+        ("looks_like_position", state & (match < own["looks_like_position"]["max_position_match"]), {"metric": match}),
+        ("tracking", state & c("hz").isNotNull() & (c("span") >= own["tracking"]["min_motion_rad"]) & (c("reasons") != ""), {"metric": F.when(c("ratio") < INF, c("ratio")), "other": c("r"), "n": c("lag"), "note": F.concat_ws(";", "reasons", "suspected")}),
+    ], "joint_velocity", config)
+
+
+def command_rate(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, key, period, share, n_holds, effective_hz)`` of keys whose commands are mostly held for several steps.
 
     Runs between changes count, the first from step 0, the last not at all; of equally frequent lengths the smallest.
+    The rate is null where the episode has none.
     """
-    rows = aligned(steps).where(c("key").isin("joint_position", "joint_velocity", "cartesian_position", "cartesian_velocity"))
-    change = F.exists(F.arrays_zip("a", "a_prev"), lambda x: F.abs(x["a"] - x["a_prev"]) > 1e-9)
-    at = rows.where(change).select("episode_id", "key", "t")
+    own = config["general"]["command_rate"]
+    rows = aligned(steps, ARM_KEYS)
+    bad = F.max(F.exists("a", lambda v: ~finite(v))).over(Window.partitionBy("episode_id", "key"))
+    change = F.exists(F.zip_with("a", "a_prev", lambda x, y: F.abs(x - y) > own["atol"]), lambda v: v)
+    at = rows.withColumn("bad", bad).where(~c("bad") & change).select("episode_id", "key", "t")
     w = Window.partitionBy("episode_id", "key").orderBy("t")
     runs = at.select("episode_id", "key", (c("t") - F.coalesce(F.lag("t").over(w), F.lit(0))).alias("period"))
     counts = runs.groupBy("episode_id", "key", "period").agg(F.count(F.lit(1)).alias("k"))
     all_of = Window.partitionBy("episode_id", "key")
     ranked = counts.withColumn("total", F.sum("k").over(all_of)).withColumn("rank", F.row_number().over(all_of.orderBy(c("k").desc(), "period")))
-    modal = ranked.where("rank = 1 and total >= 10 and period >= 2 and k >= 0.8 * total")
-    modal = modal.join(F.broadcast(episodes.select("episode_id", F.expr("10D * (1 + episode_id % 3)").alias("hz"))), "episode_id")
-    return modal.select("episode_id", "key", "period", F.round(c("k") / c("total"), 6).alias("share"), F.round(c("hz") / c("period"), 6).alias("effective_hz"))
+    modal = ranked.where((c("rank") == 1) & (c("total") >= own["min_holds"]) & (c("period") >= 2) & (c("k") >= own["min_fraction"] * c("total")))
+    modal = rated(modal, episodes)
+    return modal.select("episode_id", "key", "period", F.round(c("k") / c("total"), 6).alias("share"), c("total").alias("n_holds"), F.round(c("hz") / c("period"), 6).alias("effective_hz"))
 
 
 def duplicate_pairs(steps: DataFrame, atol: float = 1e-9) -> DataFrame:
@@ -174,19 +326,11 @@ def missing_keys(steps: DataFrame) -> DataFrame:
 def skips(keys: DataFrame) -> DataFrame:
     """``(episode_id, key, reason)`` of action keys that checks pass over."""
     reason = [
-        F.when(c("n_bad") > 0, F.lit("non_finite_values")), F.when(c("n") < 2, F.lit("too_short")), F.when(c("n_state") == 0, F.lit("no_matching_state")),
-        F.when((c("n_state") > 0) & (c("dim") != c("s_dim")), F.lit("feature_dim_mismatch")), F.when(c("span") <= 1e-6, F.lit("state_static")),
+        F.when(c("n_bad") > 0, F.lit("non_finite_values")), F.when(c("n") < 2, F.lit("too_short")), F.when(c("state").isNull(), F.lit("no_matching_state")),
+        F.when(c("state").isNotNull() & (c("dim") != c("s_dim")), F.lit("feature_dim_mismatch")), F.when(c("state_range") <= 1e-6, F.lit("state_static")), F.when(c("hz").isNull(), F.lit("no_control_freq")),
     ]
     return keys.select("episode_id", "key", F.explode(F.filter(F.array(*reason), lambda x: x.isNotNull())).alias("reason"))
 
 
-def with_state_lengths(keys: DataFrame, steps: DataFrame) -> DataFrame:
-    """Adds ``n_all_states``, the number of steps of the state that observes the key."""
-    from tendon.functions.alignment import state_key
-
-    lengths = steps.where("grp = 'state'").groupBy("episode_id", c("key").alias("state_key")).agg(F.count(F.lit(1)).alias("n_all_states"))
-    return keys.withColumn("state_key", state_key(c("key"))).join(lengths, ["episode_id", "state_key"], "left").drop("state_key")
-
-
 def union_all(*found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

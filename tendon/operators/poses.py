@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tendon.functions.alignment import aligned
 from tendon.functions.columns import dot, max_abs, minus, norm, pearson, quat_angle, sum_sq
 from tendon.functions.rotations import conjugate, product, rotated_back, rotation_vector
-from tendon.operators.motion import findings_of
+from tendon.operators.motion import metrics_of as findings_of
 
 c = F.col
 

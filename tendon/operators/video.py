@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.functions.columns import safe_div
-from tendon.operators.motion import findings_of
+from tendon.operators.motion import metrics_of
 
 c = F.col
 
@@ -59,7 +59,7 @@ def containers(videos: DataFrame, episodes: DataFrame) -> DataFrame:
     wanted = safe_div(c("trajectory_length").cast("double"), rate)
     seconds = c("decoded_frames") / c("fps")
     short = F.least("width", "height")
-    return findings_of(rows, [
+    return metrics_of(rows, [
         ("decoding", ~c("file_exists") | (c("decoded_frames") == 0) | (c("returncode") != 0) | (F.abs(c("decoded_frames") - c("frame_count")) > 1), c("decoded_frames")),
         ("resolution", (short > 0) & (short < 360), short),
         ("fps", good & (F.abs(c("fps") - rate) > 0.05 * rate), c("fps")),

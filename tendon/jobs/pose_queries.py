@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendon.functions.rotations import to_quaternion
-from tendon.jobs.motion_queries import ALIGNED
+from tendon.jobs.motion_queries import ALIGNED, told
 from tendon.operators import poses
+from tendon.operators.config import with_overrides
 from tendon.sources import episodes as src
 
 
+_ASIDE = "transform(vals, (v, i) -> v + CASE WHEN i = 1 THEN 1D ELSE 0D END)"
+OVERRIDES = {"cartesian_position": {"quaternion_sign_flip": {"enabled": True}, "quaternion_scalar_order": {"enabled": True}}}
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most two-armed episodes have a second arm beside the first; the commands of some have their arms swapped."""
+    two = "key LIKE 'cartesian%' AND episode_id % 4 = 1 AND episode_id % 6 <> 5"
+    swap = "grp = 'action' AND key = 'cartesian_position' AND episode_id % 8 = 1"
+    both = F.expr(f"CASE WHEN {two} THEN CASE WHEN {swap} THEN concat({_ASIDE}, vals) WHEN key = 'cartesian_velocity' THEN concat(vals, vals) ELSE concat(vals, {_ASIDE}) END ELSE vals END")
+    return src.steps(spark, sf_dir).withColumn("vals", both)
+
+
 def cartesian_position_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.cartesian_position(src.steps(spark, sf_dir))
+    """With the checks on quaternions that are off by default."""
+    return poses.cartesian_position(_steps(spark, sf_dir), src.episodes(spark, sf_dir), with_overrides(OVERRIDES))
+
+
+def pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poses.pose_errors(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
 
 
 def cartesian_velocity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.cartesian_velocity(src.steps(spark, sf_dir))
+    return poses.cartesian_velocity(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
 
 
 def velocity_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.velocity_tracking(src.steps(spark, sf_dir))
+    return poses.velocity_tracking(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
 
 
 def biarm_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both arms' states are those of one arm here, the second moved aside; odd episodes have their arms swapped."""
-    rows = src.steps(spark, sf_dir).where("key = 'cartesian_position' and (episode_id * 3 + 1) % 9 not in (1, 6, 7, 8)")
-    aside = F.transform("vals", lambda v, i: v + F.when(i == 1, 1.0).otherwise(0.0))
-    swap = (F.col("grp") == "action") & (F.col("episode_id") % 2 == 1)
-    both = F.when(swap, F.concat(aside, F.col("vals"))).otherwise(F.concat(F.col("vals"), aside))
-    return poses.biarm_ordering(rows.withColumn("vals", both))
+    return poses.biarm_ordering(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
 
 
 def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,44 +54,65 @@ def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "x.kind", *(F.round(F.element_at("x.q", i + 1), 6).alias(a) for i, a in enumerate(("qx", "qy", "qz", "qw"))))
 
 
-_ARM = f"""{src.as_cte("steps")}, {ALIGNED},
-  ar AS (SELECT episode_id, t, hz, len(a) AS width, a[1:3] AS p, CASE WHEN len(a) >= 7 THEN a[4:7] END AS q, CASE WHEN len(a_prev) >= 7 THEN a_prev[4:7] END AS qp, s[1:3] AS sp, s_next[1:3] AS np,
-      CASE WHEN len(s_next) >= 7 THEN s_next[4:7] END AS nq FROM al WHERE key = 'cartesian_position'),
-  n AS (SELECT *, sqrt(list_sum(list_transform(q, lambda v: v * v))) AS n, (q[1] * qp[1] + q[2] * qp[2] + q[3] * qp[3] + q[4] * qp[4]) AS dp,
-      CASE WHEN q IS NOT NULL AND qp IS NOT NULL THEN degrees(2 * acos(least(greatest(abs((q[1] * qp[1] + q[2] * qp[2] + q[3] * qp[3] + q[4] * qp[4])) / (sqrt((q[1] * q[1] + q[2] * q[2] + q[3] * q[3] + q[4] * q[4])) * sqrt((qp[1] * qp[1] + qp[2] * qp[2] + qp[3] * qp[3] + qp[4] * qp[4]))), -1), 1))) END AS angle,
-      CASE WHEN q IS NOT NULL AND nq IS NOT NULL THEN degrees(2 * acos(least(greatest(abs((q[1] * nq[1] + q[2] * nq[2] + q[3] * nq[3] + q[4] * nq[4])) / (sqrt((q[1] * q[1] + q[2] * q[2] + q[3] * q[3] + q[4] * q[4])) * sqrt((nq[1] * nq[1] + nq[2] * nq[2] + nq[3] * nq[3] + nq[4] * nq[4]))), -1), 1))) END AS turned,
-      sqrt((p[1] - np[1]) ** 2 + (p[2] - np[2]) ** 2 + (p[3] - np[3]) ** 2) AS far,
-      (p[1] - np[1] + sp[1]) ** 2 + (p[2] - np[2] + sp[2]) ** 2 + (p[3] - np[3] + sp[3]) ** 2 AS mv FROM ar),
-  m AS (SELECT episode_id, max(width) AS width, count(*) FILTER (abs(n - 1) > 1e-3) AS n_off, max(n) FILTER (abs(n - 1) > 1e-3) AS most, max(greatest(abs(p[1]), abs(p[2]), abs(p[3]))) AS top,
-      max(greatest(abs(sp[1]), abs(sp[2]), abs(sp[3]))) AS s_top, count(*) FILTER (dp < 0) AS flips, min(t - 1) FILTER (dp < 0) AS first_flip, count(*) FILTER (angle > 360 / hz) AS n_jumps,
-      avg(abs(q[1])) - stddev_pop(q[1]) AS fs, avg(abs(q[4])) - stddev_pop(q[4]) AS ls, sum(p[1] ** 2 + p[2] ** 2 + p[3] ** 2) AS pp, sum(sp[1] ** 2 + sp[2] ** 2 + sp[3] ** 2) AS ss,
-      sum(far ** 2) AS tn, sum(mv) AS tm, quantile_cont(far, 0.5) AS mf, quantile_cont(turned, 0.5) AS mt FROM n GROUP BY episode_id)"""
+_SQ = lambda v: f"list_sum(list_transform({v}, lambda x: x * x))"
+_GAP = lambda a, b: f"(({a}[1] - {b}[1]) ** 2 + ({a}[2] - {b}[2]) ** 2 + ({a}[3] - {b}[3]) ** 2)"
+_DOT = lambda a, b: f"({a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3] + {a}[4] * {b}[4])"
+_ANGLE = lambda a, b: f"degrees(2 * acos(least(abs({_DOT(a, b)}) / sqrt({_DOT(a, a)} * {_DOT(b, b)}), 1)))"
+_TWO = """WITH steps AS (SELECT episode_id, grp, key, t, CASE WHEN key LIKE 'cartesian%' AND episode_id % 4 = 1 AND episode_id % 6 <> 5 THEN
+      CASE WHEN grp = 'action' AND key = 'cartesian_position' AND episode_id % 8 = 1 THEN list_concat(list_transform(vals, lambda v, i: v + CASE WHEN i = 2 THEN 1e0 ELSE 0e0 END), vals)
+        WHEN key = 'cartesian_velocity' THEN list_concat(vals, vals) ELSE list_concat(vals, list_transform(vals, lambda v, i: v + CASE WHEN i = 2 THEN 1e0 ELSE 0e0 END)) END ELSE vals END AS vals FROM steps0)"""
+_BASE = src.as_cte("episodes", "steps").replace(", steps AS (", ", steps0 AS (") + ", " + _TWO.removeprefix("WITH ") + f", {ALIGNED}"
+_POSE = f"""{_BASE}, pr AS (SELECT al.*, CASE WHEN is_biarm THEN 2 ELSE 1 END AS arms, bool_or(len(list_filter(a, lambda v: NOT isfinite(v))) > 0) OVER (PARTITION BY episode_id) AS bad FROM al JOIN episodes USING (episode_id) WHERE key = 'KEY'),
+  ar AS (SELECT *, unnest(range(0, arms)) AS arm, len(s) // arms AS st FROM pr WHERE len(a) = WIDE * arms AND NOT bad),
+  pt AS (SELECT episode_id, t, arm, arms, hz, a[WIDE * arm + 1:WIDE * arm + WIDE] AS own, a_prev[WIDE * arm + 1:WIDE * arm + WIDE] AS prv, s[st * arm + 1:st * arm + 3] AS sp, s[st * arm + 4:st * arm + 7] AS sq,
+    CASE WHEN more THEN s_next[st * arm + 1:st * arm + 3] END AS np, CASE WHEN more THEN s_next[st * arm + 4:st * arm + 7] END AS nq FROM ar)"""
+_ARM = _POSE.replace("KEY", "cartesian_position").replace("WIDE", "7") + f""",
+  n0 AS (SELECT *, own[1:3] AS p, own[4:7] AS q, CASE WHEN len(prv) = 7 THEN prv[4:7] END AS qp, sqrt({_DOT("own[4:7]", "own[4:7]")}) AS n FROM pt),
+  n1 AS (SELECT *, bool_or(n = 0) OVER (PARTITION BY episode_id) AS zero, CASE WHEN qp IS NOT NULL AND n > 0 THEN {_ANGLE("qp", "q")} END AS angle, CASE WHEN nq IS NOT NULL AND n > 0 THEN {_ANGLE("q", "nq")} END AS turned,
+    CASE WHEN np IS NOT NULL THEN sqrt({_GAP("p", "np")}) END AS far, CASE WHEN qp IS NOT NULL THEN {_DOT("qp", "q")} END AS dp, (p[1] - np[1] + sp[1]) ** 2 + (p[2] - np[2] + sp[2]) ** 2 + (p[3] - np[3] + sp[3]) ** 2 AS mv FROM n0),
+  m AS (SELECT episode_id, arm, max(arms) AS arms, max(hz) AS hz, count(*) AS steps, bool_or(zero) AS zero, count(*) FILTER (abs(n - 1) > 1e-3) AS n_off, min(n) FILTER (abs(n - 1) > 1e-3) AS least, max(n) FILTER (abs(n - 1) > 1e-3) AS most,
+      count(*) FILTER (dp < 0) AS flips, min(t - 1) FILTER (dp < 0) AS first_flip, count(*) FILTER (angle > 360 / hz) AS n_jumps, min(t - 1) FILTER (angle > 360 / hz) AS first_jump, max(angle) AS top_angle,
+      avg(abs(q[1] / n)) - stddev_pop(q[1] / n) AS fs, avg(abs(q[4] / n)) - stddev_pop(q[4] / n) AS ls, quantile_cont(far, 0.5) AS median_far, avg(far) AS mean_far, max(far) AS most_far, quantile_cont(turned, 0.5) AS median_turned,
+      avg(turned) AS mean_turned, max(turned) AS most_turned, max(greatest(abs(p[1]), abs(p[2]), abs(p[3]))) AS top, max(greatest(abs(sp[1]), abs(sp[2]), abs(sp[3]))) AS s_top, sum({_SQ("p")}) FILTER (sp IS NOT NULL) AS pp, sum({_SQ("sp")}) AS ss,
+      sum({_SQ("p")}) FILTER (np IS NOT NULL) AS aa_next, sum(far ** 2) AS to_next, sum(mv) AS to_move, count(far) AS n_next, (arm + 1)::VARCHAR AS key FROM n1 GROUP BY episode_id, arm),
+  w0 AS (SELECT episode_id, sum(pp) AS pp, sum(ss) AS ss, sum(aa_next) AS aa_next, sum(to_next) AS to_next, sum(to_move) AS to_move, sum(n_next) AS n_next, max(top) AS top, max(s_top) AS s_top FROM m GROUP BY episode_id HAVING max(steps) >= 2),
+  w1 AS (SELECT *, CASE WHEN ss > 0 THEN sqrt(pp / ss) END AS ratio FROM w0),
+  w AS (SELECT *, top > 3 AS far, coalesce(s_top > 3, false) AS s_far, coalesce(ratio > 10, false) AS scale FROM w1),
+  sh AS (SELECT episode_id, bool_or(bad) AS bad, bool_and(len(a) = 7 * arms) AS fits, max(len(a)) AS width, max(arms) AS arms FROM pr GROUP BY episode_id)"""
+_REACH = lambda x: f"""CASE WHEN {x} BETWEEN 20 AND 150 AND NOT ({x} BETWEEN 200 AND 1500 AND abs(ln({x} / 100 / sqrt(0.3e0))) > abs(ln({x} / 1000 / sqrt(0.3e0)))) THEN 'cm' WHEN {x} BETWEEN 200 AND 1500 THEN 'mm' ELSE 'unknown' END"""
+_NOTE = f"""concat_ws(';', concat_ws(',', CASE WHEN far THEN 'action_out_of_range' END, CASE WHEN s_far THEN 'state_out_of_range' END, CASE WHEN scale THEN 'action_state_scale_mismatch' END),
+    CASE WHEN far OR scale THEN CASE WHEN NOT s_far AND ratio IS NOT NULL THEN CASE WHEN abs(log10(ratio / 100)) < 0.5e0 THEN 'cm' WHEN abs(log10(ratio / 1000)) < 0.5e0 THEN 'mm' ELSE 'unknown' END ELSE {_REACH("top")} END END, CASE WHEN s_far THEN {_REACH("s_top")} END)"""
+_TO = "CASE WHEN to_next > 0 THEN sqrt(to_move / to_next) END"
+_VEL = _POSE.replace("KEY", "cartesian_velocity").replace("WIDE", "6") + f""",
+  ce AS (SELECT episode_id, arm, own[d] AS v, prv[d] AS b, sqrt(avg(own[d] ** 2) OVER (PARTITION BY episode_id, arm, d)) AS sc FROM (SELECT *, unnest(range(1, 7)) AS d FROM pt)),
+  fl AS (SELECT episode_id, count(*) FILTER (abs(v) > 0.1e0 * sc AND abs(b) > 0.1e0 * sc) AS pairs, count(*) FILTER (abs(v) > 0.1e0 * sc AND abs(b) > 0.1e0 * sc AND sign(v) <> sign(b)) AS flips FROM ce GROUP BY episode_id),
+  v0 AS (SELECT episode_id, max(sqrt({_SQ("own[1:3]")})) AS linear, max(sqrt({_SQ("own[4:6]")})) AS angular, max(list_max(list_transform(own, lambda x: abs(x)))) AS top, sum({_GAP("own", "np")}) FILTER (np IS NOT NULL) AS tn, sum({_SQ("np")}) AS nn,
+    count(sp) / max(arms) AS n_state FROM pt GROUP BY episode_id), v AS (SELECT * FROM v0 JOIN fl USING (episode_id)),
+  sh AS (SELECT episode_id, bool_or(bad) AS bad, bool_and(len(a) = 6 * arms) AS fits, max(len(a)) AS width, max(arms) AS arms FROM pr GROUP BY episode_id)"""
 
 QUERIES = {
     "cartesian_position_checks": cartesian_position_checks,
+    "pose_errors": pose_errors,
     "cartesian_velocity_checks": cartesian_velocity_checks,
     "velocity_tracking": velocity_tracking,
     "biarm_ordering": biarm_ordering,
     "orientations": orientations,
 }
 ORACLE_SQL = {
-    "cartesian_position_checks": _ARM + " " + " UNION ALL ".join(
-        f"SELECT episode_id, '{n}' AS check_name, '0' AS key, round(CAST({m} AS DOUBLE), 6) AS metric FROM m WHERE {w}" for n, w, m in [
-            ("quaternion_shape", "width NOT IN (7, 14) OR n_off > 0", "most"), ("normalized_range", "abs(top - 1) <= 1e-6", "top"), ("quaternion_sign_flip", "width IN (7, 14) AND flips > 0", "first_flip"),
-            ("rotation_jump", "width IN (7, 14) AND n_jumps > 0", "n_jumps"), ("quaternion_scalar_order", "width IN (7, 14) AND fs > ls", "fs"),
-            ("position_units", "top > 3 OR s_top > 3 OR sqrt(pp / ss) > 10", "sqrt(pp / ss)"), ("delta_detection", "width IN (7, 14) AND sqrt(tm / tn) < 0.3e0", "sqrt(tm / tn)"),
-            ("pose_tracking", "width IN (7, 14) AND (mf > 0.1e0 OR mt > 20)", "mf")]),
-    "cartesian_velocity_checks": f"""{src.as_cte("steps")}, {ALIGNED},
-      v AS (SELECT episode_id, max(len(a)) AS width, max(sqrt(a[1] ** 2 + a[2] ** 2 + a[3] ** 2)) AS linear, max(sqrt(a[4] ** 2 + a[5] ** 2 + coalesce(a[6], 0) ** 2)) AS angular,
-        max(list_max(list_transform(a, lambda x: abs(x)))) AS top, sum((a[1] - s_next[1]) ** 2 + (a[2] - s_next[2]) ** 2 + (a[3] - s_next[3]) ** 2) AS tn,
-        sum(s_next[1] ** 2 + s_next[2] ** 2 + s_next[3] ** 2) AS nn FROM al WHERE key = 'cartesian_velocity' GROUP BY episode_id) """ + " UNION ALL ".join(
-        f"SELECT episode_id, '{n}' AS check_name, 'cartesian_velocity' AS key, round(CAST({m} AS DOUBLE), 6) AS metric FROM v WHERE {w}" for n, w, m in [
-            ("shape", "width <> 6", "width"), ("speed_limit", "width = 6 AND (linear > 2 OR angular > 6.28e0)", "greatest(linear, angular)"),
-            ("normalized_range", "width = 6 AND abs(top - 1) <= 1e-6", "top"), ("looks_like_position", "width = 6 AND sqrt(tn / nn) < 0.2e0", "sqrt(tn / nn)")]),
-    "biarm_ordering": f"""{src.as_cte("steps")}, {ALIGNED},
-      g AS (SELECT episode_id, episode_id % 2 = 1 AS sw, (a[1] - s_next[1]) ** 2 + (a[2] - s_next[2]) ** 2 + (a[3] - s_next[3]) ** 2 AS same,
-          (a[1] - s_next[1]) ** 2 + (a[2] + 1 - s_next[2]) ** 2 + (a[3] - s_next[3]) ** 2 + (a[1] - s_next[1]) ** 2 + (a[2] - s_next[2] - 1) ** 2 + (a[3] - s_next[3]) ** 2 AS crossed
-        FROM al WHERE key = 'cartesian_position' AND (episode_id * 3 + 1) % 9 NOT IN (1, 6, 7, 8)),
-      r AS (SELECT episode_id, sqrt(CASE WHEN any_value(sw) THEN 2 * sum(same) / sum(crossed) ELSE sum(crossed) / (2 * sum(same)) END) AS ratio FROM g GROUP BY episode_id)
-      SELECT episode_id, round(ratio, 6) AS ratio FROM r WHERE ratio < 0.5e0""",
+    "cartesian_position_checks": _ARM + told("m", [
+        ("quaternion_shape", "n_off > 0", {"metric": "least", "other": "most", "n": "n_off", "note": "'bad_quaternion_norm'"}), ("quaternion_sign_flip", "steps >= 2 AND NOT zero AND flips > 0", {"n": "flips", "at": "first_flip"}),
+        ("rotation_jump", "steps >= 2 AND NOT zero AND n_jumps > 0", {"metric": "top_angle", "other": "hz", "n": "n_jumps", "at": "first_jump"}),
+        ("quaternion_scalar_order", "steps >= 2 AND NOT zero AND fs > ls", {"metric": "fs", "other": "ls"}),
+        ("pose_tracking", "steps >= 2 AND NOT zero AND (median_far > 0.1e0 OR median_turned > 20)", {"metric": "median_far", "other": "median_turned"})])
+      + " UNION ALL " + told("sh", [("quaternion_shape", "NOT bad AND NOT fits", {"metric": "width", "other": "7 * arms", "note": "'wrong_dim'"})], "'cartesian_position'")
+      + " UNION ALL " + told("w", [("normalized_range", "abs(top - 1) <= 1e-6", {"metric": "top"}), ("position_units", "far OR s_far OR scale", {"metric": "top", "other": "ratio", "note": _NOTE}),
+        ("delta_detection", f"n_next >= 1 AND aa_next > 0 AND {_TO} < 0.3e0", {"metric": _TO, "other": "sqrt(aa_next / (3 * n_next))"})], "'cartesian_position'"),
+    "pose_errors": _ARM + " SELECT episode_id, arm + 1 AS arm, " + ", ".join(f"round({k}_{x}, 6) AS {k}_{x}" for x in ("far", "turned") for k in ("median", "mean", "most")) + " FROM m",
+    "cartesian_velocity_checks": _VEL + told("v", [
+        ("speed_limit", "linear > 2 OR angular > 6.28e0", {"metric": "linear", "other": "angular"}), ("normalized_range", "abs(top - 1) <= 1e-6", {"metric": "top"}),
+        ("smoothness", "pairs > 0 AND flips / pairs > 0.3e0", {"metric": "flips / pairs", "n": "flips"}), ("looks_like_position", "n_state >= 3 AND nn > 0 AND sqrt(tn / nn) < 0.2e0", {"metric": "sqrt(tn / nn)"})], "'cartesian_velocity'")
+      + " UNION ALL " + told("sh", [("shape", "NOT bad AND NOT fits", {"metric": "width", "other": "6 * arms"})], "'cartesian_velocity'"),
+    "biarm_ordering": _POSE.replace("KEY", "cartesian_position").replace("WIDE", "7") + f""", g AS (SELECT episode_id, a, s_next AS x, len(s) // 2 AS st FROM pr WHERE arms = 2 AND len(a) = 14 AND NOT bad AND more AND s_next IS NOT NULL AND len(s) % 2 = 0),
+      r AS (SELECT episode_id, sum({_GAP("a[1:3]", "x[1:3]")} + {_GAP("a[8:10]", "x[st + 1:st + 3]")}) AS same, sum({_GAP("a[1:3]", "x[st + 1:st + 3]")} + {_GAP("a[8:10]", "x[1:3]")}) AS swapped FROM g GROUP BY episode_id)
+      SELECT episode_id, round(sqrt(swapped / same), 6) AS ratio FROM r WHERE same > 0 AND sqrt(swapped / same) < 0.5e0""",
 }

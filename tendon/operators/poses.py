@@ -1,120 +1,209 @@
-"""Checks of cartesian poses and velocities."""
+"""Checks of cartesian poses and velocities, of one arm or two.
+
+Poses have seven numbers per arm, velocities six; ``episodes`` says whether there are two arms (``is_biarm``), and gives
+the control rate. Arrays of another width, or with values that aren't finite, break the rule on shape and no other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendon.functions.alignment import aligned
-from tendon.functions.columns import dot, max_abs, minus, norm, pearson, quat_angle, sum_sq
+from tendon.functions.alignment import aligned, rated
+from tendon.functions.columns import all_finite, dot, max_abs, minus, norm, quat_angle, sum_sq, total
 from tendon.functions.rotations import conjugate, product, rotated_back, rotation_vector
-from tendon.operators.motion import metrics_of as findings_of
+from tendon.operators.config import DEFAULTS, Config
+from tendon.operators.motion import MATCH, delta_rule, findings_of, integration, ratio_of
 
 c = F.col
-
-
-def arm_steps(steps: DataFrame) -> DataFrame:
-    """``(episode_id, t, arm, hz, width, p, q, q_prev, sp, sq, np, nq)``: poses of each arm, then and next."""
-    rows = aligned(steps).where("key = 'cartesian_position'").withColumn("width", F.size("a"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(c("width") / 7).cast("int") - 1))).alias("arm"))
-    place = lambda x: F.slice(x, 7 * c("arm") + 1, 3)
-    turn = lambda x: F.when(F.size(x) >= 7 * (c("arm") + 1), F.slice(x, 7 * c("arm") + 4, 4))
+POSE, VELOCITY = "cartesian_position", "cartesian_velocity"
+
+
+def pose_rows(steps: DataFrame, episodes: DataFrame, key: str, width: int) -> DataFrame:
+    """Aligned rows with ``arms``, ``fits`` (the action has so many numbers per arm), ``bad`` and ``bad_state`` (whether the
+    array has what isn't finite), and the state's ``stride`` per arm, null if it has no position for each arm."""
+    rows = rated(aligned(steps, (key,)), episodes).join(episodes.select("episode_id", F.when(c("is_biarm"), 2).otherwise(1).alias("arms")), "episode_id")
+    whole = Window.partitionBy("episode_id")
+    rows = rows.withColumn("bad", F.max(~all_finite("a")).over(whole)).withColumn("bad_state", F.coalesce(F.max(~all_finite("s")).over(whole), F.lit(False)))
+    rows = rows.withColumn("s_next", F.when(c("more"), c("s_next"))).withColumn("s_next2", F.when(c("more2"), c("s_next2")))
+    stride = F.when((F.size("s") % c("arms") == 0) & (F.size("s") >= 3 * c("arms")) & ~c("bad_state"), (F.size("s") / c("arms")).cast("int"))
+    return rows.withColumn("fits", F.size("a") == width * c("arms")).withColumn("stride", stride)
+
+
+def each_arm(rows: DataFrame, width: int) -> DataFrame:
+    """Rows by arm: position and quaternion of states then and next; ``own`` is the arm's part of the action."""
+    rows = rows.where("fits and not bad").withColumn("arm", F.explode(F.sequence(F.lit(0), c("arms") - 1)))
+    place = lambda x: F.slice(x, c("arm") * c("stride") + 1, F.lit(3))
+    turn = lambda x: F.when(c("stride") == 7, F.slice(x, c("arm") * c("stride") + 4, F.lit(4)))
+    known = c("stride").isNotNull()
     return rows.select(
-        "episode_id", "t", "arm", F.expr("10D * (1 + episode_id % 3)").alias("hz"), "width", place("a").alias("p"), turn("a").alias("q"), turn("a_prev").alias("q_prev"),
-        place("s").alias("sp"), turn("s").alias("sq"), place("s_next").alias("np"), turn("s_next").alias("nq"), (F.floor(c("width") / 7) > 1).alias("biarm"), "s_next", "a",
+        "episode_id", "t", "arm", "arms", "hz", "more", "more2", F.slice("a", c("arm") * width + 1, F.lit(width)).alias("own"), F.slice("a_prev", c("arm") * width + 1, F.lit(width)).alias("own_prev"),
+        *(F.when(known & c(x).isNotNull(), of(c(x))).alias(n) for x, p, q in (("s", "sp", "sq"), ("s_next", "np", "nq")) for n, of in ((p, place), (q, turn))),
     )
 
 
 def arm_metrics(rows: DataFrame) -> DataFrame:
-    """One row per episode and arm."""
-    n, jump = norm(c("q")), quat_angle(c("q_prev"), c("q"))
-    off = F.abs(n - 1) > 1e-3
-    rows = rows.withColumn("n", n).withColumn("angle", F.when(c("q").isNotNull() & c("q_prev").isNotNull(), jump)).withColumn("far", norm(minus(c("p"), c("np"))))
-    rows = rows.withColumn("turned", F.when(c("q").isNotNull() & c("nq").isNotNull(), quat_angle(c("q"), c("nq"))))
-    first, last = F.element_at(c("q"), 1), F.element_at(c("q"), 4)
+    """One row per episode and arm; angles are null without unit-like quaternions on both sides."""
+    p, q, q_prev = F.slice("own", 1, 3), F.slice("own", 4, 4), F.when(F.size("own_prev") == 7, F.slice("own_prev", 4, 4))
+    rows = rows.withColumn("p", p).withColumn("q", q).withColumn("q_prev", q_prev).withColumn("n", norm(c("q")))
+    rows = rows.withColumn("zero", F.max(c("n") == 0).over(Window.partitionBy("episode_id")))
+    limit = F.lit(DEFAULTS["cartesian_position"]["rotation_jump"]["max_angular_speed_deg_s"])
+    return _arm_metrics(rows, limit, DEFAULTS["cartesian_position"]["quaternion_shape"]["norm_atol"])
+
+
+def _arm_metrics(rows: DataFrame, limit: Column, atol: float) -> DataFrame:
+    turned = lambda a, b: F.when(~c("zero") & a.isNotNull() & b.isNotNull() & (norm(b) > 0), quat_angle(a, b))
+    off = F.abs(c("n") - 1) > atol
+    rows = rows.withColumn("angle", turned(c("q_prev"), c("q"))).withColumn("far", norm(minus(c("p"), c("np")))).withColumn("turned", turned(c("q"), c("nq")))
+    flip, jump = ~c("zero") & (dot(c("q_prev"), c("q")) < 0), c("angle") > limit / c("hz")
+    first, last = F.element_at("q", 1) / F.when(c("n") > 0, c("n")), F.element_at("q", 4) / F.when(c("n") > 0, c("n"))
     return rows.groupBy("episode_id", "arm").agg(
-        F.max("width").alias("width"), F.count_if(off).alias("n_off"), F.min(F.when(off, c("n"))).alias("least"), F.max(F.when(off, c("n"))).alias("most"),
-        F.max(max_abs(c("p"))).alias("top"), F.max(max_abs(c("sp"))).alias("s_top"), F.count_if(dot(c("q_prev"), c("q")) < 0).alias("flips"),
-        F.min(F.when(dot(c("q_prev"), c("q")) < 0, c("t") - 1)).alias("first_flip"), F.count_if(c("angle") > 360 / c("hz")).alias("n_jumps"), F.max("angle").alias("top_angle"),
-        (F.avg(F.abs(first)) - F.stddev_pop(first)).alias("first_steady"), (F.avg(F.abs(last)) - F.stddev_pop(last)).alias("last_steady"),
-        F.sum(sum_sq(c("p"))).alias("pp"), F.sum(sum_sq(c("sp"))).alias("ss"), F.sum(F.pow("far", 2)).alias("to_next"), F.sum(sum_sq(minus(c("p"), minus(c("np"), c("sp"))))).alias("to_move"),
-        F.percentile("far", F.lit(0.5)).alias("median_far"), F.percentile("turned", F.lit(0.5)).alias("median_turned"), F.avg("far").alias("mean_far"), F.max("far").alias("most_far"),
+        F.max("arms").alias("arms"), F.max("hz").alias("hz"), F.count(F.lit(1)).alias("steps"), F.max("zero").alias("zero"), F.count_if(off).alias("n_off"), F.min(F.when(off, c("n"))).alias("least"),
+        F.max(F.when(off, c("n"))).alias("most"), F.count_if(flip).alias("flips"), F.min(F.when(flip, c("t") - 1)).alias("first_flip"), F.count_if(jump).alias("n_jumps"), F.min(F.when(jump, c("t") - 1)).alias("first_jump"),
+        F.max("angle").alias("top_angle"), (F.avg(F.abs(first)) - F.stddev_pop(first)).alias("first_steady"), (F.avg(F.abs(last)) - F.stddev_pop(last)).alias("last_steady"),
+        F.percentile("far", F.lit(0.5)).alias("median_far"), F.avg("far").alias("mean_far"), F.max("far").alias("most_far"), F.percentile("turned", F.lit(0.5)).alias("median_turned"),
+        F.avg("turned").alias("mean_turned"), F.max("turned").alias("most_turned"), F.max(max_abs(c("p"))).alias("top"), F.max(max_abs(c("sp"))).alias("s_top"),
+        F.sum(F.when(c("sp").isNotNull(), sum_sq(c("p")))).alias("pp"), F.sum(sum_sq(c("sp"))).alias("ss"), F.sum(F.when(c("np").isNotNull(), sum_sq(c("p")))).alias("aa_next"), F.sum(F.pow("far", 2)).alias("to_next"),
+        F.sum(sum_sq(minus(c("p"), minus(c("np"), c("sp"))))).alias("to_move"), F.count("far").alias("n_next"),
     )
 
 
-def cartesian_position(steps: DataFrame) -> DataFrame:
-    """Findings of poses, by arm; ``key`` is the arm's number."""
-    rows = arm_metrics(arm_steps(steps)).withColumn("key", c("arm").cast("string"))
-    fits = c("width").isin(7, 14)
-    ratio = F.sqrt(c("pp") / F.when(c("ss") > 0, c("ss")))
-    return findings_of(rows, [
-        ("quaternion_shape", ~fits | (c("n_off") > 0), c("most")),
-        ("normalized_range", F.abs(c("top") - 1) <= 1e-6, c("top")),
-        ("quaternion_sign_flip", fits & (c("flips") > 0), c("first_flip")),
-        ("rotation_jump", fits & (c("n_jumps") > 0), c("n_jumps")),
-        ("quaternion_scalar_order", fits & (c("first_steady") > c("last_steady")), c("first_steady")),
-        ("position_units", (c("top") > 3) | (c("s_top") > 3) | (ratio > 10), ratio),
-        ("delta_detection", fits & (c("to_next") > 0) & (F.sqrt(c("to_move") / F.when(c("to_next") > 0, c("to_next"))) < 0.3), F.sqrt(c("to_move") / F.when(c("to_next") > 0, c("to_next")))),
-        ("pose_tracking", fits & ((c("median_far") > 0.1) | (c("median_turned") > 20)), c("median_far")),
-    ])
-
-
-def biarm_ordering(steps: DataFrame, max_ratio: float = 0.5) -> DataFrame:
+def pose_metrics(steps: DataFrame, episodes: DataFrame) -> DataFrame:
+    return arm_metrics(each_arm(pose_rows(steps, episodes, POSE, 7), 7))
+
+
+def _reach_unit(top: Column, own: dict[str, object]) -> Column:
+    """The unit that puts a distance into an arm's reach; of two, the one nearer to its middle."""
+    lo, hi = own["typical_reach_min_m"], own["typical_reach_max_m"]
+    fits = lambda f: (top / f >= lo) & (top / f <= hi)
+    off = lambda f: F.abs(F.ln(top / f / (lo * hi) ** 0.5))
+    return F.when(fits(100.0) & (~fits(1000.0) | (off(100.0) <= off(1000.0))), "cm").when(fits(1000.0), "mm").otherwise("unknown")
+
+
+def cartesian_position(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of poses: those of an arm have its number as ``key``, from 1; those of the whole episode the action's key."""
+    own = config["cartesian_position"]
+    rows = pose_rows(steps, episodes, POSE, 7)
+    shape = rows.groupBy("episode_id").agg(F.max("bad").alias("bad"), F.min("fits").alias("fits"), F.max(F.size("a")).alias("width"), F.max("arms").alias("arms")).withColumn("key", F.lit(POSE))
+    wrong = findings_of(shape, [("quaternion_shape", ~c("bad") & ~c("fits"), {"metric": c("width"), "other": 7 * c("arms"), "note": F.lit("wrong_dim")})], "cartesian_position", config)
+    arms = arm_metrics(each_arm(rows, 7))
+    some = c("steps") >= 2
+    limits = own["pose_tracking"]
+    of_arms = findings_of(arms.withColumn("key", (c("arm") + 1).cast("string")), [
+        ("quaternion_shape", c("n_off") > 0, {"metric": c("least"), "other": c("most"), "n": c("n_off"), "note": F.lit("bad_quaternion_norm")}),
+        ("quaternion_sign_flip", some & (c("flips") > 0), {"n": c("flips"), "at": c("first_flip")}),
+        ("rotation_jump", some & (c("n_jumps") > 0), {"metric": c("top_angle"), "other": c("hz"), "n": c("n_jumps"), "at": c("first_jump")}),
+        ("quaternion_scalar_order", some & ~c("zero") & (c("first_steady") > c("last_steady")), {"metric": c("first_steady"), "other": c("last_steady")}),
+        ("pose_tracking", some & ~c("zero") & ((c("median_far") > limits["max_median_position_error_m"]) | (c("median_turned") > limits["max_median_orientation_error_deg"])), {"metric": c("median_far"), "other": c("median_turned")}),
+    ], "cartesian_position", config)
+    sums = [F.sum(x).alias(x) for x in ("pp", "ss", "aa_next", "to_next", "to_move", "n_next")] + [F.max(x).alias(x) for x in ("top", "s_top", "steps", "arms")]
+    whole = arms.groupBy("episode_id").agg(*sums).withColumn("key", F.lit(POSE))
+    unit = own["position_units"]
+    most = unit["max_abs_position_m"]
+    ratio = F.when(c("ss") > 0, F.sqrt(c("pp") / F.when(c("ss") > 0, c("ss"))))
+    far, s_far, scale = (F.coalesce(x, F.lit(False)) for x in (c("top") > most, c("s_top") > most, ratio > unit["max_action_state_ratio"]))
+    by_ratio = F.when(F.abs(F.log10(ratio / 100.0)) < 0.5, "cm").when(F.abs(F.log10(ratio / 1000.0)) < 0.5, "mm").otherwise("unknown")
+    guess = F.when(far | scale, F.when(~s_far & ratio.isNotNull(), by_ratio).otherwise(_reach_unit(c("top"), unit)))
+    note = F.concat_ws(";", F.concat_ws(",", F.when(far, "action_out_of_range"), F.when(s_far, "state_out_of_range"), F.when(scale, "action_state_scale_mismatch")), guess, F.when(s_far, _reach_unit(c("s_top"), unit)))
+    is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], 3 * c("n_next"))
+    of_all = findings_of(whole.where(some), [
+        ("normalized_range", F.abs(c("top") - 1) <= MATCH, {"metric": c("top")}),
+        ("position_units", far | s_far | scale, {"metric": c("top"), "other": ratio, "note": note}),
+        ("delta_detection", is_delta, told),
+    ], "cartesian_position", config)
+    return wrong.unionByName(of_arms).unionByName(of_all)
+
+
+def pose_errors(steps: DataFrame, episodes: DataFrame) -> DataFrame:
+    """``(episode_id, arm, ...)``: median, mean and largest distance and angle between a command and the next state."""
+    names = [f"{k}_{x}" for x in ("far", "turned") for k in ("median", "mean", "most")]
+    return pose_metrics(steps, episodes).select("episode_id", (c("arm") + 1).cast("long").alias("arm"), *(F.round(n, 6).alias(n) for n in names))
+
+
+def biarm_ordering(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, ratio)`` of two-armed episodes whose positions fit the other arm's states better."""
-    rows = aligned(steps).where("key = 'cartesian_position' and size(a) = 14 and size(s_next) = 14")
-    part = lambda x, arm: F.slice(x, 7 * arm + 1, 3)
-    gap = lambda a, b: F.sum(sum_sq(minus(part("a", a), part("s_next", b))))
+    rows = pose_rows(steps, episodes, POSE, 7).where("arms = 2 and fits and not bad and stride is not null and s_next is not null")
+    own, seen = (lambda arm: F.slice("a", 7 * arm + 1, 3)), (lambda arm: F.slice("s_next", c("stride") * arm + 1, F.lit(3)))
+    gap = lambda a, b: F.sum(sum_sq(minus(own(a), seen(b))))
     sums = rows.groupBy("episode_id").agg((gap(0, 0) + gap(1, 1)).alias("same"), (gap(0, 1) + gap(1, 0)).alias("swapped"))
-    ratio = F.sqrt(c("swapped") / F.when(c("same") > 0, c("same")))
-    return sums.where(ratio < max_ratio).select("episode_id", F.round(ratio, 6).alias("ratio"))
-
-
-def velocity_steps(steps: DataFrame) -> DataFrame:
-    """``(episode_id, t, hz, width, lin, ang, position)`` of cartesian velocities."""
-    rows = aligned(steps).where("key = 'cartesian_velocity'")
-    return rows.select(
-        "episode_id", "t", F.expr("10D * (1 + episode_id % 3)").alias("hz"), F.size("a").alias("width"), F.slice("a", 1, 3).alias("lin"), F.slice("a", 4, 3).alias("ang"),
-        F.slice("s", 1, 3).alias("p"), F.slice("s", 4, 4).alias("q"), F.slice("s_next", 1, 3).alias("np"), F.slice("s_next", 4, 4).alias("nq"), "a",
-    )
-
-
-def cartesian_velocity(steps: DataFrame) -> DataFrame:
-    """Findings on shape, speed and range of cartesian velocities."""
-    per = velocity_steps(steps).groupBy("episode_id").agg(
-        F.max("width").alias("width"), F.max(norm(c("lin"))).alias("linear"), F.max(norm(c("ang"))).alias("angular"), F.max(max_abs(c("a"))).alias("top"),
-        F.sum(sum_sq(minus(c("lin"), c("np")))).alias("to_next"), F.sum(sum_sq(c("np"))).alias("nn"),
-    ).withColumn("key", F.lit("cartesian_velocity"))
-    fits = c("width") == 6
-    ratio = F.sqrt(c("to_next") / F.when(c("nn") > 0, c("nn")))
-    return findings_of(per, [
-        ("shape", ~fits, c("width")),
-        ("speed_limit", fits & ((c("linear") > 2) | (c("angular") > 6.28)), F.greatest("linear", "angular")),
-        ("normalized_range", fits & (F.abs(c("top") - 1) <= 1e-6), c("top")),
-        ("looks_like_position", fits & (ratio < 0.2), ratio),
-    ])
-
-
-def velocity_tracking(steps: DataFrame) -> DataFrame:
-    """``(episode_id, part, frame, lag, correlation, ratio, swapped)``: how velocities follow the motion that results.
-
-    Correlations are means over the axes that move, at no lag and at one step, in the base's and in the hand's frame;
-    the better frame and lag stand, base and no lag at ties. ``swapped`` is the correlation if linear and angular
-    parts changed places.
+    ratio = ratio_of(c("swapped"), c("same"))
+    return sums.where(ratio < config["cartesian_position"]["biarm_ordering"]["max_swap_ratio"]).select("episode_id", F.round(ratio, 6).alias("ratio"))
+
+
+def cartesian_velocity(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings on shape, speed, range, smoothness and likeness to positions of cartesian velocities."""
+    own = config["cartesian_velocity"]
+    rows = pose_rows(steps, episodes, VELOCITY, 6)
+    shape = rows.groupBy("episode_id").agg(F.max("bad").alias("bad"), F.min("fits").alias("fits"), F.max(F.size("a")).alias("width"), F.max("arms").alias("arms")).withColumn("key", F.lit(VELOCITY))
+    wrong = findings_of(shape, [("shape", ~c("bad") & ~c("fits"), {"metric": c("width"), "other": 6 * c("arms")})], "cartesian_velocity", config)
+    parts = each_arm(rows, 6).withColumn("lin", F.slice("own", 1, 3)).withColumn("ang", F.slice("own", 4, 3))
+    cells = parts.select("episode_id", "arm", "own_prev", F.posexplode("own").alias("d", "v")).withColumn("before", F.expr("get(own_prev, d)"))
+    cells = cells.withColumn("scale", F.sqrt(F.avg(c("v") * c("v")).over(Window.partitionBy("episode_id", "arm", "d"))))
+    large = (F.abs("v") > 0.1 * c("scale")) & (F.abs("before") > 0.1 * c("scale"))
+    flips = cells.groupBy("episode_id").agg(F.count_if(large).alias("pairs"), F.count_if(large & (F.signum("v") != F.signum("before"))).alias("flips"))
+    per = parts.groupBy("episode_id").agg(
+        F.max(norm(c("lin"))).alias("linear"), F.max(norm(c("ang"))).alias("angular"), F.max(max_abs(c("own"))).alias("top"), F.sum(sum_sq(minus(c("lin"), c("np")))).alias("to_next"), F.sum(sum_sq(c("np"))).alias("nn"),
+        (F.count("sp") / F.max("arms")).alias("n_state"),
+    ).join(flips, "episode_id").withColumn("key", F.lit(VELOCITY))
+    rate, match = c("flips") / F.when(c("pairs") > 0, c("pairs")), ratio_of(c("to_next"), c("nn"))
+    speed = own["speed_limit"]
+    return wrong.unionByName(findings_of(per, [
+        ("speed_limit", (c("linear") > speed["max_linear_m_s"]) | (c("angular") > speed["max_angular_rad_s"]), {"metric": c("linear"), "other": c("angular")}),
+        ("normalized_range", F.abs(c("top") - 1) <= MATCH, {"metric": c("top")}),
+        ("smoothness", rate > own["smoothness"]["max_sign_flip_rate"], {"metric": rate, "n": c("flips")}),
+        ("looks_like_position", (c("n_state") >= 3) & (match < own["looks_like_position"]["max_position_match"]), {"metric": match}),
+    ], "cartesian_velocity", config))
+
+
+def velocity_integrations(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, frame, part, lag, r, ratio, reasons, suspected, moves)``: how velocities follow the motion that results.
+
+    All axes of all arms are pooled, in the base's and the hand's frame; ``part`` is linear or angular, as given or
+    ``swapped_``. ``moves`` says whether the robot went far enough from its start for the part to be judged.
     """
-    rows = velocity_steps(steps).where("width = 6 and nq is not null and size(nq) = 4")
-    move = F.concat(minus(c("np"), c("p")), rotation_vector(product(c("nq"), conjugate(c("q")))))
-    hand = F.concat(rotated_back(minus(c("np"), c("p")), c("q")), rotation_vector(product(conjugate(c("q")), c("nq"))))
-    rows = rows.select("episode_id", "t", F.transform("a", lambda v: v / c("hz")).alias("v"), move.alias("base"), hand.alias("hand"))
-    w = Window.partitionBy("episode_id").orderBy("t")
-    for f in ("base", "hand"):
-        rows = rows.withColumn(f"{f}_1", F.lead(f).over(w)).withColumnRenamed(f, f"{f}_0")
-    frames = F.explode(F.array(*(F.struct(F.lit(f).alias("frame"), F.lit(k).alias("lag"), c(f"{f}_{k}").alias("m")) for f in ("base", "hand") for k in (0, 1)))).alias("x")
-    rows = rows.select("episode_id", "v", frames).select("episode_id", "x.frame", "x.lag", "v", F.posexplode("x.m").alias("d", "m"))
-    rows = rows.withColumn("own", F.expr("get(v, d)")).withColumn("other", F.expr("get(v, (d + 3) % 6)"))
-    per = rows.groupBy("episode_id", "frame", "lag", "d").agg(pearson(c("own"), c("m")).alias("r"), pearson(c("other"), c("m")).alias("r_swapped"), F.sum(c("own") * c("own")).alias("vv"), F.sum(c("m") * c("m")).alias("mm"))
-    per = per.groupBy("episode_id", "frame", "lag", F.when(c("d") < 3, "linear").otherwise("angular").alias("part")).agg(
-        F.avg("r").alias("r"), F.avg("r_swapped").alias("swapped"), F.sqrt(F.sum("vv") / F.when(F.sum("mm") > 0, F.sum("mm"))).alias("ratio")
-    )
-    best = Window.partitionBy("episode_id", "part").orderBy(F.round(F.coalesce("r", F.lit(-2.0)), 9).desc(), "frame", "lag")
-    top = per.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return top.select("episode_id", "part", "frame", "lag", F.round("r", 6).alias("correlation"), F.round("ratio", 6).alias("ratio"), F.round("swapped", 6).alias("swapped"))
+    own = config["cartesian_velocity"]["tracking"]
+    rows = each_arm(pose_rows(steps, episodes, VELOCITY, 6), 6).where("hz is not null and sp is not null and sq is not null")
+    by = Window.partitionBy("episode_id", "arm").orderBy("t")
+    start = lambda x: F.first(x).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("gone", norm(minus(c("sp"), start("sp")))).withColumn("rotated", quat_angle(c("sq"), start("sq")))
+    gap = minus(c("np"), c("sp"))
+    moved = {
+        "base_linear": gap, "base_angular": rotation_vector(product(c("nq"), conjugate(c("sq")))), "ee_linear": rotated_back(gap, c("sq")), "ee_angular": rotation_vector(product(conjugate(c("sq")), c("nq"))),
+    }
+    rows = rows.select("*", *(F.when(c("np").isNotNull(), v).alias(k) for k, v in moved.items()))
+    rows = rows.select("*", *(F.lead(k).over(by).alias(f"{k}_1") for k in moved))
+    scaled = lambda at: F.transform(F.slice("own", at, 3), lambda v: v / c("hz"))
+    steps_of = {"linear": scaled(1), "angular": scaled(4)}
+    pair = lambda f, name, x, y: F.struct(F.lit(f).alias("frame"), F.lit(name).alias("part"), steps_of[x].alias("x"), c(f"{f}_{y}").alias("y0"), c(f"{f}_{y}_1").alias("y1"))
+    pairs = [pair(f, *x) for f in ("base", "ee") for x in (("linear", "linear", "linear"), ("angular", "angular", "angular"), ("swapped_linear", "angular", "linear"), ("swapped_angular", "linear", "angular"))]
+    each = rows.select("episode_id", "arms", "hz", "gone", "rotated", F.explode(F.array(*pairs)).alias("pair")).select("episode_id", "arms", "hz", "gone", "rotated", "pair.*")
+    sums = []
+    for k in (0, 1):
+        y = c(f"y{k}")
+        some = lambda v, y=y: F.sum(F.when(y.isNotNull(), v))
+        sums += [(3 * F.count(y)).alias(f"n{k}"), some(total(c("x"))).alias(f"x{k}"), F.sum(total(y)).alias(f"y{k}_"), some(sum_sq(c("x"))).alias(f"xx{k}"), F.sum(sum_sq(y)).alias(f"yy{k}"), F.sum(dot(c("x"), y)).alias(f"xy{k}"), F.sum(sum_sq(minus(c("x"), y))).alias(f"dd{k}")]
+    per = each.groupBy("episode_id", "frame", "part").agg(F.max("arms").alias("arms"), F.max("hz").alias("hz"), F.max("gone").alias("gone"), F.max("rotated").alias("rotated"), *sums)
+    per = per.withColumnRenamed("y0_", "y0").withColumnRenamed("y1_", "y1")
+    per = integration(per, 3 * c("arms"), own).where("usable")
+    moves = F.when(c("part").endswith("linear"), c("gone") >= own["min_translation_m"]).otherwise(c("rotated") >= own["min_rotation_deg"])
+    return per.select("episode_id", "frame", "part", "lag", "r", F.when(c("ratio") < float("inf"), c("ratio")).alias("ratio"), "reasons", "suspected", moves.alias("moves"))
+
+
+def velocity_tracking(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of ``tracking`` and ``linear_angular_order``, in the frame that fits better, the base's at a tie."""
+    own = config["cartesian_velocity"]
+    each = velocity_integrations(steps, episodes, config)
+    of = lambda part, x: F.max(F.when(c("part") == part, c(x))).alias(f"{part}_{x}")
+    names = ("linear", "angular", "swapped_linear", "swapped_angular")
+    per = each.groupBy("episode_id", "frame").agg(*(of(p, x) for p in names for x in ("r", "ratio", "lag", "reasons", "suspected", "moves")))
+    score = F.coalesce("linear_r", F.lit(-1.0)) + F.coalesce("angular_r", F.lit(-1.0))
+    best = Window.partitionBy("episode_id").orderBy(F.round(score, 9).desc(), "frame")
+    per = per.withColumn("rank", F.row_number().over(best)).where("rank = 1").withColumn("key", F.lit(VELOCITY))
+    listed = lambda p: F.when(c(f"{p}_moves"), F.array_join(F.transform(F.filter(F.split(f"{p}_reasons", ","), lambda x: x != ""), lambda x: F.concat(F.lit(f"{p}_"), x)), ","))
+    reasons = F.array_join(F.filter(F.array(listed("linear"), listed("angular")), lambda x: x != ""), ",")
+    given, swapped = (c("linear_r") + c("angular_r")) / 2, (c("swapped_linear_r") + c("swapped_angular_r")) / 2
+    both = c("linear_moves") & c("angular_moves")
+    return findings_of(per, [
+        ("tracking", (c("linear_moves") | c("angular_moves")) & (reasons != ""), {"metric": F.when(c("linear_moves"), c("linear_ratio")), "other": F.when(c("angular_moves"), c("angular_ratio")), "note": F.concat_ws(";", "frame", reasons, F.when(c("linear_moves"), c("linear_suspected")), F.when(c("angular_moves"), c("angular_suspected")))}),
+        ("linear_angular_order", both & swapped.isNotNull() & (given.isNull() | (swapped > given + own["linear_angular_order"]["min_improvement"])), {"metric": given, "other": swapped, "note": c("frame")}),
+    ], "cartesian_velocity", config)

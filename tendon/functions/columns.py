@@ -93,6 +93,11 @@ def significant(x: Column, digits: int = 4) -> Column:
     return F.when(~finite(x) | (x == 0), x).otherwise(F.round(x * scale) / scale)
 
 
+def significant_text(x: Column, digits: int = 4) -> Column:
+    """As ``significant`` in text; what isn't finite by its name."""
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(significant(x, digits).cast("string"))
+
+
 def resolved_path(base: Column, path: Column) -> Column:
     """``base/path`` without empty, "." and ".." segments; null if it climbs above the root."""
     parts = F.split(F.concat_ws("/", base, path), "/")

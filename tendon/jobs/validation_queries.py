@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.jobs import motion_queries
+from tendon.jobs import motion_queries, pose_queries, profile_queries, video_queries
 from tendon.operators import motion, reporting, validation
-from tendon.operators.config import INFORMATIONAL, catalogue
+from tendon.operators.config import CHECKS, DEFAULTS, DESCRIPTIONS, HIGH_CONFIDENCE, action_of, catalogue
 from tendon.sources import episodes as src
+from tendon.sources import recordings as rec
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,23 +31,78 @@ def declared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.declared(src.steps(spark, sf_dir), wanted)
 
 
+def bad_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.bad_values(src.steps(spark, sf_dir))
+
+
+def bad_quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.bad_quaternions(pose_queries._steps(spark, sf_dir))
+
+
+def validation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.totals(verdicts(spark, sf_dir))
+
+
 def placeholder_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.placeholder_metadata(src.episodes(spark, sf_dir))
+    p = rec.tolerant(rec.profiles(spark, sf_dir)).select("episode_id", "p.policy_name", "p.robot_name", "p.gripper_name")
+    return reporting.placeholder_metadata(src.episodes(spark, sf_dir).select("episode_id", "operator_name").join(p, "episode_id", "left"))
+
+
+#: Category, query, the check's name where the query has no such column, and the expression of the key.
+PARTS = [
+    ("general", "general_checks", None, "key"), ("general", "command_rate", "command_rate", "key"), ("general", "duplicate_pairs", "duplicate_pairs", "concat(key_a, '+', key_b)"), ("general", "missing_keys", None, "key"),
+    ("general", "chunked_actions", None, "key"), ("general", "placeholder_metadata", "placeholder_metadata", "field"), ("joint_position", "joint_position_checks", None, "key"), ("joint_position", "joint_name_checks", "joint_names", "problem"),
+    ("joint_velocity", "joint_velocity_checks", None, "key"), ("cartesian_position", "cartesian_position_checks", None, "key"), ("cartesian_position", "biarm_ordering", "biarm_ordering", "'cartesian_position'"),
+    ("cartesian_velocity", "cartesian_velocity_checks", None, "key"), ("video", "video_container_checks", None, "key"), ("video", "camera_durations", "camera_duration_mismatch", "'all'"),
+]
+_WITH_METRIC = ("general_checks", "joint_position_checks", "joint_velocity_checks", "cartesian_position_checks", "cartesian_velocity_checks", "video_container_checks")
+
+
+def _registered() -> dict:
+    return {**motion_queries.QUERIES, **profile_queries.QUERIES, **pose_queries.QUERIES, **video_queries.QUERIES, "placeholder_metadata": placeholder_metadata}
 
 
-def _joint_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    _, keys = motion_queries._metrics(spark, sf_dir)
-    checked = keys.where("n_bad = 0").select("episode_id", F.concat(F.lit("checks_of_"), "key").alias("check_name"))
-    return motion.joint_position(keys), checked
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all categories with their labels."""
+    have = _registered()
+    parts = []
+    for category, name, check, key in PARTS:
+        metric = "metric" if name in _WITH_METRIC else "CAST(NULL AS DOUBLE) AS metric"
+        parts.append(have[name](spark, sf_dir).selectExpr("episode_id", f"'{category}' AS category", f"'{check}' AS check_name" if check else "check_name", f"{key} AS key", metric))
+    return reporting.labelled(motion.union_all(*parts), catalogue(spark))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories that ran: those whose action has only finite values, and video where a camera's file is there."""
+    steps = src.steps(spark, sf_dir).where("grp = 'action' and key in ('joint_position', 'joint_velocity', 'cartesian_position', 'cartesian_velocity')")
+    keys = steps.groupBy("episode_id", F.col("key").alias("category")).agg(F.max(F.exists("vals", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).alias("bad")).where("not bad").drop("bad")
+    seen = src.videos(spark, sf_dir).where("file_exists").select("episode_id", F.lit("video").alias("category")).distinct()
+    return keys.unionByName(seen).unionByName(src.episodes(spark, sf_dir).select("episode_id", F.lit("general").alias("category")))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _findings(spark, sf_dir)
+    return rows.select("episode_id", "category", "check_name", "key", "metric", "confidence", "suggested_action")
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.statuses(src.episodes(spark, sf_dir), _findings(spark, sf_dir), _checked(spark, sf_dir))
 
 
 def episode_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, checked = _joint_findings(spark, sf_dir)
-    return reporting.statuses(src.episodes(spark, sf_dir), found, checked)
+    return _status(spark, sf_dir)
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.status_counts(_status(spark, sf_dir))
 
 
 def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reporting.summary(_joint_findings(spark, sf_dir)[0], catalogue(spark))
+    return reporting.summary(_findings(spark, sf_dir), catalogue(spark))
+
+
+def first_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.first_episodes(src.episodes(spark, sf_dir), 25).select("episode_id", "rel_path")
 
 
 _V = src.as_cte("episodes", "steps", "videos") + """,
@@ -54,26 +110,57 @@ _V = src.as_cte("episodes", "steps", "videos") + """,
   k AS (SELECT episode_id, grp, key, count(*) AS n, max(len(vals)) AS width, count(*) FILTER (len(list_filter(vals, lambda v: NOT isfinite(v))) > 0) AS bad,
       count(*) FILTER (key = 'cartesian_position' AND len(vals) % 7 = 0 AND abs(sqrt(vals[4] ** 2 + vals[5] ** 2 + vals[6] ** 2 + vals[7] ** 2) - 1) > 1e-2) AS n_off,
       count(*) FILTER (key = 'gripper_binary' AND len(list_filter(vals, lambda v: v NOT IN (0, 1))) > 0) AS n_grip FROM steps GROUP BY ALL),
-  kk AS (SELECT k.*, trajectory_length AS tl, concat(grp, '/', key) AS subject FROM k JOIN episodes USING (episode_id)),
+  kk AS (SELECT k.*, trajectory_length AS tl, CASE WHEN is_biarm THEN 2 ELSE 1 END AS arms, concat(grp, '/', key) AS subject FROM k JOIN episodes USING (episode_id)),
   vv AS (SELECT v.*, trajectory_length AS tl, control_freq, trim(stored_path) AS path, good, abs(frame_count / fps - seconds) AS drift FROM videos v JOIN p USING (episode_id)),
   found AS (""" + " UNION ALL ".join(
     [f"SELECT episode_id, {n} AS rule_order, '{r}' AS rule, '' AS subject FROM p WHERE {w}" for n, r, w in [
         (1, "schema", "schema <> 'episode_format_v1'"), (9, "language_instruction", "trim(language_instruction) = ''"), (10, "lab_id", "trim(lab_id) = '' OR lab_id = 'your_lab_id'"),
         (11, "operator_name", "trim(operator_name) = ''"), (12, "control_freq", "NOT good"), (13, "duration", "good AND (seconds < 1 OR seconds > 600)")]]
     + [f"SELECT episode_id, {n}, '{r}', subject FROM kk WHERE {w}" for n, r, w in [
-        (14, "cartesian_width", "key = 'cartesian_position' AND width NOT IN (7, 14)"), (16, "length", "n <> tl"), (17, "not_finite", "bad > 0"), (18, "unit_quaternion", "n_off > 0"), (19, "gripper_binary", "n_grip > 0")]]
+        (14, "cartesian_width", "key = 'cartesian_position' AND width <> 7 * arms"), (16, "length", "n <> tl"), (17, "not_finite", "bad > 0"), (18, "unit_quaternion", "n_off > 0"), (19, "gripper_binary", "n_grip > 0 OR (key = 'gripper_binary' AND width <> arms)")]]
     + [f"SELECT episode_id, {n}, '{r}', name FROM vv WHERE {w}" for n, r, w in [
         (30, "video_reference_empty", "path = ''"), (31, "video_reference_absolute", "path LIKE '/%'"), (32, "video_reference_escapes", "path LIKE '../../../%'"), (33, "video_missing", "NOT file_exists"),
         (34, "video_side", "least(width, height) < 180 OR greatest(width, height) > 1280"), (35, "video_frames", "abs(frame_count - tl) > greatest(5, floor(0.1e0 * tl))"),
         (36, "video_duration", "good AND drift > 0.5e0"), (38, "video_crf", "crf IS NULL OR crf > 19")]]
+    + ["SELECT episode_id, 29, 'no_video', '' FROM episodes WHERE episode_id NOT IN (SELECT episode_id FROM videos)", "SELECT episode_id, 33, 'video_header', name FROM vv WHERE NOT coalesce(width > 0 AND height > 0 AND fps > 0 AND frame_count > 0, false)"]
     + ["SELECT episode_id, 37, 'video_lengths', '' FROM videos GROUP BY episode_id HAVING max(frame_count) - min(frame_count) > 1"]) + ")"
-_F = motion_queries.ORACLE_SQL["joint_position_checks"]
+def _sql_list(xs) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+_PLACE = DEFAULTS["general"]["placeholder_metadata"]
+_PLACEHOLDERS = rec.as_cte("profiles", "episodes") + profile_queries._J + f""", x AS (SELECT episode_id, 'operator_name' AS field, operator_name AS v FROM episodes UNION ALL SELECT episode_id, f, p->>('$.' || f) FROM q, (VALUES ('policy_name'), ('robot_name'), ('gripper_name')) y(f)),
+      n AS (SELECT *, regexp_replace(lower(trim(coalesce(v, ''))), '[\\s\\-]+', '_', 'g') AS n FROM x),
+      r AS (SELECT episode_id, field, CASE WHEN trim(coalesce(v, '')) = '' THEN 'blank' WHEN n IN ({_sql_list("_" if x == "-" else x for x in _PLACE["placeholder_values"])}) THEN 'placeholder' WHEN {" OR ".join(f"starts_with(n, '{p}')" for p in _PLACE["template_prefixes"])} THEN 'template'
+        WHEN field = 'operator_name' AND n IN ({_sql_list(_PLACE["operator_placeholder_values"])}) THEN 'placeholder'
+        WHEN field = 'operator_name' AND list_has_any(list_transform(list_filter(regexp_split_to_array(n, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[0-9]+$', '')), [{_sql_list(_PLACE["operator_non_person_words"])}]) THEN 'not_a_person' END AS problem FROM n)
+      SELECT * FROM r WHERE problem IS NOT NULL"""
+_SQLS = {**motion_queries.ORACLE_SQL, **profile_queries.ORACLE_SQL, **pose_queries.ORACLE_SQL, **video_queries.ORACLE_SQL, "placeholder_metadata": _PLACEHOLDERS}
+_CATALOGUE = "SELECT * FROM (VALUES " + ", ".join(
+    "(" + _sql_list((cat, k, DESCRIPTIONS[k], "high_confidence" if k in HIGH_CONFIDENCE[cat] else "lower_confidence", action_of(cat, k))) + f", {str(DEFAULTS[cat][k]['enabled']).lower()})" for cat, ks in CHECKS.items() for k in ks
+) + ") AS c(category, check_name, description, confidence, suggested_action, enabled)"
+_FOUND = "fi AS (" + " UNION ALL ".join(
+    f"SELECT episode_id, '{cat}' AS category, " + (f"'{check}' AS check_name" if check else "check_name") + f", {key} AS key, " + ("metric" if name in _WITH_METRIC else "NULL::DOUBLE AS metric") + f" FROM ({_SQLS[name]})" for cat, name, check, key in PARTS
+) + f"), ca AS ({_CATALOGUE}), la AS (SELECT fi.*, description, confidence, suggested_action FROM fi LEFT JOIN ca USING (category, check_name))"
+_STATUS = src.as_cte("episodes", "steps", "videos") + f""", {_FOUND},
+  ch AS (SELECT episode_id, key AS category FROM steps WHERE grp = 'action' AND key IN ('joint_position', 'joint_velocity', 'cartesian_position', 'cartesian_velocity') GROUP BY ALL HAVING NOT bool_or(len(list_filter(vals, lambda v: NOT isfinite(v))) > 0)
+    UNION SELECT episode_id, 'video' FROM videos WHERE file_exists UNION SELECT episode_id, 'general' FROM episodes),
+  fl AS (SELECT episode_id, string_agg(DISTINCT concat(category, '.', check_name), ',' ORDER BY concat(category, '.', check_name)) AS flagged FROM la WHERE suggested_action <> 'informational' GROUP BY episode_id),
+  rn AS (SELECT episode_id, count(*) AS n FROM ch GROUP BY episode_id),
+  es AS (SELECT episode_id, CASE WHEN read_error IS NOT NULL THEN 'error' WHEN flagged IS NOT NULL THEN 'flagged' WHEN n > 0 THEN 'clean' ELSE 'not_checked' END AS status, coalesce(flagged, '') AS flagged, coalesce(n, 0) AS n_checked
+    FROM episodes LEFT JOIN fl USING (episode_id) LEFT JOIN rn USING (episode_id))"""
 
 QUERIES = {
     "violations": violations,
     "verdicts": verdicts,
     "declared_keys": declared_keys,
     "placeholder_metadata": placeholder_metadata,
+    "bad_values": bad_values,
+    "bad_quaternions": bad_quaternions,
+    "validation_totals": validation_totals,
+    "findings": findings,
+    "status_counts": status_counts,
+    "first_episodes": first_episodes,
     "episode_status": episode_status,
     "check_summary": check_summary,
 }
@@ -85,15 +172,17 @@ ORACLE_SQL = {
         ('action', 'gripper_binary'), ('action', 'base_position')) x(g, k)), h AS (SELECT DISTINCT episode_id, grp, key FROM steps)
       SELECT episode_id, 20 AS rule_order, 'declared_missing' AS rule, concat(grp, '/', key) AS subject FROM (SELECT * FROM w EXCEPT SELECT * FROM h)
       UNION ALL SELECT episode_id, 21, 'not_declared', concat(grp, '/', key) FROM (SELECT * FROM h EXCEPT SELECT * FROM w)""",
-    "placeholder_metadata": src.as_cte("episodes") + """, x AS (SELECT episode_id, 'operator_name' AS field, operator_name AS v FROM episodes UNION ALL SELECT episode_id, 'policy_name', policy_name FROM episodes),
-      n AS (SELECT *, regexp_replace(lower(trim(v)), '[\\s\\-]+', '_', 'g') AS n FROM x),
-      r AS (SELECT episode_id, field, CASE WHEN n = '' THEN 'blank' WHEN n LIKE 'your\\_%' ESCAPE '\\' THEN 'template' WHEN n IN ('todo', 'tbd', 'n/a', 'na', 'none', 'unknown', 'test', 'xxx', 'placeholder') THEN 'placeholder'
-        WHEN field = 'operator_name' AND n IN ('test_operator', 'operator', 'user') THEN 'placeholder'
-        WHEN field = 'operator_name' AND list_has_any(list_transform(string_split(n, '_'), lambda w: regexp_replace(w, '[0-9]+$', '')), ['robot', 'arm', 'policy', 'script', 'bot', 'auto']) THEN 'not_a_person' END AS problem FROM n)
-      SELECT * FROM r WHERE problem IS NOT NULL""",
-    "episode_status": motion_queries.METRICS + f""", eps AS ({src.for_engine(src.episodes_sql(), 'list_value').replace('{events}', 'events')}), f AS ({_F}),
-      g AS (SELECT episode_id, string_agg(DISTINCT check_name, ',' ORDER BY check_name) AS flagged FROM f GROUP BY ALL), r AS (SELECT episode_id, count(DISTINCT key) AS n_checks FROM km WHERE n_bad = 0 GROUP BY ALL)
-      SELECT episode_id, CASE WHEN read_error IS NOT NULL THEN 'error' WHEN flagged IS NOT NULL THEN 'flagged' WHEN n_checks > 0 THEN 'clean' ELSE 'not_checked' END AS status,
-        coalesce(flagged, '') AS flagged, coalesce(n_checks, 0) AS n_checks FROM eps LEFT JOIN g USING (episode_id) LEFT JOIN r USING (episode_id)""",
-    "check_summary": f"SELECT check_name, check_name IN ({', '.join(repr(x) for x in sorted(INFORMATIONAL))}) AS informational, count(DISTINCT episode_id) AS episodes FROM ({_F}) GROUP BY check_name",
+    "placeholder_metadata": _PLACEHOLDERS,
+    "bad_values": src.as_cte("steps") + """, x AS (SELECT episode_id, grp, key, t, vals, unnest(range(1, len(vals) + 1)) AS d FROM steps), y AS (SELECT *, vals[d] AS v FROM x WHERE NOT isfinite(vals[d]))
+      SELECT episode_id, grp, key, count(*) AS n_values, arg_min(t, (t, d)) AS first_t, arg_min(d, (t, d)) - 1 AS first_d, CASE WHEN isnan(arg_min(v, (t, d))) THEN 'nan' WHEN arg_min(v, (t, d)) > 0 THEN 'inf' ELSE '-inf' END AS value FROM y GROUP BY episode_id, grp, key""",
+    "bad_quaternions": pose_queries._BASE + """, x AS (SELECT episode_id, grp, key, t, vals, unnest(range(1, len(vals) // 7 + 1)) AS arm FROM steps WHERE key = 'cartesian_position' AND len(vals) % 7 = 0),
+      y AS (SELECT *, sqrt(vals[7 * arm - 3] ** 2 + vals[7 * arm - 2] ** 2 + vals[7 * arm - 1] ** 2 + vals[7 * arm] ** 2) AS norm FROM x)
+      SELECT episode_id, grp, key, arm, count(*) AS n, min(t) AS first_t, round(arg_min(norm, t), 6) AS norm FROM y WHERE abs(norm - 1) > 1e-2 GROUP BY episode_id, grp, key, arm""",
+    "validation_totals": _V + """, b AS (SELECT DISTINCT episode_id FROM found WHERE rule <> 'video_crf')
+      SELECT count(*) AS n, count(*) FILTER (episode_id NOT IN (SELECT episode_id FROM b)) AS passed, count(*) FILTER (episode_id IN (SELECT episode_id FROM b)) AS failed FROM episodes""",
+    "findings": f"WITH {_FOUND} SELECT episode_id, category, check_name, key, metric, confidence, suggested_action FROM la",
+    "episode_status": _STATUS + " SELECT * FROM es",
+    "status_counts": _STATUS + " SELECT status, count(*) AS n, sum(CASE WHEN flagged <> '' THEN len(string_split(flagged, ',')) ELSE 0 END)::BIGINT AS n_flagged_checks FROM es GROUP BY status",
+    "check_summary": f"WITH {_FOUND}, p AS (SELECT category, check_name, count(DISTINCT episode_id) AS e, count(*) AS n FROM fi GROUP BY ALL) SELECT category, check_name, description, confidence, suggested_action, enabled, coalesce(e, 0) AS episodes, coalesce(n, 0) AS findings FROM ca LEFT JOIN p USING (category, check_name)",
+    "first_episodes": src.as_cte("episodes") + " SELECT episode_id, rel_path FROM episodes ORDER BY rel_path LIMIT 25",
 }

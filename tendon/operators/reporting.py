@@ -1,57 +1,96 @@
-"""Episode status and data-set summaries from findings."""
+"""Metadata checks, episode status, data-set summaries and the report, from findings of all categories."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendon.operators.config import INFORMATIONAL
+from tendon.functions.columns import normal_name, significant_text
+from tendon.operators.config import DEFAULTS, Config
 
 c = F.col
+METADATA = ("operator_name", "policy_name", "robot_name", "gripper_name")
 
-# Words that are no person's, policy's or robot's name.
-PLACEHOLDERS = ("todo", "tbd", "n/a", "na", "none", "unknown", "test", "xxx", "placeholder")
-OPERATOR_PLACEHOLDERS = ("test_operator", "operator", "user")
-TEMPLATE_PREFIX = "your_"
-NOT_A_PERSON = ("robot", "arm", "policy", "script", "bot", "auto")
 
+def placeholder_metadata(names: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, field, problem)`` of blank, placeholder, template and impersonal names.
 
-def placeholder_metadata(episodes: DataFrame) -> DataFrame:
-    """``(episode_id, field, problem)`` of blank, placeholder, template and impersonal metadata."""
-    from tendon.functions.columns import normal_name
-
-    names = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c(f).alias("value")) for f in ("operator_name", "policy_name")))).alias("x")
-    rows = episodes.select("episode_id", names).select("episode_id", "x.field", "x.value")
+    ``names`` has ``episode_id`` and the fields of METADATA; a missing name is blank.
+    """
+    own = config["general"]["placeholder_metadata"]
+    norm = lambda xs: [x.strip().lower().replace(" ", "_").replace("-", "_") if x.strip("- ") else x.replace("-", "_") for x in xs]
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c(f).alias("value")) for f in METADATA))).alias("found")
+    rows = names.select("episode_id", each).select("episode_id", "found.field", "found.value")
     n = normal_name(F.coalesce("value", F.lit("")))
-    words = F.transform(F.split(n, "_"), lambda w: F.regexp_replace(w, "[0-9]+$", ""))
+    words = F.transform(F.filter(F.split(n, "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.regexp_replace(w, "[0-9]+$", ""))
     person = c("field") == "operator_name"
     problem = (
-        F.when(n == "", "blank").when(n.startswith(TEMPLATE_PREFIX), "template").when(n.isin(*PLACEHOLDERS), "placeholder")
-        .when(person & n.isin(*OPERATOR_PLACEHOLDERS), "placeholder").when(person & F.arrays_overlap(words, F.array(*map(F.lit, NOT_A_PERSON))), "not_a_person")
+        F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "blank").when(n.isin(*norm(own["placeholder_values"])), "placeholder")
+        .when(_any(n.startswith(p) for p in norm(own["template_prefixes"])), "template")
+        .when(person & n.isin(*norm(own["operator_placeholder_values"])), "placeholder")
+        .when(person & F.arrays_overlap(words, F.array(*map(F.lit, own["operator_non_person_words"]))), "not_a_person")
     )
     return rows.select("episode_id", "field", problem.alias("problem")).where("problem is not null")
 
 
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for cond in conditions:
+        out = out | cond
+    return out
+
+
+def labelled(findings: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Findings ``(episode_id, category, check_name, ...)`` with their entries in the catalogue, which has a row per check."""
+    known = catalogue.select("category", "check_name", "description", "confidence", "suggested_action")
+    return findings.join(F.broadcast(known), ["category", "check_name"], "left")
+
+
 def statuses(episodes: DataFrame, findings: DataFrame, checked: DataFrame) -> DataFrame:
-    """``(episode_id, status, flagged, n_checks)``: error before flagged before clean before not_checked.
+    """``(episode_id, status, flagged, n_checked)``: error before flagged before clean before not_checked.
 
-    ``findings`` has ``(episode_id, check_name)``, ``checked`` one row per check that ran.
+    ``findings`` are labelled, informational ones flag nothing; ``checked`` has one row per category that ran.
     """
-    flagged = findings.where(~c("check_name").isin(*INFORMATIONAL)).groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_set("check_name")), ",").alias("flagged"))
-    ran = checked.groupBy("episode_id").agg(F.count_distinct("check_name").alias("n_checks"))
+    named = F.concat_ws(".", "category", "check_name")
+    flagged = findings.where("suggested_action <> 'informational'").groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_set(named)), ",").alias("flagged"))
+    ran = checked.groupBy("episode_id").agg(F.count_distinct("category").alias("n_checked"))
     rows = episodes.select("episode_id", "read_error").join(flagged, "episode_id", "left").join(ran, "episode_id", "left")
-    status = F.when(c("read_error").isNotNull(), "error").when(c("flagged").isNotNull(), "flagged").when(c("n_checks") > 0, "clean").otherwise("not_checked")
-    return rows.select("episode_id", status.alias("status"), F.coalesce("flagged", F.lit("")).alias("flagged"), F.coalesce("n_checks", F.lit(0)).alias("n_checks"))
+    status = F.when(c("read_error").isNotNull(), "error").when(c("flagged").isNotNull(), "flagged").when(c("n_checked") > 0, "clean").otherwise("not_checked")
+    return rows.select("episode_id", status.alias("status"), F.coalesce("flagged", F.lit("")).alias("flagged"), F.coalesce("n_checked", F.lit(0)).alias("n_checked"))
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """``(status, n, n_flagged_checks)``."""
+    checks = F.sum(F.when(c("flagged") != "", F.size(F.split("flagged", ","))).otherwise(0))
+    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"), checks.cast("long").alias("n_flagged_checks"))
 
 
 def summary(findings: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(check_name, informational, episodes)``: episodes per check with its entry in the catalogue, which is small."""
-    per = findings.groupBy("check_name").agg(F.count_distinct("episode_id").alias("episodes"))
-    known = catalogue.groupBy("check_name").agg(F.bool_or("informational").alias("informational"))
-    return per.join(F.broadcast(known), "check_name", "left").select("check_name", "informational", "episodes")
+    """The catalogue with ``episodes`` and ``findings``, how many each check has; 0 for checks that found nothing."""
+    per = findings.groupBy("category", "check_name").agg(F.count_distinct("episode_id").alias("episodes"), F.count(F.lit(1)).alias("findings"))
+    rows = catalogue.join(per, ["category", "check_name"], "left")
+    return rows.select("category", "check_name", "description", "confidence", "suggested_action", "enabled", F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+def report(status: DataFrame, findings: DataFrame) -> DataFrame:
+    """``(episode_id, status, findings)``: one row per episode with its labelled findings in order, numbers to four significant digits."""
+    entry = F.struct("category", "check_name", "key", significant_text(c("metric")).alias("metric"), "description", "confidence", "suggested_action")
+    per = findings.groupBy("episode_id").agg(F.sort_array(F.collect_list(entry)).alias("findings"))
+    rows = status.join(per, "episode_id", "left")
+    return rows.select("episode_id", "status", F.to_json(F.coalesce("findings", F.array().cast(dict(per.dtypes)["findings"]))).alias("findings"))
+
+
+def write_report(rows: DataFrame, at: str) -> None:
+    """The report as JSON lines, a folder per status; a folder that is there is refused."""
+    rows.write.mode("errorifexists").partitionBy("status").json(at)
 
 
 def sampled(episodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """N episodes drawn by a seeded hash of the path, the same on every run; all of them for 0."""
     rows = episodes if n <= 0 else episodes.orderBy(F.xxhash64(F.lit(seed), "rel_path"), "rel_path").limit(n)
     return rows.orderBy("rel_path")
+
+
+def first_episodes(episodes: DataFrame, n: int) -> DataFrame:
+    """The first n episodes by path."""
+    return episodes.orderBy("rel_path").limit(n)

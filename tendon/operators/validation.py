@@ -46,16 +46,37 @@ def values(steps: DataFrame, episodes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max(F.size("vals")).alias("width"), F.min(F.when(bad, c("t"))).alias("first_bad"), F.count_if(off).alias("n_off"),
         F.count_if((c("key") == "gripper_binary") & F.exists("vals", lambda v: ~v.isin(0.0, 1.0))).alias("n_grip"),
     )
-    per = per.join(episodes.select("episode_id", "trajectory_length"), "episode_id")
+    arms = F.when(c("is_biarm"), 2).otherwise(1) if "is_biarm" in episodes.columns else F.lit(None).cast("int")
+    per = per.join(episodes.select("episode_id", "trajectory_length", arms.alias("arms")), "episode_id")
+    wrong = F.when(c("arms").isNull(), ~c("width").isin(7, 14)).otherwise(c("width") != 7 * c("arms"))
     return _of(per, [
-        (14, "cartesian_width", (c("key") == "cartesian_position") & ~c("width").isin(7, 14)),
+        (14, "cartesian_width", (c("key") == "cartesian_position") & wrong),
         (16, "length", c("n") != c("trajectory_length")),
         (17, "not_finite", c("first_bad").isNotNull()),
         (18, "unit_quaternion", c("n_off") > 0),
-        (19, "gripper_binary", c("n_grip") > 0),
+        (19, "gripper_binary", (c("n_grip") > 0) | F.coalesce((c("key") == "gripper_binary") & (c("width") != c("arms")), F.lit(False))),
     ], F.concat_ws("/", "grp", "key"))
 
 
+def bad_values(steps: DataFrame) -> DataFrame:
+    """``(episode_id, grp, key, n_values, first_t, first_d, value)``: how many values aren't finite, and the first of them as text."""
+    each = F.filter(F.transform("vals", lambda v, d: F.struct(d.alias("d"), v.alias("v"))), lambda x: ~finite(x["v"]))
+    rows = steps.withColumn("bad", each).where(F.size("bad") > 0)
+    per = rows.groupBy("episode_id", "grp", "key").agg(F.sum(F.size("bad")).alias("n_values"), F.min(F.struct("t", F.get("bad", F.lit(0)).alias("x"))).alias("first"))
+    v = c("first.x.v")
+    value = F.when(F.isnan(v), "nan").when(v > 0, "inf").otherwise("-inf")
+    return per.select("episode_id", "grp", "key", "n_values", c("first.t").alias("first_t"), c("first.x.d").cast("long").alias("first_d"), value.alias("value"))
+
+
+def bad_quaternions(steps: DataFrame, atol: float = 1e-2) -> DataFrame:
+    """``(episode_id, grp, key, arm, n, first_t, norm)`` of arms whose quaternions aren't of length one, and the first such length."""
+    rows = steps.where("key = 'cartesian_position' and size(vals) % 7 = 0 and size(vals) > 0")
+    rows = rows.withColumn("arm", F.explode(F.sequence(F.lit(1), (F.size("vals") / 7).cast("int"))))
+    rows = rows.withColumn("norm", norm(F.slice("vals", c("arm") * 7 - 3, F.lit(4)))).where(finite(c("norm")) & (F.abs(c("norm") - 1) > atol))
+    per = rows.groupBy("episode_id", "grp", "key", "arm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "norm")).alias("first"))
+    return per.select("episode_id", "grp", "key", c("arm").cast("long").alias("arm"), "n", c("first.t").alias("first_t"), F.round("first.norm", 6).alias("norm"))
+
+
 def declared(steps: DataFrame, wanted: DataFrame) -> DataFrame:
     """Keys that are declared but not there, and there but not declared; ``wanted`` has ``(episode_id, grp, key)``."""
     have = steps.select("episode_id", "grp", "key").distinct()
@@ -71,20 +92,22 @@ def video(videos: DataFrame, episodes: DataFrame) -> DataFrame:
     folder = F.regexp_replace("rel_path", "/[^/]*$", "")
     path = F.trim("stored_path")
     t = c("trajectory_length")
-    drift = F.abs(c("frame_count") / c("fps") - safe_div(t.cast("double"), c("control_freq")))
+    drift = F.abs(c("frame_count") / F.when(c("fps") > 0, c("fps")) - safe_div(t.cast("double"), c("control_freq")))
     sides = F.least("width", "height"), F.greatest("width", "height")
     per = _of(rows, [
         (30, "video_reference_empty", path == ""),
         (31, "video_reference_absolute", path.startswith("/")),
         (32, "video_reference_escapes", (path != "") & ~path.startswith("/") & resolved_path(folder, path).isNull()),
         (33, "video_missing", ~c("file_exists")),
+        (33, "video_header", ~F.coalesce((c("width") > 0) & (c("height") > 0) & (c("fps") > 0) & (c("frame_count") > 0), F.lit(False))),
         (34, "video_side", (sides[0] < MIN_SIDE) | (sides[1] > MAX_SIDE)),
         (35, "video_frames", F.abs(c("frame_count") - t) > F.greatest(F.lit(5), F.floor(0.1 * t))),
         (36, "video_duration", finite(c("control_freq")) & (c("control_freq") > 0) & (drift > MAX_DRIFT_SECONDS)),
         (38, "video_crf", c("crf").isNull() | (c("crf") > MAX_CRF)),
     ], c("name"))
     spread = videos.groupBy("episode_id").agg((F.max("frame_count") - F.min("frame_count")).alias("gap")).where("gap > 1")
-    return per.unionByName(spread.select("episode_id", F.lit(37).alias("rule_order"), F.lit("video_lengths").alias("rule"), F.lit("").alias("subject")))
+    none = episodes.join(videos.select("episode_id"), "episode_id", "left_anti").select("episode_id", F.lit(29).alias("rule_order"), F.lit("no_video").alias("rule"), F.lit("").alias("subject"))
+    return per.unionByName(none).unionByName(spread.select("episode_id", F.lit(37).alias("rule_order"), F.lit("video_lengths").alias("rule"), F.lit("").alias("subject")))
 
 
 ADVISORY = ("video_crf",)
@@ -95,6 +118,17 @@ def violations(episodes: DataFrame, steps: DataFrame, videos: DataFrame) -> Data
     return union_all(metadata(episodes), values(steps, episodes), video(videos, episodes))
 
 
+def totals(results: DataFrame) -> DataFrame:
+    """``(n, passed, failed)`` of verdicts; one row."""
+    n = F.count(F.lit(1))
+    return results.agg(n.alias("n"), F.count_if("passed").alias("passed"), (n - F.count_if("passed")).alias("failed"))
+
+
+def write_results(results: DataFrame, at: str) -> None:
+    """Verdicts as JSON lines; a folder that is there is refused."""
+    results.write.mode("errorifexists").json(at)
+
+
 def verdicts(found: DataFrame, episodes: DataFrame) -> DataFrame:
     """``(episode_id, passed, n_violations, first_rule)``; advice doesn't fail an episode."""
     own = found.where(~c("rule").isin(*ADVISORY)).groupBy("episode_id").agg(

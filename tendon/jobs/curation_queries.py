@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendon.jobs.dataset_queries import _A, annotation_ticks
+from tendon.jobs.dataset_queries import _A, annotation_ticks, other_annotators
 from tendon.operators import curation
 from tendon.sources import episodes as src
 
@@ -38,7 +38,8 @@ def episode_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.listing(src.episodes(spark, sf_dir), annotation_ticks(spark, sf_dir))
+    """As the first annotator sees it."""
+    return curation.listing(src.episodes(spark, sf_dir), annotation_ticks(spark, sf_dir), other_annotators(spark, sf_dir).where("annotator = 'a0'"))
 
 
 def bimanual_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,7 @@ ORACLE_SQL = {
     "nan_summary": src.as_cte("steps") + " SELECT grp, key, sum(len(list_filter(vals, lambda v: isnan(v))))::BIGINT AS nan_values, count(*) FILTER (len(list_filter(vals, lambda v: isnan(v))) > 0) AS nan_steps, count(*) AS n_steps FROM steps GROUP BY ALL",
     "episode_structure": src.as_cte("steps") + " SELECT episode_id, grp, key, count(*) AS n, max(len(vals))::INT AS width, sum(8 * len(vals))::BIGINT AS n_bytes FROM steps GROUP BY ALL",
     "episode_listing": _A + f""", eps AS ({src.for_engine(src.episodes_sql(), 'list_value').replace('{events}', 'events')}), b AS (SELECT episode_id, max({_TICK}) AS tick FROM up GROUP BY ALL)
-      SELECT replace(rel_path, '/', '__') AS id, rel_path, mtime, coalesce(tick, 0) AS tick FROM eps LEFT JOIN b USING (episode_id)""",
+      SELECT replace(rel_path, '/', '__') AS id, rel_path, mtime, coalesce(tick, 0) AS tick, eps.episode_id IN (SELECT episode_id FROM an WHERE annotator <> 'a0' AND trim(coalesce(source, '')) IN ('', 'human')) AND eps.episode_id IN (SELECT episode_id FROM an WHERE annotator = 'a0') AS others
+      FROM eps LEFT JOIN b USING (episode_id)""",
     "bimanual_split": src.as_cte("steps") + " SELECT episode_id, t, round(vals[1] + vals[2] + vals[3] + vals[5] + vals[6], 6) AS joint_sum, round(vals[4], 6) AS gripper_0, round(vals[7], 6) AS gripper_1 FROM steps WHERE grp = 'action' AND key = 'joint_velocity'",
 }

@@ -55,11 +55,14 @@ def structure(steps: DataFrame) -> DataFrame:
     return steps.groupBy("episode_id", "grp", "key").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vals")).alias("width"), F.sum(8 * F.size("vals")).cast("long").alias("n_bytes"))
 
 
-def listing(episodes: DataFrame, ticks: DataFrame) -> DataFrame:
-    """``(id, rel_path, mtime, tick)`` of all episodes; the id is the path with its slashes doubled into underscores."""
+def listing(episodes: DataFrame, ticks: DataFrame, others: DataFrame) -> DataFrame:
+    """``(id, rel_path, mtime, tick, others)`` of all episodes by path; the id is the path with its slashes doubled into
+    underscores. ``others`` has the episodes that somebody else annotated."""
     best = ticks.groupBy("episode_id").agg(F.max("tick").alias("tick"))
-    rows = episodes.join(best, "episode_id", "left")
-    return rows.select(F.regexp_replace("rel_path", "/", "__").alias("id"), "rel_path", "mtime", F.coalesce("tick", F.lit(0)).alias("tick"))
+    seen = others.where("others").select("episode_id").distinct().withColumn("others", F.lit(True))
+    rows = episodes.join(best, "episode_id", "left").join(seen, "episode_id", "left")
+    rows = rows.select(F.regexp_replace("rel_path", "/", "__").alias("id"), "rel_path", "mtime", F.coalesce("tick", F.lit(0)).alias("tick"), F.coalesce("others", F.lit(False)).alias("others"))
+    return rows.orderBy("rel_path")
 
 
 def bimanual(steps: DataFrame, joints: tuple[int, ...], grippers: tuple[int, ...]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,14 +18,29 @@ STATE = "width int, steps long, nan_steps long, bytes long"
 CLOSED = "episode_id long, key string, n_steps long, nan_steps long, n_bytes long, problem string"
 
 
-def step_problems(steps: DataFrame) -> DataFrame:
-    """Adds ``problem`` to each step on its own: what isn't finite, gripper values, quaternion width and length; null if sound."""
+def step_problems(steps: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Adds ``problem`` to each step on its own: what isn't finite, gripper values, width and length of each arm's quaternion; null if sound.
+
+    With ``declared``, a table ``(episode_id, key)``, keys that an episode doesn't declare are a problem too; a stream is
+    joined with the table as it is.
+    """
     pose, grip = c("key") == "cartesian_position", c("key") == "gripper_binary"
+    arms = F.sequence(F.lit(4), F.greatest(F.size("vals"), F.lit(4)), F.lit(7))
     problem = (
         F.when(c("vals").isNull() | (F.size("vals") == 0), "empty").when(~all_finite(c("vals")), "not_finite").when(pose & ~F.size("vals").isin(7, 14), "cartesian_width")
-        .when(pose & (F.abs(norm(F.slice("vals", 4, 4)) - 1) > 1e-2), "unit_quaternion").when(grip & F.exists("vals", lambda v: ~v.isin(0.0, 1.0)), "gripper_binary")
+        .when(pose & F.exists(arms, lambda at: F.abs(norm(F.slice("vals", at, 4)) - 1) > 1e-2), "unit_quaternion").when(grip & F.exists("vals", lambda v: ~v.isin(0.0, 1.0)), "gripper_binary")
     )
-    return steps.withColumn("problem", problem)
+    if declared is None:
+        return steps.withColumn("problem", problem)
+    known = declared.select("episode_id", "key").distinct().withColumn("__known", F.lit(True))
+    rows = steps.join(known, ["episode_id", "key"], "left")
+    return rows.withColumn("problem", F.when(c("__known").isNull(), "not_declared").otherwise(problem)).drop("__known")
+
+
+def accepted_and_rejected(steps: DataFrame, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Steps without a problem, and those with one."""
+    rows = step_problems(steps, declared)
+    return rows.where("problem is null").drop("problem"), rows.where("problem is not null")
 
 
 def running_counts(steps: DataFrame) -> DataFrame:
@@ -45,6 +61,7 @@ def _close(cap: int, idle_ms: int | None):
         width, n, nan, size = state.get if state.exists else (-1, 0, 0, 0)
         out = []
         for rows in batches:
+            rows = rows.sort_values("t", kind="stable") if "t" in rows else rows
             for vals, closes in zip(rows["vals"], rows["closes"]):
                 if vals is not None and len(vals):
                     if width < 0:
@@ -74,30 +91,29 @@ def episode_log(steps: DataFrame, cap: int = 100 * 1024 * 1024, idle_ms: int | N
     """A stream of ``CLOSED`` rows: one when an episode's key closes (a step with ``closes``, or ``idle_ms`` without
     steps), and one at the step that changes the shape or crosses the cap of bytes.
 
-    State is four numbers per open key. Without ``idle_ms`` keys that never close stay, and a run over what is
+    Steps of one Arrow batch go by their column ``t`` if there is one. State is four numbers per open key. Without ``idle_ms`` keys that never close stay, and a run over what is
     available ends; with it Spark goes on to look for idle keys.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return steps.groupBy("episode_id", "key").applyInPandasWithState(_close(cap, idle_ms), CLOSED, STATE, "append", timeout)
 
 
-def upsert_listing(batch: DataFrame, at: str) -> None:
-    """Folds a micro-batch of file rows ``(path, size, mtime)`` into the listing at ``at``: the newest row per path stays.
+def upsert_listing(batch: DataFrame, at: str, batch_id: int | None = None) -> None:
+    """Adds a micro-batch of file rows ``(path, size, mtime)`` to the log of changes at ``at``: the newest row per path.
 
-    The new listing is written beside the old one under the batch's own name and is complete before it is read.
+    The log is only added to and never read here; ``listing`` takes the newest row of each path. With the number of the
+    batch, as ``foreachBatch`` gives it, a batch that comes again replaces itself.
     """
-    spark = batch.sparkSession
-    try:
-        old = spark.read.parquet(f"{at}/*")
-    except Exception as e:  # no listing yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        old = batch.limit(0)
-    newest = old.unionByName(batch).groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("x")).select("path", "x.size", "x.mtime")
-    changed = newest.join(old, ["path", "size", "mtime"], "left_anti")
-    changed.write.mode("append").parquet(f"{at}/changes")
+    newest = batch.groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("x")).select("path", "x.size", "x.mtime")
+    name = f"changes-{batch_id}" if batch_id is not None else f"changes-at-{uuid.uuid4().hex}"
+    newest.write.mode("overwrite").parquet(f"{at}/{name}")
 
 
 def listing(spark, at: str) -> DataFrame:
-    """The newest row of each path in a listing."""
+    """The newest row of each path in a log of changes."""
     return spark.read.parquet(f"{at}/*").groupBy("path").agg(F.max(F.struct("mtime", "size")).alias("x")).select("path", "x.size", "x.mtime")
+
+
+def follow_listing(files: DataFrame, at: str, checkpoint: str):
+    """A stream of file rows kept in the log of changes at ``at``; ends when all that is there was read."""
+    return files.writeStream.foreachBatch(lambda batch, n: upsert_listing(batch, at, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,3 +25,57 @@ def test_listing_keeps_the_newest(spark):
     recorder.upsert_listing(make([("a", 1, 1), ("b", 1, 1)]), at)
     recorder.upsert_listing(make([("a", 5, 2), ("b", 1, 1)]), at)
     assert {tuple(r) for r in recorder.listing(spark, at).collect()} == {("a", 5, 2), ("b", 1, 1)}
+
+
+def test_steps_are_rejected_by_both_arms_and_declarations(spark):
+    good, bad = [0.0] * 3 + [0.0, 0.0, 0.0, 1.0], [0.0] * 3 + [0.5, 0.0, 0.0, 0.0]
+    rows = [(1, "cartesian_position", v) for v in (good, bad, good + good, good + bad, bad + good, good[:6], None, [])] + [(1, "gripper_binary", [0.5]), (2, "gripper_binary", [1.0]), (1, "joint_position", [float("inf")])]
+    steps = spark.createDataFrame([(*r, t) for t, r in enumerate(rows)], "episode_id long, key string, vals array<double>, t long")
+    want = [None, "unit_quaternion", None, "unit_quaternion", "unit_quaternion", "cartesian_width", "empty", "empty", "gripper_binary", None, "not_finite"]
+    assert [r["problem"] for r in recorder.step_problems(steps).orderBy("t").collect()] == want
+    declared = spark.createDataFrame([(1, "cartesian_position"), (1, "gripper_binary")], "episode_id long, key string")
+    kept, rejected = recorder.accepted_and_rejected(steps, declared)
+    assert sorted(r["t"] for r in kept.collect()) == [0, 2] and kept.columns.count("problem") == 0
+    assert {r["t"]: r["problem"] for r in rejected.collect()} == {t: p for t, p in enumerate(want) if p} | {9: "not_declared", 10: "not_declared"}
+
+
+class State:
+    """What the engine hands to a stateful function."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_idle_episodes_close_and_late_rows_go_by_step():
+    import pandas as pd
+
+    run = recorder._close(100, 500)
+    state = State()
+    rows = pd.DataFrame({"vals": [[1.0, 2.0], [1.0], [float("nan")]], "closes": [False] * 3, "t": [2, 0, 1]})
+    out = pd.concat(run((7, "k"), iter([rows]), state))
+    assert out["problem"].tolist() == ["shape_changed"] and state.value == (1, 3, 1, 32) and state.timeout == 500
+    idle = State(state.value, True)
+    closed = pd.concat(run((7, "k"), iter([]), idle))
+    assert closed.iloc[0].tolist() == [7, "k", 3, 1, 32, ""] and not idle.exists
+
+
+def test_a_stream_of_files_keeps_the_newest(spark):
+    at, came, check = (tempfile.mkdtemp(prefix=f"spark-{x}-") for x in ("log", "came", "check"))
+    schema = "path string, size long, mtime long"
+    for rows in ([("a", 1, 1), ("b", 1, 1)], [("a", 5, 2), ("a", 4, 1)], []):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(came)
+        query = recorder.follow_listing(spark.readStream.schema(schema).parquet(came), at, check)
+        assert query.awaitTermination(100)
+    assert {tuple(r) for r in recorder.listing(spark, at).collect()} == {("a", 5, 2), ("b", 1, 1)}

@@ -124,3 +124,9 @@ def to_quaternion(x: Column, representation: str) -> Column:
         return from_euler(x, representation.removeprefix("euler_"))
     made = {"quat": unit, "matrix": from_matrix, "rot6d": from_rot6d, "rotvec": from_rotation_vector}
     return made[representation](x)
+
+
+def arms_to_quaternions(x: Column, representation: str, arms: int) -> Column:
+    """The quaternions of several arms one after another, from equal parts of an array, one per arm."""
+    width = (F.size(x) / arms).cast("int")
+    return F.concat(*(to_quaternion(F.slice(x, width * i + 1, width), representation) for i in range(arms)))

@@ -74,12 +74,19 @@ def camera_durations(videos: DataFrame) -> DataFrame:
 
 
 def state_steps(steps: DataFrame) -> DataFrame:
-    """``(episode_id, t, step, moving)``: how far all states but the gripper's went, each in its own spread."""
-    cells = steps.where("grp = 'state' and key not like 'gripper%'").select("episode_id", "key", "t", F.posexplode("vals").alias("d", "v"))
-    one = Window.partitionBy("episode_id", "key", "d")
-    spread = F.stddev_pop("v").over(one)
-    moved = cells.withColumn("sd", F.when(spread > 1e-9, spread).otherwise(1.0)).withColumn("m", c("v") - F.lag("v").over(one.orderBy("t")))
-    per = moved.where("m is not null").groupBy("episode_id", "t").agg(F.sqrt(F.sum(F.pow(c("m") / c("sd"), 2))).alias("step"))
+    """``(episode_id, t, step, moving)``: how far all states but the gripper's went, each in its own spread.
+
+    Changes are arrays, one window per key; only the spreads are aggregated by dimension.
+    """
+    rows = steps.where("grp = 'state' and key not like 'gripper%'").select("episode_id", "key", "t", "vals").repartition("episode_id", "key")
+    cells = rows.select("episode_id", "key", F.posexplode("vals").alias("d", "v"))
+    spread = cells.groupBy("episode_id", "key", "d").agg(F.stddev_pop("v").alias("sd"))
+    spread = spread.groupBy("episode_id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "sd"))), lambda x: x["sd"]).alias("sds"))
+    before = F.lag("vals").over(Window.partitionBy("episode_id", "key").orderBy("t"))
+    moved = rows.withColumn("move", F.zip_with("vals", before, lambda a, b: a - b)).where("move is not null").join(spread, ["episode_id", "key"])
+    scaled = F.zip_with("move", "sds", lambda m, sd: m / F.when(sd > 1e-9, sd).otherwise(1.0))
+    sq = F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v)
+    per = moved.select("episode_id", "t", sq.alias("sq")).repartition("episode_id").groupBy("episode_id", "t").agg(F.sqrt(F.sum("sq")).alias("step"))
     top = per.groupBy("episode_id").agg(F.percentile("step", F.lit(0.95)).alias("p95"))
     rows = per.join(top, "episode_id")
     return rows.select("episode_id", "t", F.round("step", 6).alias("step"), ((c("p95") > 0) & (c("step") > 0.1 * c("p95"))).alias("moving"))

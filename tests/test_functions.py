@@ -75,3 +75,9 @@ def test_angles_are_unwrapped_like_a_numeric_library(spark):
     rows = spark.createDataFrame([(1, i, float(a)) for i, a in enumerate(angles)], "e long, t long, v double")
     got = [r["unwrapped"] for r in curation.unwrapped(rows, ["e"], "t", "v").orderBy("t").collect()]
     assert np.allclose(got, np.unwrap(angles))
+
+
+def test_each_arm_has_its_part(spark):
+    two = F.array(*map(F.lit, [0.1, 0.2, 0.3, -1.0, 0.5, 0.0]))
+    row = spark.range(1).select(rot.arms_to_quaternions(two, "rotvec", 2).alias("q"), *(rot.to_quaternion(F.slice(two, at, 3), "rotvec").alias(f"a{at}") for at in (1, 4))).first()
+    assert np.allclose(row["q"], row["a1"] + row["a4"])

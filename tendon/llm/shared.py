@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,11 +18,13 @@ HOT_PARTS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), a local one that is then set."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("tendon.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tendon-shared-")
         spark.conf.set("tendon.shared.dir", at)
     return at.rstrip("/")
@@ -65,17 +68,18 @@ def put_file(uri: str, data: bytes) -> None:
 
 
 def mapped_path(uri: str) -> str:
-    """A path that can be memory-mapped; a file in a remote store is first copied beside the worker."""
+    """A path that can be memory-mapped; a file in a remote store is first copied beside the worker, which removes it when it ends."""
     path = local_path(uri)
     if path is not None:
         return path
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(uri)
-    path = os.path.join(tempfile.gettempdir(), "tendon-mapped", at.strip("/").replace("/", "_"))
+    path = os.path.join(tempfile.gettempdir(), "tendon-mapped", f"{os.getpid()}-" + at.strip("/").replace("/", "_"))
     if not os.path.exists(path):
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with store.open_input_stream(at) as src, open(part := f"{path}.{os.getpid()}", "wb") as out:
+        atexit.register(lambda: os.path.exists(path) and os.remove(path))
+        with store.open_input_stream(at) as src, open(part := f"{path}.part", "wb") as out:
             while block := src.read(1 << 22):
                 out.write(block)
         os.replace(part, path)

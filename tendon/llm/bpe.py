@@ -1,7 +1,7 @@
 """Byte-level BPE over a corpus by a global shuffle of distinct words.
 
-1. Texts are cut into pre-tokens, block by block. A block keeps its distinct words, and for every text the places of
-   its pre-tokens among them, in order; both are saved once, so that a lost executor can't change a block.
+1. Texts are cut into pre-tokens, block by block. A block has its distinct words, and for every text the places of its
+   pre-tokens among them, in order. Blocks follow the rows of a partition, so both are the same whenever it is read.
 2. The blocks' words go to the shards of their hashes. A shard encodes each distinct word of the corpus once, and
    sends the ids back to every block that has the word.
 3. Ids join the texts of their block, and each text's ids are laid out by position. Decoding joins the ids with the
@@ -25,11 +25,9 @@ import regex
 import tiktoken
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendon.llm.shared import saved
 from tendon.llm.sorted_arrays import shard_bits
 from tendon.llm.words import chunks
 
@@ -121,8 +119,8 @@ def _list_planes(starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> l
     return [pack.compress(numbers[a:b].T.tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def _cut(bits: int):
-    """Rows of words, ``(block, shard, sizes, words)``, and rows of texts, ``(block, id, places)``."""
+def _cut(bits: int, give: str):
+    """Rows of words, ``(block, shard, sizes, words)``, or rows of texts, ``(block, shard, __id, places)``, as ``give`` says."""
 
     def block_of(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
         pieces, codes, counts = _Codes(), [], []
@@ -138,45 +136,44 @@ def _cut(bits: int):
         del inner, pieces, words
         shard = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) >> np.uint64(64 - bits)
         order = np.argsort(shard, kind="stable")
+        if give == "words":
+            names, first = np.unique(shard[order], return_index=True)
+            runs = np.split(order, first[1:]) if len(raw) else []
+            sizes = [_planes(np.fromiter((len(raw[i]) for i in run), np.int64, len(run))) for run in runs]
+            data = [zstandard.compress(b"".join([raw[i] for i in run]), 1) for run in runs]
+            columns = [pa.array([block] * len(runs), pa.int64()), pa.array(names.astype(np.int64)), pa.array(sizes, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "sizes", "words"])
+            return
         place = np.empty(len(raw), np.int64)
         place[order] = np.arange(len(raw))
-        names, first = np.unique(shard[order], return_index=True)
-        runs = np.split(order, first[1:]) if len(raw) else []
-        sizes = [_planes(np.fromiter((len(raw[i]) for i in run), np.int64, len(run))) for run in runs]
-        data = [zstandard.compress(b"".join([raw[i] for i in run]), 1) for run in runs]
         del raw
-        n = len(runs)
-        ids = part.column("__id")
-        none = pa.nulls(n, ids.type)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * n, pa.int64()), pa.array(names.astype(np.int64)), pa.array(sizes, pa.binary()), pa.array(data, pa.binary()), none, pa.nulls(n, pa.binary())],
-            ["block", "shard", "sizes", "words", "__id", "places"],
-        )
-        start, flat = np.cumsum(many) - many, place[flat]
+        start, flat, ids = np.cumsum(many) - many, place[flat], part.column("__id")
         for lo in range(0, len(codes), 512):
             code = np.concatenate(codes[lo : lo + 512])
             ends = np.concatenate([[0], np.cumsum(many[code])])[np.cumsum(counts[lo : lo + 512])]
-            starts = np.concatenate([[0], ends[:-1]])
-            places = _list_planes(starts, ends, flat[ragged(start[code], many[code])])
+            places = _list_planes(np.concatenate([[0], ends[:-1]]), ends, flat[ragged(start[code], many[code])])
             k = len(places)
-            empty = pa.nulls(k, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * k, pa.int64()), pa.array([_TEXT] * k, pa.int64()), empty, empty, ids.slice(lo, k), pa.array(places, pa.binary())],
-                ["block", "shard", "sizes", "words", "__id", "places"],
-            )
+            columns = [pa.array([block] * k, pa.int64()), pa.array([_TEXT] * k, pa.int64()), ids.slice(lo, k), pa.array(places, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "shard", "__id", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held, size = None, [], 0
+
+        def whole() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
         for batch in batches:
+            if block is None and batch.num_rows:  # blocks are numbered in their partition of the table
+                block = batch.column("__part")[0].as_py() << 32
             for part in chunks(batch, "__text", BLOCK):
                 more = part.column("__text").nbytes
                 if held and size + more > BLOCK:
-                    yield from block_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
+                    yield from block_of(whole(), block)
                     block, held, size = block + 1, [], 0
                 held.append(part)
                 size += more
         if held:
-            yield from block_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
+            yield from block_of(whole(), block)
 
     return run
 
@@ -266,17 +263,17 @@ def encoded(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", decode:
     With ``decode``, also ``decoded``, the bytes of the ids, joined from the token table where the ids are laid out.
 
     A null or empty text has no ids. Null and repeated ids are rows like any other; other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. ``docs`` is read twice and must give the same rows in the same order, as a stored
+    table does; save what comes out of a shuffle first.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col("text").alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col("text").alias("__text"), F.spark_partition_id().alias("__part"))
     kind = rows.schema["__id"].dataType.simpleString()
-    fields = f"block long, shard long, sizes binary, words binary, __id {kind}, places binary"
-    cut = saved(rows.mapInArrow(_cut(shard_bits(SHARDS * partitions)), fields), "bpe-blocks")
-    words = cut.where(F.col("shard") < _TEXT).select("block", "shard", "sizes", "words")
+    bits = shard_bits(SHARDS * partitions)
+    words = rows.mapInArrow(_cut(bits, "words"), "block long, shard long, sizes binary, words binary")
     words = words.repartition(partitions, "shard").sortWithinPartitions("shard")
     ids = words.mapInArrow(_encode_words(ranks), "block long, shard long, sizes binary, ids binary")
-    texts = cut.where(F.col("shard") == _TEXT).select("block", "shard", "__id", "places")
+    texts = rows.mapInArrow(_cut(bits, "texts"), f"block long, shard long, __id {kind}, places binary")
     every = ids.unionByName(texts, allowMissingColumns=True)
     every = every.repartition(partitions, "block").sortWithinPartitions("block", "shard")
     out = every.mapInArrow(_laid_out(ranks, decode), f"__id {kind}, n_tokens long, ids binary" + ", decoded binary" * decode)

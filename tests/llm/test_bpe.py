@@ -1,5 +1,4 @@
 import random
-from types import SimpleNamespace
 
 import public_tokenizers
 import pyarrow as pa
@@ -56,12 +55,12 @@ def test_blocks_of_any_size_and_hashes_that_words_share(spark, docs_of, prose, m
             m.setattr(bpe, name, value)
             assert {r["doc_id"]: r for r in bpe.encoded(docs_of(texts), decode=True).collect()} == want, name
     monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", lambda w: 7)  # all words in one shard, by one hash
-    monkeypatch.setattr(bpe.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
-    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["__id", "__text"])
-    cut = list(bpe._cut(4)(iter([table])))
-    ids = list(bpe._encode_words(bpe.RANKS)(b.select(["block", "shard", "sizes", "words"]) for b in cut if b.column("words").null_count == 0))
-    rows = [(b.column(0), b.column(1), b.column(2), b.column(3), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary())) for b in ids]
-    rows += [(b.column(0), b.column(1), b.column(2), b.column(2), b.column(4), b.column(5)) for b in cut if b.column("words").null_count]
+    table = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array([3] * len(texts))], ["__id", "__text", "__part"])
+    words, places = (list(bpe._cut(4, give)(iter([table]))) for give in ("words", "texts"))
+    ids = list(bpe._encode_words(bpe.RANKS)(iter(words)))
+    nothing = lambda b, kind: pa.nulls(len(b), kind)
+    rows = [(*b.columns, nothing(b, pa.int64()), nothing(b, pa.binary())) for b in ids]
+    rows += [(b.column(0), b.column(1), nothing(b, pa.binary()), nothing(b, pa.binary()), b.column(2), b.column(3)) for b in places]
     every = [pa.RecordBatch.from_arrays(list(r), ["block", "shard", "sizes", "ids", "__id", "places"]) for r in rows]
     got = {r["__id"]: r["ids"] for b in bpe._laid_out(bpe.RANKS, False)(iter(every)) for r in b.to_pylist()}
     assert got == {i: bytes(r["ids"]) for i, r in want.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tendon.jobs import motion_queries, pose_queries, profile_queries, video_queries
 from tendon.operators import motion, reporting, validation
-from tendon.operators.config import CHECKS, DEFAULTS, DESCRIPTIONS, HIGH_CONFIDENCE, action_of, catalogue
+from tendon.operators.config import CHECKS, DEFAULTS, DESCRIPTIONS, HIGH_CONFIDENCE, action_of, catalogue, with_overrides
 from tendon.sources import episodes as src
 from tendon.sources import recordings as rec
 
@@ -48,11 +48,12 @@ def placeholder_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.placeholder_metadata(src.episodes(spark, sf_dir).select("episode_id", "operator_name").join(p, "episode_id", "left"))
 
 
-#: Category, query, the check's name where the query has no such column, and the expression of the key.
-PARTS = [
-    ("general", "general_checks", None, "key"), ("general", "command_rate", "command_rate", "key"), ("general", "duplicate_pairs", "duplicate_pairs", "concat(key_a, '+', key_b)"), ("general", "missing_keys", None, "key"),
-    ("general", "chunked_actions", None, "key"), ("general", "placeholder_metadata", "placeholder_metadata", "field"), ("joint_position", "joint_position_checks", None, "key"), ("joint_position", "joint_name_checks", "joint_names", "problem"),
-    ("joint_velocity", "joint_velocity_checks", None, "key"), ("cartesian_position", "cartesian_position_checks", None, "key"), ("cartesian_position", "biarm_ordering", "biarm_ordering", "'cartesian_position'"),
+#: Category, query, the check's name where the query has no such column, and the expression of the key. The first ones are made in one pass.
+_OF_KEYS = [("general", "general_checks", None, "key"), ("joint_position", "joint_position_checks", None, "key"), ("joint_velocity", "joint_velocity_checks", None, "key")]
+PARTS = _OF_KEYS + [
+    ("general", "command_rate", "command_rate", "key"), ("general", "duplicate_pairs", "duplicate_pairs", "concat(key_a, '+', key_b)"), ("general", "missing_keys", None, "key"),
+    ("general", "chunked_actions", None, "key"), ("general", "placeholder_metadata", "placeholder_metadata", "field"), ("joint_position", "joint_name_checks", "joint_names", "problem"),
+    ("cartesian_position", "cartesian_position_checks", None, "key"), ("cartesian_position", "biarm_ordering", "biarm_ordering", "'cartesian_position'"),
     ("cartesian_velocity", "cartesian_velocity_checks", None, "key"), ("video", "video_container_checks", None, "key"), ("video", "camera_durations", "camera_duration_mismatch", "'all'"),
 ]
 _WITH_METRIC = ("general_checks", "joint_position_checks", "joint_velocity_checks", "cartesian_position_checks", "cartesian_velocity_checks", "video_container_checks")
@@ -63,13 +64,15 @@ def _registered() -> dict:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of all categories with their labels."""
+    """Findings of all categories with their labels; kept by the session, since the reports share them."""
     have = _registered()
-    parts = []
-    for category, name, check, key in PARTS:
+    keys = motion.key_metrics(motion_queries._cells(spark, sf_dir, motion.GENERAL_KEYS, medians=True, flips=True))
+    keys = motion.with_states(keys, motion.state_lengths(src.steps(spark, sf_dir), motion.GENERAL_KEYS))
+    parts = [motion.every_key(keys, with_overrides(motion_queries.OVERRIDES)).select("episode_id", "category", "check_name", "key", "metric")]
+    for category, name, check, key in PARTS[len(_OF_KEYS) :]:
         metric = "metric" if name in _WITH_METRIC else "CAST(NULL AS DOUBLE) AS metric"
         parts.append(have[name](spark, sf_dir).selectExpr("episode_id", f"'{category}' AS category", f"'{check}' AS check_name" if check else "check_name", f"{key} AS key", metric))
-    return reporting.labelled(motion.union_all(*parts), catalogue(spark))
+    return reporting.labelled(motion.union_all(*parts), catalogue(spark)).persist()
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,8 +161,7 @@ def delta_rule(threshold: float, values: Column) -> tuple[Column, dict[str, Colu
     return (c("n_next") >= 1) & (c("aa_next") > 0) & (ratio < threshold), {"metric": ratio, "other": rms(c("aa_next"), values)}
 
 
-def general(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings of the checks that hold for any action key; ``keys`` come with their states (``with_states``)."""
+def general_rules(config: Config) -> list[Rule]:
     own = config["general"]
     ok, arm = c("n_bad") == 0, c("key").isin(*ARM_KEYS)
     sound = ok & (c("n_bad_state") == 0)
@@ -176,7 +175,7 @@ def general(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     both = ratio_of(c("aa"), c("ss"))
     residual = ratio_of(c("to_next"), c("aa_next"))
     is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], c("next_values"))
-    return findings_of(keys, [
+    return [
         ("constant_action", ok & arm & (c("n") >= 2) & (c("changes") == 0), {"metric": c("first"), "other": span, "n": c("n"), "note": state_key(c("key"))}),
         ("length_mismatch", c("state").isNotNull() & (c("n") != c("state.n")), {"metric": c("n") - c("state.n"), "n": c("n"), "note": state_key(c("key"))}),
         ("action_copies_state", sound & c("key").isin(*COPY_KEYS) & (c("dim") == c("s_dim")) & (span > own["action_copies_state"]["atol"]) & (copies >= own["action_copies_state"]["min_fraction"]), {"metric": copies, "n": c("n_state")}),
@@ -185,11 +184,15 @@ def general(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
         ("scale_consistency", grip & ((both > own["scale_consistency"]["max_ratio"]) | (both < own["scale_consistency"]["min_ratio"])), {"metric": both}),
         ("tracking_residual", grip & (c("aa_next") > 0) & (residual > own["tracking_residual"]["max_normalized_rms"]), {"metric": residual}),
         ("delta_detection", grip & is_delta, told),
-    ], "general", config)
+    ]
 
 
-def joint_position(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings of joint positions; widths are compared with the names if there are any."""
+def general(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of the checks that hold for any action key; ``keys`` come with their states (``with_states``)."""
+    return findings_of(keys, general_rules(config), "general", config)
+
+
+def joint_position_rules(config: Config) -> list[Rule]:
     own = config["joint_position"]
     mine = c("key") == "joint_position"
     ok = mine & (c("n_bad") == 0)
@@ -202,7 +205,7 @@ def joint_position(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
                         F.when((c("an") == 0) & (c("sn") == 0) & (c("s_dim") > 0) & (c("s_dim") != c("dim")), "action_vs_state"))
     tracked = some & (c("n_bad_state") == 0) & (c("n_next") >= 1)
     is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], c("next_values"))
-    return findings_of(keys, [
+    return [
         ("dof", ok & (wrong != ""), {"metric": c("dim"), "other": c("s_dim"), "n": c("an"), "note": wrong}),
         ("gripper_in_joints", ok & (c("an") == c("dim")) & (c("grippers") > 0), {"n": c("grippers")}),
         ("normalized_range", some & (F.abs(c("top") - 1) <= MATCH), {"metric": c("top")}),
@@ -210,7 +213,12 @@ def joint_position(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
         ("step_jump", some & radians & (c("n") >= 2) & (c("n_jumps") > 0), {"metric": c("top_jump"), "other": c("hz"), "n": c("n_jumps"), "at": c("first_jump")}),
         ("delta_detection", tracked & is_delta, told),
         ("tracking", tracked & radians & (c("median") > own["tracking"]["max_median_error_rad"]), {"metric": c("median")}),
-    ], "joint_position", config)
+    ]
+
+
+def joint_position(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of joint positions; widths are compared with the names if there are any."""
+    return findings_of(keys, joint_position_rules(config), "joint_position", config)
 
 
 def jumping_joints(cell: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -257,21 +265,38 @@ def integration(rows: DataFrame, columns: Column, own: dict[str, object]) -> Dat
     return rows.withColumn("reasons", reasons).withColumn("suspected", guess).withColumn("usable", F.coalesce(usable(0) | usable(1), F.lit(False)))
 
 
-def joint_velocity(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings of joint velocities; what needs a rate is left out without one."""
+def joint_velocity_rules(config: Config) -> list[Rule]:
+    """Over keys with their integration."""
     own = config["joint_velocity"]
     ok = (c("key") == "joint_velocity") & (c("n_bad") == 0)
     state = ok & (c("n_bad_state") == 0) & (c("n_state") >= 3)
     rate, match = c("flips") / F.when(c("pairs") > 0, c("pairs")), ratio_of(c("to_next"), c("nn"))
-    rows = integration(keys, c("columns"), own["tracking"])
-    return findings_of(rows, [
+    return [
         ("dof", ok & (c("an") > 0) & (c("an") != c("dim")), {"metric": c("dim"), "n": c("an")}),
         ("speed_limit", ok & (c("top") > own["speed_limit"]["max_joint_speed_rad_s"]), {"metric": c("top")}),
         ("normalized_range", ok & (F.abs(c("top") - 1) <= MATCH), {"metric": c("top")}),
         ("smoothness", ok & (rate > own["smoothness"]["max_sign_flip_rate"]), {"metric": rate, "n": c("flips")}),
         ("looks_like_position", state & (match < own["looks_like_position"]["max_position_match"]), {"metric": match}),
         ("tracking", state & c("hz").isNotNull() & (c("span") >= own["tracking"]["min_motion_rad"]) & (c("reasons") != ""), {"metric": F.when(c("ratio") < INF, c("ratio")), "other": c("r"), "n": c("lag"), "note": F.concat_ws(";", "reasons", "suspected")}),
-    ], "joint_velocity", config)
+    ]
+
+
+def joint_velocity(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of joint velocities; what needs a rate is left out without one."""
+    rows = integration(keys, c("columns"), config["joint_velocity"]["tracking"])
+    return findings_of(rows, joint_velocity_rules(config), "joint_velocity", config)
+
+
+def every_key(keys: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings of general checks, joint positions and joint velocities from one pass, with their ``category``.
+
+    ``keys`` come with their states, medians and sign flips.
+    """
+    rows = integration(keys, c("columns"), config["joint_velocity"]["tracking"])
+    made = {"general": general_rules, "joint_position": joint_position_rules, "joint_velocity": joint_velocity_rules}
+    rules = [(f"{k}.{r[0]}", *r[1:]) for k, of in made.items() for r in of(config) if config[k][r[0]]["enabled"]]
+    found = findings_of(rows, rules)
+    return found.withColumn("category", F.substring_index("check_name", ".", 1)).withColumn("check_name", F.substring_index("check_name", ".", -1))
 
 
 def command_rate(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:

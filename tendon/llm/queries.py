@@ -149,4 +149,43 @@ ORACLE_SQL: dict[str, str] = {
                rule_bits & 3 <> 0 AS base_failed, rule_bits & 127 = 0 AS kept, rule_bits
         FROM b
     """,
+    "op11_prefix_trie": r"""
+        WITH ids AS (
+            SELECT DISTINCT conv_id AS c, conv_id - conv_id % 20 AS base,
+                   -- CRC-32 of the decimal id: eight shifts a byte, the byte xored in before the first
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR d IN string_split(conv_id::VARCHAR, '')])),
+                       lambda acc, x: xor(xor(acc, x) >> 1, 3988292384 * (xor(acc, x) & 1))), 4294967295) % 4 AS h
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        whole AS (
+            SELECT ids.c, t.i AS j, 0 AS own, role, text FROM ids JOIN t ON t.c = ids.base AND t.i <= ids.h
+            UNION ALL SELECT ids.c, t.i, 1, role, text FROM ids JOIN t ON t.c = ids.c AND t.i > ids.h
+        ),
+        steps AS (
+            SELECT c, row_number() OVER w AS depth, text, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS node
+            FROM whole WINDOW w AS (PARTITION BY c ORDER BY own, j ROWS UNBOUNDED PRECEDING)
+        ),
+        paths AS (
+            SELECT c, depth, sha256(node) AS node, coalesce(lag(sha256(node)) OVER (PARTITION BY c ORDER BY depth), 'root') AS parent,
+                   len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM steps
+            UNION ALL SELECT c, 0, 'root', NULL, 0 FROM ids
+        ),
+        nodes AS (SELECT node, any_value(parent) AS parent, any_value(depth)::BIGINT AS depth, min(c) AS c, count(*) AS n, any_value(words) AS words FROM paths GROUP BY node),
+        kids AS (SELECT parent AS node, count(*) AS k FROM nodes GROUP BY parent),
+        sums AS (
+            SELECT p.node, sum((n.n - 1) * n.words)::BIGINT AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+            FROM nodes n JOIN paths p ON p.c = n.c AND p.depth <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY p.node
+        ),
+        last AS (SELECT c, arg_max(node, depth) AS node FROM paths GROUP BY c),
+        ends AS (SELECT node, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM last GROUP BY node)
+        SELECT n.c AS conv_id, n.depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, s.leaves AS n_leaves,
+               s.saved AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+        FROM nodes n JOIN sums s USING (node) LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node LEFT JOIN ends e ON e.node = n.node
+    """,
 }

@@ -9,12 +9,17 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tendon.llm import bpe, mixing, quality_rules, simhash  # noqa: E402
+from tendon.llm import bpe, mixing, quality_rules  # noqa: E402
 from tendon.llm.shared import saved  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def sets_of(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + pipeline.SHINGLE]) for i in range(max(1, len(words) - pipeline.SHINGLE + 1))}
+
+
 def test_stages(spark, docs_of, prose):
     rng = random.Random(11)
     texts = [prose(rng.randint(60, 250), i) for i in range(90)]
@@ -33,13 +38,12 @@ def test_stages(spark, docs_of, prose):
     for r in rows[1]:
         best[r["text"]] = max(best.get(r["text"], -1), r["doc_id"])
     assert {r["doc_id"] for r in rows[2]} == set(best.values())
-    prints = [(r["doc_id"], simhash.fingerprint(r["text"].encode())) for r in sorted(rows[2], key=lambda r: r["doc_id"])]
-    group = {i: i for i, _ in prints}
-    for _ in prints:
-        for i, a in prints:
-            for j, b in prints:
-                if (a ^ b).bit_count() <= simhash.RADIUS:
-                    group[i] = group[j] = min(group[i], group[j])
+    sets = {r["doc_id"]: sets_of(r["text"]) for r in rows[2]}
+    group = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= pipeline.SIMILARITY * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
     assert {r["doc_id"] for r in rows[3]} == set(group.values())
     taken = {r["doc_id"]: r["taken"] for r in mixing.taken(kept[3]).collect() if r["taken"]}
     words = Counter()

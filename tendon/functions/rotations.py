@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tendon.functions.columns import norm, safe_div
 
+#: Orders of angles that profiles may declare.
+EULER_ORDERS = ("xyz", "zyx", "xyx", "XYZ", "ZYX", "XYX")
+
 
 def parts(q: Column) -> tuple[Column, Column, Column, Column]:
     return tuple(F.element_at(q, i) for i in range(1, 5))

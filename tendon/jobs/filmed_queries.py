@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendon.operators import video_motion as vm
+from tendon.operators.config import with_overrides
 from tendon.sources import filmed as src
 
 
@@ -40,6 +41,31 @@ def periodic_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vm.periodic_skips(_motion(spark, sf_dir), vm.position_motion(src.motion(spark, sf_dir)), _cameras(spark, sf_dir))
 
 
+def _hands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The motion of the first two joints as that of a hand, without joints."""
+    rows = src.motion(spark, sf_dir).where("key = 'joint_position'")
+    return rows.withColumn("key", F.lit("cartesian_position")).withColumn("vals", F.expr("array(vals[0], vals[1], 0.2D, 0D, 0D, 0D, 1D)"))
+
+
+def hand_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic skips of episodes that record the hand's pose and no joints."""
+    rows = _hands(spark, sf_dir)
+    return vm.periodic_skips(vm.motion_of(vm.state_motion(rows), src.rates(spark, sf_dir)), vm.position_motion(rows), _cameras(spark, sf_dir))
+
+
+#: Thresholds of a lab whose cameras are noisy.
+NOISY = {"video": {"video_jump": {"jump_diff": 55.0, "jump_ratio": 12.0}, "corrupted_frames": {"glitch_diff": 95.0}}}
+
+
+def noisy_camera_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jumps of cameras with overridden thresholds."""
+    return vm.video_jumps(_cameras(spark, sf_dir), _motion(spark, sf_dir), with_overrides(NOISY))
+
+
+def glitched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vm.corrupted(_cameras(spark, sf_dir))
+
+
 def ignored_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, skipped = vm.without_ignored(src.frames(spark, sf_dir), ("tactile ",))
     counted = kept.groupBy("episode_id", "camera").agg(F.count("diff").alias("n")).withColumn("reason", F.lit(""))
@@ -65,7 +91,7 @@ _JUMPS = """, ar AS (SELECT a.e, a.t, any_value(a.step) AS step, any_value(a.p95
   cd AS (SELECT *, CASE WHEN near > 0 THEN step / near ELSE 'inf'::DOUBLE END >= 10 AND step >= p95 AND step > 0 AND busy >= 0.5e0 AS jump FROM ar),
   jp AS (SELECT e, t, CASE WHEN hz > 0 THEN (t + 1) / hz ELSE t + 1 END AS time FROM cd a WHERE jump AND NOT EXISTS (SELECT 1 FROM cd b WHERE b.e = a.e AND b.jump AND abs(b.t - a.t) = 1))"""
 
-QUERIES = {f.__name__: f for f in (robot_moving, state_and_camera_jumps, camera_jumps, still_frames, periodic_skips, ignored_cameras)}
+QUERIES = {f.__name__: f for f in (robot_moving, state_and_camera_jumps, camera_jumps, still_frames, periodic_skips, hand_skips, noisy_camera_jumps, glitched_frames, ignored_cameras)}
 ORACLE_SQL = {
     "robot_moving": _S + " SELECT e AS episode_id, t, round(step, 6) AS step, moving FROM mo",
     "state_and_camera_jumps": _S + _JUMPS + """, kk AS (SELECT DISTINCT jp.e, jp.t, camera, rate, di.n, round_even(time * rate, 0)::BIGINT - 1 AS k, greatest(2, round_even(rate, 0)) AS w FROM jp JOIN di USING (e)),
@@ -109,3 +135,12 @@ ORACLE_SQL = {
     "ignored_cameras": src.as_cte("frames") + """ SELECT episode_id, camera, count(diff) AS n, '' AS reason FROM frames WHERE camera = 'front' GROUP BY ALL
       UNION ALL SELECT DISTINCT episode_id, camera, 0, 'ignored_camera' FROM frames WHERE camera = 'Tactile'""",
 }
+_HANDS = _S.replace("motion AS (", "motion0 AS (", 1).replace(",\n  st AS (", """,
+  motion AS (SELECT episode_id, grp, 'cartesian_position' AS key, t, [vals[1], vals[2], 0.2e0, 0, 0, 0, 1] AS vals FROM motion0 WHERE key = 'joint_position'),
+  st AS (""", 1)
+ORACLE_SQL["hand_skips"] = (
+    ORACLE_SQL["periodic_skips"].replace(_S, _HANDS).replace("list_transform(list_zip(vals, lag(vals) OVER", "list_transform(list_zip(vals[1:3], lag(vals[1:3]) OVER").replace("FROM motion WHERE key = 'joint_position')", "FROM motion)")
+    .replace("list_max(list_transform(m, lambda v: abs(v))) AS top", "100 * sqrt(list_sum(list_transform(m, lambda v: v * v))) AS top").replace("top - med >= 0.015e0", "top - med >= 1e0")
+)
+ORACLE_SQL["noisy_camera_jumps"] = ORACLE_SQL["camera_jumps"].replace("least(a.diff, b.diff) >= 20 AND", "least(a.diff, b.diff) >= 95 AND").replace("WHERE diff >= 40 AND", "WHERE diff >= 55 AND").replace("diff / (med + 1) >= 20)", "diff / (med + 1) >= 12)")
+ORACLE_SQL["glitched_frames"] = _S + " SELECT b.e AS episode_id, b.camera, b.t AS frame FROM di a JOIN di b ON a.e = b.e AND a.camera = b.camera AND b.t = a.t + 1 WHERE least(a.diff, b.diff) >= 20 AND least(a.diff, b.diff) / (a.skip + 1) >= 4"

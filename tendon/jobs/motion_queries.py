@@ -26,7 +26,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], **more) -> DataFrame:
-    return motion.cell_metrics(src.steps(spark, sf_dir), src.episodes(spark, sf_dir), _profiles(spark, sf_dir), keys, **more)
+    return motion.cell_metrics(src.steps(spark, sf_dir, keys), src.episodes(spark, sf_dir), _profiles(spark, sf_dir), keys, **more)
 
 
 def _keys(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], **more) -> DataFrame:
@@ -34,7 +34,7 @@ def _keys(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], **more) -> Da
 
 
 def _general_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.with_states(_keys(spark, sf_dir, motion.GENERAL_KEYS), motion.state_lengths(src.steps(spark, sf_dir), motion.GENERAL_KEYS))
+    return motion.with_states(_keys(spark, sf_dir, motion.GENERAL_KEYS), motion.state_lengths(src.steps(spark, sf_dir, motion.GENERAL_KEYS), motion.GENERAL_KEYS))
 
 
 def aligned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def skipped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motion.command_rate(src.steps(spark, sf_dir), src.episodes(spark, sf_dir))
+    return motion.command_rate(src.steps(spark, sf_dir, motion.ARM_KEYS), src.episodes(spark, sf_dir))
 
 
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,33 +16,33 @@ _ASIDE = "transform(vals, (v, i) -> v + CASE WHEN i = 1 THEN 1D ELSE 0D END)"
 OVERRIDES = {"cartesian_position": {"quaternion_sign_flip": {"enabled": True}, "quaternion_scalar_order": {"enabled": True}}}
 
 
-def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _steps(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
     """Most two-armed episodes have a second arm beside the first; the commands of some have their arms swapped."""
     two = "key LIKE 'cartesian%' AND episode_id % 4 = 1 AND episode_id % 6 <> 5"
     swap = "grp = 'action' AND key = 'cartesian_position' AND episode_id % 8 = 1"
     both = F.expr(f"CASE WHEN {two} THEN CASE WHEN {swap} THEN concat({_ASIDE}, vals) WHEN key = 'cartesian_velocity' THEN concat(vals, vals) ELSE concat(vals, {_ASIDE}) END ELSE vals END")
-    return src.steps(spark, sf_dir).withColumn("vals", both)
+    return src.steps(spark, sf_dir, key and (key,)).withColumn("vals", both)
 
 
 def cartesian_position_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the checks on quaternions that are off by default."""
-    return poses.cartesian_position(_steps(spark, sf_dir), src.episodes(spark, sf_dir), with_overrides(OVERRIDES))
+    return poses.cartesian_position(_steps(spark, sf_dir, poses.POSE), src.episodes(spark, sf_dir), with_overrides(OVERRIDES))
 
 
 def pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.pose_errors(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
+    return poses.pose_errors(_steps(spark, sf_dir, poses.POSE), src.episodes(spark, sf_dir))
 
 
 def cartesian_velocity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.cartesian_velocity(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
+    return poses.cartesian_velocity(_steps(spark, sf_dir, poses.VELOCITY), src.episodes(spark, sf_dir))
 
 
 def velocity_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.velocity_tracking(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
+    return poses.velocity_tracking(_steps(spark, sf_dir, poses.VELOCITY), src.episodes(spark, sf_dir))
 
 
 def biarm_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.biarm_ordering(_steps(spark, sf_dir), src.episodes(spark, sf_dir))
+    return poses.biarm_ordering(_steps(spark, sf_dir, poses.POSE), src.episodes(spark, sf_dir))
 
 
 def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ Rule = tuple[str, Column, dict[str, Column]]
 def findings_of(rows: DataFrame, rules: list[Rule], category: str | None = None, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, check_name, key, metric, other, n, at, note)`` of the rules that hold, from one pass over ``rows``.
 
-    A rule is a name, a condition and what is told about it. Rules that the configuration of the category turns off are left out.
+    A rule is a name, a condition and what is told about it, another key among it. Rules that the configuration of the category turns off are left out.
     """
     if category is not None:
         rules = [r for r in rules if config[category][r[0]]["enabled"]]
@@ -138,12 +138,12 @@ def findings_of(rows: DataFrame, rules: list[Rule], category: str | None = None,
     def entry(name: str, told: dict[str, Column]) -> Column:
         values = [told[f].cast(t) if f in told else F.lit(None).cast(t) for f, t in kinds]
         values = [F.round(v, 6) if t == "double" else v for v, (_, t) in zip(values, kinds)]
-        return F.struct(F.lit(name).alias("check_name"), *(v.alias(f) for v, (f, _) in zip(values, kinds)))
+        return F.struct(F.lit(name).alias("check_name"), told.get("key", c("key")).alias("key"), *(v.alias(f) for v, (f, _) in zip(values, kinds)))
 
-    none = F.array().cast(f"array<struct<check_name:string,{','.join(f'{f}:{t}' for f, t in kinds)}>>")
+    none = F.array().cast(f"array<struct<check_name:string,key:string,{','.join(f'{f}:{t}' for f, t in kinds)}>>")
     every = F.array(*(F.when(cond, entry(name, told)) for name, cond, told in rules)) if rules else none
-    found = rows.select("episode_id", "key", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("found"))
-    return found.select("episode_id", "found.check_name", "key", *(c(f"found.{f}") for f, _ in kinds))
+    found = rows.select("episode_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("found"))
+    return found.select("episode_id", "found.check_name", "found.key", *(c(f"found.{f}") for f, _ in kinds))
 
 
 def metrics_of(rows: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:

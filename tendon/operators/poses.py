@@ -9,67 +9,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendon.functions.alignment import aligned, rated
-from tendon.functions.columns import all_finite, dot, max_abs, minus, norm, quat_angle, sum_sq, total
-from tendon.functions.rotations import conjugate, product, rotated_back, rotation_vector
+from tendon.functions.alignment import aligned
+from tendon.functions.columns import all_finite, dot, max_abs, minus, norm, quat_angle, rms, sum_sq, total
+from tendon.functions.rotations import EULER_ORDERS, conjugate, let, product, rotated_back, rotation_vector, to_quaternion
 from tendon.operators.config import DEFAULTS, Config
-from tendon.operators.motion import MATCH, delta_rule, findings_of, integration, ratio_of
+from tendon.operators.motion import MATCH, Rule, findings_of, integration, ratio_of
 
 c = F.col
 POSE, VELOCITY = "cartesian_position", "cartesian_velocity"
 
 
-def pose_rows(steps: DataFrame, episodes: DataFrame, key: str, width: int) -> DataFrame:
-    """Aligned rows with ``arms``, ``fits`` (the action has so many numbers per arm), ``bad`` and ``bad_state`` (whether the
-    array has what isn't finite), and the state's ``stride`` per arm, null if it has no position for each arm."""
-    rows = rated(aligned(steps, (key,)), episodes).join(episodes.select("episode_id", F.when(c("is_biarm"), 2).otherwise(1).alias("arms")), "episode_id")
+def state_quaternion(x: Column, declared: Column | None) -> Column:
+    """One arm's state orientation as a unit quaternion: by the declared representation if the width is its own, four numbers
+    else as a quaternion; null for others, and for what has no direction."""
+    wide = lambda n: F.size(x) == n
+    if declared is None:
+        return let(F.when(wide(4), to_quaternion(x, "quat")), lambda v: F.when(sum_sq(v) > 0, v))
+    out = F.when(wide(9) & (declared == "matrix"), to_quaternion(x, "matrix")).when(wide(6) & (declared == "rot6d"), to_quaternion(x, "rot6d"))
+    for kind in ("rotvec", *(f"euler_{o}" for o in EULER_ORDERS)):
+        out = out.when(wide(3) & (declared == kind), to_quaternion(x, kind))
+    q = out.when(wide(4), to_quaternion(x, "quat"))
+    return let(q, lambda v: F.when(sum_sq(v) > 0, v))
+
+
+def declared_orientations(profiles: DataFrame) -> DataFrame:
+    """``(episode_id, declared)``: how the states write orientations, from parsed profiles."""
+    return profiles.select("episode_id", c("p.robot_state_orientation_representation").alias("declared"))
+
+
+def pose_rows(steps: DataFrame, episodes: DataFrame, key: str, width: int, declared: DataFrame | None = None) -> DataFrame:
+    """Aligned rows with ``hz``, ``arms``, ``declared`` if given, ``fits`` (the action has so many numbers per arm), ``bad`` and ``bad_state`` (whether
+    the array has what isn't finite), and the state's ``stride`` per arm, null if it has no position for each arm."""
+    rate = c("control_freq")
+    good = ~F.isnan(rate) & (rate > 0) & (rate < float("inf"))
+    own = episodes.select("episode_id", F.when(c("is_biarm"), 2).otherwise(1).alias("arms"), F.when(good, rate).alias("hz"))
+    if declared is not None:
+        own = own.join(declared, "episode_id", "left")
+    rows = aligned(steps, (key,)).join(own, "episode_id")
     whole = Window.partitionBy("episode_id")
     rows = rows.withColumn("bad", F.max(~all_finite("a")).over(whole)).withColumn("bad_state", F.coalesce(F.max(~all_finite("s")).over(whole), F.lit(False)))
     rows = rows.withColumn("s_next", F.when(c("more"), c("s_next"))).withColumn("s_next2", F.when(c("more2"), c("s_next2")))
-    stride = F.when((F.size("s") % c("arms") == 0) & (F.size("s") >= 3 * c("arms")) & ~c("bad_state"), (F.size("s") / c("arms")).cast("int"))
-    return rows.withColumn("fits", F.size("a") == width * c("arms")).withColumn("stride", stride)
+    placed = (F.size("s") % c("arms") == 0) & (F.size("s") >= 3 * c("arms"))
+    stride = F.when(placed & ~c("bad_state"), (F.size("s") / c("arms")).cast("int"))
+    return rows.withColumns({"fits": F.size("a") == width * c("arms"), "stride": stride, "placed": placed})
 
 
 def each_arm(rows: DataFrame, width: int) -> DataFrame:
-    """Rows by arm: position and quaternion of states then and next; ``own`` is the arm's part of the action."""
-    rows = rows.where("fits and not bad").withColumn("arm", F.explode(F.sequence(F.lit(0), c("arms") - 1)))
+    """Rows by arm: position and quaternion of states then and next; ``own`` is the arm's part of the action. Actions that don't
+    fit, or of episodes with values that aren't finite, give one row without these."""
+    usable = c("fits") & ~c("bad")
+    kind = c("declared") if "declared" in rows.columns else None
+    rows = rows.withColumn("arm", F.explode(F.when(usable, F.sequence(F.lit(0), c("arms") - 1)).otherwise(F.array(F.lit(0)))))
     place = lambda x: F.slice(x, c("arm") * c("stride") + 1, F.lit(3))
-    turn = lambda x: F.when(c("stride") == 7, F.slice(x, c("arm") * c("stride") + 4, F.lit(4)))
-    known = c("stride").isNotNull()
+    turn = lambda x: state_quaternion(F.slice(x, c("arm") * c("stride") + 4, c("stride") - 3), kind)
+    known = usable & c("stride").isNotNull()
+    part = lambda x: F.when(usable, F.slice(x, c("arm") * width + 1, F.lit(width)))
     return rows.select(
-        "episode_id", "t", "arm", "arms", "hz", "more", "more2", F.slice("a", c("arm") * width + 1, F.lit(width)).alias("own"), F.slice("a_prev", c("arm") * width + 1, F.lit(width)).alias("own_prev"),
+        "episode_id", "t", "arm", "arms", "hz", "more", "more2", "bad", "fits", "bad_state", "placed", F.size("a").alias("width"), part("a").alias("own"), part("a_prev").alias("own_prev"),
         *(F.when(known & c(x).isNotNull(), of(c(x))).alias(n) for x, p, q in (("s", "sp", "sq"), ("s_next", "np", "nq")) for n, of in ((p, place), (q, turn))),
     )
 
 
-def arm_metrics(rows: DataFrame) -> DataFrame:
+_SHAPE = (F.max, "bad"), (F.min, "fits"), (F.max, "width"), (F.max, "arms"), (F.max, "hz"), (F.max, "bad_state"), (F.min, "placed")
+
+
+def arm_metrics(rows: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """One row per episode and arm; angles are null without unit-like quaternions on both sides."""
+    own = config["cartesian_position"]
     p, q, q_prev = F.slice("own", 1, 3), F.slice("own", 4, 4), F.when(F.size("own_prev") == 7, F.slice("own_prev", 4, 4))
     rows = rows.withColumn("p", p).withColumn("q", q).withColumn("q_prev", q_prev).withColumn("n", norm(c("q")))
-    rows = rows.withColumn("zero", F.max(c("n") == 0).over(Window.partitionBy("episode_id")))
-    limit = F.lit(DEFAULTS["cartesian_position"]["rotation_jump"]["max_angular_speed_deg_s"])
-    return _arm_metrics(rows, limit, DEFAULTS["cartesian_position"]["quaternion_shape"]["norm_atol"])
-
-
-def _arm_metrics(rows: DataFrame, limit: Column, atol: float) -> DataFrame:
-    turned = lambda a, b: F.when(~c("zero") & a.isNotNull() & b.isNotNull() & (norm(b) > 0), quat_angle(a, b))
-    off = F.abs(c("n") - 1) > atol
+    rows = rows.withColumn("zero", F.coalesce(F.max(c("n") == 0).over(Window.partitionBy("episode_id")), F.lit(False)))
+    turned = lambda a, b: F.when(~c("zero") & a.isNotNull() & b.isNotNull(), quat_angle(a, b))
+    off = F.abs(c("n") - 1) > own["quaternion_shape"]["norm_atol"]
     rows = rows.withColumn("angle", turned(c("q_prev"), c("q"))).withColumn("far", norm(minus(c("p"), c("np")))).withColumn("turned", turned(c("q"), c("nq")))
-    flip, jump = ~c("zero") & (dot(c("q_prev"), c("q")) < 0), c("angle") > limit / c("hz")
+    flip, jump = ~c("zero") & (dot(c("q_prev"), c("q")) < 0), c("angle") > own["rotation_jump"]["max_angular_speed_deg_s"] / c("hz")
     first, last = F.element_at("q", 1) / F.when(c("n") > 0, c("n")), F.element_at("q", 4) / F.when(c("n") > 0, c("n"))
+    vague = F.count_if(c("sp").isNotNull() & c("sq").isNull())
+    known = lambda x: F.when(vague == 0, x)
     return rows.groupBy("episode_id", "arm").agg(
-        F.max("arms").alias("arms"), F.max("hz").alias("hz"), F.count(F.lit(1)).alias("steps"), F.max("zero").alias("zero"), F.count_if(off).alias("n_off"), F.min(F.when(off, c("n"))).alias("least"),
+        *(f(x).alias(x) for f, x in _SHAPE), F.count("own").alias("steps"), F.max("zero").alias("zero"), F.count_if(off).alias("n_off"), F.min(F.when(off, c("n"))).alias("least"),
         F.max(F.when(off, c("n"))).alias("most"), F.count_if(flip).alias("flips"), F.min(F.when(flip, c("t") - 1)).alias("first_flip"), F.count_if(jump).alias("n_jumps"), F.min(F.when(jump, c("t") - 1)).alias("first_jump"),
         F.max("angle").alias("top_angle"), (F.avg(F.abs(first)) - F.stddev_pop(first)).alias("first_steady"), (F.avg(F.abs(last)) - F.stddev_pop(last)).alias("last_steady"),
-        F.percentile("far", F.lit(0.5)).alias("median_far"), F.avg("far").alias("mean_far"), F.max("far").alias("most_far"), F.percentile("turned", F.lit(0.5)).alias("median_turned"),
-        F.avg("turned").alias("mean_turned"), F.max("turned").alias("most_turned"), F.max(max_abs(c("p"))).alias("top"), F.max(max_abs(c("sp"))).alias("s_top"),
+        F.percentile("far", F.lit(0.5)).alias("median_far"), F.avg("far").alias("mean_far"), F.max("far").alias("most_far"), known(F.percentile("turned", F.lit(0.5))).alias("median_turned"),
+        known(F.avg("turned")).alias("mean_turned"), known(F.max("turned")).alias("most_turned"), vague.alias("vague"), F.max(max_abs(c("p"))).alias("top"), F.max(max_abs(c("sp"))).alias("s_top"),
         F.sum(F.when(c("sp").isNotNull(), sum_sq(c("p")))).alias("pp"), F.sum(sum_sq(c("sp"))).alias("ss"), F.sum(F.when(c("np").isNotNull(), sum_sq(c("p")))).alias("aa_next"), F.sum(F.pow("far", 2)).alias("to_next"),
-        F.sum(sum_sq(minus(c("p"), minus(c("np"), c("sp"))))).alias("to_move"), F.count("far").alias("n_next"),
+        F.sum(sum_sq(minus(c("p"), minus(c("np"), c("sp"))))).alias("to_move"), F.count("far").alias("n_next"), F.count("sp").alias("n_state"),
     )
 
 
-def pose_metrics(steps: DataFrame, episodes: DataFrame) -> DataFrame:
-    return arm_metrics(each_arm(pose_rows(steps, episodes, POSE, 7), 7))
+def pose_metrics(steps: DataFrame, episodes: DataFrame, declared: DataFrame | None = None, config: Config = DEFAULTS) -> DataFrame:
+    return arm_metrics(each_arm(pose_rows(steps, episodes, POSE, 7, declared), 7), config)
 
 
 def _reach_unit(top: Column, own: dict[str, object]) -> Column:
@@ -80,44 +109,51 @@ def _reach_unit(top: Column, own: dict[str, object]) -> Column:
     return F.when(fits(100.0) & (~fits(1000.0) | (off(100.0) <= off(1000.0))), "cm").when(fits(1000.0), "mm").otherwise("unknown")
 
 
-def cartesian_position(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings of poses: those of an arm have its number as ``key``, from 1; those of the whole episode the action's key."""
+def over_arms(arms: DataFrame, sums: tuple[str, ...], tops: tuple[str, ...]) -> DataFrame:
+    """Adds ``all_<column>``, the sum or the largest over the arms of an episode; rows stay where they are."""
+    whole = Window.partitionBy("episode_id")
+    return arms.withColumns({f"all_{x}": F.sum(x).over(whole) for x in sums} | {f"all_{x}": F.max(x).over(whole) for x in tops} | {"all_fits": F.min("fits").over(whole)})
+
+
+def cartesian_position(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS, declared: DataFrame | None = None) -> DataFrame:
+    """Findings of poses from one pass: those of an arm have its number as ``key``, from 1; those of the whole episode the action's key."""
+    arms = over_arms(pose_metrics(steps, episodes, declared, config), ("pp", "ss", "aa_next", "to_next", "to_move", "n_next"), ("top", "s_top", "steps", "bad", "width"))
+    return findings_of(arms.withColumn("key", (c("arm") + 1).cast("string")), position_rules(config), "cartesian_position", config)
+
+
+def position_rules(config: Config) -> list[Rule]:
+    """Rules over arms; those of the whole episode are told by its first arm."""
     own = config["cartesian_position"]
-    rows = pose_rows(steps, episodes, POSE, 7)
-    shape = rows.groupBy("episode_id").agg(F.max("bad").alias("bad"), F.min("fits").alias("fits"), F.max(F.size("a")).alias("width"), F.max("arms").alias("arms")).withColumn("key", F.lit(POSE))
-    wrong = findings_of(shape, [("quaternion_shape", ~c("bad") & ~c("fits"), {"metric": c("width"), "other": 7 * c("arms"), "note": F.lit("wrong_dim")})], "cartesian_position", config)
-    arms = arm_metrics(each_arm(rows, 7))
-    some = c("steps") >= 2
-    limits = own["pose_tracking"]
-    of_arms = findings_of(arms.withColumn("key", (c("arm") + 1).cast("string")), [
+    some, limits = c("steps") >= 2, own["pose_tracking"]
+    once, key = c("arm") == 0, {"key": F.lit(POSE)}
+    long = once & (c("all_steps") >= 2)
+    unit = own["position_units"]
+    most = unit["max_abs_position_m"]
+    ratio = F.when(c("all_ss") > 0, F.sqrt(c("all_pp") / F.when(c("all_ss") > 0, c("all_ss"))))
+    far, s_far, scale = (F.coalesce(x, F.lit(False)) for x in (c("all_top") > most, c("all_s_top") > most, ratio > unit["max_action_state_ratio"]))
+    by_ratio = F.when(F.abs(F.log10(ratio / 100.0)) < 0.5, "cm").when(F.abs(F.log10(ratio / 1000.0)) < 0.5, "mm").otherwise("unknown")
+    guess = F.when(far | scale, F.when(~s_far & ratio.isNotNull(), by_ratio).otherwise(_reach_unit(c("all_top"), unit)))
+    note = F.concat_ws(";", F.concat_ws(",", F.when(far, "action_out_of_range"), F.when(s_far, "state_out_of_range"), F.when(scale, "action_state_scale_mismatch")), guess, F.when(s_far, _reach_unit(c("all_s_top"), unit)))
+    delta = ratio_of(c("all_to_move"), c("all_to_next"))
+    return [
+        ("quaternion_shape", once & ~c("all_bad") & ~c("all_fits"), {"metric": c("all_width"), "other": 7 * c("arms"), "note": F.lit("wrong_dim"), **key}),
         ("quaternion_shape", c("n_off") > 0, {"metric": c("least"), "other": c("most"), "n": c("n_off"), "note": F.lit("bad_quaternion_norm")}),
         ("quaternion_sign_flip", some & (c("flips") > 0), {"n": c("flips"), "at": c("first_flip")}),
         ("rotation_jump", some & (c("n_jumps") > 0), {"metric": c("top_angle"), "other": c("hz"), "n": c("n_jumps"), "at": c("first_jump")}),
         ("quaternion_scalar_order", some & ~c("zero") & (c("first_steady") > c("last_steady")), {"metric": c("first_steady"), "other": c("last_steady")}),
         ("pose_tracking", some & ~c("zero") & ((c("median_far") > limits["max_median_position_error_m"]) | (c("median_turned") > limits["max_median_orientation_error_deg"])), {"metric": c("median_far"), "other": c("median_turned")}),
-    ], "cartesian_position", config)
-    sums = [F.sum(x).alias(x) for x in ("pp", "ss", "aa_next", "to_next", "to_move", "n_next")] + [F.max(x).alias(x) for x in ("top", "s_top", "steps", "arms")]
-    whole = arms.groupBy("episode_id").agg(*sums).withColumn("key", F.lit(POSE))
-    unit = own["position_units"]
-    most = unit["max_abs_position_m"]
-    ratio = F.when(c("ss") > 0, F.sqrt(c("pp") / F.when(c("ss") > 0, c("ss"))))
-    far, s_far, scale = (F.coalesce(x, F.lit(False)) for x in (c("top") > most, c("s_top") > most, ratio > unit["max_action_state_ratio"]))
-    by_ratio = F.when(F.abs(F.log10(ratio / 100.0)) < 0.5, "cm").when(F.abs(F.log10(ratio / 1000.0)) < 0.5, "mm").otherwise("unknown")
-    guess = F.when(far | scale, F.when(~s_far & ratio.isNotNull(), by_ratio).otherwise(_reach_unit(c("top"), unit)))
-    note = F.concat_ws(";", F.concat_ws(",", F.when(far, "action_out_of_range"), F.when(s_far, "state_out_of_range"), F.when(scale, "action_state_scale_mismatch")), guess, F.when(s_far, _reach_unit(c("s_top"), unit)))
-    is_delta, told = delta_rule(own["delta_detection"]["ratio_threshold"], 3 * c("n_next"))
-    of_all = findings_of(whole.where(some), [
-        ("normalized_range", F.abs(c("top") - 1) <= MATCH, {"metric": c("top")}),
-        ("position_units", far | s_far | scale, {"metric": c("top"), "other": ratio, "note": note}),
-        ("delta_detection", is_delta, told),
-    ], "cartesian_position", config)
-    return wrong.unionByName(of_arms).unionByName(of_all)
-
-
-def pose_errors(steps: DataFrame, episodes: DataFrame) -> DataFrame:
-    """``(episode_id, arm, ...)``: median, mean and largest distance and angle between a command and the next state."""
+        ("normalized_range", long & (F.abs(c("all_top") - 1) <= MATCH), {"metric": c("all_top"), **key}),
+        ("position_units", long & (far | s_far | scale), {"metric": c("all_top"), "other": ratio, "note": note, **key}),
+        ("delta_detection", long & (c("all_n_next") >= 1) & (c("all_aa_next") > 0) & (delta < own["delta_detection"]["ratio_threshold"]), {"metric": delta, "other": rms(c("all_aa_next"), 3 * c("all_n_next")), **key}),
+    ]
+
+
+def pose_errors(steps: DataFrame, episodes: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """``(episode_id, arm, ...)``: median, mean and largest distance and angle between a command and the next state.
+
+    Angles are null where a state's orientation can't be read by its width and what is ``declared``."""
     names = [f"{k}_{x}" for x in ("far", "turned") for k in ("median", "mean", "most")]
-    return pose_metrics(steps, episodes).select("episode_id", (c("arm") + 1).cast("long").alias("arm"), *(F.round(n, 6).alias(n) for n in names))
+    return pose_metrics(steps, episodes, declared).where("steps > 0").select("episode_id", (c("arm") + 1).cast("long").alias("arm"), *(F.round(n, 6).alias(n) for n in names))
 
 
 def biarm_ordering(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -130,39 +166,50 @@ def biarm_ordering(steps: DataFrame, episodes: DataFrame, config: Config = DEFAU
     return sums.where(ratio < config["cartesian_position"]["biarm_ordering"]["max_swap_ratio"]).select("episode_id", F.round(ratio, 6).alias("ratio"))
 
 
-def cartesian_velocity(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings on shape, speed, range, smoothness and likeness to positions of cartesian velocities."""
+def velocity_metrics(steps: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One row per episode and arm: speeds, sign flips of dimensions that are large for their own scale, and likeness to the next state."""
+    parts = each_arm(pose_rows(steps, episodes, VELOCITY, 6), 6).withColumn("lin", F.slice("own", 1, 3)).withColumn("ang", F.slice("own", 4, 3))
+    arm = Window.partitionBy("episode_id", "arm")
+    at = lambda x, i: F.get(x, F.lit(i))
+    parts = parts.withColumn("scale", F.array(*(0.1 * F.sqrt(F.avg(at("own", i) * at("own", i)).over(arm)) for i in range(6))))
+    large = [(F.abs(at("own", i)) > at("scale", i)) & (F.abs(at("own_prev", i)) > at("scale", i)) for i in range(6)]
+    flip = [x & (F.signum(at("own", i)) != F.signum(at("own_prev", i))) for i, x in enumerate(large)]
+    counted = lambda xs: F.sum(sum((F.when(x, 1).otherwise(0) for x in xs[1:]), F.when(xs[0], 1).otherwise(0)))
+    return parts.groupBy("episode_id", "arm").agg(
+        *(f(x).alias(x) for f, x in _SHAPE), F.count("own").alias("steps"), counted(large).alias("pairs"), counted(flip).alias("flips"), F.max(norm(c("lin"))).alias("linear"), F.max(norm(c("ang"))).alias("angular"),
+        F.max(max_abs(c("own"))).alias("top"), F.sum(sum_sq(minus(c("lin"), c("np")))).alias("to_next"), F.sum(sum_sq(c("np"))).alias("nn"), F.count("sp").alias("n_state"), F.count_if(c("sp").isNotNull() & c("sq").isNull()).alias("vague"),
+    )
+
+
+def velocity_rules(config: Config) -> list[Rule]:
+    """Rules over the whole episode, told by its first arm."""
     own = config["cartesian_velocity"]
-    rows = pose_rows(steps, episodes, VELOCITY, 6)
-    shape = rows.groupBy("episode_id").agg(F.max("bad").alias("bad"), F.min("fits").alias("fits"), F.max(F.size("a")).alias("width"), F.max("arms").alias("arms")).withColumn("key", F.lit(VELOCITY))
-    wrong = findings_of(shape, [("shape", ~c("bad") & ~c("fits"), {"metric": c("width"), "other": 6 * c("arms")})], "cartesian_velocity", config)
-    parts = each_arm(rows, 6).withColumn("lin", F.slice("own", 1, 3)).withColumn("ang", F.slice("own", 4, 3))
-    cells = parts.select("episode_id", "arm", "own_prev", F.posexplode("own").alias("d", "v")).withColumn("before", F.expr("get(own_prev, d)"))
-    cells = cells.withColumn("scale", F.sqrt(F.avg(c("v") * c("v")).over(Window.partitionBy("episode_id", "arm", "d"))))
-    large = (F.abs("v") > 0.1 * c("scale")) & (F.abs("before") > 0.1 * c("scale"))
-    flips = cells.groupBy("episode_id").agg(F.count_if(large).alias("pairs"), F.count_if(large & (F.signum("v") != F.signum("before"))).alias("flips"))
-    per = parts.groupBy("episode_id").agg(
-        F.max(norm(c("lin"))).alias("linear"), F.max(norm(c("ang"))).alias("angular"), F.max(max_abs(c("own"))).alias("top"), F.sum(sum_sq(minus(c("lin"), c("np")))).alias("to_next"), F.sum(sum_sq(c("np"))).alias("nn"),
-        (F.count("sp") / F.max("arms")).alias("n_state"),
-    ).join(flips, "episode_id").withColumn("key", F.lit(VELOCITY))
-    rate, match = c("flips") / F.when(c("pairs") > 0, c("pairs")), ratio_of(c("to_next"), c("nn"))
+    once, some = c("arm") == 0, (c("arm") == 0) & (c("all_steps") > 0)
+    rate, match = c("all_flips") / F.when(c("all_pairs") > 0, c("all_pairs")), ratio_of(c("all_to_next"), c("all_nn"))
     speed = own["speed_limit"]
-    return wrong.unionByName(findings_of(per, [
-        ("speed_limit", (c("linear") > speed["max_linear_m_s"]) | (c("angular") > speed["max_angular_rad_s"]), {"metric": c("linear"), "other": c("angular")}),
-        ("normalized_range", F.abs(c("top") - 1) <= MATCH, {"metric": c("top")}),
-        ("smoothness", rate > own["smoothness"]["max_sign_flip_rate"], {"metric": rate, "n": c("flips")}),
-        ("looks_like_position", (c("n_state") >= 3) & (match < own["looks_like_position"]["max_position_match"]), {"metric": match}),
-    ], "cartesian_velocity", config))
+    return [
+        ("shape", once & ~c("all_bad") & ~c("all_fits"), {"metric": c("all_width"), "other": 6 * c("arms")}),
+        ("speed_limit", some & ((c("all_linear") > speed["max_linear_m_s"]) | (c("all_angular") > speed["max_angular_rad_s"])), {"metric": c("all_linear"), "other": c("all_angular")}),
+        ("normalized_range", some & (F.abs(c("all_top") - 1) <= MATCH), {"metric": c("all_top")}),
+        ("smoothness", some & (rate > own["smoothness"]["max_sign_flip_rate"]), {"metric": rate, "n": c("all_flips")}),
+        ("looks_like_position", some & (c("all_n_state") >= 3 * c("arms")) & (match < own["looks_like_position"]["max_position_match"]), {"metric": match}),
+    ]
 
 
-def velocity_integrations(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+def cartesian_velocity(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Findings on shape, speed, range, smoothness and likeness to positions of cartesian velocities, from one pass."""
+    arms = over_arms(velocity_metrics(steps, episodes), ("pairs", "flips", "to_next", "nn", "n_state"), ("linear", "angular", "top", "bad", "width", "steps"))
+    return findings_of(arms.withColumn("key", F.lit(VELOCITY)), velocity_rules(config), "cartesian_velocity", config)
+
+
+def velocity_integrations(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS, declared: DataFrame | None = None) -> DataFrame:
     """``(episode_id, frame, part, lag, r, ratio, reasons, suspected, moves)``: how velocities follow the motion that results.
 
     All axes of all arms are pooled, in the base's and the hand's frame; ``part`` is linear or angular, as given or
     ``swapped_``. ``moves`` says whether the robot went far enough from its start for the part to be judged.
     """
     own = config["cartesian_velocity"]["tracking"]
-    rows = each_arm(pose_rows(steps, episodes, VELOCITY, 6), 6).where("hz is not null and sp is not null and sq is not null")
+    rows = each_arm(pose_rows(steps, episodes, VELOCITY, 6, declared), 6).where("hz is not null and sp is not null and sq is not null")
     by = Window.partitionBy("episode_id", "arm").orderBy("t")
     start = lambda x: F.first(x).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("gone", norm(minus(c("sp"), start("sp")))).withColumn("rotated", quat_angle(c("sq"), start("sq")))
@@ -189,21 +236,29 @@ def velocity_integrations(steps: DataFrame, episodes: DataFrame, config: Config
     return per.select("episode_id", "frame", "part", "lag", "r", F.when(c("ratio") < float("inf"), c("ratio")).alias("ratio"), "reasons", "suspected", moves.alias("moves"))
 
 
-def velocity_tracking(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """Findings of ``tracking`` and ``linear_angular_order``, in the frame that fits better, the base's at a tie."""
-    own = config["cartesian_velocity"]
-    each = velocity_integrations(steps, episodes, config)
+def tracked(each: DataFrame) -> DataFrame:
+    """One row per episode of ``velocity_integrations``, in the frame that fits better, the base's at a tie."""
     of = lambda part, x: F.max(F.when(c("part") == part, c(x))).alias(f"{part}_{x}")
     names = ("linear", "angular", "swapped_linear", "swapped_angular")
     per = each.groupBy("episode_id", "frame").agg(*(of(p, x) for p in names for x in ("r", "ratio", "lag", "reasons", "suspected", "moves")))
     score = F.coalesce("linear_r", F.lit(-1.0)) + F.coalesce("angular_r", F.lit(-1.0))
     best = Window.partitionBy("episode_id").orderBy(F.round(score, 9).desc(), "frame")
-    per = per.withColumn("rank", F.row_number().over(best)).where("rank = 1").withColumn("key", F.lit(VELOCITY))
+    return per.withColumn("rank", F.row_number().over(best)).where("rank = 1").withColumn("key", F.lit(VELOCITY))
+
+
+def tracking_rules(config: Config) -> list[Rule]:
+    """Rules over ``tracked`` episodes."""
+    own = config["cartesian_velocity"]
     listed = lambda p: F.when(c(f"{p}_moves"), F.array_join(F.transform(F.filter(F.split(f"{p}_reasons", ","), lambda x: x != ""), lambda x: F.concat(F.lit(f"{p}_"), x)), ","))
     reasons = F.array_join(F.filter(F.array(listed("linear"), listed("angular")), lambda x: x != ""), ",")
     given, swapped = (c("linear_r") + c("angular_r")) / 2, (c("swapped_linear_r") + c("swapped_angular_r")) / 2
     both = c("linear_moves") & c("angular_moves")
-    return findings_of(per, [
+    return [
         ("tracking", (c("linear_moves") | c("angular_moves")) & (reasons != ""), {"metric": F.when(c("linear_moves"), c("linear_ratio")), "other": F.when(c("angular_moves"), c("angular_ratio")), "note": F.concat_ws(";", "frame", reasons, F.when(c("linear_moves"), c("linear_suspected")), F.when(c("angular_moves"), c("angular_suspected")))}),
         ("linear_angular_order", both & swapped.isNotNull() & (given.isNull() | (swapped > given + own["linear_angular_order"]["min_improvement"])), {"metric": given, "other": swapped, "note": c("frame")}),
-    ], "cartesian_velocity", config)
+    ]
+
+
+def velocity_tracking(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS, declared: DataFrame | None = None) -> DataFrame:
+    """Findings of ``tracking`` and ``linear_angular_order``."""
+    return findings_of(tracked(velocity_integrations(steps, episodes, config, declared)), tracking_rules(config), "cartesian_velocity", config)

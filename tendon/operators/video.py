@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.functions.columns import safe_div
+from tendon.operators.config import DEFAULTS, Config
 from tendon.operators.motion import metrics_of
 
 c = F.col
@@ -44,33 +45,38 @@ def longest_run(rows: DataFrame, keys: list[str], order: str, flag: str) -> Data
     return per.groupBy(*keys).agg(F.max("k").alias("longest"))
 
 
-def brightness(stats: DataFrame) -> DataFrame:
+def brightness(stats: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, camera, median, share_extreme, problem)`` of cameras that are dark, bright or often either."""
-    per = stats.groupBy("episode_id", "camera").agg(F.percentile("luma", F.lit(0.5)).alias("m"), F.avg(((c("luma") < 15) | (c("luma") > 240)).cast("double")).alias("x"))
-    problem = F.when(c("m") < 30, "dark").when(c("m") > 225, "bright").when(c("x") >= 0.1, "extremes")
+    own = config["video"]["brightness"]
+    extreme = (c("luma") < own["dark_frame"]) | (c("luma") > own["bright_frame"])
+    per = stats.groupBy("episode_id", "camera").agg(F.percentile("luma", F.lit(0.5)).alias("m"), F.avg(extreme.cast("double")).alias("x"))
+    problem = F.when(c("m") < own["dark_median"], "dark").when(c("m") > own["bright_median"], "bright").when(c("x") >= own["extreme_frame_fraction"], "extremes")
     return per.select("episode_id", "camera", F.round("m", 6).alias("median"), F.round("x", 6).alias("share_extreme"), problem.alias("problem")).where("problem is not null")
 
 
-def containers(videos: DataFrame, episodes: DataFrame) -> DataFrame:
+def containers(videos: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """Findings on decoding, resolution, rate and duration, by camera."""
+    own = config["video"]
     rows = videos.join(episodes.select("episode_id", "trajectory_length", "control_freq"), "episode_id").withColumn("key", c("name"))
     rate = c("control_freq")
     good = ~F.isnan(rate) & (rate > 0)
     wanted = safe_div(c("trajectory_length").cast("double"), rate)
     seconds = c("decoded_frames") / c("fps")
     short = F.least("width", "height")
+    lost = F.abs(c("decoded_frames") - c("frame_count")) > own["decoding"]["max_frame_count_diff"]
     return metrics_of(rows, [
-        ("decoding", ~c("file_exists") | (c("decoded_frames") == 0) | (c("returncode") != 0) | (F.abs(c("decoded_frames") - c("frame_count")) > 1), c("decoded_frames")),
-        ("resolution", (short > 0) & (short < 360), short),
-        ("fps", good & (F.abs(c("fps") - rate) > 0.05 * rate), c("fps")),
-        ("duration", good & (F.abs(seconds - wanted) > F.greatest(F.lit(0.5), 0.05 * wanted)), seconds),
+        ("decoding", ~c("file_exists") | (c("decoded_frames") == 0) | (c("returncode") != 0) | lost, c("decoded_frames")),
+        ("resolution", (short > 0) & (short < own["resolution"]["min_short_side"]), short),
+        ("fps", good & (F.abs(c("fps") - rate) > own["fps"]["fps_rel_tol"] * rate), c("fps")),
+        ("duration", good & (F.abs(seconds - wanted) > F.greatest(F.lit(own["duration"]["duration_tol_s"]), own["duration"]["duration_rel_tol"] * wanted)), seconds),
     ])
 
 
-def camera_durations(videos: DataFrame) -> DataFrame:
-    """``(episode_id, gap)`` of episodes whose cameras last differently by over half a second."""
-    per = videos.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), (F.max(c("decoded_frames") / c("fps")) - F.min(c("decoded_frames") / c("fps"))).alias("gap"))
-    return per.where("n > 1 and gap > 0.5").select("episode_id", F.round("gap", 6).alias("gap"))
+def camera_durations(videos: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, gap)`` of episodes whose cameras last differently by more than the tolerance."""
+    seconds = c("decoded_frames") / c("fps")
+    per = videos.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), (F.max(seconds) - F.min(seconds)).alias("gap"))
+    return per.where((c("n") > 1) & (c("gap") > config["video"]["camera_duration_mismatch"]["duration_tol_s"])).select("episode_id", F.round("gap", 6).alias("gap"))
 
 
 def state_steps(steps: DataFrame) -> DataFrame:

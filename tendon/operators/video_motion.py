@@ -11,21 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.functions.columns import finite, once
+from tendon.operators.config import DEFAULTS, Config
 
 c = F.col
 
-# Default thresholds.
+#: How far a step must be above nothing, in shares of the 95th percentile, to count as moving.
 MOVING_SHARE_OF_P95 = 0.1
-STATE_JUMP = {"jump_ratio": 10.0, "min_fraction_of_p95": 1.0}
-VIDEO_JUMP = {"jump_diff": 40.0, "jump_ratio": 20.0, "state_jump_ratio": 5.0}
-CORRUPTED = {"glitch_diff": 20.0, "glitch_ratio": 4.0}
-RECORDING_GAP = {"video_jump_ratio": 5.0}
-CHOPPY = {"duplicate_diff": 0.01, "choppy_fraction": 0.2}
-FROZEN = {"static_diff": 0.05, "frozen_s": 1.0}
-PERIODIC = {
-    "jump_ratio": 3.0, "min_jumps": 6, "min_period_score": 0.4, "min_coverage": 0.6, "min_joint_jump_rad": 0.015, "min_video_jump": 2.0, "min_confirmed_fraction": 0.4,
-    "command_explains_ratio": 3.0,
-}
 SKIP_WINDOW, MIN_PERIOD, MAX_PERIOD, DIFF_FLOOR = 8, 3, 30, 0.05
 
 
@@ -114,8 +105,9 @@ def motion_of(state: DataFrame, episodes: DataFrame, share: float = MOVING_SHARE
     return rows.select("episode_id", "step", "p95", F.transform("step", lambda x: (c("p95") > 0) & (x > share * c("p95"))).alias("moving"), "hz")
 
 
-def state_jumps(motion: DataFrame, jump_ratio: float = 10.0, min_fraction_of_p95: float = 1.0, share: float = MOVING_SHARE_OF_P95) -> DataFrame:
+def state_jumps(motion: DataFrame, config: Config = DEFAULTS, share: float = MOVING_SHARE_OF_P95) -> DataFrame:
     """``(episode_id, t, ratio, hz)``: single steps far above the mean of the second around them, while the robot moves."""
+    own = config["video"]["state_jump"]
     window = _window(F.when(c("hz") > 0, c("hz")).otherwise(10.0))
     rows = motion.where(F.size("step") >= 5).withColumn("w", window)
 
@@ -125,7 +117,7 @@ def state_jumps(motion: DataFrame, jump_ratio: float = 10.0, min_fraction_of_p95
     rows = rows.withColumn("x", once(F.transform("step", entry)))
     ratio = lambda x: F.when(_mean(x["near"]) > 0, x["v"] / _mean(x["near"])).otherwise(float("inf"))
     busy = lambda x: 2 * F.size(F.filter(x["near"], lambda v: v > share * c("p95"))) >= F.size(x["near"])
-    flag = lambda x: (ratio(x) >= jump_ratio) & (x["v"] >= min_fraction_of_p95 * c("p95")) & (x["v"] > 0) & (F.size(x["near"]) > 0) & busy(x)
+    flag = lambda x: (ratio(x) >= own["jump_ratio"]) & (x["v"] >= own["min_fraction_of_p95"] * c("p95")) & (x["v"] > 0) & (F.size(x["near"]) > 0) & busy(x)
     rows = rows.select("episode_id", "hz", once(F.transform("x", lambda x: F.struct(flag(x).alias("jump"), ratio(x).alias("ratio")))).alias("x"))
     at = F.transform("x", lambda x, t: F.struct(t.alias("t"), x["ratio"].alias("ratio"), (x["jump"] & ~F.coalesce(F.get("x", t - 1)["jump"], F.lit(False)) & ~F.coalesce(F.get("x", t + 1)["jump"], F.lit(False))).alias("alone")))
     rows = rows.select("episode_id", "hz", F.explode(F.filter(at, lambda x: x["alone"])).alias("x"))
@@ -139,11 +131,18 @@ def diffs_of(stats: DataFrame, videos: DataFrame) -> DataFrame:
     return per.join(videos.select("episode_id", c("name").alias("camera"), "fps"), ["episode_id", "camera"], "left")
 
 
-def corrupted_at(glitch_diff: float = 20.0, glitch_ratio: float = 4.0) -> Column:
+def corrupted_at(config: Config = DEFAULTS) -> Column:
     """Frames unlike both neighbours, which are like each other."""
+    own = config["video"]["corrupted_frames"]
     each = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("diff") - 1))
     low = lambda t: F.least(F.get("diff", t - 1), F.get("diff", t))
-    return F.filter(each, lambda t: (t < F.size("diff")) & (low(t) >= glitch_diff) & (low(t) / (F.get("skip", t - 1) + 1.0) >= glitch_ratio))
+    return F.filter(each, lambda t: (t < F.size("diff")) & (low(t) >= own["glitch_diff"]) & (low(t) / (F.get("skip", t - 1) + 1.0) >= own["glitch_ratio"]))
+
+
+def corrupted(cameras: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """``(episode_id, camera, frame)`` of corrupted frames, from arrays of differences."""
+    rows = cameras.where(F.size("diff") > 1).select("episode_id", "camera", F.explode(corrupted_at(config)).alias("frame"))
+    return rows.select("episode_id", "camera", c("frame").cast("long").alias("frame"))
 
 
 def _state_jumps_then(time: Column, ratio: float) -> Column:
@@ -156,21 +155,22 @@ def _state_jumps_then(time: Column, ratio: float) -> Column:
     return F.coalesce(usable & (F.array_max(near) > ratio * around), F.lit(False))
 
 
-def video_jumps(cameras: DataFrame, motion: DataFrame, jump_diff: float = 40.0, jump_ratio: float = 20.0, state_jump_ratio: float = 5.0) -> DataFrame:
+def video_jumps(cameras: DataFrame, motion: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, camera, frame, time_s)``: frames that jump away from the second around them while the robot's state
     changes smoothly; differences beside a corrupted frame don't count."""
+    own = config["video"]["video_jump"]
     rows = cameras.join(motion.select("episode_id", "step", "hz"), "episode_id", "left")
     rate = F.coalesce(F.when(c("fps") > 0, c("fps")), F.when(c("hz") > 0, c("hz")), F.lit(1.0))
-    rows = rows.withColumn("bad", once(corrupted_at(**CORRUPTED))).withColumn("rate", rate).withColumn("w", _window(c("rate")))
+    rows = rows.withColumn("bad", once(corrupted_at(config))).withColumn("rate", rate).withColumn("w", _window(c("rate")))
     out = lambda t: F.exists("bad", lambda b: (b == t) | (b - 1 == t))
-    jump = lambda t: (F.get("diff", t) >= jump_diff) & ~out(t) & (F.get("diff", t) >= jump_ratio * (percentile_of(_sides(c("diff"), t, t, c("w")), 0.5) + 1.0))
+    jump = lambda t: (F.get("diff", t) >= own["jump_diff"]) & ~out(t) & (F.get("diff", t) >= own["jump_ratio"] * (percentile_of(_sides(c("diff"), t, t, c("w")), 0.5) + 1.0))
     rows = rows.where(F.size("diff") > 0).withColumn("t", F.explode(F.filter(F.sequence(F.lit(0), F.size("diff") - 1), jump)))
     rows = rows.withColumn("time", (c("t") + 1) / c("rate"))
-    shared = F.when(c("step").isNull(), False).otherwise(_state_jumps_then(c("time"), state_jump_ratio))
+    shared = F.when(c("step").isNull(), False).otherwise(_state_jumps_then(c("time"), own["state_jump_ratio"]))
     return rows.where(~shared).select("episode_id", "camera", c("t").cast("long").alias("frame"), F.round("time", 6).alias("time_s"))
 
 
-def jumps_and_gaps(jumps: DataFrame, cameras: DataFrame, video_jump_ratio: float = 5.0) -> DataFrame:
+def jumps_and_gaps(jumps: DataFrame, cameras: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, check_name, t, cameras)``: a jump of the state that cameras share is a gap in the recording."""
     time = F.when(c("hz") > 0, (c("t") + 1) / c("hz")).otherwise((c("t") + 1).cast("double"))
     rows = jumps.withColumn("time", time).join(cameras, "episode_id", "left")
@@ -179,7 +179,7 @@ def jumps_and_gaps(jumps: DataFrame, cameras: DataFrame, video_jump_ratio: float
     lo, hi = F.greatest(F.lit(0), k - 1), F.least(F.size("diff") - 1, k + 1)
     base = F.coalesce(percentile_of(_sides(c("diff"), F.greatest(F.lit(0), k - 1), k + 1, _window(rate)), 0.5), F.lit(0.0))
     near = F.slice("diff", lo + 1, F.greatest(F.lit(0), hi - lo + 1))
-    shares = F.coalesce((rate > 0) & (F.size("diff") >= 3) & (hi >= lo) & (F.array_max(near) / (base + 1.0) >= video_jump_ratio), F.lit(False))
+    shares = F.coalesce((rate > 0) & (F.size("diff") >= 3) & (hi >= lo) & (F.array_max(near) / (base + 1.0) >= config["video"]["recording_gap"]["video_jump_ratio"]), F.lit(False))
     per = rows.withColumn("shares", shares).groupBy("episode_id", "t").agg(F.array_join(F.array_sort(F.collect_set(F.when(c("shares"), c("camera")))), ",").alias("cameras"))
     return per.select("episode_id", F.when(c("cameras") != "", "recording_gap").otherwise("state_jump").alias("check_name"), "t", "cameras")
 
@@ -191,19 +191,20 @@ def on_frames(mask: Column, n: Column) -> Column:
     return F.when(n < 1, F.slice(mask, 1, 0)).when((F.size(mask) == n) | (F.size(mask) == 0), F.slice(mask, 1, n)).otherwise(each)
 
 
-def still_frames(cameras: DataFrame, motion: DataFrame, static_diff: float = 0.05, frozen_s: float = 1.0, duplicate_diff: float = 0.01, choppy_fraction: float = 0.2) -> DataFrame:
+def still_frames(cameras: DataFrame, motion: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, check_name, camera, metric)``: cameras that stand still (``frozen``, seconds) or stutter (``choppy``,
     share of equal frames) while the robot moves."""
+    frozen, choppy = config["video"]["frozen"], config["video"]["choppy"]
     rows = cameras.join(motion.select("episode_id", "moving", "hz"), "episode_id").where((F.size("diff") >= 3) & F.exists("moving", lambda x: x))
     rate = F.coalesce(F.when(c("fps") > 0, c("fps")), F.when(c("hz") > 0, c("hz")), F.lit(1.0))
     rows = rows.withColumn("mov", once(on_frames(c("moving"), F.size("diff")))).withColumn("rate", rate)
-    still = F.zip_with("diff", "mov", lambda d, m: (d < static_diff) & m)
+    still = F.zip_with("diff", "mov", lambda d, m: (d < frozen["static_diff"]) & m)
     run = F.aggregate(still, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), lambda a, x: F.struct(F.when(x, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(x, a["now"] + 1).otherwise(0)).alias("best")))
-    same = F.size(F.filter(F.zip_with("diff", "mov", lambda d, m: (d < duplicate_diff) & m), lambda x: x))
+    same = F.size(F.filter(F.zip_with("diff", "mov", lambda d, m: (d < choppy["duplicate_diff"]) & m), lambda x: x))
     moved = F.size(F.filter("mov", lambda x: x))
     rows = rows.withColumn("seconds", run["best"] / c("rate")).withColumn("share", same / F.when(moved > 0, moved))
     found = F.array_compact(F.array(
-        F.when(c("seconds") >= frozen_s, F.struct(F.lit("frozen").alias("check_name"), c("seconds").alias("metric"))), F.when(c("share") >= choppy_fraction, F.struct(F.lit("choppy").alias("check_name"), c("share").alias("metric"))),
+        F.when(c("seconds") >= frozen["frozen_s"], F.struct(F.lit("frozen").alias("check_name"), c("seconds").alias("metric"))), F.when(c("share") >= choppy["choppy_fraction"], F.struct(F.lit("choppy").alias("check_name"), c("share").alias("metric"))),
     ))
     return rows.select("episode_id", "camera", F.explode(found).alias("x")).select("episode_id", "x.check_name", "camera", F.round("x.metric", 6).alias("metric"))
 
@@ -216,16 +217,25 @@ def rolling_median(xs: Column, half: int = SKIP_WINDOW) -> Column:
 
 
 def position_motion(steps: DataFrame) -> DataFrame:
-    """``(episode_id, jump, da, ds)``: per step the largest change of a joint's state, and the lengths of the changes of
-    joint commands and joint states as far as both go."""
-    rows = steps.where("key = 'joint_position' and grp in ('state', 'action')").repartition("episode_id")
-    w = Window.partitionBy("episode_id", "grp").orderBy("t")
-    move = F.zip_with("vals", F.lag("vals").over(w), lambda a, b: F.nanvl(a, F.lit(0.0)) - F.nanvl(b, F.lit(0.0)))
-    rows = rows.withColumn("move", move).where("t > 0")
-    size = F.sqrt(F.aggregate("move", F.lit(0.0), lambda a, v: a + v * v))
-    largest = F.array_max(F.transform("move", F.abs))
-    gather = lambda g, x: F.transform(F.sort_array(F.collect_list(F.when(c("grp") == g, F.struct("t", x.alias("x"))))), lambda y: y["x"])
-    return rows.groupBy("episode_id").agg(gather("state", largest).alias("jump"), gather("action", size).alias("da"), gather("state", size).alias("ds"))
+    """``(episode_id, jump, in_cm, da, ds)``: how far each step goes by the joints, or by the hand where no joint is recorded.
+
+    ``jump`` has the largest change of a joint (in its own unit) or the longest way of an arm's hand (in centimetres,
+    ``in_cm``); ``da`` and ``ds`` the lengths of the changes of commands and states in the first space that has both,
+    joints before positions of hands, and are empty without one. Episodes without a state of position have no row.
+    """
+    rows = steps.where("key in ('joint_position', 'cartesian_position') and grp in ('state', 'action')").repartition("episode_id")
+    flat = """transform(CASE WHEN key = 'cartesian_position' AND size(vals) % 7 = 0 THEN flatten(transform(sequence(0, int(size(vals) / 7) - 1), k -> slice(vals, 7 * k + 1, 3))) ELSE vals END, v -> nanvl(v, 0D))"""
+    w = Window.partitionBy("episode_id", "grp", "key").orderBy("t")
+    rows = rows.withColumn("flat", F.expr(flat)).withColumn("before", F.lag("flat").over(w)).withColumn("move", F.expr("zip_with(flat, before, (a, b) -> a - b)")).where("t > 0")
+    length = "sqrt(aggregate({}, 0D, (a, v) -> a + v * v))".format
+    way = f"""CASE WHEN key = 'joint_position' THEN array_max(transform(move, v -> abs(v))) WHEN size(vals) % 7 = 0 THEN 100 * array_max(transform(sequence(0, int(size(vals) / 7) - 1), k -> {length("slice(move, 3 * k + 1, 3)")}))
+      ELSE 100 * {length("slice(move, 1, 3)")} END"""
+    one = lambda g, k, x: f"transform(sort_array(collect_list(CASE WHEN grp = '{g}' AND key = '{k}' THEN named_struct('t', t, 'x', {x}) END)), y -> y.x)"
+    rows = rows.withColumn("way", F.expr(way)).withColumn("len", F.expr(length("move"))).groupBy("episode_id").agg(
+        *(F.expr(one("state", k, "way")).alias(f"way_{k[0]}") for k in ("joint_position", "cartesian_position")), *(F.expr(one(g, k, "len")).alias(f"{g[0]}_{k[0]}") for g in ("state", "action") for k in ("joint_position", "cartesian_position"))
+    ).where("size(way_j) > 0 or size(way_c) > 0")
+    pick = lambda g: F.expr(f"CASE WHEN size(s_j) > 0 AND size(a_j) > 0 THEN {g}_j WHEN size(s_c) > 0 AND size(a_c) > 0 THEN {g}_c ELSE slice(s_j, 1, 0) END")
+    return rows.select("episode_id", F.expr("CASE WHEN size(way_j) > 0 THEN way_j ELSE way_c END").alias("jump"), F.expr("size(way_j) = 0").alias("in_cm"), pick("a").alias("da"), pick("s").alias("ds"))
 
 
 def scored_periods(gaps: Column) -> Column:
@@ -240,29 +250,29 @@ def scored_periods(gaps: Column) -> Column:
     return F.transform(F.sequence(F.lit(MIN_PERIOD), F.lit(MAX_PERIOD)), scored)
 
 
-def periodic_skips(motion: DataFrame, positions: DataFrame, cameras: DataFrame, jump_ratio: float = 3.0, min_jumps: int = 6, min_period_score: float = 0.4, min_coverage: float = 0.6,
-                   min_joint_jump_rad: float = 0.015, min_video_jump: float = 2.0, min_confirmed_fraction: float = 0.4, command_explains_ratio: float = 3.0) -> DataFrame:
+def periodic_skips(motion: DataFrame, positions: DataFrame, cameras: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, period, jumps, confirmed)``: gaps of the recording at a regular period.
 
     Single steps that jump away from the median around them while the robot moves, that no command explains, that are
-    regular and cover the motion, and that the joints and a camera confirm.
+    regular and cover the motion, and that the joints (the hand where there are none) and a camera confirm.
     """
+    own = config["video"]["periodic_skips"]
     rows = motion.where(F.size("step") >= 2 * SKIP_WINDOW + 1).join(positions, "episode_id").withColumn("med", once(rolling_median(c("step"))))
-    rows = rows.withColumn("hit", once(F.transform("step", lambda x, t: (x > jump_ratio * F.get("med", t)) & F.get("moving", t))))
+    rows = rows.withColumn("hit", once(F.transform("step", lambda x, t: (x > own["jump_ratio"] * F.get("med", t)) & F.get("moving", t))))
     alone = lambda x, t: x & ~F.coalesce(F.get("hit", t - 1), F.lit(False)) & ~F.coalesce(F.get("hit", t + 1), F.lit(False))
     idx = F.array_compact(F.transform("hit", lambda x, t: F.when(alone(x, t), t)))
     top = lambda i: F.array_max(F.slice("da", F.greatest(F.lit(0), i - 2) + 1, F.least(i, F.lit(2)) + 1))
     shared = F.least(F.size("da"), F.size("ds"))
-    explained = lambda i: F.coalesce((i < shared) & (F.get("ds", i) > 0) & (top(i) >= command_explains_ratio * F.get("ds", i)), F.lit(False))
-    rows = rows.withColumn("idx", once(F.filter(idx, lambda i: ~explained(i)))).where(F.size("idx") >= min_jumps)
+    explained = lambda i: F.coalesce((i < shared) & (F.get("ds", i) > 0) & (top(i) >= own["command_explains_ratio"] * F.get("ds", i)), F.lit(False))
+    rows = rows.withColumn("idx", once(F.filter(idx, lambda i: ~explained(i)))).where(F.size("idx") >= own["min_jumps"])
     gaps = F.transform(F.slice("idx", 2, F.size("idx")), lambda i, k: i - F.get("idx", k))
     rows = rows.withColumn("gaps", once(gaps)).withColumn("every", once(scored_periods(c("gaps"))))
     rows = rows.withColumn("top", once(F.array_max(F.transform("every", lambda x: x["near"])))).where("top > 0")
     # of the periods within 0.05 of the best, the one with the most exact multiples, the smaller of equals
     best = F.array_max(F.filter("every", lambda x: x["near"] >= c("top") - 0.05))
-    rows = rows.withColumn("best", once(best)).where(c("best.near") >= min_period_score)
+    rows = rows.withColumn("best", once(best)).where(c("best.near") >= own["min_period_score"])
     moved = F.size(F.filter("moving", lambda x: x))
-    rows = rows.where(F.size("idx") * -c("best.p") >= min_coverage * moved)
+    rows = rows.where(F.size("idx") * -c("best.p") >= own["min_coverage"] * moved)
     rows = rows.withColumn("jmed", once(rolling_median(c("jump")))).withColumn("extra", F.transform("idx", lambda i: F.get("jump", F.least(i, F.size("jump") - 1)) - F.get("jmed", F.least(i, F.size("jump") - 1))))
     seen = cameras.select("episode_id", "diff").withColumn("dmed", once(rolling_median(c("diff"))))
     both = rows.select("episode_id", "idx", F.size("step").alias("n")).join(seen, "episode_id")
@@ -272,8 +282,9 @@ def periodic_skips(motion: DataFrame, positions: DataFrame, cameras: DataFrame,
     top_of = both.select("episode_id", F.posexplode(spikes).alias("k", "v")).groupBy("episode_id", "k").agg(F.max("v").alias("v"))
     top_of = top_of.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("video"))
     rows = rows.join(top_of, "episode_id")
-    sure = F.size(F.filter(F.zip_with("extra", "video", lambda e, v: (e >= min_joint_jump_rad) & (v >= min_video_jump)), lambda x: x)) / F.size("idx")
-    return rows.withColumn("sure", sure).where(c("sure") >= min_confirmed_fraction).select("episode_id", (-c("best.p")).cast("long").alias("period"), F.size("idx").cast("long").alias("jumps"), F.round("sure", 6).alias("confirmed"))
+    least = F.when(c("in_cm"), own["min_ee_jump_cm"]).otherwise(own["min_joint_jump_rad"])
+    sure = F.size(F.filter(F.zip_with("extra", "video", lambda e, v: (e >= least) & (v >= own["min_video_jump"])), lambda x: x)) / F.size("idx")
+    return rows.withColumn("sure", sure).where(c("sure") >= own["min_confirmed_fraction"]).select("episode_id", (-c("best.p")).cast("long").alias("period"), F.size("idx").cast("long").alias("jumps"), F.round("sure", 6).alias("confirmed"))
 
 
 def without_ignored(cameras: DataFrame, ignored: tuple[str, ...], name: str = "camera") -> tuple[DataFrame, DataFrame]:

@@ -168,10 +168,17 @@ def _table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(for_engine(sql, "array"), events=events)
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps from one scan and one window: each event gives all arrays of its step."""
-    base = spark.sql(f"{_BASE} SELECT * FROM b", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-    rows = [f"IF({where}, named_struct('grp', '{grp}', 'key', '{key}', 'vals', {for_engine(vals, 'array')}), NULL)" for grp, key, vals, where in _step_parts()]
+def by_user(events: DataFrame) -> DataFrame:
+    """Events dealt by user to as many tasks as shuffles have: arrays are made from few bytes, so sizes don't tell the work."""
+    return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")
+
+
+def steps(spark: SparkSession, sf_dir: str, actions: tuple[str, ...] | None = None) -> DataFrame:
+    """The steps from one scan and one window: each event gives the arrays of its step, of these actions and their states alone if named."""
+    base = spark.sql(f"{_BASE} SELECT * FROM b", events=by_user(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id")))
+    states = None if actions is None else {STATE_KEY_FOR_ACTION[k] for k in actions}
+    wanted = [x for x in _step_parts() if actions is None or x[1] in (actions if x[0] == "action" else states)]
+    rows = [f"IF({where}, named_struct('grp', '{grp}', 'key', '{key}', 'vals', {for_engine(vals, 'array')}), NULL)" for grp, key, vals, where in wanted]
     each = F.explode(F.filter(F.array(*map(F.expr, rows)), lambda x: x.isNotNull())).alias("x")
     return base.select(F.col("e").alias("episode_id"), "t", each).select("episode_id", "x.grp", "x.key", "t", "x.vals")
 

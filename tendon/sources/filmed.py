@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendon.sources.episodes import for_engine
+from tendon.sources.episodes import by_user, for_engine
 
 _BASE = (
     "WITH b0 AS (SELECT user_id AS e, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t FROM {events}),"
@@ -48,7 +48,7 @@ def rates_sql() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(for_engine(sql, "array"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql(for_engine(sql, "array"), events=by_user(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))

@@ -16,12 +16,16 @@ _ASIDE = "transform(vals, (v, i) -> v + CASE WHEN i = 1 THEN 1D ELSE 0D END)"
 OVERRIDES = {"cartesian_position": {"quaternion_sign_flip": {"enabled": True}, "quaternion_scalar_order": {"enabled": True}}}
 
 
-def _steps(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+def two_armed(steps: DataFrame) -> DataFrame:
     """Most two-armed episodes have a second arm beside the first; the commands of some have their arms swapped."""
     two = "key LIKE 'cartesian%' AND episode_id % 4 = 1 AND episode_id % 6 <> 5"
     swap = "grp = 'action' AND key = 'cartesian_position' AND episode_id % 8 = 1"
     both = F.expr(f"CASE WHEN {two} THEN CASE WHEN {swap} THEN concat({_ASIDE}, vals) WHEN key = 'cartesian_velocity' THEN concat(vals, vals) ELSE concat(vals, {_ASIDE}) END ELSE vals END")
-    return src.steps(spark, sf_dir, key and (key,)).withColumn("vals", both)
+    return steps.withColumn("vals", both)
+
+
+def _steps(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
+    return two_armed(src.steps(spark, sf_dir, key and (key,)))
 
 
 def cartesian_position_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +94,30 @@ _VEL = _POSE.replace("KEY", "cartesian_velocity").replace("WIDE", "6") + f""",
     count(sp) / max(arms) AS n_state FROM pt GROUP BY episode_id), v AS (SELECT * FROM v0 JOIN fl USING (episode_id)),
   sh AS (SELECT episode_id, bool_or(bad) AS bad, bool_and(len(a) = 6 * arms) AS fits, max(len(a)) AS width, max(arms) AS arms FROM pr GROUP BY episode_id)"""
 
+_QMUL = lambda a, b: f"[{a}[4] * {b}[1] + {a}[1] * {b}[4] + {a}[2] * {b}[3] - {a}[3] * {b}[2], {a}[4] * {b}[2] - {a}[1] * {b}[3] + {a}[2] * {b}[4] + {a}[3] * {b}[1], {a}[4] * {b}[3] + {a}[1] * {b}[2] - {a}[2] * {b}[1] + {a}[3] * {b}[4], {a}[4] * {b}[4] - {a}[1] * {b}[1] - {a}[2] * {b}[2] - {a}[3] * {b}[3]]"
+_ROTVEC = lambda q: f"list_transform({q}[1:3], lambda v: v * CASE WHEN {q}[4] < 0 THEN -1 ELSE 1 END * CASE WHEN sqrt({_SQ(q + '[1:3]')}) > 1e-12 THEN 2 * atan2(sqrt({_SQ(q + '[1:3]')}), abs({q}[4])) / sqrt({_SQ(q + '[1:3]')}) ELSE 2 END)"
+_SUMS = ", ".join(f"3 * count(y{k}) AS n{k}, sum(list_sum(x)) FILTER (y{k} IS NOT NULL) AS x{k}, sum(list_sum(y{k})) AS y{k}_, sum({_SQ('x')}) FILTER (y{k} IS NOT NULL) AS xx{k}, sum({_SQ(f'y{k}')}) AS yy{k}, sum(list_sum(list_transform(list_zip(x, y{k}), lambda z: z[1] * z[2]))) FILTER (y{k} IS NOT NULL) AS xy{k}, sum(list_sum(list_transform(list_zip(x, y{k}), lambda z: (z[1] - z[2]) ** 2))) FILTER (y{k} IS NOT NULL) AS dd{k}" for k in (0, 1))
+_RK = "CASE WHEN n{0} >= 2 AND n{0} * xx{0} - x{0} ** 2 > 1e-12 * n{0} * xx{0} AND n{0} * yy{0} - y{0}_ ** 2 > 1e-12 * n{0} * yy{0} THEN (n{0} * xy{0} - x{0} * y{0}_) / sqrt((n{0} * xx{0} - x{0} ** 2) * (n{0} * yy{0} - y{0}_ ** 2)) END"
+_PAIRS = [(f, p, x, y) for f in ("base", "ee") for p, x, y in (("linear", "own[1:3]", "lin"), ("angular", "own[4:6]", "ang"), ("swapped_linear", "own[4:6]", "lin"), ("swapped_angular", "own[1:3]", "ang"))]
+_PIVOT = ", ".join(f"max({x}) FILTER (part = '{p}') AS {p}_{x}" if x != "moves" else f"bool_or(moves) FILTER (part = '{p}') AS {p}_moves" for p in ("linear", "angular", "swapped_linear", "swapped_angular") for x in ("r", "ratio", "reasons", "suspected", "moves"))
+_LIST = lambda p: f"CASE WHEN {p}_moves AND {p}_reasons <> '' THEN array_to_string(list_transform(string_split({p}_reasons, ','), lambda x: '{p}_' || x), ',') END"
+TRACKED = _POSE.replace("KEY", "cartesian_velocity").replace("WIDE", "6") + f""",
+  t0 AS (SELECT *, first_value(sp) OVER w AS sp0, first_value(sq) OVER w AS sq0, [-sq[1], -sq[2], -sq[3], sq[4]] AS cq, [np[1] - sp[1], np[2] - sp[2], np[3] - sp[3], 0] AS gap FROM pt WHERE hz IS NOT NULL AND sp IS NOT NULL WINDOW w AS (PARTITION BY episode_id, arm ORDER BY t)),
+  t1 AS (SELECT *, sqrt({_GAP("sp", "sp0")}) AS gone, {_ANGLE("sq", "sq0")} AS rotated, {_QMUL("nq", "cq")} AS qb, {_QMUL("cq", "nq")} AS qe, {_QMUL("cq", "gap")} AS half FROM t0),
+  t2 AS (SELECT *, CASE WHEN np IS NOT NULL THEN gap[1:3] END AS base_lin, CASE WHEN np IS NOT NULL THEN {_ROTVEC("qb")} END AS base_ang, CASE WHEN np IS NOT NULL THEN ({_QMUL("half", "sq")})[1:3] END AS ee_lin, CASE WHEN np IS NOT NULL THEN {_ROTVEC("qe")} END AS ee_ang FROM t1),
+  t3 AS (SELECT *, {", ".join(f"lead({k}) OVER w AS {k}1" for k in ("base_lin", "base_ang", "ee_lin", "ee_ang"))} FROM t2 WINDOW w AS (PARTITION BY episode_id, arm ORDER BY t)),
+  t4 AS ({" UNION ALL ".join(f"SELECT episode_id, arms, hz, gone, rotated, '{f}' AS frame, '{p}' AS part, list_transform({x}, lambda v: v / hz) AS x, {f}_{y} AS y0, {f}_{y}1 AS y1 FROM t3" for f, p, x, y in _PAIRS)}),
+  t5 AS (SELECT episode_id, frame, part, max(arms) AS arms, max(hz) AS hz, max(gone) AS gone, max(rotated) AS rotated, {_SUMS} FROM t4 GROUP BY ALL),
+  t6 AS (SELECT *, {_RK.format(0)} AS r_0, {_RK.format(1)} AS r_1 FROM t5),
+  t7 AS (SELECT *, n1 >= 6 * arms AND (NOT n0 >= 6 * arms OR coalesce(r_1, -2) > coalesce(r_0, -2)) AS later FROM t6 WHERE n0 >= 6 * arms OR n1 >= 6 * arms),
+  t8 AS (SELECT *, CASE WHEN later THEN r_1 ELSE r_0 END AS r, CASE WHEN later THEN xx1 ELSE xx0 END AS xx, CASE WHEN later THEN yy1 ELSE yy0 END AS yy, CASE WHEN later THEN dd1 ELSE dd0 END AS dd FROM t7),
+  t9 AS (SELECT *, CASE WHEN yy > 0 THEN sqrt(xx / yy) END AS ratio, yy > 0 AND dd <= 1e-12 * yy AS exact, CASE WHEN part LIKE '%linear' THEN gone >= 0.05e0 ELSE rotated >= 15 END AS moves FROM t8),
+  ta AS (SELECT *, concat_ws(',', CASE WHEN exact THEN 'copies_state_motion' END, CASE WHEN ratio > 8 THEN 'too_large' END, CASE WHEN ratio < 0.25e0 THEN 'too_small' END, CASE WHEN NOT exact AND NOT coalesce(r >= 0.3e0, false) THEN 'doesnt_match_state_motion' END) AS reasons,
+      CASE WHEN ratio > 0 THEN CASE WHEN abs(ln(ratio / degrees(1))) < ln(2) THEN 'deg_per_s' WHEN abs(ln(ratio * hz)) < ln(2) THEN 'per_step_delta' END END AS suspected FROM t9),
+  tb AS (SELECT episode_id, frame, {_PIVOT} FROM ta GROUP BY ALL),
+  tr0 AS (SELECT * FROM tb QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY round(coalesce(linear_r, -1) + coalesce(angular_r, -1), 9) DESC, frame) = 1),
+  tr AS (SELECT *, concat_ws(',', {_LIST("linear")}, {_LIST("angular")}) AS reasons, (linear_r + angular_r) / 2 AS given, (swapped_linear_r + swapped_angular_r) / 2 AS swapped FROM tr0)"""
+
 QUERIES = {
     "cartesian_position_checks": cartesian_position_checks,
     "pose_errors": pose_errors,
@@ -112,6 +140,9 @@ ORACLE_SQL = {
         ("speed_limit", "linear > 2 OR angular > 6.28e0", {"metric": "linear", "other": "angular"}), ("normalized_range", "abs(top - 1) <= 1e-6", {"metric": "top"}),
         ("smoothness", "pairs > 0 AND flips / pairs > 0.3e0", {"metric": "flips / pairs", "n": "flips"}), ("looks_like_position", "n_state >= 3 AND nn > 0 AND sqrt(tn / nn) < 0.2e0", {"metric": "sqrt(tn / nn)"})], "'cartesian_velocity'")
       + " UNION ALL " + told("sh", [("shape", "NOT bad AND NOT fits", {"metric": "width", "other": "6 * arms"})], "'cartesian_velocity'"),
+    "velocity_tracking": TRACKED + told("tr", [
+        ("tracking", "(linear_moves OR angular_moves) AND reasons <> ''", {"metric": "CASE WHEN linear_moves THEN linear_ratio END", "other": "CASE WHEN angular_moves THEN angular_ratio END", "note": "concat_ws(';', frame, reasons, CASE WHEN linear_moves THEN linear_suspected END, CASE WHEN angular_moves THEN angular_suspected END)"}),
+        ("linear_angular_order", "linear_moves AND angular_moves AND swapped IS NOT NULL AND (given IS NULL OR swapped > given + 0.2e0)", {"metric": "given", "other": "swapped", "note": "frame"})], "'cartesian_velocity'"),
     "biarm_ordering": _POSE.replace("KEY", "cartesian_position").replace("WIDE", "7") + f""", g AS (SELECT episode_id, a, s_next AS x, len(s) // 2 AS st FROM pr WHERE arms = 2 AND len(a) = 14 AND NOT bad AND more AND s_next IS NOT NULL AND len(s) % 2 = 0),
       r AS (SELECT episode_id, sum({_GAP("a[1:3]", "x[1:3]")} + {_GAP("a[8:10]", "x[st + 1:st + 3]")}) AS same, sum({_GAP("a[1:3]", "x[st + 1:st + 3]")} + {_GAP("a[8:10]", "x[1:3]")}) AS swapped FROM g GROUP BY episode_id)
       SELECT episode_id, round(sqrt(swapped / same), 6) AS ratio FROM r WHERE same > 0 AND sqrt(swapped / same) < 0.5e0""",

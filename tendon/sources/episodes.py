@@ -168,6 +168,12 @@ def _table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(for_engine(sql, "array"), events=events)
 
 
+def wanted(actions: tuple[str, ...]) -> str:
+    """A condition for the steps of these actions and of the states that observe them."""
+    listed = lambda keys: ", ".join(f"'{k}'" for k in sorted(keys))
+    return f"(grp = 'action' AND key IN ({listed(actions)})) OR (grp = 'state' AND key IN ({listed({STATE_KEY_FOR_ACTION[k] for k in actions})}))"
+
+
 def by_user(events: DataFrame) -> DataFrame:
     """Events dealt by user to as many tasks as shuffles have: arrays are made from few bytes, so sizes don't tell the work."""
     return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "user_id")

@@ -15,7 +15,7 @@ from tendon.sources import episodes as src
 PROFILE = (
     "policy_name string, robot_name string, gripper_name string, control_freq double, is_biarm boolean, uses_mobile_base boolean, camera_names array<string>,"
     " robot_state_keys array<string>, action_space array<string>, action_joint_names array<string>, robot_state_joint_names array<string>,"
-    " orientation_representation string, additional_data map<string, string>"
+    " orientation_representation string, robot_state_orientation_representation string, additional_data map<string, string>"
 )
 SENSOR = "sensor string, format string"
 

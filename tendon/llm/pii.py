@@ -42,7 +42,7 @@ CUES = {
 # them keep the leftmost matches of the plain patterns but need no second look at a run of characters.
 GENERATORS: dict[str, tuple[str, bool, str, str]] = {
     "email": ("email", True, "contains(text, '@')", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": ("ip", True, r"text rlike '[0-9]\\.[0-9]'", r"[0-9]++(?:\.[0-9]++){3}"),
+    "ip": ("ip", True, r"text rlike '[0-9]\\.[0-9]'", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     "card": ("card", True, "text rlike '[0-9](?:[ -]?[0-9]){15}'", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"),
     "phone": ("phone", True, "contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "spelt": ("email", False, r"text rlike '(?i)[\\[(] ?at ?[\\])]'", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}+)++"),

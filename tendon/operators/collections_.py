@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tendon.functions.numbering import running
+
 c = F.col
 
 
@@ -30,12 +32,10 @@ def inventory(files: DataFrame) -> DataFrame:
 
 def split_plan(files: DataFrame, batch: int) -> DataFrame:
     """``(path, new_path)``: files of a directory in numbered folders of ``batch``, in order of their names."""
-    w = Window.partitionBy("dir").orderBy("path")
-    rows = files.select("path", "dir", "name").distinct()
-    rows = rows.withColumn("i", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("dir")))
-    number = c("i").cast("string")
+    rows = running(files.select("path", "dir", "name").distinct(), ["path"], {"place": F.lit(1)}, ("dir",), ("place",))
+    number = F.floor(c("place") / batch).cast("string")
     folder = F.when(F.length(number) >= 3, number).otherwise(F.lpad(number, 3, "0"))
-    return rows.select("path", F.when(c("n") > batch, F.concat_ws("/", "dir", folder, "name")).otherwise(c("path")).alias("new_path"))
+    return rows.select("path", F.when(c("place_total") > batch, F.concat_ws("/", "dir", folder, "name")).otherwise(c("path")).alias("new_path"))
 
 
 def unique_names(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.functions.columns import resolved_path, slug
+from tendon.functions.numbering import running
 from tendon.functions.rotations import to_quaternion
 
 c = F.col
@@ -29,7 +30,8 @@ def trajectories(sources: DataFrame, control_freq: float, robot: str | None = No
         rows = rows.where(F.array_contains(parts, robot))
     if outcome != "all":
         rows = rows.where(F.array_contains(parts, outcome))
-    number = F.row_number().over(Window.orderBy("path")) - 1  # one narrow row per trajectory
+    rows = running(rows, ["path"], {"number": F.lit(1)})
+    parts, number = F.split("path", "/"), c("number")
     name = F.array_join(F.transform(parts, slug), "_")
     seconds = c("n") / control_freq
     status = F.when((seconds < MIN_SECONDS) | (seconds > MAX_SECONDS), "skipped").otherwise("written")
@@ -82,10 +84,8 @@ def step_arrays(records: DataFrame) -> DataFrame:
 def batch(items: DataFrame, start: int = 0, most: int | None = None) -> DataFrame:
     """``(path, episode_id, status)`` of items ``(path, outcome)`` in order of their paths: numbered from ``start``, skipped ones too;
     the batch ends before the item that comes after ``most`` written ones."""
-    w = Window.orderBy("path")
-    rows = items.withColumn("number", F.row_number().over(w) - 1 + start)
-    before = F.sum(F.when(c("outcome") == "written", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = running(items, ["path"], {"number": F.lit(1), "before": F.when(c("outcome") == "written", 1).otherwise(0)})
+    rows = rows.withColumn("number", c("number") + start)
     rows = rows if most is None else rows.where(c("before") < most)
     return rows.select("path", F.concat(F.lit("episode_"), F.lpad(c("number").cast("string"), 6, "0")).alias("episode_id"), c("outcome").alias("status"))
 
@@ -126,9 +126,8 @@ def split_references(episodes: DataFrame, videos: DataFrame, size: int) -> DataF
     ``size`` by path, and how their references to videos read from there; others stay as they are."""
     folder = F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1)
     rows = episodes.select("episode_id", "rel_path", folder.alias("dir"))
-    w = Window.partitionBy("dir").orderBy("rel_path")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("dir"))).withColumn("k", (F.floor((F.row_number().over(w) - 1) / size) * size).cast("string"))
-    moved = c("n") > size
+    rows = running(rows, ["rel_path"], {"place": F.lit(1)}, ("dir",), ("place",)).withColumn("k", (F.floor(c("place") / size) * size).cast("string"))
+    moved = c("place_total") > size
     number = F.when(F.length("k") >= 3, c("k")).otherwise(F.lpad("k", 3, "0"))
     new = F.when(moved, F.concat_ws("/", "dir", number, F.regexp_extract("rel_path", "([^/]*)$", 1))).otherwise(c("rel_path"))
     rows = rows.withColumn("new_path", new).withColumn("moved", moved).join(videos.select("episode_id", "name", F.trim("stored_path").alias("stored")), "episode_id")
@@ -191,10 +190,11 @@ def training_episodes(steps: DataFrame, episodes: DataFrame, labels: DataFrame)
     return rows.withColumn("problem", problem).select("episode_id", path.alias("path"), "n", "problem", F.when(c("problem") == "", c("steps")).alias("steps"))
 
 
-def write_training(rows: DataFrame, at: str, shards: int | None = None) -> None:
-    """Nested episodes in the split ``train``; a folder that is there is refused."""
+def write_training(rows: DataFrame, at: str, shards: int | None = None, seed: int = 0) -> None:
+    """Nested episodes in the split ``train``, in so many shards by a seeded hash of the path, the same whenever a task runs
+    again; a folder that is there is refused."""
     rows = rows.where("problem = ''").drop("problem")
-    (rows if shards is None else rows.repartition(shards)).write.mode("errorifexists").parquet(f"{at}/train")
+    (rows if shards is None else rows.repartition(shards, F.xxhash64(F.lit(seed), "path"))).write.mode("errorifexists").parquet(f"{at}/train")
 
 
 def write_rollouts(rows: DataFrame, at: str) -> None:

@@ -7,11 +7,13 @@ summaries are sums over bits.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tendon.functions.columns import significant_text
 from tendon.operators.config import CHECKS, DEFAULTS, Config, action_of
 from tendon.operators.motion import FINDING, Rule
 
@@ -120,8 +122,6 @@ def summary(status: DataFrame, outcome: DataFrame, catalogue: DataFrame, config:
     per = whole.select(F.expr(f"inline(array({entries}))"))
     said = outcome.where("outcome = 'found'").groupBy("category", "check_name").agg(F.count(F.lit(1)).alias("findings"))
     changed = {(k, x): {n: v for n, v in config[k][x].items() if v != DEFAULTS[k][x][n]} for k, x in BITS}
-    import json
-
     own = F.expr("element_at(map(" + ", ".join(f"'{k}.{x}', '{json.dumps(v)}'" for (k, x), v in changed.items()) + "), concat(category, '.', check_name))")
     rows = catalogue.join(per, ["category", "check_name"], "left").join(said, ["category", "check_name"], "left")
     return rows.select("category", "check_name", "description", "confidence", "suggested_action", "enabled", "ran", "skipped", "episodes", F.coalesce("findings", F.lit(0)).alias("findings"), own.alias("overrides"))
@@ -132,8 +132,6 @@ def records(status: DataFrame, outcome: DataFrame, catalogue: DataFrame) -> Data
 
     A finding has its check, key, all that it tells, and its entry in the catalogue; a skip its check, key and reason.
     """
-    from tendon.functions.columns import significant_text
-
     known = outcome.join(F.broadcast(catalogue.select("category", "check_name", "description", "confidence", "suggested_action")), ["category", "check_name"], "left")
     check = F.concat_ws(".", "category", "check_name").alias("check")
     finding = F.struct(check, "key", "description", "confidence", "suggested_action", *(significant_text(c(x)).alias(x) for x in ("metric", "other")), "n", "at", "note")

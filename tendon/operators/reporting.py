@@ -1,11 +1,11 @@
-"""Metadata checks, episode status, data-set summaries and the report, from findings of all categories."""
+"""Metadata checks, the written report, and samples of episodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendon.functions.columns import normal_name, significant_text
+from tendon.functions.columns import normal_name
 from tendon.operators.config import DEFAULTS, Config
 
 c = F.col
@@ -40,46 +40,6 @@ def _any(conditions) -> Column:
     return out
 
 
-def labelled(findings: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Findings ``(episode_id, category, check_name, ...)`` with their entries in the catalogue, which has a row per check."""
-    known = catalogue.select("category", "check_name", "description", "confidence", "suggested_action")
-    return findings.join(F.broadcast(known), ["category", "check_name"], "left")
-
-
-def statuses(episodes: DataFrame, findings: DataFrame, checked: DataFrame) -> DataFrame:
-    """``(episode_id, status, flagged, n_checked)``: error before flagged before clean before not_checked.
-
-    ``findings`` are labelled, informational ones flag nothing; ``checked`` has one row per category that ran.
-    """
-    named = F.concat_ws(".", "category", "check_name")
-    flagged = findings.where("suggested_action <> 'informational'").groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_set(named)), ",").alias("flagged"))
-    ran = checked.groupBy("episode_id").agg(F.count_distinct("category").alias("n_checked"))
-    rows = episodes.select("episode_id", "read_error").join(flagged, "episode_id", "left").join(ran, "episode_id", "left")
-    status = F.when(c("read_error").isNotNull(), "error").when(c("flagged").isNotNull(), "flagged").when(c("n_checked") > 0, "clean").otherwise("not_checked")
-    return rows.select("episode_id", status.alias("status"), F.coalesce("flagged", F.lit("")).alias("flagged"), F.coalesce("n_checked", F.lit(0)).alias("n_checked"))
-
-
-def status_counts(status: DataFrame) -> DataFrame:
-    """``(status, n, n_flagged_checks)``."""
-    checks = F.sum(F.when(c("flagged") != "", F.size(F.split("flagged", ","))).otherwise(0))
-    return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"), checks.cast("long").alias("n_flagged_checks"))
-
-
-def summary(findings: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """The catalogue with ``episodes`` and ``findings``, how many each check has; 0 for checks that found nothing."""
-    per = findings.groupBy("category", "check_name").agg(F.count_distinct("episode_id").alias("episodes"), F.count(F.lit(1)).alias("findings"))
-    rows = catalogue.join(per, ["category", "check_name"], "left")
-    return rows.select("category", "check_name", "description", "confidence", "suggested_action", "enabled", F.coalesce("episodes", F.lit(0)).alias("episodes"), F.coalesce("findings", F.lit(0)).alias("findings"))
-
-
-def report(status: DataFrame, findings: DataFrame) -> DataFrame:
-    """``(episode_id, status, findings)``: one row per episode with its labelled findings in order, numbers to four significant digits."""
-    entry = F.struct("category", "check_name", "key", significant_text(c("metric")).alias("metric"), "description", "confidence", "suggested_action")
-    per = findings.groupBy("episode_id").agg(F.sort_array(F.collect_list(entry)).alias("findings"))
-    rows = status.join(per, "episode_id", "left")
-    return rows.select("episode_id", "status", F.to_json(F.coalesce("findings", F.array().cast(dict(per.dtypes)["findings"]))).alias("findings"))
-
-
 def write_report(rows: DataFrame, at: str) -> None:
     """The report as JSON lines, a folder per status; a folder that is there is refused."""
     rows.write.mode("errorifexists").partitionBy("status").json(at)

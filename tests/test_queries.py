@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, reference, name):
 
 
 def test_every_query_is_sql_or_tested_by_hand():
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"velocity_tracking", "orientations"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"orientations"}
 
 
 def test_one_exchange_on_the_episode_serves_the_motion_checks(spark):

@@ -7,28 +7,76 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tendon.functions.columns import significant_text
-from tendon.operators import conversion, reporting, validation
-from tendon.operators.config import catalogue
+from tendon.functions.numbering import running
+from tendon.operators import conversion, ledger, reporting, validation
+from tendon.operators.config import catalogue, with_overrides
+
+
+def outcome(spark, rows):
+    full = [(e, x, o, k, m, None, None, None, note, cat) for e, cat, x, o, k, m, note in rows]
+    return spark.createDataFrame(full, ledger.OUTCOME)
 
 
 def test_report_has_labels_and_four_digits(spark, tmp_path):
-    found = spark.createDataFrame([(1, "video", "fps", "front", 12.34567), (1, "general", "gripper_range", "g", float("inf")), (3, "video", "resolution", "front", 320.0)], "episode_id long, category string, check_name string, key string, metric double")
-    labelled = reporting.labelled(found, catalogue(spark))
+    rows = outcome(spark, [
+        (1, "video", "fps", "found", "front", 12.34567, None), (1, "video", "fps", "ran", "all", None, None), (1, "general", "gripper_range", "found", "g", float("inf"), None), (1, "general", "command_rate", "skipped", "j", None, "too_short"),
+        (3, "video", "resolution", "found", "front", 320.0, None), (2, "video", "fps", "ran", "all", None, None), (2, "general", "constant_action", "ran", "j", None, None), (3, "video", "resolution", "ran", "all", None, None),
+        (5, "general", "command_rate", "skipped", "j", None, "non_finite_values"),
+    ])
     episodes = spark.createDataFrame([(1, None), (2, None), (3, None), (4, "broken"), (5, None)], "episode_id long, read_error string")
-    checked = spark.createDataFrame([(1, "video"), (2, "video"), (3, "video"), (2, "general")], "episode_id long, category string")
-    status = reporting.statuses(episodes, labelled, checked)
-    got = {r["episode_id"]: (r["status"], r["flagged"], r["n_checked"]) for r in status.collect()}
-    assert got == {1: ("flagged", "general.gripper_range,video.fps", 1), 2: ("clean", "", 2), 3: ("clean", "", 1), 4: ("error", "", 0), 5: ("not_checked", "", 0)}
-    assert {r["status"]: (r["n"], r["n_flagged_checks"]) for r in reporting.status_counts(status).collect()} == {"flagged": (1, 2), "clean": (2, 0), "error": (1, 0), "not_checked": (1, 0)}
+    status = ledger.statuses(episodes, ledger.bits(rows))
+    got = {r["episode_id"]: (r["status"], r["flagged"], r["n_ran"], r["n_skipped"]) for r in status.collect()}
+    assert got == {1: ("flagged", "general.gripper_range,video.fps", 1, 1), 2: ("clean", "", 2, 0), 3: ("clean", "", 1, 0), 4: ("error", "", 0, 0), 5: ("not_checked", "", 0, 1)}
+    assert {r["status"]: (r["n"], r["n_flagged_checks"], r["n_findings"]) for r in ledger.status_counts(status).collect()} == {"flagged": (1, 2, 2), "clean": (2, 0, 1), "error": (1, 0, 0), "not_checked": (1, 0, 0)}
     at = f"{tmp_path}/report"
-    reporting.write_report(reporting.report(status, labelled), at)
-    rows = {r["episode_id"]: r for r in spark.read.json(at).collect()}
-    first = json.loads(rows[1]["findings"])
-    assert [x["metric"] for x in first] == ["inf", "12.35"] and first[1]["suggested_action"] == "confirm_and_discuss" and rows[2]["findings"] == "[]"
+    reporting.write_report(ledger.records(status, rows, catalogue(spark)), at)
+    back = {r["episode_id"]: r for r in spark.read.json(at).collect()}
+    first = json.loads(back[1]["findings"])
+    assert [x["metric"] for x in first] == ["inf", "12.35"] and first[1]["suggested_action"] == "confirm_and_discuss" and back[2]["findings"] == "[]"
+    assert json.loads(back[1]["skipped"]) == [{"check": "general.command_rate", "key": "j", "reason": "too_short"}] and back[5]["checks_run"] == 0
     with pytest.raises(AnalysisException):
-        reporting.write_report(reporting.report(status, labelled), at)
-    sums = {(r["category"], r["check_name"]): r["episodes"] for r in reporting.summary(labelled, catalogue(spark)).collect()}
-    assert len(sums) == 57 and sums["video", "fps"] == 1 and sums["video", "frozen"] == 0
+        reporting.write_report(ledger.records(status, rows, catalogue(spark)), at)
+    config = with_overrides({"video": {"fps": {"fps_rel_tol": 0.2}}})
+    sums = {(r["category"], r["check_name"]): r for r in ledger.summary(status, rows, catalogue(spark, config), config).collect()}
+    fps = sums["video", "fps"]
+    assert len(sums) == 57 and (fps["ran"], fps["episodes"], fps["findings"], fps["overrides"]) == (2, 1, 1, '{"fps_rel_tol": 0.2}') and sums["video", "frozen"]["episodes"] == 0
+    assert sums["general", "command_rate"]["skipped"] == 2 and sums["general", "command_rate"]["overrides"] == "{}"
+
+
+def test_a_category_runs_again_alone(spark, tmp_path):
+    at = f"{tmp_path}/ledger"
+    ledger.write(outcome(spark, [(1, "video", "fps", "found", "front", 1.0, None), (1, "general", "gripper_range", "ran", "g", None, None)]), at)
+    ledger.write(outcome(spark, [(1, "video", "fps", "ran", "all", None, None), (2, "video", "fps", "ran", "all", None, None)]), at)
+    got = {r["episode_id"]: (r["ran"], r["found"]) for r in ledger.bits(ledger.read(spark, at)).collect()}
+    fps, grip = 1 << ledger.BITS["video", "fps"], 1 << ledger.BITS["general", "gripper_range"]
+    assert got == {1: (fps | grip, 0), 2: (fps, 0)}
+
+
+def test_disabled_checks_have_no_outcome(spark):
+    config = with_overrides({"general": {"gripper_range": {"enabled": False}}})
+    rows = spark.createDataFrame([(1, "a")], "episode_id long, key string")
+    cover = [("gripper_range", "true", "NULL"), ("length_mismatch", "true", "'too_short'")]
+    got = ledger.outcomes(rows, "general", cover, config, [("gripper_range", F.lit(True), {})]).collect()
+    assert [(r["check_name"], r["outcome"], r["note"], r["key"]) for r in got] == [("length_mismatch", "skipped", "too_short", "a")]
+    assert all(c["informational"] == (c["suggested_action"] == "informational") for c in catalogue(spark).collect())
+
+
+def test_numbers_of_one_crowded_folder_come_from_many_tasks(spark):
+    n = 5000
+    rows = spark.range(n).select(F.concat(F.lit("d/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"), F.when(F.col("id") % 50 == 0, "other").otherwise("crowded").alias("dir"), (F.col("id") % 3).alias("w"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = running(rows.repartition(7), ["path"], {"place": F.lit(1), "sum": F.col("w")}, ("dir",), ("place",))
+        got = {r["path"]: (r["place"], r["sum"], r["place_total"]) for r in made.collect()}
+        whole = {r["path"]: r["place"] for r in running(rows, ["path"], {"place": F.lit(1)}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen, total = {"other": [0, 0], "crowded": [0, 0]}, {"other": n // 50, "crowded": n - n // 50}
+    for r in sorted(rows.collect()):
+        place, s = seen[r["dir"]]
+        assert got[r["path"]] == (place, s, total[r["dir"]])
+        seen[r["dir"]] = [place + 1, s + r["w"]]
+    assert [whole[p] for p in sorted(whole)] == list(range(n))
 
 
 def test_digits_in_text(spark):

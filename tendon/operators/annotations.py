@@ -234,8 +234,3 @@ def recent_instructions(episodes: DataFrame, limit: int = 10) -> DataFrame:
     newest = episodes.where(text != "").groupBy(F.lower(text).alias("k")).agg(F.max(F.struct("mtime", "episode_id", text.alias("instruction"))).alias("x"))
     top = newest.select("x.*").orderBy(c("mtime").desc(), c("episode_id").desc()).limit(limit)
     return top.select(F.row_number().over(Window.orderBy(c("mtime").desc(), c("episode_id").desc())).alias("rank"), "instruction")
-
-
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of ``new`` and those of ``old`` that have none for the same episode and annotator."""
-    return old.join(new, ["episode_id", "annotator"], "left_anti").unionByName(new, allowMissingColumns=True)

@@ -48,3 +48,13 @@ def test_scripts_end_where_their_tag_does():
     at = page.index(">") + 1
     assert page[html_text.raw_end(page, at, "script") :] == "c"
     assert html_text.raw_end("<script>a</script", 8, "script") == len("<script>a</script")
+
+
+def test_words_of_a_sentence_stay_whatever_their_name(spark):
+    html = [
+        '<article><p>The review of the <span class="banner">Star Spangled</span> song</p></article>', '<article><p>kept</p><p><span class="ad">Buy now</span></p></article>',
+        '<article><p>See <em class="notice">this</em> and <a class="menu" href="/">that</a>.</p><div class="ad">Buy <b>now</b></div></article>',
+    ]
+    pages = spark.createDataFrame([(i, f"https://h{i}.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
+    assert got == {0: "The review of the Star Spangled song", 1: "kept", 2: "See this and that."}

@@ -33,29 +33,37 @@ ACTIONABLE = mask((k, x) for k, x in BITS if action_of(k, x) != "informational")
 
 
 def outcomes(rows: DataFrame, category: str, coverage: list[Coverage], config: Config, rules: list[Rule] = (), key: str = "key") -> DataFrame:
-    """``OUTCOME`` rows of one pass: rules that hold are ``found``, coverage is ``ran`` or ``skipped`` with its reason as ``note``.
+    """``OUTCOME`` rows of one category, from one pass (``outcomes_of``)."""
+    return outcomes_of(rows, {category: (coverage, rules)}, config, key)
+
+
+def outcomes_of(rows: DataFrame, checks: dict[str, tuple[list[Coverage], list[Rule]]], config: Config, key: str = "key") -> DataFrame:
+    """``OUTCOME`` rows of several categories from one pass: rules that hold are ``found``, coverage is ``ran`` or ``skipped``
+    with its reason as ``note``.
 
     Disabled checks have no outcome. ``rows`` has ``episode_id`` and what the conditions name; ``key`` is SQL.
     """
-    on = config[category]
     fields = [x.split() for x in FINDING.split(", ")]
 
-    def found(name: str, told: dict[str, Column]) -> Column:
+    def found(category: str, name: str, told: dict[str, Column]) -> Column:
         given = {f: F.round(told[f].cast(t), 6) if t == "double" else told[f].cast(t) for f, t in fields if f in told}
-        return F.struct(F.lit(name).alias("check_name"), F.lit("found").alias("outcome"), told.get("key", F.expr(key)).alias("key"), *(given.get(f, F.lit(None).cast(t)).alias(f) for f, t in fields))
+        values = (given.get(f, F.expr(f"CAST(NULL AS {t})")).alias(f) for f, t in fields)
+        return F.struct(F.lit(name).alias("check_name"), F.lit("found").alias("outcome"), told.get("key", F.expr(key)).alias("key"), *values, F.lit(category).alias("category"))
 
     nothing = ", ".join(f"'{f}', CAST(NULL AS {t})" for f, t in fields if f != "note")
-    entries = [
-        f"CASE WHEN {applies} THEN named_struct('check_name', '{name}', 'outcome', CASE WHEN {reason} IS NULL THEN 'ran' ELSE 'skipped' END, 'key', {key}, {nothing}, 'note', {reason}) END"
-        for name, applies, reason in ((n, w, f"CAST({r} AS STRING)") for n, w, r in coverage) if on[name]["enabled"]
-    ]
-    parts = [F.expr("array(" + ", ".join(entries) + ")")] if entries else []
-    held = [F.when(cond, found(name, told)) for name, cond, told in rules if on[name]["enabled"]]
-    parts += [F.array(*held)] if held else []
+    entries, held = [], []
+    for category, (coverage, rules) in checks.items():
+        on = config[category]
+        for name, applies, reason in coverage:
+            if on[name]["enabled"]:
+                why = f"CAST({reason} AS STRING)"
+                entries.append(f"CASE WHEN {applies} THEN named_struct('check_name', '{name}', 'outcome', CASE WHEN {why} IS NULL THEN 'ran' ELSE 'skipped' END, 'key', {key}, {nothing}, 'note', {why}, 'category', '{category}') END")
+        held += [F.when(cond, found(category, name, told)) for name, cond, told in rules if on[name]["enabled"]]
+    parts = ([F.expr("array(" + ", ".join(entries) + ")")] if entries else []) + ([F.array(*held)] if held else [])
     if not parts:
         return rows.sparkSession.createDataFrame([], OUTCOME)
     out = rows.select("episode_id", F.explode(F.concat(*parts)).alias("outcome_entry")).where("outcome_entry is not null")
-    return out.select("episode_id", "outcome_entry.*", F.lit(category).alias("category"))
+    return out.select("episode_id", "outcome_entry.*")
 
 
 def found_rows(found: DataFrame, category: str, config: Config, check: str | None = None, key: str = "key", **told: str) -> DataFrame:

@@ -166,9 +166,13 @@ def biarm_ordering(steps: DataFrame, episodes: DataFrame, config: Config = DEFAU
     return sums.where(ratio < config["cartesian_position"]["biarm_ordering"]["max_swap_ratio"]).select("episode_id", F.round(ratio, 6).alias("ratio"))
 
 
-def velocity_metrics(steps: DataFrame, episodes: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def velocity_parts(steps: DataFrame, episodes: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    return each_arm(pose_rows(steps, episodes, VELOCITY, 6, declared), 6)
+
+
+def velocity_metrics(parts: DataFrame) -> DataFrame:
     """One row per episode and arm: speeds, sign flips of dimensions that are large for their own scale, and likeness to the next state."""
-    parts = each_arm(pose_rows(steps, episodes, VELOCITY, 6, declared), 6).withColumn("lin", F.slice("own", 1, 3)).withColumn("ang", F.slice("own", 4, 3))
+    parts = parts.withColumn("lin", F.slice("own", 1, 3)).withColumn("ang", F.slice("own", 4, 3))
     arm = Window.partitionBy("episode_id", "arm")
     at = lambda x, i: F.get(x, F.lit(i))
     parts = parts.withColumn("scale", F.array(*(0.1 * F.sqrt(F.avg(at("own", i) * at("own", i)).over(arm)) for i in range(6))))
@@ -198,18 +202,22 @@ def velocity_rules(config: Config) -> list[Rule]:
 
 def cartesian_velocity(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """Findings on shape, speed, range, smoothness and likeness to positions of cartesian velocities, from one pass."""
-    arms = over_arms(velocity_metrics(steps, episodes), ("pairs", "flips", "to_next", "nn", "n_state"), ("linear", "angular", "top", "bad", "width", "steps"))
+    arms = over_arms(velocity_metrics(velocity_parts(steps, episodes)), ("pairs", "flips", "to_next", "nn", "n_state"), ("linear", "angular", "top", "bad", "width", "steps"))
     return findings_of(arms.withColumn("key", F.lit(VELOCITY)), velocity_rules(config), "cartesian_velocity", config)
 
 
 def velocity_integrations(steps: DataFrame, episodes: DataFrame, config: Config = DEFAULTS, declared: DataFrame | None = None) -> DataFrame:
+    return integrations_of(velocity_parts(steps, episodes, declared), config)
+
+
+def integrations_of(parts: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """``(episode_id, frame, part, lag, r, ratio, reasons, suspected, moves)``: how velocities follow the motion that results.
 
     All axes of all arms are pooled, in the base's and the hand's frame; ``part`` is linear or angular, as given or
     ``swapped_``. Without a known orientation of the state only the base's linear part is there. ``moves`` says whether the robot went far enough from its start for the part to be judged.
     """
     own = config["cartesian_velocity"]["tracking"]
-    rows = each_arm(pose_rows(steps, episodes, VELOCITY, 6, declared), 6).where("hz is not null and sp is not null")
+    rows = parts.where("hz is not null and sp is not null")
     by = Window.partitionBy("episode_id", "arm").orderBy("t")
     start = lambda x: F.first(x).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("gone", norm(minus(c("sp"), start("sp")))).withColumn("rotated", quat_angle(c("sq"), start("sq")))

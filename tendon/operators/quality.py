@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tendon.operators import ledger, motion, poses, profiles, reporting, video
 from tendon.operators import video_motion as vm
 from tendon.operators.config import DEFAULTS, Config
-from tendon.operators.ledger import Coverage, found_rows, outcomes
+from tendon.operators.ledger import Coverage, found_rows, outcomes, outcomes_of
 from tendon.sources import recordings as rec
+from tendon.sources.tables import saved
 
 c = F.col
 CATEGORIES = ("keys", "cartesian_position", "cartesian_velocity", "video")
@@ -100,7 +101,7 @@ def keys(t: Tables, config: Config = DEFAULTS) -> DataFrame:
     rows = declared.join(motion.with_states(motion.key_metrics(cell), motion.state_lengths(t.steps(motion.GENERAL_KEYS), motion.GENERAL_KEYS)), ["episode_id", "key"], "left")
     rows = motion.integration(rows, c("columns"), config["joint_velocity"]["tracking"])
     made = {"general": (general_coverage, motion.general_rules), "joint_position": (joint_position_coverage, motion.joint_position_rules), "joint_velocity": (joint_velocity_coverage, motion.joint_velocity_rules)}
-    parts = [outcomes(rows, k, cover(config), config, rules(config)) for k, (cover, rules) in made.items()]
+    parts = [outcomes_of(rows, {k: (cover(config), rules(config)) for k, (cover, rules) in made.items()}, config)]
     mine = lambda found, key="key": found.join(declared.withColumnRenamed("key", key), ["episode_id", key], "left_semi")
     rate = mine(motion.command_rate(t.steps(motion.ARM_KEYS), t.episodes, config))
     parts.append(found_rows(rate, "general", config, "command_rate", metric="period", other="effective_hz", n="n_holds"))
@@ -172,9 +173,10 @@ def cartesian_velocity(t: Tables, config: Config = DEFAULTS) -> DataFrame:
     """Outcomes of cartesian velocities, tracking included."""
     said = poses.declared_orientations(rec.tolerant(t.profiles))
     steps = t.poses(poses.VELOCITY)
-    arms = poses.over_arms(poses.velocity_metrics(steps, t.episodes, said), ("pairs", "flips", "to_next", "nn", "n_state", "vague"), ("linear", "angular", "top", "bad", "width", "steps"))
+    parts = poses.velocity_parts(steps, t.episodes, said)
+    arms = poses.over_arms(poses.velocity_metrics(parts), ("pairs", "flips", "to_next", "nn", "n_state", "vague"), ("linear", "angular", "top", "bad", "width", "steps"))
     states = steps.where(f"grp = 'state' AND key = '{poses.POSE}'").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    followed = poses.tracked(poses.velocity_integrations(steps, t.episodes, config, said)).drop("key", "rank")
+    followed = poses.tracked(poses.integrations_of(parts, config)).drop("key", "rank")
     rows = _of_episodes(t, poses.VELOCITY, arms).where("arm = 0").join(states, "episode_id", "left").join(followed, "episode_id", "left")
     usable = "CASE WHEN all_bad IS NULL THEN 'declared_but_empty' WHEN all_bad THEN 'non_finite_values'"
     wide = f"{usable} WHEN NOT all_fits THEN 'wrong_action_dim'"
@@ -196,7 +198,9 @@ def cameras(t: Tables, config: Config = DEFAULTS, ignored: tuple[str, ...] = ())
     videos, left = vm.without_ignored(t.videos, ignored, "name")
     frames, left_frames = vm.without_ignored(t.frames, ignored)
     state = vm.state_motion(t.motion)
-    moved, diffs = vm.motion_of(state, t.rates), vm.diffs_of(frames, frames.select("episode_id", F.col("camera").alias("name")).distinct().join(t.rates.select("episode_id", "fps"), "episode_id"))
+    named = frames.select("episode_id", F.col("camera").alias("name")).distinct().join(t.rates.select("episode_id", "fps"), "episode_id")
+    # one small array per episode or camera, which most checks read
+    moved, diffs = saved(vm.motion_of(state, t.rates), "motion"), saved(vm.diffs_of(frames, named), "diffs")
     per = videos.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_videos"), F.count_if(c("file_exists") & (c("fps") > 0)).alias("n_durations"))
     positions = t.motion.where("grp = 'state'").groupBy("episode_id").agg(F.max(c("key").isin("joint_position", "cartesian_position")).alias("placed"), F.max(c("key") != "gripper_position").alias("moves"))
     rows = t.episodes.select("episode_id").join(per, "episode_id", "left").join(positions, "episode_id", "left")

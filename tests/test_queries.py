@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tendon.jobs import registry
+from tendon.jobs import registry, validation_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -22,6 +22,21 @@ def reference():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_ledger():
+    """The reports read one ledger of this session, which is made once for all of them."""
+    made, make = {}, validation_queries._ledger
+
+    def once(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = make(spark, sf_dir)
+        return made[sf_dir]
+
+    validation_queries._ledger = once
+    yield
+    validation_queries._ledger = make
+
+
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None

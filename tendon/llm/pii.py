@@ -2,15 +2,18 @@
 
 1. Base patterns give spans that are always kept where their checks hold.
 2. High-recall generators propose more spans, which may overlap: numbers and telephone numbers inside longer runs
-   that a base pattern swallowed whole, spelt-out addresses, bounded dotted quads.
+   that a base pattern swallowed whole, spelt-out addresses, bounded dotted quads, and for keys, tokens and passwords
+   (``secret``, which no base pattern has) every run of 16 characters and more without a gap that has a letter, words among them.
 3. Every span is described by small numbers (format and context). Counts of all spans by these numbers, over all
    documents, are a table whose size is bounded by the product of their ranges. Boosted trees are fitted on it and
    become one SQL expression. Nobody labelled spans; the weak label is a check that the features don't contain: the
    check digit of a card (a number of another kind passes one time in ten), the range of the parts of an IP address,
-   the ending of an address, the structure of a telephone number. So the trees learn in which formats and contexts
+   the ending of an address, the structure of a telephone number, a secret's changes between digits and letters. So the trees learn in which formats and contexts
    spans are what they look like.
-4. Per kind, the threshold is the lowest score at which the held-out fold has the wanted share of sound spans. A
-   proposed span is added if its check holds, its score is above the threshold and it touches no base span.
+4. Per kind, the threshold is the lowest score at which the proposed spans of the held-out fold have the wanted share
+   of likely ones; base spans, which stay anyway, don't count there. A proposed span is added if its check holds, its
+   score is above the threshold and it touches no base span. Secrets have no check: there the score alone decides, so a
+   password of letters is added where one is assigned, and a digest of a file without such words before it is not.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tendon.llm.shared import id_crc, saved, text_of
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 ROUNDS = 40
 RATE = 0.3
 DEPTH = 3
@@ -36,6 +40,7 @@ CUES = {
     "ip": "ip|host|server|address|node|ping",
     "card": "card|visa|amex|mastercard|account|pay|paid|payment|charge|billing",
     "phone": "call|phone|tel|telephone|fax|mobile|cell|whatsapp|ring",
+    "secret": "token|secret|password|passwd|pwd|key|apikey|api-key|credential|bearer|auth|authorization",
 }
 
 # name -> (kind, generator is a base pattern, cheap test of the text, pattern). Possessive parts and the bounds before
@@ -49,6 +54,7 @@ GENERATORS: dict[str, tuple[str, bool, str, str]] = {
     "quad": ("ip", False, r"text rlike '[0-9]\\.[0-9]'", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])"),
     "number": ("card", False, "text rlike '[0-9](?:[ -]?[0-9]){12}'", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
     "call": ("phone", False, "contains(text, '+')", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])"),
+    "opaque": ("secret", False, "text rlike '[A-Za-z0-9+/_-]{16}'", r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 }
 
 _LAST_WORD = r"(?i)([a-z-]+)[^a-z0-9]*$"
@@ -61,12 +67,13 @@ def _cue_words() -> str:
 
 #: Features of a span: name -> (numbers of values, expression over the span x). Values are 0 up to that number.
 FEATURES: dict[str, tuple[int, str]] = {
-    "kind_no": (4, "array_position(array('email', 'ip', 'card', 'phone'), x.kind) - 1"),
-    "digits": (5, "case when x.kind in ('email', 'phone') then 0 when x.n_digits < 8 then 1 when x.n_digits < 16 then 2 when x.n_digits < 17 then 3 else 4 end"),
+    "kind_no": (5, "array_position(array('email', 'ip', 'card', 'phone', 'secret'), x.kind) - 1"),
+    "digits": (5, "case when x.kind in ('email', 'phone', 'secret') then 0 when x.n_digits < 8 then 1 when x.n_digits < 16 then 2 when x.n_digits < 17 then 3 else 4 end"),
     "breaks": (4, r"least(3, length(regexp_replace(x.found, '[^ ()-]', '')))"),
     "left": (4, r"case when x.before = '' or x.before rlike '\\n$' then 0 when x.before rlike '[0-9]\\s$' then 3 when x.before rlike '[\\p{L}\\p{N}]$' then 2 else 1 end"),
     "right": (4, r"case when x.after = '' or x.after rlike '^\\n' then 0 when x.after rlike '^\\s[0-9]' then 3 when x.after rlike '^[\\p{L}\\p{N}]' then 2 else 1 end"),
     "cue": (3, f"case coalesce({_cue_words()}, '') when x.kind then 2 when '' then 0 else 1 end"),
+    "sign": (3, r"case when x.before rlike '[:=][^A-Za-z0-9]{0,6}$' then 2 when x.before rlike '[\"\'(<]$' then 1 else 0 end"),
     "lead": (3, "case when x.kind <> 'card' then 0 when left(x.d, 1) in ('3', '4', '5', '6') then 1 else 2 end"),
     "source": (2, "int(x.base)"),
 }
@@ -90,6 +97,8 @@ def _likely(kind: str) -> str:
     """The weak label of a found text: its check, and what else the features of its kind don't tell."""
     if kind == "email":
         return "found rlike '(?i)[.\\\\]) ][a-z]{2,12}$'"
+    if kind == "secret":  # by what it looks like, while the features only tell where it stands
+        return "found rlike '(?:[0-9]{1,8}[A-Za-z]{1,8}[^A-Za-z0-9]{0,2}){3}'"
     if kind == "phone":
         return f"{_sound(kind)} and found rlike {_quoted('^' + GENERATORS['call'][3] + '$')}"
     return _sound(kind)
@@ -230,7 +239,8 @@ def model(rows: DataFrame) -> tuple[float, list, dict[str, float]]:
     for r in sorted(counts.collect(), key=tuple):
         cells[r["calibrates"]].append((tuple(r[n] for n in names), r["ones"], r["n"] - r["ones"]))
     start, trees = boosted(cells[False])
-    return start, trees, thresholds(cells[True], start, trees)
+    source = list(FEATURES).index("source")
+    return start, trees, thresholds([c for c in cells[True] if not c[0][source]], start, trees)
 
 
 def found(docs: DataFrame) -> DataFrame:

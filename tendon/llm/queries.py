@@ -47,7 +47,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.found(_documents(spark, sf_dir))
-    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    counts.append(F.expr("size(filter(spans, x -> x.kind = 'secret'))").cast("long").alias("n_secret"))
+    counts.append((F.size("spans") - F.size("base")).cast("long").alias("n_added"))
     return rows.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 

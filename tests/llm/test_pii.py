@@ -111,6 +111,23 @@ def test_context_and_format_decide_and_not_the_check_alone(spark, docs_of):
     assert list(pii.FEATURES).index("cue") in set().union(*map(used, trees))
 
 
+def test_secrets_go_by_context_and_digests_and_words_stay(spark, docs_of):
+    """Trees add what is assigned to a key or token, also a password of letters that its weak label denies, and reject digests."""
+    rng = random.Random(11)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    planted = [f'und die token = "{hexes(40)}" der' if i % 2 else f"é API_KEY: {hexes(32)} end" for i in range(200)]
+    letters = ['so password = "correcthorsebatterystaple" it']
+    digests = [f"in commit {hexes(40)} we" for _ in range(300)]
+    words = [f"these {rng.choice(['incomprehensibility', 'Donaudampfschifffahrt', 'counterrevolutionary'])} are long" for _ in range(300)]
+    got = [[tuple(x) for x in r["spans"]] for r in sorted(pii.found(docs_of(planted + letters + digests + words)).collect(), key=lambda r: r["doc_id"])]
+    texts = planted + letters
+    for text, spans in zip(texts, got):
+        value = re.search(r"[0-9a-z]{25,}", text)
+        assert spans == [("secret", value.start(), value.end())], text
+    labelled = [bool(re.search("(?:[0-9]{1,8}[A-Za-z]{1,8}[^A-Za-z0-9]{0,2}){3}", t)) for t in digests]
+    assert sum(labelled) > 250 and not any(got[len(texts) :])  # they look like secrets and stand where none do
+
+
 def plain_boosted(cells):
     """Logistic boosting of trees in plain loops."""
     import math

@@ -12,7 +12,7 @@
    spans are what they look like.
 4. Per kind, the threshold is the lowest score at which the proposed spans of the held-out fold have the wanted share
    of likely ones; base spans, which stay anyway, don't count there. A proposed span is added if its check holds, its
-   score is above the threshold and it touches no base span. Secrets have no check: there the score alone decides, so a
+   score is above the threshold and it touches no base span (a secret may have one inside). Secrets have no check: there the score alone decides, so a
    password of letters is added where one is assigned, and a digest of a file without such words before it is not.
 """
 
@@ -255,7 +255,8 @@ def found(docs: DataFrame) -> DataFrame:
     limit = " ".join(f"when x.kind = '{k}' then {'double(\"Infinity\")' if math.isinf(v) else f'{v - 1e-9!r}D'}" for k, v in limits.items())
     rows = rows.withColumn("base", F.expr("filter(spans, x -> x.base)"))
     rows = rows.withColumn("more", F.expr(
-        f"filter(spans, x -> not x.tried and x.sound and ({score}) >= case {limit} end and not exists(base, b -> b.start < x.end and x.start < b.end))"
+        f"filter(spans, x -> not x.tried and x.sound and ({score}) >= case {limit} end and not exists(base, b -> b.start < x.end and x.start < b.end"
+        " and not (x.kind = 'secret' and x.start <= b.start and b.end <= x.end and b.end - b.start < x.end - x.start)))"
     ))
     slim = "x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end)"
     in_order = lambda a: "concat(" + ", ".join(f"array_sort(transform(filter({a}, x -> x.kind = '{k}'), {slim}))" for k in KINDS) + ")"
@@ -267,14 +268,15 @@ def listed(spans: str) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; of overlapping spans the first one counts.
+    """``docs`` with every found span replaced by its kind in brackets; of overlapping spans the first
+    one counts, of those with one start the longest.
 
     Spans are found per text, so rows with equal texts are treated alike; null texts stay null.
     """
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc_id"), F.col("text"))
     rows = found(packed)
-    fold = """aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))),
+    fold = """aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'back', -x.end, 'end', x.end, 'kind', x.kind))),
         named_struct('out', '', 'at', 0L),
         (a, x) -> if(x.start < a.at, a, named_struct('out', concat(a.out, substr(doc_id.text, int(a.at) + 1, int(x.start - a.at)), '[', upper(x.kind), ']'), 'at', x.end)),
         a -> concat(a.out, substr(doc_id.text, int(a.at) + 1)))"""

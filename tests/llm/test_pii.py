@@ -121,6 +121,7 @@ def test_secrets_go_by_context_and_digests_and_words_stay(spark, docs_of):
     words = [f"these {rng.choice(['incomprehensibility', 'Donaudampfschifffahrt', 'counterrevolutionary'])} are long" for _ in range(300)]
     got = [[tuple(x) for x in r["spans"]] for r in sorted(pii.found(docs_of(planted + letters + digests + words)).collect(), key=lambda r: r["doc_id"])]
     texts = planted + letters
+    got = [[x for x in spans if x[0] == "secret"] for spans in got]  # digits inside a digest may be a base card, which stays
     for text, spans in zip(texts, got):
         value = re.search(r"[0-9a-z]{25,}", text)
         assert spans == [("secret", value.start(), value.end())], text
@@ -128,6 +129,12 @@ def test_secrets_go_by_context_and_digests_and_words_stay(spark, docs_of):
     assert sum(labelled) > 250 and not any(got[len(texts) :])  # they look like secrets and stand where none do
 
 
+def test_a_secret_may_hold_a_base_span_and_is_redacted_whole(spark, docs_of):
+    texts = [f'token = "4111111111111111a{i:02d}b{i:02d}c{i:02d}d" x' for i in range(60)] + ["internationalization of"] * 60
+    out = sorted(pii.redacted(docs_of(texts)).collect(), key=lambda r: r["doc_id"])
+    assert all(r["text"] == 'token = "[SECRET]" x' for r in out[:60]) and all(r["text"] == texts[60] for r in out[60:])
+
+
 def plain_boosted(cells):
     """Logistic boosting of trees in plain loops."""
     import math

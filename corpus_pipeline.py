@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tendon.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 from tendon.llm.shared import saved
 
-#: Near copies: Jaccard similarity of the sets of five words, searched among fingerprints within so many bits.
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
+#: Near copies: Jaccard similarity of the sets of five words.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, the one with the smallest id; rows without an id stay. Short texts are compared as one shingle."""
-    return simhash.one_of_each(docs, RADIUS, SHINGLE, SIMILARITY)
+    return simhash.one_of_each(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

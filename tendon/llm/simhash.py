@@ -13,10 +13,12 @@ linked. Search works on distinct fingerprints:
    large buckets are dealt out as pairs of blocks;
 5. links are joined to components.
 
-With a ``similarity``, fingerprints within a wider radius only say which texts are compared: fingerprints are searched
-in mapped arrays (``neighbours``), and texts are linked where the Jaccard similarity of their sets of shingles is at
-least that (``similar``). Chance neighbours are left out by eight minima of the hashes, one of which must be equal:
-two texts of similarity J have none with a chance of (1 - J) ** 8.
+With a ``similarity``, links only say which texts are compared. Fingerprints within the radius propose texts as above;
+texts that are similar enough but lie further apart are proposed by bands of minima (``bands``), which are plain join
+keys: a band that several texts share links them to the first of them. Proposed texts are grouped, and inside a group
+texts are linked where the Jaccard similarity of their sets of shingles is at least that (``similar``). Two texts of
+similarity J share no band with a chance of (1 - J ** ROWS) ** BANDS: 0.0007 at 0.8, 0.00001 at 0.85. Texts are told
+apart by 128 bits of MD5.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendon.llm.components import rooted
-from tendon.llm.shared import BROADCAST_ROWS, looked_up, mapped_path, new_folder, saved, text_of
-from tendon.llm.sorted_arrays import write_column
+from tendon.llm.shared import BROADCAST_ROWS, looked_up, saved, text_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -39,49 +40,58 @@ PARTS = 4
 WIDTH = 64 // PARTS
 #: Fingerprints of one bucket that meet at a time.
 BLOCK = 4_096
-#: Texts whose sets of shingles meet at a time.
-SETS = 1_024
-#: Mapped fingerprints are kept in files by the leading bits of a partition's values.
-SHELVES = 16
+#: Sets of shingles that meet at a time, by number and by the hashes in them.
+SETS, SET_HASHES = 1_024, 2_000_000
+#: Bands of so many minima each; texts that agree in a band are compared.
+BANDS, ROWS = 24, 6
 _LONG = 65_536
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text in UTF-8; 0 without words."""
+def digests(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()
-    if not words:
-        return 0
     flat = b" ".join(words)
     n = len(words) - shingle + 1
+    digest = xxhash.xxh64_intdigest
     if n < 1:
-        return xxhash.xxh64_intdigest(flat, 42)
+        return np.array([digest(flat, 42)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends - sizes + 1)[:n].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, _LONG):
-        h = np.array([digest(flat[a:b], 42) for a, b in zip(starts[i : i + _LONG], ends[i : i + _LONG])], np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), _LONG):
+        bits = np.unpackbits(hashes[i : i + _LONG].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text in UTF-8; 0 without words."""
+    return majority(digests(text, shingle)) if text.strip() else 0
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(digests(text, shingle))
+
+
+_FACTORS = np.array([xxhash.xxh32_intdigest(str(i), 1) | 1 for i in range(BANDS * ROWS)], np.uint32)[:, None]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """Of sorted hashes, 16 bits of the least with each value of the three leading bits, packed; 0 without any."""
-    bounds = np.arange(8, dtype=np.uint64) << np.uint64(61)
-    at = np.searchsorted(hashes, bounds)
-    there = np.append(at[1:], len(hashes)) > at
-    return np.where(there, hashes[np.minimum(at, len(hashes) - 1)] & np.uint64(0xFFFF), 0).astype(np.uint16).view(np.int64)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each made of the least of the hashes under ROWS permutations of their upper halves."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.min([(high[i : i + 4_096] * _FACTORS).min(axis=1) for i in range(0, len(high), 4_096)], axis=0)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,18 +108,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return kept.mapInArrow(_prints, f"`{id_col}` {dict(kept.dtypes)[id_col]}, fp long")
 
 
+def text_key():
+    """128 bits that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(text_of().cast("binary")))
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, hash, fp, low, high)`` of every row's whole text: its hash, fingerprint and packed minima."""
+    """``(doc_id, hash, fp, size, bands)`` of every row's whole text: its key, its fingerprint, the number of its distinct
+    shingles and their bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("__text").cast(pa.large_binary())]
-            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-            packed = np.array([minima(shingles(t, shingle)) for t in texts], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *map(pa.array, (fps, packed[:, 0], packed[:, 1]))], ["doc_id", "hash", "fp", "low", "high"])
-
-    kept = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), F.col("text").alias("__text"))
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, hash long, fp long, low long, high long")
+            fps, sizes, found = [], [], []
+            for t in batch.column("__text").cast(pa.large_binary()):
+                text = t.as_py() or b""
+                every = digests(text, shingle)
+                fps.append(majority(every) if text.strip() else 0)
+                every = np.unique(every)
+                sizes.append(len(every))
+                found.append(bands(every))
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), flat)
+            kept = [batch.column("doc_id"), batch.column("hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(kept, ["doc_id", "hash", "fp", "size", "bands"])
+
+    kept = docs.select("doc_id", text_key().alias("hash"), F.col("text").alias("__text"))
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, hash binary, fp long, size long, bands array<long>")
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,136 +365,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Data
     return rows.mapInArrow(_links(radius), "a long, b long")
 
 
-NODE = ("fp", "low", "high", "hash")
-
-
-def _shelf_of(groups: list[list[int]], shift: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = part_values(batch.column("fp").to_numpy().view(np.uint64), groups)
-            shelf = (at >> shift) + SHELVES * np.arange(len(groups))
-            nodes = [pa.array(np.repeat(batch.column(n).to_numpy(), len(groups))) for n in NODE]
-            yield pa.RecordBatch.from_arrays([pa.array(shelf.ravel()), pa.array(at.ravel()), *nodes], ["shelf", "value", *NODE])
-
-    return run
-
-
-def _shelve(folder: str):
-    """Write nodes in order of their values, one file per shelf of a partition; yields the shelves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.stack([b.column(k).to_numpy() for k in range(2 + len(NODE))], axis=1) for b in batches if b.num_rows]
-        if not rows:
-            return
-        every = np.concatenate(rows)
-        every = every[np.lexsort((every[:, -1], every[:, 1], every[:, 0]))]
-        names, first = np.unique(every[:, 0], return_index=True)
-        for name, part in zip(names, np.split(every[:, 2:], first[1:])):
-            write_column(folder, "nodes", int(name), np.ascontiguousarray(part))
-        yield pa.RecordBatch.from_arrays([pa.array(names)], ["shelf"])
-
-    return run
-
-
-def _share_minimum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows of nodes have one of the eight minima in common."""
-    return (np.ascontiguousarray(a[:, 1:3]).view(np.uint16) == np.ascontiguousarray(b[:, 1:3]).view(np.uint16)).any(axis=1)
-
-
-def leaders(nodes: np.ndarray, radius: int) -> np.ndarray:
-    """Of nodes by rising hash, the hashes of those that no leader before them is linked to.
-
-    A node that is linked to smaller ones needs links to their leaders alone: what is linked to a leader finds that link
-    itself. So a group of near copies yields a few links per node, whatever its size.
-    """
-    out = []
-    while len(nodes):
-        out.append(nodes[0, 3])
-        near = np.bitwise_count((nodes[:, 0] ^ nodes[0, 0]).view(np.uint64)) <= radius
-        near &= _share_minimum(nodes, np.broadcast_to(nodes[0], nodes.shape))
-        near[0] = True
-        near |= nodes[:, 3] == nodes[0, 3]
-        nodes = nodes[~near]
-    return np.array(out, np.int64)
-
-
-def _near(groups: list[list[int]], shared, folder: str, radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balls = shared.value
-        width = balls.shape[2].bit_length() - 1
-        per = balls.shape[2] // SHELVES
-        sizes = balls[:, 0].astype(np.int64)
-        within = sizes.reshape(len(groups), SHELVES, per)
-        starts = (np.cumsum(within, axis=2) - within).reshape(len(groups), -1)  # in the value's shelf
-        masks = [np.concatenate(_masks(width, radius)[: t + 1]) for t in range(radius + 1)]
-        held: dict[int, np.ndarray] = {}
-
-        def fetched(g: int, value: np.ndarray, whose: np.ndarray, own: np.ndarray, out: list) -> None:
-            """Places of nodes of ``own``, and the nodes with a smaller hash and these values in partition g that they are linked to."""
-            n = sizes[g][value]
-            some = n > 0
-            value, whose, n = value[some], whose[some], n[some]
-            for k in np.unique(value // per):
-                mine = value // per == k
-                if (key := g * SHELVES + int(k)) not in held:
-                    held[key] = np.load(mapped_path(f"{folder}/nodes-{key:06d}.npy"), mmap_mode="r")
-                m = n[mine]
-                at = np.repeat(starts[g][value[mine]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                a = np.repeat(whose[mine], m)
-                hit = np.flatnonzero(np.bitwise_count((own[a, 0] ^ held[key][:, 0][at]).view(np.uint64)) <= radius)
-                a, b = a[hit], np.asarray(held[key][at[hit]])
-                hit = np.flatnonzero((b[:, 3] < own[a, 3]) & _share_minimum(own[a], b))
-                if len(hit):
-                    out.append((a[hit], b[hit]))
-
-        for batch in batches:
-            every = np.stack([batch.column(n).to_numpy() for n in NODE], axis=1)
-            links = []
-            for lo in range(0, len(every), 128):
-                own, out = every[lo : lo + 128], []
-                values = part_values(np.ascontiguousarray(own[:, 0]).view(np.uint64), groups)
-                taus = allot(values, balls, radius)
-                for g in range(len(groups)):
-                    for t in np.unique(taus[:, g]):
-                        if t >= 0:
-                            hit = np.flatnonzero(taus[:, g] == t)
-                            probes = values[hit, g][:, None] ^ masks[t]
-                            fetched(g, probes.ravel(), np.repeat(hit, len(masks[t])), own, out)
-                if out:
-                    a, b = (np.concatenate([o[k] for o in out]) for k in range(2))
-                    order = np.lexsort((b[:, 3], a))
-                    a, b = a[order], b[order]
-                    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
-                        links.append((own[a[part[0]], 3], leaders(b[part], radius)))
-            if links:
-                a = np.repeat(np.array([x for x, _ in links], np.int64), [len(y) for _, y in links])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate([y for _, y in links]))], ["a", "b"])
-
-    return run
-
-
-def neighbours(nodes: DataFrame, radius: int, parts: int = PARTS) -> DataFrame:
-    """``(a, b)``: links between the hashes of distinct texts ``(hash, fp, low, high)`` that connect whatever is
-    within ``radius`` and has a minimum in common.
-
-    Probes are looked up in mapped arrays of all nodes and not shuffled. A node yields links to the leaders of the
-    smaller nodes it is linked to.
-    """
-    spark = nodes.sparkSession
-    nodes = nodes.select(*NODE)
-    groups = bit_groups(nodes, parts)
-    width = 64 // parts
-    shift = width - (SHELVES.bit_length() - 1)
-    counts = np.zeros((parts, 1 << width), np.int64)
-    found = nodes.select("fp").mapInArrow(_values(groups), "part long, value long").groupBy("part", "value").count().toPandas()
-    counts[found["part"].to_numpy(np.int64), found["value"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
-    folder = new_folder(spark, "simhash-shelves")
-    columns = ", ".join(f"{n} long" for n in ("shelf", "value", *NODE))
-    rows = nodes.mapInArrow(_shelf_of(groups, shift), columns).repartition(parts * SHELVES, "shelf")
-    rows.mapInArrow(_shelve(folder), "shelf long").count()
-    shared = spark.sparkContext.broadcast(ball_counts(counts, radius))
-    spread = nodes.repartition(max(48, int(spark.conf.get("spark.sql.shuffle.partitions"))), "hash")
-    return spread.mapInArrow(_near(groups, shared, folder, radius), "a long, b long")
+def proposed(prints: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: links between the keys of texts ``(hash, fp, bands)`` that connect all that have equal fingerprints, are
+    linked through fingerprints within ``radius``, or share a band."""
+    rows = prints.count()
+    per_fp = saved(prints.groupBy("fp").agg(F.min("hash").alias("first"), F.max("hash").alias("last"), F.count(F.lit(1)).alias("n")), "simhash-fps")
+    equal = saved(per_fp.where("first <> last").select("fp", "first", "n"), "simhash-equal")
+    equal = looked_up(prints.select("fp", F.col("hash").alias("a")), equal, ["fp"], "n", rows).where("a <> first").select("a", F.col("first").alias("b"))
+    near = saved(links(per_fp, radius), "simhash-links")
+    for end in ("a", "b"):
+        near = near.join(per_fp.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    near = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    banded = prints.select(F.col("hash").alias("a"), F.explode("bands").alias("band"))
+    per_band = banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("last"), F.count(F.lit(1)).alias("n"))
+    per_band = saved(per_band.where("b <> last").select("band", "b", "n"), "simhash-bands")
+    alike = looked_up(banded, per_band, ["band"], "n", BANDS * rows).where("a <> b").select("a", "b")
+    return equal.unionByName(near).unionByName(alike)
 
 
 def _sets(shingle: int):
@@ -513,28 +423,32 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
 
 
 def similar(docs: DataFrame, prints: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
-    """``(a, b)``: links between the hashes of distinct texts that connect those of at least the wanted similarity,
-    as far as ``neighbours``, or chains of them, lead from one to the other."""
-    nodes = saved(prints.select(*NODE).dropDuplicates(["hash"]), "simhash-nodes")
-    loose = saved(rooted(neighbours(nodes, radius)), "simhash-loose")
+    """``(a, b)``: links between the keys of distinct texts that connect those of at least the wanted similarity, as far
+    as ``proposed`` links, or chains of them, lead from one to the other.
+
+    Groups of proposed texts are dealt as pairs of blocks, which are bounded by the number of texts and by the hashes
+    in their sets; a set is sent once for each block of its group.
+    """
+    loose = saved(rooted(proposed(prints, radius)), "simhash-loose")
     ends = loose.select(F.col("root").alias("hash")).distinct().withColumn("root", F.col("hash"))
-    in_group = saved(loose.select(F.col("node").alias("hash"), "root").unionByName(ends), "simhash-grouped")
-    sizes = in_group.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / SETS).cast("long"))
-    wanted = saved(in_group.join(sizes, "root").select("hash", "root", "blocks"), "simhash-wanted")
-    rows = docs.select(F.xxhash64(text_of()).alias("hash"), F.col("text").alias("__text")).join(_slim(wanted), "hash")
-    sets = rows.mapInArrow(_sets(shingle), "hash long, root long, blocks long, set binary").groupBy("hash", "root", "blocks").agg(F.first("set").alias("set"))
+    in_group = loose.select(F.col("node").alias("hash"), "root").unionByName(ends)
+    sized = prints.select("hash", "size").join(_slim(in_group.select("hash")), "hash", "left_semi").dropDuplicates(["hash"])
+    in_group = saved(in_group.join(sized, "hash"), "simhash-grouped")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("size") / SET_HASHES)).cast("long")
+    wanted = in_group.join(saved(in_group.groupBy("root").agg(blocks.alias("blocks")), "simhash-blocks"), "root")
+    wanted = saved(wanted.select("hash", "root", "blocks"), "simhash-wanted")
+    rows = docs.select(text_key().alias("hash"), F.col("text").alias("__text")).join(_slim(wanted), "hash")
+    sets = rows.mapInArrow(_sets(shingle), "hash binary, root binary, blocks long, set binary").groupBy("hash", "root", "blocks").agg(F.first("set").alias("set"))
     own = F.pmod(F.xxhash64("hash"), F.col("blocks"))
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hash", "set")
 
     def forest_of(table: pa.Table) -> pa.Table:
-        hashes = table.column("hash").to_numpy()
         edges = set_forest([np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()], similarity)
-        a, b = (np.array([hashes[e[k]] for e in edges], np.int64) for k in range(2))
+        a, b = (table.column("hash").take(pa.array([e[k] for e in edges], pa.int64())) for k in range(2))
         return pa.table({"a": a, "b": b})
 
-    return dealt.groupBy("root", "low", "high").applyInArrow(forest_of, "a long, b long")
+    return dealt.groupBy("root", "low", "high").applyInArrow(forest_of, "a binary, b binary")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:

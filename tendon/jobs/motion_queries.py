@@ -164,9 +164,9 @@ ORACLE_SQL: dict[str, str] = {
         ("action_copies_state", f"{_SOUND} AND key IN ('joint_position', 'cartesian_position') AND dim = s_dim AND state_range > 1e-6 AND copies / n_state >= 0.9e0", {"metric": "copies / n_state", "n": "n_state"}),
         ("gripper_range", "n_bad = 0 AND key = 'gripper_binary' AND (low < -0.05e0 OR high > 1.05e0)", {"metric": "low", "other": "high"}),
         ("gripper_command_range", f"n_bad = 0 AND key = 'gripper_position' AND {_OUT} > {_MARGIN} AND l_n IS NOT NULL", {"metric": _OUT, "other": _MARGIN}),
-        ("scale_consistency", f"{_GRIP} AND (CASE WHEN ss > 0 THEN sqrt(aa / ss) ELSE 'inf'::DOUBLE END > 5 OR CASE WHEN ss > 0 THEN sqrt(aa / ss) END < 0.2e0)", {"metric": "CASE WHEN ss > 0 THEN sqrt(aa / ss) ELSE 'inf'::DOUBLE END"}),
-        ("tracking_residual", f"{_GRIP} AND aa_next > 0 AND sqrt(to_next / aa_next) > 0.5e0", {"metric": "sqrt(to_next / aa_next)"}),
-        ("delta_detection", f"{_GRIP} AND {_DELTA}", {"metric": _TO, "other": "sqrt(aa_next / next_values)"}),
+        ("scale_consistency", f"{_GRIP} AND (CASE WHEN ss > 0 THEN round(sqrt(aa / ss), 9) ELSE 'inf'::DOUBLE END > 5 OR CASE WHEN ss > 0 THEN round(sqrt(aa / ss), 9) END < 0.2e0)", {"metric": "CASE WHEN ss > 0 THEN sqrt(aa / ss) ELSE 'inf'::DOUBLE END"}),
+        ("tracking_residual", f"{_GRIP} AND aa_next > 0 AND round(sqrt(to_next / aa_next), 9) > 0.5e0", {"metric": "sqrt(to_next / aa_next)"}),
+        ("delta_detection", f"{_GRIP} AND {_DELTA} AND round({_TO}, 9) < 0.3e0", {"metric": _TO, "other": "sqrt(aa_next / next_values)"}),
     ]),
     "joint_position_checks": METRICS + told("km", [
         ("dof", f"{_JP} AND {_WRONG} <> ''", {"metric": "dim", "other": "s_dim", "n": "an", "note": _WRONG}),

@@ -48,11 +48,11 @@ def camera_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.state_steps(src.steps(spark, sf_dir))
+    return video.state_steps(src.steps(spark, sf_dir, groups=("state",)))
 
 
 def state_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.state_jumps(video.state_steps(src.steps(spark, sf_dir)), factor=1.6)
+    return video.state_jumps(video.state_steps(src.steps(spark, sf_dir, groups=("state",))), factor=1.6)
 
 
 _S = """WITH f AS (SELECT label::BIGINT AS e, vec_id AS i, list_transform(embedding, lambda v: round(v::DOUBLE * 20 + 128 + CASE WHEN vec_id % 7 = 3 THEN 90 ELSE 0 END, 3)) AS p FROM embeddings),

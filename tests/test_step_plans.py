@@ -23,3 +23,7 @@ def test_arrays_of_a_step_are_made_once_and_outside_of_lambdas(spark):
 
 def test_declared_keys_make_no_values(spark):
     assert "vals" not in plan(registry.QUERIES["declared_keys"](spark, SF))
+
+
+def test_state_jumps_make_no_actions(spark):
+    assert "joint_velocity" not in plan(registry.QUERIES["state_jumps"](spark, SF))

@@ -27,3 +27,8 @@ def test_declared_keys_make_no_values(spark):
 
 def test_state_jumps_make_no_actions(spark):
     assert "joint_velocity" not in plan(registry.QUERIES["state_jumps"](spark, SF))
+
+
+def test_reasons_of_skipped_keys_are_in_no_lambda(spark):
+    lines = plan(registry.QUERIES["skipped_keys"](spark, SF)).splitlines()
+    assert not [x for x in lines if "too_short" in x and "lambda" in x]

@@ -6,6 +6,7 @@ import pytest
 
 from tendon.jobs import registry
 from tendon.sources import episodes as src
+from tendon.sources import recordings as rec
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -32,3 +33,7 @@ def test_state_jumps_make_no_actions(spark):
 def test_reasons_of_skipped_keys_are_in_no_lambda(spark):
     lines = plan(registry.QUERIES["skipped_keys"](spark, SF)).splitlines()
     assert not [x for x in lines if "too_short" in x and "lambda" in x]
+
+
+def test_arrays_of_all_keys_come_from_one_scan(spark):
+    assert plan(rec.arrays(spark, SF)).count("Relation") == 1

@@ -38,7 +38,7 @@ def still_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periodic_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vm.periodic_skips(_motion(spark, sf_dir), vm.position_motion(src.motion(spark, sf_dir)), _cameras(spark, sf_dir))
+    return vm.periodic_skips(_motion(spark, sf_dir), vm.position_motion(src.motion(spark, sf_dir)), vm.camera_diffs(src.frames(spark, sf_dir)))
 
 
 def _hands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _hands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hand_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic skips of episodes that record the hand's pose and no joints."""
     rows = _hands(spark, sf_dir)
-    return vm.periodic_skips(vm.motion_of(vm.state_motion(rows), src.rates(spark, sf_dir)), vm.position_motion(rows), _cameras(spark, sf_dir))
+    return vm.periodic_skips(vm.motion_of(vm.state_motion(rows), src.rates(spark, sf_dir)), vm.position_motion(rows), vm.camera_diffs(src.frames(spark, sf_dir)))
 
 
 #: Thresholds of a lab whose cameras are noisy.

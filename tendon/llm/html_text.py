@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template. Per host, a bounded number of pages is drawn by hash (``SAMPLE``; every page is
-extracted, the draw only fits the wrapper). Their DOM trees are aligned one after another by simple tree matching:
-the largest set of matched nodes with equal labels that keeps order and parenthood. Runs of siblings with one label
-count as one repeated node, which keeps trees small and lets lists and paragraphs vary in number; labels of siblings
-then differ, so the best matching of two nodes' children is a heaviest rising sequence.
+Pages of a host share a template. A page's DOM tree has runs of siblings with one label as one repeated node, which keeps
+trees small and lets lists and paragraphs vary in number; labels of siblings then differ, so a node's place is the path of
+labels to it. Spark counts, for every host, place and text, the pages that have it, over all pages (``wrappers``); the counted
+places are the host's wrapper, children in their mean order. A page is aligned with it by simple tree matching: the largest set
+of matched nodes with equal labels that keeps order and parenthood, so the best matching of two nodes' children is a heaviest
+rising sequence.
 
 A node of the wrapper keeps the texts seen at its place. Texts that most of the pages repeat are template, wherever
 they stand, also inside the article; the rest varies. The content slot is found from the root by going to the child
@@ -13,8 +14,7 @@ children. Each page is aligned with its host's wrapper: what is matched to the c
 template texts. A page whose content would be template for the most part (a copy of other pages) keeps it; a page
 that doesn't fit, or has a host of its own, is its own wrapper.
 
-What the drawn pages of a host can't tell, all pages together do: Spark counts, for every place (path of labels from
-the root) and text, the pages of all hosts that have it. A place nearly all of whose text is repeated, while most of all
+What the pages of a host can't tell, those of all hosts together do: Spark counts, for every place and text, the pages of all hosts that have it. A place nearly all of whose text is repeated, while most of all
 places' text together is not, is template on every host (``template_places``). Blocks at such places are cut off before and
 after the content; between its blocks they stay, as do headings and what an article element holds.
 
@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 
 from tendon.llm.shared import looked_up, saved
 
-#: Pages of a host that the wrapper is induced from, at most.
-SAMPLE = 8
+#: A node of a host's wrapper is on one page in so many at least, so that ids of single pages make no nodes.
+RARE = 64
+#: Stands in a wrapper for all texts at a node that are no template; hashes of texts are not negative.
+VARYING = -1
 #: Pages that a text is repeated on to be template: so many, and this share of those that have its node.
 REPEATED, REPEATED_SHARE = 3, 0.6
 #: Times that a place must have been seen to be template, the share of its text that must be repeated, and the share of the
@@ -75,13 +77,14 @@ _SLOTS = {"#page": 1, "html": 1, "body": 1, "div": 1, "section": 1, "center": 1,
 
 
 class Node:
-    __slots__ = ("tag", "label", "hint", "parent", "kids", "holds", "counts", "prose")
+    __slots__ = ("tag", "label", "hint", "parent", "kids", "holds", "counts", "prose", "said")
 
     def __init__(self, tag: str, hint: str = "", parent: Node | None = None):
         self.tag, self.hint, self.parent, self.kids, self.holds = tag, hint, parent, [], False
         self.label = f"{tag}.{hint}" if hint else tag
         self.counts: tuple[int, int] | None = None
         self.prose: bool | None = None
+        self.said: tuple[str, int] | None = None
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -337,7 +340,9 @@ class Shape:
 
 
 def _own_text(node: Node) -> tuple[str, int]:
-    """The text of an element that is in no block below it, and its length without links."""
+    """The text of an element that is in no block below it, and its length without links; made once."""
+    if node.said is not None:
+        return node.said
     parts, plain = [], 0
     stack: list[tuple[Node | str, bool]] = [(k, False) for k in reversed(node.kids)]
     while stack:
@@ -348,7 +353,8 @@ def _own_text(node: Node) -> tuple[str, int]:
         elif n.tag in _INLINE:
             linked = linked or n.tag == "a"
             stack += [(k, linked) for k in reversed(n.kids)]
-    return clean("".join(parts)), plain
+    node.said = clean("".join(parts)), plain
+    return node.said
 
 
 def text_hash(text: str) -> int:
@@ -422,29 +428,6 @@ def matched(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Shape]]]:
     return 1 + sum(below[i][0] for i in chosen), pairs
 
 
-def induced(pages: list[str], names: bool = True) -> Shape:
-    """The wrapper of one host's pages; equal pages count once."""
-    wrapper: Shape | None = None
-    for page in sorted(set(pages)):
-        tree = shape(parse(page), names)
-        if wrapper is None:
-            wrapper = tree
-            continue
-        _, pairs = matched(wrapper, tree)
-        known = {id(b) for _, b in pairs}
-        for a, b in pairs:
-            a.seen += 1
-            a.holds, a.out = a.holds or b.holds, a.out and b.out
-            for h, (n, size) in b.texts.items():
-                have = a.texts.setdefault(h, [0, size])
-                have[0] += n
-            labels = {k.label for k in a.kids}
-            for at, kid in enumerate(b.kids):  # optional nodes join the wrapper beside what they stood by
-                if id(kid) not in known and kid.label not in labels:
-                    a.kids.insert(min(at, len(a.kids)), kid)
-    return wrapper if wrapper is not None else Shape("#page", [], {})
-
-
 def content_slot(wrapper: Shape, names: bool = True) -> Shape:
     """The node that holds nearly all of the varying text, and the article's heading if there is one."""
     order = [wrapper]
@@ -493,35 +476,67 @@ def extracted(page: str, wrapper: Shape | None, places: set[int] = frozenset(),
     return ""
 
 
-def _induce(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out, places = [], []
-        for pages in batch.column("pages").to_pylist():
-            out.append(json.dumps(induced(pages, names).packed(), separators=(",", ":")))
-            places.append(sorted({place for page in set(pages) for _, place in placed(parse(page))}))
-        columns = [batch.column("host"), batch.column("n"), pa.array(out, pa.string()), pa.array(places, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "n", "wrapper", "places"])
+def _shaped(root: Node, names: bool) -> list[tuple]:
+    """``(place, text, size, parent, label, at, holds, out, below, own)`` of a page's runs of siblings, and of each text in them.
+
+    The row of the run itself has the text 0; ``own`` is the length of its texts without links, ``below`` that of all texts of
+    its subtree, ``at`` its number among the runs beside it. Elements left out weigh nothing.
+    """
+    top = shape(root, names)
+    place = {id(top): (xxhash.xxh64_intdigest(top.label) >> 1, None, 0)}
+    order = [top]
+    for s in order:
+        mine = place[id(s)][0]
+        for at, k in enumerate(s.kids):
+            place[id(k)] = xxhash.xxh64_intdigest(b"%d/" % mine + k.label.encode("utf-8", "surrogatepass")) >> 1, mine, at
+        order += s.kids
+    below: dict[int, int] = {}
+    out = []
+    for s in reversed(order):
+        mine, parent, at = place[id(s)]
+        own = sum(size for _, size in s.texts.values())
+        below[id(s)] = 0 if s.out else own + sum(below[id(k)] for k in s.kids)
+        out.append((mine, 0, 0, parent, s.label, at, s.holds, s.out, below[id(s)], 0 if s.out else own))
+        out += [(mine, h, size, None, None, None, None, None, None, None) for h, (_, size) in s.texts.items()]
+    return out
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seen(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for page in batch.column("html").to_pylist():
-            seen: dict[tuple[int, int], int] = {}
-            for node, place in placed(parse(page)) if page else ():
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            root = parse(page)
+            texts: dict[tuple[int, int], int] = {}
+            for node, place in placed(root):
                 if text := _own_text(node)[0]:
-                    seen[place, text_hash(text)] = len(text)
-            columns = [[p for p, _ in seen], [t for _, t in seen], list(seen.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["place", "text", "size"])
+                    texts[place, text_hash(text)] = len(text)
+            plain = [(p, t, size) for (p, t), size in texts.items()]
+            runs = _shaped(root, names)
+            rows = [(*x, *[None] * 7) for x in plain] + runs
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()])]
+            kind = pa.array([False] * len(plain) + [True] * len(runs))
+            own = [pa.repeat(pa.scalar(host, pa.string()), len(rows)), pa.repeat(pa.scalar(text_hash(page), pa.int64()), len(rows)), kind]
+            yield pa.RecordBatch.from_arrays([*own, *columns], ["host", "page", "run", *_ROW])
+
+
+#: What is kept of a run of siblings, or of an element's text.
+_ROW = ["place", "text", "size", "parent", "label", "at", "holds", "out", "below", "own"]
 
 
-def template_places(pages: DataFrame) -> DataFrame:
+def seen_rows(pages: DataFrame, names: bool = True) -> DataFrame:
+    """What every page has at each place, from one parse: texts of elements (``run`` false), and runs of siblings with their texts (``_shaped``)."""
+    rows = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    kinds = "place long, text long, size long, parent long, label string, at int, holds boolean, out boolean, below long, own long"
+    return saved(rows.mapInArrow(partial(_seen, names=names), f"host string, page long, run boolean, {kinds}"), "seen")
+
+
+def template_places(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """``(place)``: places nearly all of whose text is repeated, over all pages of all hosts.
 
     A text is repeated that REPEATED pages have at that place. Texts are counted before places are, so a place that
     every page has is summed from its texts' counts by all tasks. If half of all text or more is repeated (copies of whole
     pages), repeats tell nothing and no place is template.
     """
-    texts = pages.select("html").mapInArrow(_places, "place long, text long, size long")
+    texts = (seen_rows(pages) if seen is None else seen).where("not run")
     texts = texts.groupBy("place", "text").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     mass = F.col("n") * F.col("size")
     sums = texts.groupBy("place").agg(
@@ -538,22 +553,62 @@ def host_of(column: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def wrappers(pages: DataFrame, names: bool = True) -> DataFrame:
-    """``(host, n, wrapper, places)``: each host's number of pages, its wrapper as JSON and the places of the drawn pages."""
-    rows = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("order", F.xxhash64("html")).withColumn("cell", F.pmod("order", F.lit(SAMPLE)))
-    cells = rows.groupBy("host", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("order"), F.min_by("html", "order").alias("html"))
-    hosts = cells.groupBy("host").agg(F.sum("n").alias("n"), F.collect_list("html").alias("pages"))
-    return hosts.mapInArrow(partial(_induce, names=names), "host string, n long, wrapper string, places array<long>")
+def wrappers(pages: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(host, n, wrapper)``: each host's number of pages and its wrapper as JSON, counted over all pages; equal pages count once.
+
+    Pages and texts are counted by place, so no task has a host's pages. A place that fewer than one page in ``RARE`` has is
+    no node of the wrapper; its texts weigh as varying ones of the node above.
+    """
+    runs = seen.where("run").groupBy("host", "place", "text", "page").agg(*(F.max(x).alias(x) for x in ("size", "parent", "label", "at", "holds", "out", "below", "own")))
+    runs = saved(runs.groupBy("host", "place", "text").agg(
+        F.count(F.lit(1)).alias("n"), *(F.max(x).alias(x) for x in ("size", "parent", "label", "holds")), F.avg("at").alias("at"), F.min("out").alias("out"), F.sum("below").alias("below"), F.sum("own").alias("own"),
+    ), "runs")
+    nodes = runs.where("text = 0").drop("text", "size").withColumnRenamed("n", "seen")
+    hosts = saved(nodes.groupBy("host").agg(F.max(F.when(F.col("parent").isNull(), F.col("seen"))).alias("distinct"), F.count(F.lit(1)).alias("nodes")), "hosts")
+    nodes = looked_up(nodes, hosts, ["host"], "nodes", nodes.count()).where(F.col("seen") * RARE >= F.col("distinct")).drop("distinct", "nodes")
+    texts = runs.where("text <> 0").select("host", "place", "text", "n", "size")
+    weight = texts.groupBy("host", "place").agg(F.count(F.lit(1)).alias("texts"))
+    nodes = saved(nodes.join(weight, ["host", "place"], "left").withColumn("texts", F.coalesce("texts", F.lit(0))), "nodes")
+    known = looked_up(texts, nodes.select("host", "place", "seen", "texts"), ["host", "place"], "texts", texts.count()).where("seen is not null")
+    fixed = F.col("n") >= F.greatest(F.lit(float(REPEATED)), F.lit(REPEATED_SHARE) * F.col("seen"))
+    own = known.groupBy("host", "place").agg(F.sum(F.when(~fixed, F.col("n") * F.col("size"))).alias("vary"), F.collect_list(F.when(fixed, F.struct("text", "n", "size"))).alias("fixed"))
+    entries = nodes.drop("texts").join(own, ["host", "place"], "left")
+    entries = entries.groupBy("host").agg(F.collect_list(F.struct(*(x for x in entries.columns if x != "host"))).alias("nodes"))
+    counted = pages.groupBy(host_of().alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    return entries.join(counted, "host").select("host", "n", "nodes").mapInArrow(_assemble, "host string, n long, wrapper string")
+
+
+def assembled(nodes: list[dict]) -> Shape:
+    """The wrapper of one host from its places: children in the order of their mean number among the runs beside them. What
+    varies at a node weighs as one text that no page repeats, together with what is below it at places that are no nodes."""
+    made = {x["place"]: Shape(x["label"], [], {t["text"]: [t["n"], t["size"]] for t in x["fixed"] or ()}, x["seen"], x["holds"], x["out"]) for x in nodes}
+    rest = {x["place"]: (x["vary"] or 0) + x["below"] - x["own"] for x in nodes}
+    top = Shape("#page", [], {})
+    for x in sorted(nodes, key=lambda x: (x["at"], x["label"])):
+        if x["parent"] is None:
+            top = made[x["place"]]
+        elif x["parent"] in made:
+            made[x["parent"]].kids.append(made[x["place"]])
+            rest[x["parent"]] -= x["below"]
+    for place, size in rest.items():
+        if size > 0:
+            made[place].texts[VARYING] = [1, size]
+    return top
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [json.dumps(assembled(nodes).packed(), separators=(",", ":")) for nodes in batch.column("nodes").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("n"), pa.array(out, pa.string())], ["host", "n", "wrapper"])
 
 
-def with_template_places(known: DataFrame, places: DataFrame) -> DataFrame:
-    """Each host of ``wrappers`` with those of its places that are template, as ``fixed`` (null without any)."""
-    pairs = known.select("host", F.explode("places").alias("place"))
+def with_template_places(known: DataFrame, seen: DataFrame, places: DataFrame) -> DataFrame:
+    """Each host of ``wrappers`` with those of its pages' places that are template, as ``fixed`` (null without any)."""
+    pairs = seen.where("not run").select("host", "place").distinct()
     used = saved(pairs.groupBy("place").agg(F.count(F.lit(1)).alias("hosts")).join(places, "place"), "used-places")
     own = looked_up(pairs, used, ["place"], "hosts", pairs.count()).where("hosts is not null")
     own = own.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("fixed"))
-    return known.drop("places").join(own, "host", "left")
+    return known.join(own, "host", "left")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], names: bool) -> Iterator[pa.RecordBatch]:
@@ -577,8 +632,9 @@ def main_texts(pages: DataFrame, names: bool = True) -> DataFrame:
     has an empty text. Null and repeated ids and addresses are rows like any other; other columns are ignored; an
     empty table gives an empty result. Without ``names`` only the host's wrapper and the counts of all pages decide.
     """
-    known = saved(wrappers(pages, names), "wrappers")
-    known = saved(with_template_places(known, template_places(pages)), "wrappers-with-places")
+    seen = seen_rows(pages, names)
+    known = saved(wrappers(pages, seen), "wrappers")
+    known = saved(with_template_places(known, seen, template_places(pages, seen)), "wrappers-with-places")
     rows = pages.select("page_id", "url", host_of().alias("host"), F.col("html").alias("__html"))
     joined = looked_up(rows, known, ["host"], "n", rows.count(), wide=True).drop("n")
     return joined.drop("host").mapInArrow(partial(_extract, names=names), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")

@@ -1,5 +1,6 @@
 """Extraction by what pages repeat, without the names of elements."""
 
+import json
 import os
 
 from tendon.llm import html_text
@@ -60,3 +61,23 @@ def test_the_method_alone_gives_what_it_gives_with_names(spark):
     by_names, alone = html_text.main_texts(pages), html_text.main_texts(pages, names=False)
     n = by_names.count()
     assert by_names.exceptAll(alone).count() <= n // 50
+
+
+def test_wrappers_are_counted_over_all_pages_of_a_host(spark):
+    """A line on 22 pages of 40 is no template, one on 30 is; copies of a page count once, and ids of single pages are no nodes."""
+    page = lambda i: f"<body><div id=a>{'Half of the pages say so' if i < 22 else f'Said by {i}'}</div><div id=b>{'Most of the pages say so' if i >= 10 else f'Told by {i}'}</div><div id=post-{i}><p>Story {i} and nothing else.</p></div></body>"
+    rows = [(i, "https://one.example/x", page(i)) for i in range(40)] + [(100 + i, "https://one.example/y", page(39)) for i in range(30)]
+    rows += [(200 + i, "https://many.example/", page(40 + i)) for i in range(200)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    made = {r["host"]: (r["n"], html_text.Shape.unpacked(json.loads(r["wrapper"]))) for r in html_text.wrappers(pages, html_text.seen_rows(pages)).collect()}
+    n, top = made["one.example"]
+    body = top.kids[0]
+    have = {k.label: k for k in body.kids}
+    assert (n, top.seen, body.seen) == (70, 40, 40)
+    assert have["div.a"].template() == set() and have["div.b"].template() == {html_text.text_hash("Most of the pages say so")}
+    many = made["many.example"][1].kids[0]
+    assert (many.seen, [k.label for k in many.kids]) == (200, ["div.a", "div.b"])
+    stories = sum(len(f"Story {40 + i} and nothing else.") for i in range(200))
+    assert sum(n * size for n, size in many.texts.values()) == stories
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages, names=False).collect()}
+    assert len(got) == 270 and all(f"Story {i} and nothing else." in got[i] for i in range(39)) and all("Half of the pages say so" in got[i] for i in range(22))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from tendon.jobs import validation_queries
-from tendon.operators import motion, quality
+from tendon.operators import motion, poses, quality
 
 SF = "/root/testdata/sf0.001"
 STEPS = "episode_id long, grp string, key string, t long, vals array<double>"
@@ -47,3 +47,12 @@ def test_actions_are_aligned_and_profiles_parsed_once_for_the_ledger(spark):
     assert "from_json" not in plan(keys) and "MapInArrow" not in plan(keys)
     assert not [x for x in plan(motion.cell_metrics(tables.steps(motion.GENERAL_KEYS), tables.episodes, tables.parsed, motion.GENERAL_KEYS)).splitlines() if "posexplode" in x]
     assert "from_json" not in plan(quality.cartesian_velocity(tables))
+
+
+def test_pairs_of_velocities_and_motion_are_no_rows(spark):
+    rows = [(1, g, k, t, [0.1 * t] * n) for t in range(6) for g, k, n in (("action", "cartesian_velocity", 6), ("state", "cartesian_position", 3))]
+    steps, episodes = spark.createDataFrame(rows, STEPS), spark.createDataFrame([(1, 10.0, False)], EPISODES + ", is_biarm boolean")
+    each = poses.velocity_integrations(steps, episodes)
+    assert "swapped_linear" not in plan(each)
+    # without an orientation only the base's linear motion is there, for velocities in either place
+    assert sorted((r["frame"], r["part"], r["moves"]) for r in each.collect()) == [("base", "linear", True), ("base", "swapped_linear", True)]

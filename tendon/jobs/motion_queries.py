@@ -30,7 +30,7 @@ def _cells(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], **more) -> D
 
 
 def _keys(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], **more) -> DataFrame:
-    return motion.key_metrics(_cells(spark, sf_dir, keys, **more))
+    return motion.whole_keys(src.steps(spark, sf_dir, keys), src.episodes(spark, sf_dir), _profiles(spark, sf_dir), keys, **more)
 
 
 def _general_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

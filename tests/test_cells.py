@@ -56,3 +56,15 @@ def test_pairs_of_velocities_and_motion_are_no_rows(spark):
     assert "swapped_linear" not in plan(each)
     # without an orientation only the base's linear motion is there, for velocities in either place
     assert sorted((r["frame"], r["part"], r["moves"]) for r in each.collect()) == [("base", "linear", True), ("base", "swapped_linear", True)]
+
+
+def test_keys_are_put_together_as_the_cells_would_be(spark):
+    rows = [(1, "action", "joint_position", t, v) for t, v in ((0, [1.0, 2.0]), (1, [3.0, None]), (2, [2.0, -7.0]), (3, [NAN, 1.0]))] + [(1, "state", "joint_position", t, [0.5 * t, 1.0]) for t in range(4)]
+    rows += [(2, "action", "joint_position", t, [0.3, 0.1 * t, 0.2][: 1 + t]) for t in range(3)] + [(2, "action", "wings", 0, [None]), (None, "action", "joint_velocity", None, [7.0])]
+    profiles = spark.createDataFrame([(1, {"action_joint_names": ["a", "gripper"], "robot_state_joint_names": ["a", "gripper"]})], "episode_id long, p struct<action_joint_names:array<string>,robot_state_joint_names:array<string>>")
+    args = (spark.createDataFrame(rows, STEPS), spark.createDataFrame([(1, 10.0), (2, None)], EPISODES), profiles)
+    for more in ({}, {"medians": True, "flips": True}):
+        keys, cells = motion.whole_keys(*args, **more), motion.key_metrics(motion.cell_metrics(*args, **more))
+        assert keys.dtypes == cells.dtypes and "Aggregate" not in plan(keys)
+        told = lambda df: sorted(repr([float("%.12g" % v) if isinstance(v, float) else v for v in r]) for r in df.collect())
+        assert told(keys) == told(cells) and len(told(keys)) == 4

@@ -2,10 +2,13 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
+from tendon.functions import series
 from tendon.jobs import validation_queries
 from tendon.operators import motion, poses, quality
+from tendon.sources import tables
 
 SF = "/root/testdata/sf0.001"
 STEPS = "episode_id long, grp string, key string, t long, vals array<double>"
@@ -68,3 +71,22 @@ def test_keys_are_put_together_as_the_cells_would_be(spark):
         assert keys.dtypes == cells.dtypes and "Aggregate" not in plan(keys)
         told = lambda df: sorted(repr([float("%.12g" % v) if isinstance(v, float) else v for v in r]) for r in df.collect())
         assert told(keys) == told(cells) and len(told(keys)) == 4
+
+
+def test_what_is_told_of_an_episode_is_one_column_of_its_steps(spark):
+    steps, info = spark.createDataFrame([(1, "action", "joint_position", 0, [1.0])], STEPS), spark.createDataFrame([(1, (10.0, None)), (2, (None, [None, 1]))], "episode_id long, info struct<hz:double,pairs:array<int>>")
+    rows = series.dealt(steps, info)
+    assert dict(rows.dtypes)["info"] == "string"
+    told = series.steps_of(pa.concat_batches(rows.toArrow().to_batches())).info
+    assert told == {1: {"hz": 10.0, "pairs": None}, 2: {"hz": None, "pairs": [None, 1]}}
+
+
+@pytest.mark.parametrize("before", [None, "1000000"])
+def test_batches_by_rows_leave_the_setting_as_it_was(spark, before):
+    if before:
+        spark.conf.set(tables.BYTES_PER_BATCH, before)
+    try:
+        seen = spark.range(3).mapInArrow(lambda batches: batches, "id long")
+        assert tables.saved(seen, "x", by_rows=True).count() == 3 and spark.conf.get(tables.BYTES_PER_BATCH, None) == before
+    finally:
+        spark.conf.unset(tables.BYTES_PER_BATCH)
